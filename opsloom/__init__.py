@@ -1 +1,9 @@
 """Operations analytics on Spark DataFrames and streams."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so executors need
+# no installation of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -58,7 +58,7 @@ def _is_dst(ts: Column, january: Column, offset: Column) -> Column:
 
 def time_parse(text: Column, formats: Sequence[str] = PARSE_FORMATS) -> Column:
     """The first format that fits; NULL when none does. A leading weekday is skipped."""
-    text = F.regexp_replace(text, "^[A-Z][a-z]{2},? (?=[A-Z0-9])", "")
+    text = F.regexp_replace(text, "^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),? ", "")
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 

@@ -88,7 +88,7 @@ def combine(op: str, datasets: Sequence[DataFrame], weights: Sequence[float] | N
         val = F.when(present, val).otherwise(F.lit(0.0))
     elif op == "div":
         for x in v[1:]:
-            val = F.when(x == 0, F.lit(0.0)).otherwise(val / F.when(x != 0, x))
+            val = F.coalesce(F.try_divide(val, x), F.lit(0.0))
         val = F.when(present, val).otherwise(F.lit(0.0))
     elif op in ("min", "max") and n > 1:
         val = (F.least if op == "min" else F.greatest)(*v)

@@ -25,7 +25,8 @@ def inv_dedupe(df: DataFrame, keys: Sequence[str], first_by: Sequence[str]) -> D
 
 def map_reverse(df: DataFrame) -> DataFrame:
     """Swap the endpoints."""
-    return df.withColumnsRenamed({"level1": "level2", "id1": "id2", "level2": "level1", "id2": "id1"}).select(*df.columns)
+    swap = {"level1": "level2", "id1": "id2", "level2": "level1", "id2": "id1"}
+    return df.select(*[F.col(swap.get(c, c)).alias(c) for c in df.columns])
 
 
 def first_attr_row(attrs: DataFrame, preferred: str = "name") -> DataFrame:

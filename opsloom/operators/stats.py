@@ -314,10 +314,11 @@ def stat_profile(
     n, m, m2 = F.col("n"), F.col("m"), F.col("v") * F.col("n")
 
     def without(x: Column) -> tuple[Column, Column]:
-        rest = F.greatest(m2 - n / (n - 1) * (x - m) * (x - m), F.lit(0.0))
-        return m + (m - x) / (n - 1), F.sqrt(rest / (n - 2))
+        others = F.nullif(n - 1, F.lit(0))
+        rest = F.greatest(m2 - n / others * (x - m) * (x - m), F.lit(0.0))
+        return m + (m - x) / others, F.sqrt(rest / F.nullif(n - 2, F.lit(0)))
 
-    sdev = F.when(n > 1, F.sqrt(m2 / (n - 1))).otherwise(F.lit(0.0))
+    sdev = F.coalesce(F.sqrt(m2 / F.nullif(n - 1, F.lit(0))), F.lit(0.0))
     hi, lo = F.col("hi"), F.col("lo")
     mh, sh = without(hi)
     ml, sl = without(lo)
@@ -347,8 +348,8 @@ EPS = 1e-6
 def sigma_columns(val: Column, mean: Column, sdev: Column) -> tuple[Column, Column]:
     """(sigma, actual) distance of a value from its profile."""
     sigma = (
-        F.when(F.abs(sdev) > EPS, (val - mean) / sdev)
-        .when(F.abs(mean) > EPS, 100.0 * (val - mean) / mean)
+        F.when(F.abs(sdev) > EPS, F.try_divide(val - mean, sdev))
+        .when(F.abs(mean) > EPS, F.try_divide(100.0 * (val - mean), mean))
         .otherwise((0.001 + val) / 0.001)
     )
     return F.abs(sigma), F.abs(val - mean)
@@ -497,5 +498,5 @@ def capacity_percent(
     )
     cap = F.coalesce("__cap", "__max")
     return j.withColumn(
-        "percent", F.when(cap > 0, 100.0 * F.col("val") / F.when(cap > 0, cap))
+        "percent", F.when(cap > 0, F.try_divide(100.0 * F.col("val"), cap))
     ).drop("__lv", "__id", "__k", "__cap", "__attr", "__max")

@@ -244,14 +244,14 @@ PFX_B = """pb AS (SELECT raw - raw % (1::BIGINT << (32 - len)) AS addr, len, own
 RANGES = PFX_A + ",\n" + PFX_B + """,
 ra AS (SELECT addr AS lo, addr + (1::BIGINT << (32 - len)) - 1 AS hi FROM pa),
 rb AS (SELECT addr AS lo, addr + (1::BIGINT << (32 - len)) - 1 AS hi FROM pb),
-edges AS (SELECT lo AS at, 1 AS da, 0 AS db FROM ra UNION ALL SELECT hi + 1, -1, 0 FROM ra
+edges AS (SELECT lo AS pos, 1 AS da, 0 AS db FROM ra UNION ALL SELECT hi + 1, -1, 0 FROM ra
   UNION ALL SELECT lo, 0, 1 FROM rb UNION ALL SELECT hi + 1, 0, -1 FROM rb),
-depth AS (SELECT at, sum(sum(da)) OVER (ORDER BY at) AS ca, sum(sum(db)) OVER (ORDER BY at) AS cb FROM edges GROUP BY at)"""
+depth AS (SELECT pos, sum(sum(da)) OVER (ORDER BY pos) AS ca, sum(sum(db)) OVER (ORDER BY pos) AS cb FROM edges GROUP BY pos)"""
 
 
 def sweep_sql(inside: str) -> str:
     """Maximal ranges where a condition on the depths ca, cb holds."""
     return f"""SELECT CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM (
-  SELECT at AS lo, lead(at) OVER (ORDER BY at) - 1 AS hi, was FROM (
-    SELECT at, {inside} AS was, lag({inside}, 1, false) OVER (ORDER BY at) AS prev FROM depth) WHERE was <> prev)
+  SELECT pos AS lo, lead(pos) OVER (ORDER BY pos) - 1 AS hi, was FROM (
+    SELECT pos, {inside} AS was, lag({inside}, 1, false) OVER (ORDER BY pos) AS prev FROM depth) WHERE was <> prev)
   WHERE was"""

@@ -1 +1,192 @@
+"""Queries that run Structured Streaming jobs over files of the input tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph as G
+from ..operators import stats
+from ..session import scratch_path
+from ..streaming import jobs
+from ..streaming.correlate import CorrelationRule
+from . import views as V
+from .alarms import _GAP, sessions_sql
+from .core import query, table
+from .inventory import _order_edges
+from .series import SAMPLED, SIMPLE
+
+HALF = 1705400000
+
+
+def _in_two(df, time, run):
+    """Write rows before and after HALF as two deliveries; ``run`` catches up after each."""
+    path = scratch_path(df.sparkSession, "arrive")
+    for part in (df.where(F.col(time) < HALF), df.where(F.col(time) >= HALF)):
+        part.write.mode("append").parquet(path)
+        run(path)
+
+
+@query("stream_tail", f"WITH {V.STAT} SELECT seq, id, key, val FROM stat")
+def stream_tail(spark, sf):
+    s = V.stat(spark, sf).select("seq", "id", "key", "val", "timeissued")
+    out, cp = scratch_path(spark, "tail"), scratch_path(spark, "tail-cp")
+
+    def run(path):
+        jobs.catch_up(jobs.stream_tail(spark, path, s.schema, max_files=2), out, cp)
+
+    _in_two(s, "timeissued", run)
+    return spark.read.parquet(out).drop("timeissued")
+
+
+@query("st_event_time", f"""WITH {V.STAT}, g AS (SELECT timeissued - timeissued % 21600 AS start, count(*) AS n FROM stat GROUP BY ALL)
+  SELECT start, n FROM g WHERE start + 21600 <= (SELECT max(timeissued) FROM stat) - 3600""")
+def st_event_time(spark, sf):
+    s = V.stat(spark, sf)
+    out, cp = scratch_path(spark, "clock"), scratch_path(spark, "clock-cp")
+
+    def run(path):
+        t = jobs.event_time(jobs.stream_tail(spark, path, s.schema), "1 hour")
+        g = t.groupBy(F.window("ts", "6 hours")).agg(F.count("*").alias("n"))
+        jobs.catch_up(g.select(F.unix_timestamp("window.start").alias("start"), "n"), out, cp)
+
+    _in_two(s, "timeissued", run)
+    return spark.read.parquet(out)
+
+
+@query("st_tumbling_stats", f"""WITH {V.STAT}, h AS (SELECT timeissued - timeissued % 3600 AS t, level, id, key, {V.MODE_SQL} AS mode, sum(val) AS s, min(val) AS lo, max(val) AS hi, avg(val) AS a, count(*) AS n FROM stat GROUP BY ALL)
+  SELECT t AS timeissued, level, id, key, round(CASE mode WHEN 'sum' THEN s WHEN 'min' THEN lo WHEN 'max' THEN hi ELSE a END, 6) AS val, n FROM h WHERE t + 3600 <= (SELECT max(timeissued) FROM stat) - 600""")
+def st_tumbling_stats(spark, sf):
+    s = V.stat(spark, sf)
+    out, cp = scratch_path(spark, "tumble"), scratch_path(spark, "tumble-cp")
+
+    def run(path):
+        jobs.catch_up(jobs.tumbling_stats(jobs.stream_tail(spark, path, s.schema), V.CATALOGUE), out, cp)
+
+    _in_two(s, "timeissued", run)
+    return spark.read.parquet(out).withColumn("val", F.round("val", 6))
+
+
+@query("st_late_split", f"""WITH {V.STAT} SELECT CASE WHEN timeissued >= 1704500000 THEN 'on time' ELSE 'late' END AS side, count(*) AS n FROM stat GROUP BY ALL""")
+def st_late_split(spark, sf):
+    s = V.stat(spark, sf)
+    out, cp = scratch_path(spark, "late"), scratch_path(spark, "late-cp")
+
+    def save(side):
+        return lambda d: d.withColumn("side", F.lit(side)).write.mode("append").parquet(out)
+
+    def run(path):
+        src = jobs.stream_tail(spark, path, s.schema)
+        jobs.catch_up_batches(src, lambda b, _: jobs.split_late(b, 1704500000, save("on time"), save("late")), cp)
+
+    _in_two(s, "timeissued", run)
+    return spark.read.parquet(out).groupBy("side").agg(F.count("*").alias("n"))
+
+
+@query("st_profile_alarm", f"""WITH {SAMPLED},
+  s AS (SELECT level, id, key, timeissued, CASE WHEN sigma >= 1.5 THEN 1 WHEN sigma >= 0.8 THEN 3 ELSE -1 END AS sev FROM sc),
+  c AS (SELECT *, sum(CASE WHEN sev = -1 THEN 1 ELSE 0 END) OVER w AS seg, lag(sev) OVER w AS prev FROM s WINDOW w AS (PARTITION BY level, id, key ORDER BY timeissued)),
+  d AS (SELECT *, min(sev) FILTER (sev <> -1) OVER (PARTITION BY level, id, key, seg ORDER BY timeissued ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM c)
+  SELECT level, id, key, timeissued, CASE WHEN sev = -1 THEN 'clear' ELSE 'alarm' END AS kind FROM d
+  WHERE (sev = -1 AND (prev IS NULL OR prev <> -1)) OR (sev <> -1 AND (best IS NULL OR sev < best))""")
+def st_profile_alarm(spark, sf):
+    points = stats.sample_points(V.framed(spark, sf), V.CATALOGUE).withColumn("frame", F.expr("int(frame div 72)"))
+    prof = points.groupBy(*stats.SERIES, "frame").agg(F.avg("val").alias("mean"), F.stddev_samp("val").alias("sdev"))
+    store = scratch_path(spark, "profile")
+    prof.where("sdev > 0.01").write.parquet(store)
+    out, cp = scratch_path(spark, "pce"), scratch_path(spark, "pce-cp")
+
+    def run(path):
+        live = jobs.stream_tail(spark, path, points.schema)
+        scored = stats.sigma_score(live, spark.read.parquet(store))
+        jobs.catch_up(jobs.profile_alarms(stats.range_rule_match(scored, SIMPLE), SIMPLE), out, cp)
+
+    _in_two(points, "timeissued", run)
+    return spark.read.parquet(out).select("level", "id", "key", "timeissued", "kind")
+
+
+GEN = CorrelationRule("GEN", "type = 1", ("id1",), window=_GAP, immediate=2, first_delay=30000, refresh=36000)
+
+
+def _tickets_sql(clock: str) -> str:
+    return f"""WITH {V.ALARMS}, e AS (SELECT * FROM alarm WHERE type = 1), clk AS (SELECT {clock} AS c FROM alarm), {sessions_sql('id1', _GAP, 'e')},
+  g AS (SELECT id1, session, min(timeissued) AS first, max(timeissued) AS last, min(timeissued) FILTER (nth = 2) AS nt FROM s2 GROUP BY ALL),
+  t AS (SELECT *, least(nt, CASE WHEN first + 30000 < c THEN first + 30000 END) AS ticket, c FROM g, clk)
+  SELECT id1, CASE WHEN k = 0 THEN 'first' ELSE 'refresh' END AS event, ticket + 36000 * k AS tick FROM (SELECT *, unnest(range(0, CAST(1 + greatest(floor((least(last + {_GAP}, c) - ticket) / 36000), 0) AS BIGINT))) AS k FROM t WHERE ticket IS NOT NULL)"""
+
+
+def _correlated(spark, sf, beat=None):
+    a = V.alarm(spark, sf).select("seq", "type", "id1", "severity", "state", "timeissued")
+    out, cp = scratch_path(spark, "corr"), scratch_path(spark, "corr-cp")
+
+    def run(path):
+        live = jobs.event_time(jobs.stream_tail(spark, path, a.schema), "0 seconds")
+        jobs.catch_up(jobs.correlate(live, [GEN]), out, cp)
+
+    rows = a
+    if beat:
+        # a heartbeat record matches no rule but moves the clock
+        late = a.agg(F.max("timeissued").alias("t")).select(
+            F.lit(-1).cast("bigint").alias("seq"), F.lit(0).alias("type"), F.lit("").alias("id1"), F.lit(0).alias("severity"),
+            F.lit(0).alias("state"), (F.col("t") + beat).alias("timeissued"),
+        )
+        rows = a.unionByName(late)
+    _in_two(rows, "timeissued", run)
+    df = spark.read.parquet(out)
+    return df.select(F.get_json_object("group", "$.id1").alias("id1"), "event", F.col("at").alias("tick"))
+
+
+@query("st_correlate", _tickets_sql("max(timeissued)"))
+def st_correlate(spark, sf):
+    return _correlated(spark, sf)
+
+
+@query("st_heartbeat", _tickets_sql("max(timeissued) + 864000"))
+def st_heartbeat(spark, sf):
+    return _correlated(spark, sf, beat=864000)
+
+
+def _impact(down: str, name: str) -> str:
+    return f"""{name} AS (SELECT *, CASE WHEN lost_all = 0 AND lost_some = 0 THEN 0 WHEN lost_all = producers THEN 1 WHEN 100.0 * (producers - lost_all) / producers <= 25 THEN 2
+  WHEN 100.0 * (producers - lost_all) / producers <= 50 THEN 3 ELSE 4 END AS sev FROM (SELECT o_custkey, producers, CASE WHEN alive = 0 THEN producers ELSE producers - pup END AS lost_all,
+  CASE WHEN alive > 0 AND alive < consumers THEN pup ELSE 0 END AS lost_some FROM (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') AS producers, count(*) FILTER (o_orderstatus <> 'O') AS consumers,
+  count(*) FILTER (o_orderstatus <> 'O' AND NOT ({down})) AS alive, count(*) FILTER (o_orderstatus = 'O' AND NOT ({down})) AS pup FROM orders GROUP BY ALL) WHERE producers > 0 AND consumers > 0))"""
+
+
+_D1 = "o_totalprice > 400000 AND epoch_us(o_orderdate) // 1000000 < 883612800"
+_D2 = "o_totalprice > 400000"
+
+
+@query("st_service_impact", f"""WITH {_impact(_D1, 'i1')}, {_impact(_D2, 'i2')} SELECT 'svc' || o_custkey % 3 AS service, CAST(o_custkey AS VARCHAR) AS ccid, 0 AS old, sev AS new FROM i1 WHERE sev <> 0
+  UNION ALL SELECT 'svc' || i1.o_custkey % 3, CAST(i1.o_custkey AS VARCHAR), i1.sev, i2.sev FROM i1 JOIN i2 USING (o_custkey) WHERE i1.sev <> i2.sev""")
+def st_service_impact(spark, sf):
+    o = table(spark, sf, "orders")
+    edges = _order_edges(spark, sf)
+    roles = G.service_roles(
+        o.selectExpr("'ord' as level", "string(o_orderkey) as id", "'gce_service0' as key",
+                     "concat(if(o_orderstatus = 'O', 'prod:', 'cons:'), 'svc', o_custkey % 3) as val")
+    )
+    members = scratch_path(spark, "members")
+    G.connected_components(edges).write.parquet(members)
+    events = o.where("o_totalprice > 400000").select(
+        F.lit("ord").alias("level"), F.col("o_orderkey").cast("string").alias("id"), F.lit(1).alias("type"),
+        F.unix_timestamp("o_orderdate").alias("t"),
+    )
+    arrive, opened = scratch_path(spark, "gce"), scratch_path(spark, "gce-open")
+    out, cp = scratch_path(spark, "gce-out"), scratch_path(spark, "gce-cp")
+    events.limit(0).write.parquet(opened)
+
+    def emit(changes, epoch):
+        changes.write.mode("append").parquet(out)
+
+    evaluate = jobs.impact_batches(edges, roles, spark.read.parquet(members), lambda: spark.read.schema(events.schema).parquet(opened), emit)
+
+    def step(batch, epoch):
+        evaluate(batch, epoch)
+        batch.write.mode("append").parquet(opened)
+
+    for part in (events.where("t < 883612800"), events.where("t >= 883612800")):
+        part.write.mode("append").parquet(arrive)
+        jobs.catch_up_batches(jobs.stream_tail(spark, arrive, events.schema), step, cp)
+    return spark.read.parquet(out).select("service", "ccid", "old", "new")
+
 

@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.graph import impact_changes, service_impact
 from ..operators.profile_alarms import CHANGES, SeriesState, prune, step_series
 from ..operators.stats import SERIES, Catalogue, ProfileRule, mode_of
+from ..session import cut_lineage
 from .correlate import GROUP_EVENTS, CorrelationRule, GroupMemory, step_group
 
 BatchSink = Callable[[DataFrame, int], None]
@@ -170,7 +172,8 @@ def correlate(alarms: DataFrame, rules: Sequence[CorrelationRule], heartbeat: st
                 state.setTimeoutDuration(heartbeat)
             else:
                 due = memory.next_due(rule)
-                state.setTimeoutTimestamp(max(due, mark + 1) * 1000)
+                # a timer fires once the watermark is past it
+                state.setTimeoutTimestamp(max(due, mark + 1) * 1000 - 1)
         elif state.exists:
             state.remove()
         yield pd.DataFrame([(*key, *r) for r in out], columns=["rule", "group", "event", "at", "seq", "severity", "n"])
@@ -181,18 +184,26 @@ def correlate(alarms: DataFrame, rules: Sequence[CorrelationRule], heartbeat: st
 # --- service impact -----------------------------------------------------------------------
 
 
-def impact_batches(evaluate: Callable[[DataFrame], DataFrame], read_open: Callable[[], DataFrame], emit: BatchSink) -> BatchSink:
-    """A ``foreachBatch`` function: re-evaluate the touched services, emit changes.
+def impact_batches(
+    edges: DataFrame, roles: DataFrame, members: DataFrame, read_open: Callable[[], DataFrame], emit: BatchSink
+) -> BatchSink:
+    """A ``foreachBatch`` function: re-evaluate the touched components, emit changes.
 
-    ``read_open`` gives the stored open events before the batch; ``evaluate`` maps
-    open events to ``service_impact`` rows.
+    ``members`` is the stored ``connected_components`` of the inventory; only
+    components with a raised or cleared node in the batch are looked at.
+    ``read_open`` gives the events that were open before the batch.
     """
-    from ..operators.graph import impact_changes
+    home = members.select(F.col("ndlevel").alias("level"), F.col("ndid").alias("id"), "cclevel", "ccid")
 
     def run(batch: DataFrame, epoch: int) -> None:
-        before = read_open()
-        after = before.select("level", "id").unionByName(batch.where("type = 1").select("level", "id")).distinct()
-        cleared = batch.where("type = 2").select("level", "id").distinct()
-        emit(impact_changes(evaluate(before), evaluate(after.join(cleared, ["level", "id"], "left_anti"))), epoch)
+        seen = batch.select("level", "id").distinct()
+        touched = home.join(seen, ["level", "id"], "left_semi").select("cclevel", "ccid").distinct()
+        near = cut_lineage(home.join(touched, ["cclevel", "ccid"], "left_semi").select("level", "id"))
+        local = edges.join(near.withColumnsRenamed({"level": "level1", "id": "id1"}), ["level1", "id1"], "left_semi")
+        mine = roles.join(near, ["level", "id"], "left_semi")
+        before = read_open().select("level", "id").join(near, ["level", "id"], "left_semi").distinct()
+        raised = before.unionByName(batch.where("type = 1").select("level", "id")).distinct()
+        after = raised.join(batch.where("type = 2").select("level", "id").distinct(), ["level", "id"], "left_anti")
+        emit(impact_changes(service_impact(local, mine, before), service_impact(local, mine, after)), epoch)
 
     return run

@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 V4_BITS = 32
 V4_MAX = (1 << 32) - 1
@@ -84,7 +85,7 @@ def in_prefix(addr: Column, prefix: str) -> Column:
     return addr.between(int(net.network_address), int(net.broadcast_address))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def ip6_parse(text: pd.Series) -> pd.Series:
     """Colon text to 16 bytes; an IPv4 text gives its mapped address."""
 
@@ -98,7 +99,7 @@ def ip6_parse(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ip6_format(addr: pd.Series) -> pd.Series:
     return addr.map(lambda b: str(ipaddress.IPv6Address(bytes(b))), na_action="ignore")
 

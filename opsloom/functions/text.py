@@ -150,18 +150,22 @@ def tr(
 
 
 def fold(c: Column, width: int, at_blanks: bool = False) -> Column:
-    """Wrap at ``width`` characters to an array of lines.
+    """Wrap every line at ``width`` characters to an array of lines.
 
-    With ``at_blanks`` a line ends after its last blank, if it has one.
+    With ``at_blanks`` a line that is too long ends after its last blank, if it
+    has one.
     """
-    if at_blanks:
-        return F.regexp_extract_all(
-            c, F.lit(f"(?s)(.{{1,{width - 1}}}[ \\t]|.{{1,{width}}}$|.{{1,{width}}})"), F.lit(1)
+    pieces = F.lit(rf"(.{{1,{width}}}\z|.{{0,{width - 1}}}[ \t]|.{{1,{width}}})")
+
+    def one(line: Column) -> Column:
+        if at_blanks:
+            return F.when(line == "", F.array(line)).otherwise(F.regexp_extract_all(line, pieces, F.lit(1)))
+        n = F.greatest(F.ceil(F.length(line) / width).cast("int"), F.lit(1))
+        return F.transform(
+            F.sequence(F.lit(0), n - 1), lambda i: F.substring(line, i * width + 1, F.lit(width))
         )
-    n = F.greatest(F.ceil(F.length(c) / width).cast("int"), F.lit(1))
-    return F.transform(
-        F.sequence(F.lit(0), n - 1), lambda i: F.substring(c, i * width + 1, F.lit(width))
-    )
+
+    return F.flatten(F.transform(F.split(c, "\n"), one))
 
 
 def checksum(c: Column, method: str) -> Column:

@@ -334,38 +334,27 @@ def select_edges(
         ends = pairs.join(ok.withColumnsRenamed({"level": "level1", "id": "id1"}), ["level1", "id1"], "left_semi")
         ends = ends.join(ok.withColumnsRenamed({"level": "level2", "id": "id2"}), ["level2", "id2"], "left_semi")
         pairs = own.unionByName(ends).distinct()
-    chosen = selected.select(F.col("ilevel"), F.col("iid")).distinct().withColumn("__sel", F.lit(True))
-    prim = closure.where(F.col("level2") == primary_level).select(
-        F.col("level1").alias("level"), F.col("id1").alias("id"), F.col("id2").alias("pid")
-    ).join(
-        chosen.where(F.col("ilevel") == primary_level).select(F.col("iid").alias("pid"), "__sel"), "pid", "left"
-    )
-    sec = closure.where(F.col("level2") == secondary_level).select(
-        F.col("level1").alias("level"), F.col("id1").alias("id"), F.col("id2").alias("sid")
-    )
+    keyed = rekey(closure, selected, primary_level, secondary_level)
+    out = pairs
+    for i in "12":
+        out = out.join(keyed.withColumnsRenamed({c: f"{c}{i}" for c in keyed.columns}), [f"level{i}", f"id{i}"])
+    return out.where("iclass1 = 1 or iclass2 = 1")
 
-    def side(df: DataFrame, i: int) -> DataFrame:
-        p = prim.select(
-            F.col("level").alias(f"level{i}"), F.col("id").alias(f"id{i}"), F.col("pid").alias(f"p{i}"),
-            F.coalesce("__sel", F.lit(False)).alias(f"in{i}"),
-        )
-        return df.join(p, [f"level{i}", f"id{i}"])
-
-    both = side(side(pairs, 1), 2).where("in1 or in2")
-    full = both.where("in1 and in2").select(
-        "level1", "id1", "level2", "id2", F.lit(primary_level).alias("ilevel1"), F.col("p1").alias("iid1"),
-        F.lit(primary_level).alias("ilevel2"), F.col("p2").alias("iid2"), F.lit(1).alias("iclass1"), F.lit(1).alias("iclass2"),
-    )
-    out = full
-    for near, far in ((2, 1), (1, 2)):
-        s = sec.select(F.col("level").alias(f"level{far}"), F.col("id").alias(f"id{far}"), "sid")
-        half = both.where(f"in{near} and not in{far}").join(s, [f"level{far}", f"id{far}"])
-        cols = {
-            f"ilevel{near}": F.lit(primary_level), f"iid{near}": F.col(f"p{near}"), f"iclass{near}": F.lit(1),
-            f"ilevel{far}": F.lit(secondary_level), f"iid{far}": F.col("sid"), f"iclass{far}": F.lit(2),
-        }
-        out = out.unionByName(half.withColumns(cols).select(*full.columns))
-    return out.distinct()
+
+def rekey(closure: DataFrame, selected: DataFrame, primary_level: str, secondary_level: str) -> DataFrame:
+    """What every asset is shown as: (level, id, ilevel, iid, iclass).
+
+    Its primary-level entities that are selected, as class 1; if there are none,
+    its secondary-level entities as class 2. ``closure`` includes the identity. The
+    table grows with the inventory, not with the events it is joined to.
+    """
+    up = closure.select(F.col("level1").alias("level"), F.col("id1").alias("id"), "level2", F.col("id2").alias("iid"))
+    chosen = selected.where(F.col("ilevel") == primary_level).select("iid").distinct()
+    first = up.where(F.col("level2") == primary_level).join(chosen, "iid", "left_semi")
+    rest = up.where(F.col("level2") == secondary_level).join(first.select("level", "id"), ["level", "id"], "left_anti")
+    first, rest = first.withColumn("iclass", F.lit(1)), rest.withColumn("iclass", F.lit(2))
+    both = first.unionByName(rest).withColumnRenamed("level2", "ilevel")
+    return both.select("level", "id", "ilevel", "iid", "iclass")
 
 
 def propagate_filter(
@@ -404,8 +393,9 @@ def service_roles(attrs: DataFrame) -> DataFrame:
 
 
 def service_impact(
-    edges: DataFrame, roles: DataFrame, events: DataFrame, levels: Sequence[tuple[float, int]] = IMPACT_LEVELS
-) -> DataFrame:
+    edges: DataFrame, roles: DataFrame, events: DataFrame, levels: Sequence[tuple[float, int]] = IMPACT_LEVELS,
+    members: DataFrame | None = None,
+) -> DataFrame:
     """Per component and service: producers that lost all or some paths to consumers.
 
     A node with an open event is down. A producer keeps a path to every consumer
@@ -413,8 +403,9 @@ def service_impact(
     and without down nodes, replace any path search. ``remaining`` is the
     percentage of producers that still reach a consumer; the severity is that of
     the first level it does not exceed. Only impaired services are listed.
+    ``members`` is ``connected_components(edges)`` if it is already known.
     """
-    cc = connected_components(edges).select(
+    cc = (members if members is not None else connected_components(edges)).select(
         F.col("ndlevel").alias("level"), F.col("ndid").alias("id"), "cclevel", "ccid"
     )
     down = events.select("level", "id").distinct()

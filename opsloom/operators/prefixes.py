@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.net import V4_BITS, V4_MAX, broadcast_address, network, range_cidrs
 from .ordered import in_order
@@ -25,7 +26,7 @@ V6_MAX = b"\xff" * 16
 V6_END = V6_MAX + b"\x00"
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _next6(addr: pd.Series) -> pd.Series:
     def one(b):
         n = int.from_bytes(b, "big") + 1
@@ -34,7 +35,7 @@ def _next6(addr: pd.Series) -> pd.Series:
     return addr.map(one, na_action="ignore")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _prev6(addr: pd.Series) -> pd.Series:
     def one(b):
         return V6_MAX if len(b) > 16 else (int.from_bytes(b, "big") - 1).to_bytes(16, "big")

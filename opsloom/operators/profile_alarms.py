@@ -1,7 +1,7 @@
 """The deviation-alarm state machine: exact m-of-n matches, changes, repeats.
 
-``step_series`` is the whole rule over one ordered series. Batch calls it per
-series with ``applyInPandas`` and the stream per key and micro-batch with the
+``step_series`` is the whole rule over one ordered series. Batch streams sorted
+partitions through it and the stream calls it per key and micro-batch with the
 state it returned last; a series has at most one sample per frame.
 """
 
@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .stats import SERIES, ProfileRule
 
+CHANGE_COLUMNS = ["level", "id", "key", "timeissued", "kind", "severity", "range", "val"]
 CHANGES = "level string, id string, key string, timeissued bigint, kind string, severity int, range int, val double"
 
 
@@ -53,8 +57,8 @@ def first_match(samples: list, r, after: int | None) -> int | None:
     return None
 
 
-def step_series(state: SeriesState, new: list, rule: ProfileRule, now: int) -> list[tuple]:
-    """Add samples, emit the changes, then a repeat if one is due.
+def step_series(state: SeriesState, new: list, rule: ProfileRule, now: int | None) -> list[tuple]:
+    """Add samples, emit the changes, then a repeat if one is due at ``now``.
 
     Every range finds its matches on its own and starts counting afresh after
     each. Matches are taken in time order, earlier ranges first. A clear is not
@@ -81,7 +85,8 @@ def step_series(state: SeriesState, new: list, rule: ProfileRule, now: int) -> l
                 if i is not None and state.samples[i][0] <= at:
                     state.starts[k] = state.samples[i][0]
                     nxt[k] = first_match(state.samples, rule.ranges[k], state.starts[k])
-    if not out and state.mode == "alarm" and state.repeat > 0 and state.since + state.repeat <= now:
+    due = now is not None and state.repeat > 0 and state.since + state.repeat <= now
+    if due and not out and state.mode == "alarm":
         last = [s for s in state.samples if s[1] == state.sev]
         if last:
             ri = next(k for k, r in enumerate(rule.ranges) if r.kind != "CLEAR" and r.sev == state.sev)
@@ -108,20 +113,32 @@ def alarm_state_changes(matched: DataFrame, rule: ProfileRule, now: int | None =
     )
     src = one.select(*SERIES, "timeissued", F.col("s.sev").alias("sev"), F.col("s.score").alias("score"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("timeissued")
-        key = tuple(pdf[c].iloc[0] for c in SERIES)
-        samples = list(
-            zip(pdf["timeissued"].astype(int).tolist(), pdf["sev"].astype(int).tolist(), pdf["score"].tolist())
-        )
-        until = now if now is not None else samples[-1][0]
-        rows = step_series(SeriesState(), samples, rule, until)
-        return pd.DataFrame(
-            [(*key, *r) for r in rows],
-            columns=["level", "id", "key", "timeissued", "kind", "severity", "range", "val"],
-        )
-
-    return src.groupBy(*SERIES).applyInPandas(run, CHANGES)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cur, state, last = None, SeriesState(), 0
+
+        def finish() -> list[tuple]:
+            if cur is None:
+                return []
+            return [(*cur, *r) for r in step_series(state, [], rule, now if now is not None else last)]
+
+        for pdf in batches:
+            rows: list[tuple] = []
+            samples = zip(pdf["timeissued"].tolist(), pdf["sev"].tolist(), pdf["score"].tolist())
+            keys = zip(*[pdf[c].tolist() for c in SERIES])
+            for key, part in groupby(zip(keys, samples), key=itemgetter(0)):
+                if key != cur:
+                    rows += finish()
+                    cur, state = key, SeriesState()
+                new = [s for _, s in part]
+                rows += [(*key, *r) for r in step_series(state, new, rule, None)]
+                last = new[-1][0]
+                prune(state, rule)
+            yield pd.DataFrame(rows, columns=CHANGE_COLUMNS)
+        yield pd.DataFrame(finish(), columns=CHANGE_COLUMNS)
+
+    # whole series per task, many series per task: no cost per group
+    lined_up = src.repartition(*SERIES).sortWithinPartitions(*SERIES, "timeissued")
+    return lined_up.mapInPandas(run, CHANGES)
 
 
 def alarm_repeat(changes: DataFrame, rule: ProfileRule, until: int) -> DataFrame:

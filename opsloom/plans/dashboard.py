@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import ALARM_MODE, MEAN_LABEL, SDEV_LABEL, SEVERITY
-from ..operators.graph import UNKNOWN
+from ..operators.graph import UNKNOWN, rekey
 from ..operators.rows import in_time_ranges, truth
 from ..operators.stats import Catalogue, group_by_mode, trend_projection
 
@@ -19,16 +19,12 @@ def _whole(c: Column, rx: str) -> Column:
     return c.rlike(f"^(?:{rx})$")
 
 
-def _up(closure: DataFrame, level: str, i: str = "") -> DataFrame:
+def _up(closure: DataFrame, level: str) -> DataFrame:
     return closure.where(F.col("level2") == level).select(
-        F.col("level1").alias(f"level{i}"), F.col("id1").alias(f"id{i}"), F.col("id2").alias(f"up{i}")
+        F.col("level1").alias("level"), F.col("id1").alias("id"), F.col("id2").alias("up")
     )
 
 
-def _picked(selected: DataFrame, i: str = "") -> DataFrame:
-    return selected.select(F.col("ilevel").alias(f"__il{i}"), F.col("iid").alias(f"up{i}")).distinct()
-
-
 def query_stats(
     stats: DataFrame, closure: DataFrame, out_level: str, *, selected: DataFrame | None = None,
     params: Sequence[tuple[str, str]] = (), levels: str | None = None, asset_keys: DataFrame | None = None,
@@ -117,47 +113,22 @@ def query_alarms(
         out = out.where(_whole(F.col("level1"), levels))
     if order:
         out = ticket_echo_dedupe(out, order)
-    one_sided = F.coalesce("id2", F.lit("")) == ""
-    nodes, edges = out.where(one_sided), out.where(~one_sided)
-    if selected is not None:
-        actual = selected.select(F.col("level").alias("level1"), F.col("id").alias("id1")).distinct()
-        nodes = nodes.join(actual, ["level1", "id1"], "left_semi")
-        edges = edges.join(actual, ["level1", "id1"], "left_semi")
-    blank = F.lit(None).cast("string")
-    p1, p2 = _up(closure, out_level, "1"), _up(closure, out_level, "2")
-    n = nodes.join(p1, ["level1", "id1"])
-    e = edges.join(p1, ["level1", "id1"]).join(p2, ["level2", "id2"])
+    both = F.coalesce("id2", F.lit("")) != ""
     if selected is None:
-        n = n.withColumns({"__in1": F.lit(True)})
-        e = e.withColumns({"__in1": F.lit(True), "__in2": F.lit(True)})
+        keyed = closure.where(F.col("level2") == out_level).select(
+            F.col("level1").alias("level"), F.col("id1").alias("id"), F.col("level2").alias("ilevel"),
+            F.col("id2").alias("iid"), F.lit(PRIMARY).alias("iclass"),
+        )
     else:
-        res = selected.where(F.col("ilevel") == out_level).select("iid").distinct()
-        for i in ("1", "2"):
-            mark = res.select(F.col("iid").alias(f"up{i}"), F.lit(True).alias(f"__in{i}"))
-            if i == "1":
-                n = n.join(mark, "up1", "left")
-            e = e.join(mark, f"up{i}", "left")
-        n = n.withColumn("__in1", F.coalesce("__in1", F.lit(False)))
-        e = e.withColumns({f"__in{i}": F.coalesce(f"__in{i}", F.lit(False)) for i in "12"}).where("__in1 or __in2")
-    s1, s2 = (_up(closure, secondary_level, i).withColumnRenamed(f"up{i}", f"sec{i}") for i in "12")
-    n = n.join(s1, ["level1", "id1"], "left")
-    e = e.join(s1, ["level1", "id1"], "left").join(s2, ["level2", "id2"], "left")
-
-    def keyed(df: DataFrame, i: str) -> dict[str, Column]:
-        inside = F.col(f"__in{i}")
-        return {
-            f"ilevel{i}": F.when(inside, F.lit(out_level)).otherwise(F.lit(secondary_level)),
-            f"iid{i}": F.when(inside, F.col(f"up{i}")).otherwise(F.col(f"sec{i}")),
-            f"iclass{i}": F.when(inside, F.lit(PRIMARY)).otherwise(F.lit(SECONDARY)),
-        }
-
-    n = n.withColumns({**keyed(n, "1"), "ilevel2": blank, "iid2": blank, "iclass2": F.lit(0)})
-    e = e.withColumns({**keyed(e, "1"), **keyed(e, "2")})
+        actual = selected.select(F.col("level").alias("level1"), F.col("id").alias("id1")).distinct()
+        out = out.join(actual, ["level1", "id1"], "left_semi")
+        keyed = rekey(closure, selected, out_level, secondary_level)
+    one = keyed.withColumnsRenamed({c: f"{c}1" for c in keyed.columns})
+    two = keyed.withColumnsRenamed({c: f"{c}2" for c in keyed.columns})
+    out = out.join(one, ["level1", "id1"]).join(two, ["level2", "id2"], "left")
+    shown = ~both | (F.col("iid2").isNotNull() & ((F.col("iclass1") == PRIMARY) | (F.col("iclass2") == PRIMARY)))
     keys = ["ilevel1", "iid1", "iclass1", "ilevel2", "iid2", "iclass2"]
-    cols = [*alarms.columns, *keys]
-    return n.select(*cols).where("iid1 is not null").unionByName(
-        e.select(*cols).where("iid1 is not null and iid2 is not null")
-    ).distinct()
+    return out.where(shown).withColumn("iclass2", F.coalesce("iclass2", F.lit(0))).select(*alarms.columns, *keys)
 
 
 def query_alarms_by_asset(assets: DataFrame, alarms: DataFrame, closure: DataFrame, out_level: str, **query) -> DataFrame:

@@ -97,11 +97,11 @@ def essential_stats(spark, sf):
         F.explode(F.expr("case bigint(id) % 4 when 0 then map('essentialstat0', 'cpu', 'essentialstat2', 'gone') when 1 then "
                          "map('essentialstat0', 'cpu', 'essentialstat1', 'mem') when 2 then map('essentialstat1', 'gone') else map('none', '') end")).alias("key", "val"),
     )
-    tags = nodes.where("key like 'scope%'").select("level", "id", "key", "val")
-    defaults = tags.where("key = 'scope_servicelevel'").selectExpr("val as servicelevel").distinct().crossJoin(
-        F.broadcast(tags.where("key = 'scope_systype'").selectExpr("val as systype").distinct())
-    )
-    defaults = defaults.selectExpr("servicelevel", "systype", "'key' || substr(servicelevel, 3) || substr(systype, 3) as key", "true as regex")
+    sl = nodes.where("key = 'scope_servicelevel'").selectExpr("level", "id", "val as servicelevel")
+    st = nodes.where("key = 'scope_systype'").selectExpr("level", "id", "val as systype")
+    defaults = sl.join(st, ["level", "id"]).selectExpr(
+        "servicelevel", "systype", "'key' || substr(servicelevel, 3) || substr(systype, 3) as key", "true as regex"
+    ).distinct()
     return A.essential_stats(assets, nodes.unionByName(extra), defaults)
 
 

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import codes, net, text
+from ..model import struct
 from ..operators import aggs, joins, ordered, rows
 from ..session import scratch_path
 from ..sources import readers, writers
 from . import views as V
 from .core import query, table
 
-ORDERS = T.StructType.fromDDL("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double")
+ORDERS = struct("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double")
 ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"
 
 

@@ -39,7 +39,7 @@ def fn_htmldec(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(text.html_dec(text.html_enc(F.col("html")))).alias("dec"))
 
 
-@query("fn_simple", "SELECT doc_id, md5(replace(replace(replace(text, 'e', '\\e'), ';', '\;'), chr(9), '\\t')) AS enc, md5(text) AS dec FROM documents")
+@query("fn_simple", "SELECT doc_id, md5(replace(replace(replace(text, 'e', '\\e'), ';', '\\;'), chr(9), '\\t')) AS enc, md5(text) AS dec FROM documents")
 def fn_simple(spark, sf):
     enc = text.simple_enc(F.col("text"), ";e")
     return table(spark, sf, "documents").select("doc_id", F.md5(enc).alias("enc"), F.md5(text.simple_dec(enc, ";e")).alias("dec"))
@@ -167,14 +167,15 @@ def fn_tr_squeeze(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.tr(F.col("text"), "el", squeeze=True)).alias("h"))
 
 
-@query("fn_fold", """SELECT conv_id, turn, CAST(i AS INTEGER) AS i, substring(text, i * 40 + 1, 40) AS line FROM (SELECT *, unnest(range(greatest(CAST(ceil(length(text) / 40.0) AS BIGINT), 1))) AS i FROM conversations)""")
+@query("fn_fold", """WITH f AS (SELECT conv_id, turn, flatten(list_transform(string_split(text, chr(10)), lambda l: list_transform(range(greatest(CAST(ceil(length(l) / 40.0) AS BIGINT), 1)),
+  lambda i: substring(l, i * 40 + 1, 40)))) AS ls FROM conversations) SELECT conv_id, turn, CAST(unnest(range(len(ls))) AS INTEGER) AS i, unnest(ls) AS line FROM f""")
 def fn_fold(spark, sf):
     c = table(spark, sf, "conversations")
     return c.select("conv_id", "turn", F.posexplode(text.fold(F.col("text"), 40)).alias("i", "line"))
 
 
-@query("fn_fold_blanks", r"""SELECT conv_id, turn, len(regexp_extract_all(text, '(?s)(.{1,39}[ \t]|.{1,40}$|.{1,40})')) AS n,
-  md5(array_to_string(regexp_extract_all(text, '(?s)(.{1,39}[ \t]|.{1,40}$|.{1,40})'), '/')) AS h FROM conversations""")
+@query("fn_fold_blanks", r"""WITH f AS (SELECT conv_id, turn, flatten(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN l = '' THEN [''] ELSE
+  regexp_extract_all(l, '(.{1,40}\z|.{0,39}[ \t]|.{1,40})') END)) AS ls FROM conversations) SELECT conv_id, turn, len(ls) AS n, md5(array_to_string(ls, '/')) AS h FROM f""")
 def fn_fold_blanks(spark, sf):
     f = text.fold(F.col("text"), 40, at_blanks=True)
     return table(spark, sf, "conversations").select("conv_id", "turn", F.size(f).cast("bigint").alias("n"), F.md5(F.array_join(f, "/")).alias("h"))

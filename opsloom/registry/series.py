@@ -145,7 +145,7 @@ def sigma_score(spark, sf):
     return out.select("seq", "frame", F.round("sigma", 6).alias("sigma"), F.round("actual", 9).alias("actual"))
 
 
-SPEC = "VR:i:5:n:;SIGMA:i:1.5:n::1:1:2:1:600;ACTUAL:e:30:i:90:2:2:3:2:900;SIGMA:i:0.8:e:1.5:3:2:3:1:0;CLEAR:5:2:3"
+SPEC = "VR:i:5:n:;SIGMA:i:1.5:n::1:1:2:1:21600;ACTUAL:e:30.1234567:i:90.7654321:2:2:3:2:86400;SIGMA:i:0.8:e:1.5:3:2:3:1:0;CLEAR:5:2:3"
 RULE = stats.parse_rule(SPEC)
 
 # one sample per (series, frame start), scored against the profile of its quarter day
@@ -153,9 +153,9 @@ SAMPLED = V.POINTS.replace("stat AS (", "stat AS (", 1) + """,
 prof_src AS (SELECT level, id, key, frame // 72 AS q, avg(val) AS mean, stddev_samp(val) AS sdev FROM points GROUP BY ALL HAVING count(*) > 1 AND stddev_samp(val) > 0.01),
 sc AS (SELECT p.level, p.id, p.key, p.timeissued, p.val, abs((p.val - mean) / sdev) AS sigma, abs(p.val - mean) AS actual
   FROM points p JOIN prof_src s ON p.level = s.level AND p.id = s.id AND p.key = s.key AND p.frame // 72 = s.q),
-matched AS (SELECT *, CASE WHEN val < 5 THEN -1 WHEN sigma >= 1.5 THEN 1 WHEN actual > 30 AND actual <= 90 THEN 2
+matched AS (SELECT *, CASE WHEN val < 5 THEN -1 WHEN sigma >= 1.5 THEN 1 WHEN actual > 30.1234567 AND actual <= 90.7654321 THEN 2
   WHEN sigma >= 0.8 AND sigma < 1.5 THEN 3 ELSE -1 END AS sev, CASE WHEN val < 5 THEN -1 WHEN sigma >= 1.5 THEN 0
-  WHEN actual > 30 AND actual <= 90 THEN 1 WHEN sigma >= 0.8 AND sigma < 1.5 THEN 2 ELSE -1 END AS range FROM sc)"""
+  WHEN actual > 30.1234567 AND actual <= 90.7654321 THEN 1 WHEN sigma >= 0.8 AND sigma < 1.5 THEN 2 ELSE -1 END AS range FROM sc)"""
 
 
 def _matched(spark, sf):
@@ -190,30 +190,38 @@ def alarm_state_changes(spark, sf):
 
 # With m = n = 1 every match stands alone, so SQL can state the changes: a clear
 # after anything but a clear, an alarm below the lowest number since the last clear.
-SIMPLE = stats.parse_rule("SIGMA:i:1.5:n::1:1:1:1:0;SIGMA:i:0.8:e:1.5:3:1:1:1:0;CLEAR:5:1:1")
+SIMPLE = stats.parse_rule("SIGMA:i:1.5:n::1:1:1:1:21600;SIGMA:i:0.8:e:1.5:3:1:1:2:86400;CLEAR:5:1:1")
+CHANGES = SAMPLED + """,
+  s AS (SELECT level, id, key, timeissued, sigma, CASE WHEN sigma >= 1.5 THEN 1 WHEN sigma >= 0.8 THEN 3 ELSE -1 END AS sev FROM sc),
+  c AS (SELECT *, sum(CASE WHEN sev = -1 THEN 1 ELSE 0 END) OVER w AS seg, lag(sev) OVER w AS prev FROM s WINDOW w AS (PARTITION BY level, id, key ORDER BY timeissued)),
+  d AS (SELECT *, min(sev) FILTER (sev <> -1) OVER (PARTITION BY level, id, key, seg ORDER BY timeissued ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM c),
+  changes AS (SELECT level, id, key, timeissued, sigma, CASE WHEN sev = -1 THEN 'clear' ELSE 'alarm' END AS kind, CASE WHEN sev = -1 THEN 5 ELSE sev END AS severity FROM d
+  WHERE (sev = -1 AND (prev IS NULL OR prev <> -1)) OR (sev <> -1 AND (best IS NULL OR sev < best)))"""
 
 
-@query("alarm_state_changes_simple", f"""WITH {SAMPLED},
-  s AS (SELECT level, id, key, timeissued, CASE WHEN sigma >= 1.5 THEN 1 WHEN sigma >= 0.8 THEN 3 ELSE -1 END AS sev FROM sc),
-  c AS (SELECT *, sum(CASE WHEN sev = -1 THEN 1 ELSE 0 END) OVER w AS seg, lag(sev) OVER w AS prev FROM s WINDOW w AS (PARTITION BY level, id, key ORDER BY timeissued)),
-  d AS (SELECT *, min(sev) FILTER (sev <> -1) OVER (PARTITION BY level, id, key, seg ORDER BY timeissued ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM c)
-  SELECT level, id, key, timeissued, CASE WHEN sev = -1 THEN 'clear' ELSE 'alarm' END AS kind, CASE WHEN sev = -1 THEN 5 ELSE sev END AS severity FROM d
-  WHERE (sev = -1 AND (prev IS NULL OR prev <> -1)) OR (sev <> -1 AND (best IS NULL OR sev < best))""")
-def alarm_state_changes_simple(spark, sf):
+def _changes(spark, sf):
     m = _matched(spark, sf).drop("sev", "range", "score")
-    out = profile_alarms.alarm_state_changes(stats.range_rule_match(m, SIMPLE), SIMPLE)
-    return out.select("level", "id", "key", "timeissued", "kind", "severity")
+    return profile_alarms.alarm_state_changes(stats.range_rule_match(m, SIMPLE), SIMPLE)
+
+
+@query("alarm_state_changes_simple", f"WITH {CHANGES} SELECT level, id, key, timeissued, kind, severity FROM changes")
+def alarm_state_changes_simple(spark, sf):
+    return _changes(spark, sf).where("kind <> 'repeat'").select("level", "id", "key", "timeissued", "kind", "severity")
 
 
-@query("alarm_repeat")
+@query("alarm_repeat", f"""WITH {CHANGES}, g AS (SELECT *, lead(timeissued) OVER (PARTITION BY level, id, key ORDER BY timeissued) AS nx, CASE severity WHEN 1 THEN 21600 ELSE 43200 END AS gap FROM changes),
+  n AS (SELECT *, (coalesce(nx - 1, 1706745600) - timeissued) // gap AS n FROM g WHERE kind = 'alarm')
+  SELECT level, id, key, severity, timeissued + gap * k AS timeissued FROM (SELECT *, unnest(range(1, CAST(n + 1 AS BIGINT))) AS k FROM n WHERE n > 0)""")
 def alarm_repeat(spark, sf):
-    changes = profile_alarms.alarm_state_changes(_matched(spark, sf), RULE)
-    return profile_alarms.alarm_repeat(changes, RULE, 1706745600)
+    out = profile_alarms.alarm_repeat(_changes(spark, sf), SIMPLE, 1706745600)
+    return out.select("level", "id", "key", "severity", "timeissued")
 
 
-@query("profile_alarm_events")
+@query("profile_alarm_events", f"""WITH {CHANGES} SELECT key AS alarmid, level AS level1, id AS id1, timeissued, CASE kind WHEN 'clear' THEN 2 ELSE 1 END AS type, CASE kind WHEN 'clear' THEN 4 ELSE 3 END AS state, severity,
+  CASE kind WHEN 'clear' THEN 'Profile Alarm Cleared (' || key || ')' ELSE 'Profile Alarm (' || key || '=' || printf('%.2f', sigma) || ' sigma ' ||
+  CASE severity WHEN 1 THEN '>= 1.50' ELSE 'in range [0.80,1.50)' END || ') for 1/1 cycles' END AS text FROM changes""")
 def profile_alarm_events(spark, sf):
-    return profile_alarms.change_alarms(profile_alarms.alarm_state_changes(_matched(spark, sf), RULE), RULE)
+    return profile_alarms.change_alarms(_changes(spark, sf).where("kind <> 'repeat'"), SIMPLE)
 
 
 @query("group_by_mode", f"""WITH {V.FRAMED}, x AS (SELECT *, {V.GROUP_SQL} AS mode, CAST(CAST(id AS BIGINT) % 10 AS VARCHAR) AS iid FROM framed)

@@ -13,7 +13,7 @@ from . import views as V
 from .alarms import _GAP, sessions_sql
 from .core import query, table
 from .inventory import _order_edges
-from .series import SAMPLED, SIMPLE
+from .series import CHANGES, SIMPLE
 
 HALF = 1705400000
 
@@ -82,12 +82,7 @@ def st_late_split(spark, sf):
     return spark.read.parquet(out).groupBy("side").agg(F.count("*").alias("n"))
 
 
-@query("st_profile_alarm", f"""WITH {SAMPLED},
-  s AS (SELECT level, id, key, timeissued, CASE WHEN sigma >= 1.5 THEN 1 WHEN sigma >= 0.8 THEN 3 ELSE -1 END AS sev FROM sc),
-  c AS (SELECT *, sum(CASE WHEN sev = -1 THEN 1 ELSE 0 END) OVER w AS seg, lag(sev) OVER w AS prev FROM s WINDOW w AS (PARTITION BY level, id, key ORDER BY timeissued)),
-  d AS (SELECT *, min(sev) FILTER (sev <> -1) OVER (PARTITION BY level, id, key, seg ORDER BY timeissued ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM c)
-  SELECT level, id, key, timeissued, CASE WHEN sev = -1 THEN 'clear' ELSE 'alarm' END AS kind FROM d
-  WHERE (sev = -1 AND (prev IS NULL OR prev <> -1)) OR (sev <> -1 AND (best IS NULL OR sev < best))""")
+@query("st_profile_alarm", f"WITH {CHANGES} SELECT level, id, key, timeissued, kind FROM changes")
 def st_profile_alarm(spark, sf):
     points = stats.sample_points(V.framed(spark, sf), V.CATALOGUE).withColumn("frame", F.expr("int(frame div 72)"))
     prof = points.groupBy(*stats.SERIES, "frame").agg(F.avg("val").alias("mean"), F.stddev_samp("val").alias("sdev"))
@@ -101,7 +96,7 @@ def st_profile_alarm(spark, sf):
         jobs.catch_up(jobs.profile_alarms(stats.range_rule_match(scored, SIMPLE), SIMPLE), out, cp)
 
     _in_two(points, "timeissued", run)
-    return spark.read.parquet(out).select("level", "id", "key", "timeissued", "kind")
+    return spark.read.parquet(out).where("kind <> 'repeat'").select("level", "id", "key", "timeissued", "kind")
 
 
 GEN = CorrelationRule("GEN", "type = 1", ("id1",), window=_GAP, immediate=2, first_delay=30000, refresh=36000)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import ALARM
 from ..operators.stats import CatalogueEntry, frame_assign
+from ..session import stored
 from .core import table
 
 INTERVAL = 300
@@ -136,7 +137,8 @@ def inv_node(spark: SparkSession, sf: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    # read by several steps of a query, as the loaded inventory would be
+    return stored(out, "inventory")
 
 
 NODES = """inv_node AS (
@@ -192,7 +194,7 @@ def closure(spark: SparkSession, sf: str, identity: bool = True) -> DataFrame:
 
     m = inv_map(spark, sf)
     levels = level_closure(m.select(F.col("level1").alias("id1"), F.col("level2").alias("id2")))
-    return map_closure(inv_node(spark, sf), m, levels, identity=identity)
+    return stored(map_closure(inv_node(spark, sf), m, levels, identity=identity), "closure")
 
 
 # --- flows and prefixes ----------------------------------------------------------------

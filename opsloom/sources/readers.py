@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.net import aspath_parse, ip_parse, prefix_parse
 from ..functions.text import html_dec, simple_dec, url_dec
-from ..model import ALARM, STAT
+from ..model import ALARM, STAT, struct
 
 LINE = "value"
 
@@ -185,7 +185,7 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType)
     return spark.read.schema(schema).option("rowTag", row_tag).xml(path)
 
 
-FLOW_TEXT = T.StructType.fromDDL(
+FLOW_TEXT = struct(
     "src_addr string, dst_addr string, hop string, input int, output int, packets bigint, bytes bigint, "
     "first bigint, last bigint, src_port int, dst_port int, flags int, tcp_flags int, protocol int, tos int, "
     "src_as bigint, dst_as bigint, src_mask int, dst_mask int, flow_sequence bigint"

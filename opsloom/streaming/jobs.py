@@ -13,7 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.graph import impact_changes, service_impact
-from ..operators.profile_alarms import CHANGES, SeriesState, prune, step_series
+from ..operators.profile_alarms import CHANGE_COLUMNS, CHANGES, SeriesState, prune, step_series
 from ..operators.stats import SERIES, Catalogue, ProfileRule, mode_of
 from ..session import cut_lineage
 from .correlate import GROUP_EVENTS, CorrelationRule, GroupMemory, step_group
@@ -115,8 +115,7 @@ def profile_alarms(matched: DataFrame, rule: ProfileRule) -> DataFrame:
         prune(memory, rule)
         state.update((json.dumps(memory.to_dict()),))
         yield pd.DataFrame(
-            [(*key, *r) for r in rows],
-            columns=["level", "id", "key", "timeissued", "kind", "severity", "range", "val"],
+            [(*key, *r) for r in rows], columns=CHANGE_COLUMNS
         )
 
     return matched.groupBy(*SERIES).applyInPandasWithState(
@@ -204,6 +203,7 @@ def impact_batches(
         before = read_open().select("level", "id").join(near, ["level", "id"], "left_semi").distinct()
         raised = before.unionByName(batch.where("type = 1").select("level", "id")).distinct()
         after = raised.join(batch.where("type = 2").select("level", "id").distinct(), ["level", "id"], "left_anti")
-        emit(impact_changes(service_impact(local, mine, before), service_impact(local, mine, after)), epoch)
+        old, new = (service_impact(local, mine, e, members=members) for e in (before, after))
+        emit(impact_changes(old, new), epoch)
 
     return run

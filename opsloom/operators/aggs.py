@@ -172,11 +172,14 @@ def uniq(
         key = F.substring(key, 1, width)
     if ignore_case:
         key = F.lower(key)
+    whole = not (skip_fields or skip_chars or width is not None or ignore_case)
     order = F.struct(*[as_col(o) for o in (first_by or [line])])
     keyed = df.withColumn("__k", key)
-    per = keyed.groupBy("__k").agg(
-        F.min_by(line, order).alias(line), F.count(F.lit(1)).alias("count")
-    )
+    if whole:
+        # the line is its own key: a plain hash count
+        per = keyed.groupBy("__k").agg(F.count(F.lit(1)).alias("count")).withColumn(line, F.col("__k"))
+    else:
+        per = keyed.groupBy("__k").agg(F.min_by(line, order).alias(line), F.count(F.lit(1)).alias("count"))
     if mode == "count":
         return per.select("count", line)
     if mode == "repeated":

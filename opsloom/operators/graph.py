@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import stored
 from .aggs import distinct_first
 from .ordered import number_rows
 
@@ -157,55 +157,62 @@ def map_check(nodes: DataFrame, maps: DataFrame, required: Sequence[tuple[str, s
 
 
 def _components(edges: DataFrame, max_rounds: int) -> DataFrame:
-    """(u, v) edges over comparable keys to (node, root); large-star/small-star.
+    """(u, v) edges over numbers to (node, root); large-star/small-star.
 
     Every round hooks neighbours to the smallest label seen, so the number of
     rounds grows with the logarithm of the size, not with the diameter. Minima are
-    partial aggregates; the join back meets one row per key, which AQE can split
-    when a hub holds a large share of the edges.
+    partial hash aggregates; the join back meets one row per key, which AQE can
+    split when a hub holds a large share of the edges.
     """
-    cur = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    cur = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
+        if _is_star_forest(cur):
+            break
         und = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = und.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = und.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(
-                F.explode(
-                    F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
-                ).alias("e")
-            )
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        cur = cut_lineage(small)
-        mark = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
+        pairs = F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))
+        small = large.join(low, "u").select(F.explode(pairs).alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v"))
+        cur = stored(small.where("u <> v").distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Every node hangs on one root, and no root hangs on anything. One aggregate."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
+    per = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    bad = (F.col("hangs") > 1) | ((F.col("hangs") > 0) & (F.col("holds") > 0))
+    return not per.agg(F.max(bad)).first()[0]
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Component of every node that has an edge to another: its smallest (level, id), and the size."""
-    e = edges.select(F.concat_ws(SEP, "level1", "id1").alias("u"), F.concat_ws(SEP, "level2", "id2").alias("v"))
-    cc = _components(e, max_rounds)
-    n = cc.groupBy("root").agg(F.count(F.lit(1)).alias("ndn"))
-    out = cc.join(n, "root")
-    return out.select(
-        F.substring_index("node", SEP, 1).alias("ndlevel"),
-        F.expr(f"substring(node, instr(node, '{SEP}') + 1)").alias("ndid"),
-        F.substring_index("root", SEP, 1).alias("cclevel"),
-        F.expr(f"substring(root, instr(root, '{SEP}') + 1)").alias("ccid"),
-        "ndn",
+    """Component of every node that has an edge to another: its smallest (level, id), and the size.
+
+    Nodes are numbered once in (level, id) order. The rounds then move and compare
+    numbers only, and the smallest number is the representative.
+    """
+    e = edges.where("level1 <> level2 or id1 <> id2").select("level1", "id1", "level2", "id2").distinct()
+    ends = e.select(F.col("level1").alias("level"), F.col("id1").alias("id")).unionByName(
+        e.select(F.col("level2").alias("level"), F.col("id2").alias("id"))
     )
+    nodes = stored(number_rows(ends.distinct(), ["level", "id"], "n"))
+
+    def end(i: int, name: str) -> DataFrame:
+        return nodes.select(F.col("level").alias(f"level{i}"), F.col("id").alias(f"id{i}"), F.col("n").alias(name))
+
+    numbered = e.join(end(1, "u"), ["level1", "id1"]).join(end(2, "v"), ["level2", "id2"]).select("u", "v")
+    cc = _components(numbered, max_rounds)
+    size = cc.groupBy("root").agg(F.count(F.lit(1)).alias("ndn"))
+    node = nodes.select(F.col("level").alias("ndlevel"), F.col("id").alias("ndid"), F.col("n").alias("node"))
+    root = nodes.select(F.col("level").alias("cclevel"), F.col("id").alias("ccid"), F.col("n").alias("root"))
+    named = size.join(root, "root")
+    return cc.join(named, "root").join(node, "node").select("ndlevel", "ndid", "cclevel", "ccid", "ndn")
 
 
 def topological_layers(pairs: DataFrame, max_layers: int = 10_000) -> tuple[DataFrame, DataFrame]:
@@ -216,16 +223,16 @@ def topological_layers(pairs: DataFrame, max_layers: int = 10_000) -> tuple[Data
     """
     p = pairs.select("before", "after")
     nodes = p.select(F.col("before").alias("node")).unionByName(p.select(F.col("after").alias("node"))).distinct()
-    left = cut_lineage(p.where("before <> after").distinct())
-    todo = cut_lineage(nodes)
+    left = stored(p.where("before <> after").distinct())
+    todo = stored(nodes)
     done: list[DataFrame] = []
     for layer in range(max_layers):
-        free = cut_lineage(todo.join(left.select(F.col("after").alias("node")), "node", "left_anti"))
+        free = stored(todo.join(left.select(F.col("after").alias("node")), "node", "left_anti"))
         if free.isEmpty():
             break
         done.append(free.withColumn("layer", F.lit(layer)))
-        todo = cut_lineage(todo.join(free, "node", "left_anti"))
-        left = cut_lineage(left.join(free.select(F.col("node").alias("before")), "before", "left_anti"))
+        todo = stored(todo.join(free, "node", "left_anti"))
+        left = stored(left.join(free.select(F.col("node").alias("before")), "before", "left_anti"))
     out = done[0] if done else nodes.limit(0).withColumn("layer", F.lit(0))
     for d in done[1:]:
         out = out.unionByName(d)

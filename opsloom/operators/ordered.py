@@ -19,7 +19,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import stored
 
 CHUNK = "__chunk"
 POS = "__pos"
@@ -133,12 +133,12 @@ def lag_of(value: Column) -> tuple[Column, str, bool]:
 def in_order(df: DataFrame, order: Sequence[str | Column], series: Sequence[str] = ()) -> Ordered:
     """Sort once and cut into chunks.
 
-    The sorted rows are checkpointed: the chunk numbers must be the same for
-    everything that later reads them, also after an executor is lost.
+    The sorted rows are written with their chunk and position: these must be the
+    same for everything that later reads them, also after an executor is lost.
     """
     keys = [F.col(s) for s in series] + [_col(o) for o in order]
     mid = F.monotonically_increasing_id()
-    sorted_rows = cut_lineage(df.sort(*keys).withColumn(POS, mid))
+    sorted_rows = stored(df.sort(*keys).withColumn(POS, mid), "ordered")
     out = sorted_rows.withColumn(CHUNK, F.shiftright(F.col(POS), 33).cast("int"))
     return Ordered(out, tuple(series))
 

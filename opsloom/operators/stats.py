@@ -123,12 +123,17 @@ def label_assign(df: DataFrame, catalogue: Catalogue) -> DataFrame:
 
 
 def latest_distinct_metrics(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """One row per (level, id, key, unit) with its latest label; ``known`` is merged in."""
+    """One row per (level, id, key, unit) with its latest label; ``known`` is merged in.
+
+    Labels are reduced to their latest time first, so the points themselves go
+    through a hash aggregate; only distinct labels are compared as text.
+    """
     cols = ["level", "id", "key", "unit", "label", "timeissued"]
     rows = df.select(*cols)
     if known is not None:
         rows = rows.unionByName(known.select(*cols))
-    return rows.groupBy("level", "id", "key", "unit").agg(
+    seen = rows.groupBy("level", "id", "key", "unit", "label").agg(F.max("timeissued").alias("timeissued"))
+    return seen.groupBy("level", "id", "key", "unit").agg(
         F.max_by("label", F.struct("timeissued", "label")).alias("label"), F.max("timeissued").alias("timeissued")
     )
 
@@ -172,52 +177,62 @@ def late_reroute(
 # --- roll-ups ---------------------------------------------------------------------
 
 
-def _by_mode(mode: Column, val: Column, order: Column, label: Column) -> tuple[Column, Column]:
-    """Value and label of a group by aggregation mode.
-
-    The label of avg and sum is that of the first point, of min and max that of
-    the extreme point (the first of equal ones).
-    """
-    value = (
-        F.when(mode == "sum", F.sum(val))
-        .when(mode == "min", F.min(val))
-        .when(mode == "max", F.max(val))
-        .otherwise(F.avg(val))
-    )
-    lab = (
-        F.when(mode == "min", F.min_by(label, F.struct(val, order)))
-        .when(mode == "max", F.min_by(label, F.struct(-val, order)))
-        .otherwise(F.min_by(label, order))
+def _by_mode(mode: Column, total: Column, low: Column, high: Column, n: Column) -> Column:
+    """The value of a group by its mode. The mode is a function of the group's key,
+    so it is taken after aggregation and the buffers stay plain numbers."""
+    return (
+        F.when(mode == "sum", total)
+        .when(mode == "min", low)
+        .when(mode == "max", high)
+        .otherwise(F.try_divide(total, n))
     )
-    return value, lab
 
 
-def rollup(df: DataFrame, catalogue: Catalogue, to: str = "hour", tiebreak: Sequence[str] = ()) -> DataFrame:
+def _mode_value(mode: Column) -> Column:
+    return _by_mode(mode, F.sum("val"), F.min("val"), F.max("val"), F.count("val"))
+
+
+def rollup(df: DataFrame, catalogue: Catalogue, to: str = "hour") -> DataFrame:
     """Roll points up to the hour of the month or the day of the year.
 
     Frame is 24*(day-1)+hour, or the day of the year from 1. The period (month or
     year) is kept in ``period`` so that several can be rolled up in one pass.
+
+    The label of avg and sum is that of the earliest point, of min and max that of
+    the extreme point; ties go to the smallest label. Labels and units take part
+    as keys of a first hash aggregate, so that only what is left of a frame, as a
+    rule one row, is compared as text.
     """
     ts = F.timestamp_seconds("timeissued")
     if to == "hour":
         frame = 24 * (F.dayofmonth(ts) - 1) + F.hour(ts)
-        period = F.date_format(ts, "yyyy.MM")
+        period = F.date_format(F.date_trunc("month", ts), "yyyy.MM")
     elif to == "day":
         frame = F.dayofyear(ts)
-        period = F.date_format(ts, "yyyy")
+        period = F.date_format(F.date_trunc("year", ts), "yyyy")
     else:
         raise ValueError(to)
-    src = df.withColumns({"__f": frame.cast("int"), "period": period})
-    order = F.struct("timeissued", "frame", *tiebreak)
+    keys = ["period", *SERIES, "__f"]
+    part = (
+        df.withColumns({"__f": frame.cast("int"), "period": period})
+        .groupBy(*keys, "label", "unit")
+        .agg(
+            F.min("timeissued").alias("t"), F.sum("val").alias("s"), F.min("val").alias("lo"),
+            F.max("val").alias("hi"), F.count("val").alias("n"),
+        )
+    )
     mode = mode_of(F.col("key"), catalogue)
-    value, label = _by_mode(F.first(mode), F.col("val"), order, F.col("label"))
+    value = _by_mode(mode, F.sum("s"), F.min("lo"), F.max("hi"), F.sum("n"))
+    rank = (
+        F.when(mode == "min", F.col("lo")).when(mode == "max", -F.col("hi")).otherwise(F.col("t").cast("double"))
+    )
     return (
-        src.groupBy("period", *SERIES, "__f")
+        part.groupBy(*keys)
         .agg(
-            F.min("timeissued").alias("timeissued"),
-            F.min_by("unit", order).alias("unit"),
+            F.min("t").alias("timeissued"),
+            F.min_by("unit", F.struct("t", "unit")).alias("unit"),
             value.alias("val"),
-            label.alias("label"),
+            F.min_by("label", F.struct(rank, "label")).alias("label"),
         )
         .withColumnRenamed("__f", "frame")
     )
@@ -225,8 +240,7 @@ def rollup(df: DataFrame, catalogue: Catalogue, to: str = "hour", tiebreak: Sequ
 
 def sample_points(df: DataFrame, catalogue: Catalogue = (), extra: Sequence[str] = ()) -> DataFrame:
     """One point per (series, frame start): the bound the ordered operators rely on."""
-    mode = mode_of(F.col("key"), catalogue)
-    value, _ = _by_mode(F.first(mode), F.col("val"), F.struct("timeissued"), F.col("key"))
+    value = _mode_value(mode_of(F.col("key"), catalogue))
     return df.groupBy(*SERIES, "timeissued", "frame", *extra).agg(value.alias("val"))
 
 
@@ -246,7 +260,7 @@ def group_by_mode(
     )
     lv, i = ("ilevel", "iid") if grouped else ("level", "id")
     mode = mode_of(F.col("key"), catalogue, "group" if grouped else "aggr")
-    value, _ = _by_mode(F.first(mode), F.col("val"), F.struct("timeissued"), F.col("label"))
+    value = _mode_value(mode)
     return df.groupBy(
         group.alias("series"), F.col(lv).alias("level"), F.col(i).alias("id"), "key", "frame", *keep
     ).agg(F.min("timeissued").alias("timeissued"), value.alias("val"))
@@ -265,13 +279,13 @@ def trend_projection(df: DataFrame, target_frame: int, target_time: int) -> Data
         F.regr_intercept("val", "frame").alias("a"),
         (F.coalesce((n - 1) * sx * sy, F.lit(0.0))).alias("__r2"),
         F.coalesce(sx, F.lit(0.0)).alias("__sx"),
-        F.min(F.struct("frame", "timeissued")).alias("lo"),
-        F.max(F.struct("frame", "timeissued")).alias("hi"),
-    )
+        F.min("frame").alias("f0"), F.min_by("timeissued", "frame").alias("t0"),
+        F.max("frame").alias("f1"), F.max_by("timeissued", "frame").alias("t1"),
+    )
     fit = fit.where((F.col("__r2") > 1e-6) & (F.col("__sx") > 1e-6))
     at = F.array(
-        F.struct(F.lit(0).alias("pos"), F.col("lo.frame").alias("frame"), F.col("lo.timeissued").alias("timeissued")),
-        F.struct(F.lit(1).alias("pos"), F.col("hi.frame").alias("frame"), F.col("hi.timeissued").alias("timeissued")),
+        F.struct(F.lit(0).alias("pos"), F.col("f0").alias("frame"), F.col("t0").alias("timeissued")),
+        F.struct(F.lit(1).alias("pos"), F.col("f1").alias("frame"), F.col("t1").alias("timeissued")),
         F.struct(
             F.lit(2).alias("pos"), F.lit(target_frame).alias("frame"), F.lit(target_time).cast("bigint").alias("timeissued")
         ),

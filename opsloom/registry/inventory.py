@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import stats
 from ..plans import dashboard as D
+from ..session import stored
 from . import views as V
 from .core import query, table
 
@@ -71,7 +72,7 @@ def level_closure(spark, sf):
 
 @query("map_closure", f"WITH {V.NODES}, {V.CLOSURE} SELECT level1, id1, level2, id2 FROM above")
 def map_closure(spark, sf):
-    return V.closure(spark, sf, identity=False)
+    return V.build_closure(spark, sf, identity=False)
 
 
 @query("map_check", f"""WITH {V.NODES}, {V.MAPS}, a AS (SELECT DISTINCT level, id FROM inv_node), m AS (SELECT * FROM inv_map WHERE NOT (level1 = 'c' AND CAST(id1 AS BIGINT) % 5 = 0)
@@ -94,7 +95,9 @@ sel AS (SELECT * FROM ok1 INTERSECT SELECT * FROM ok2)"""
 
 
 def _selected(spark, sf, out="n", attr=()):
-    return G.select_nodes(V.inv_node(spark, sf), V.closure(spark, sf), V.inv_node(spark, sf), COND, out, attr)
+    n = V.inv_node(spark, sf)
+    # the inventory step of a query: its result is read by the steps after it
+    return stored(G.select_nodes(n, V.closure(spark, sf), n, COND, out, attr), "selected")
 
 
 @query("inv_select_nodes", f"""WITH {SELECTED}, seg AS (SELECT level AS level1, id AS id1 FROM inv_node WHERE key = 'segment' AND val IN ('BUILDING', 'MACHINERY'))

@@ -671,6 +671,6 @@ def profile_expand(spark, sf):
 
 @query("row_numbers", "SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS rn FROM lineitem")
 def row_numbers(spark, sf):
-    li = table(spark, sf, "lineitem")
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+    li = table(spark, sf, "lineitem").select(*order)
     return ordered.number_rows(li, order).select("l_orderkey", "l_linenumber", "l_partkey", "rn")

@@ -73,7 +73,7 @@ def _rollup_sql(frame: str, period: str) -> str:
 
 
 def _rollup(spark, sf, to):
-    out = stats.rollup(V.framed(spark, sf), V.CATALOGUE, to, ["seq"])
+    out = stats.rollup(V.framed(spark, sf), V.CATALOGUE, to)
     return out.select("period", "level", "id", "key", "frame", "timeissued", F.round("val", 6).alias("val"))
 
 
@@ -88,11 +88,11 @@ def stat_rollup_day(spark, sf):
 
 
 @query("stat_rollup_label", f"""WITH {V.FRAMED}, x AS (SELECT *, 'l' || seq AS lab, make_timestamp(timeissued * 1000000) AS ts, {V.MODE_SQL} AS mode FROM framed)
-  SELECT level, id, key, CAST(dayofyear(ts) AS INTEGER) AS frame, CASE mode WHEN 'min' THEN arg_min(lab, (val, timeissued, frame, seq))
-  WHEN 'max' THEN arg_min(lab, (-val, timeissued, frame, seq)) ELSE arg_min(lab, (timeissued, frame, seq)) END AS label FROM x GROUP BY level, id, key, dayofyear(ts), mode""")
+  SELECT level, id, key, CAST(dayofyear(ts) AS INTEGER) AS frame, CASE mode WHEN 'min' THEN arg_min(lab, (val, lab))
+  WHEN 'max' THEN arg_min(lab, (-val, lab)) ELSE arg_min(lab, (timeissued, lab)) END AS label FROM x GROUP BY level, id, key, dayofyear(ts), mode""")
 def stat_rollup_label(spark, sf):
     f = V.framed(spark, sf).withColumn("label", F.expr("'l' || seq"))
-    return stats.rollup(f, V.CATALOGUE, "day", ["seq"]).select("level", "id", "key", "frame", "label")
+    return stats.rollup(f, V.CATALOGUE, "day").select("level", "id", "key", "frame", "label")
 
 
 PROFILE = f"""{V.FRAMED},

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import ALARM
+from ..operators.graph import level_closure, map_closure
 from ..operators.stats import CatalogueEntry, frame_assign
 from ..session import stored
 from .core import table
@@ -113,7 +114,23 @@ deduped AS (SELECT * FROM alarm WHERE seq NOT IN (SELECT seq FROM echo))"""
 # --- inventory --------------------------------------------------------------------------
 
 
+_INVENTORY: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf: str, what: str, build) -> DataFrame:
+    """Inventory tables are built once per application and read by its queries, as
+    the daily inventory load of an operations centre would provide them."""
+    key = (spark.sparkContext.applicationId, sf, what)
+    if key not in _INVENTORY:
+        _INVENTORY[key] = stored(build(), what)
+    return _INVENTORY[key]
+
+
 def inv_node(spark: SparkSession, sf: str) -> DataFrame:
+    return _once(spark, sf, "inventory", lambda: _inv_node(spark, sf))
+
+
+def _inv_node(spark: SparkSession, sf: str) -> DataFrame:
     """Attributes of customers, suppliers, nations, regions and monitored objects."""
     c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
@@ -137,8 +154,7 @@ def inv_node(spark: SparkSession, sf: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    # read by several steps of a query, as the loaded inventory would be
-    return stored(out, "inventory")
+    return out
 
 
 NODES = """inv_node AS (
@@ -189,12 +205,15 @@ assets AS (SELECT DISTINCT level, id FROM inv_node),
 closure AS (SELECT * FROM above UNION SELECT level, id, level, id FROM assets)"""
 
 
-def closure(spark: SparkSession, sf: str, identity: bool = True) -> DataFrame:
-    from ..operators.graph import level_closure, map_closure
+def closure(spark: SparkSession, sf: str) -> DataFrame:
+    """Ancestors of every asset, with the asset itself."""
+    return _once(spark, sf, "closure", lambda: build_closure(spark, sf, identity=True))
+
 
-    m = inv_map(spark, sf)
+def build_closure(spark: SparkSession, sf: str, identity: bool) -> DataFrame:
+    m = stored(inv_map(spark, sf), "maps")
     levels = level_closure(m.select(F.col("level1").alias("id1"), F.col("level2").alias("id2")))
-    return stored(map_closure(inv_node(spark, sf), m, levels, identity=identity), "closure")
+    return map_closure(inv_node(spark, sf), m, levels, identity=identity)
 
 
 # --- flows and prefixes ----------------------------------------------------------------

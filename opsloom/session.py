@@ -59,21 +59,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/opsloom/{label}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A new, unused path below the shared folder, one folder per application."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/opsloom/{app}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str = "table") -> DataFrame:
     """Write a result that several steps read, and read it back.
 
-    A Parquet table in the shared folder: computed once, pruned by column when
-    read, and still there when executors are lost.
+    A Parquet table in the shared folder cuts the lineage: it is computed once,
+    read by column, has a known size for join planning, and survives the loss of
+    any executor.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.graph import impact_changes, service_impact
 from ..operators.profile_alarms import CHANGE_COLUMNS, CHANGES, SeriesState, prune, step_series
 from ..operators.stats import SERIES, Catalogue, ProfileRule, mode_of
-from ..session import cut_lineage
+from ..session import stored
 from .correlate import GROUP_EVENTS, CorrelationRule, GroupMemory, step_group
 
 BatchSink = Callable[[DataFrame, int], None]
@@ -73,7 +73,7 @@ def tumbling_stats(
     df: DataFrame, catalogue: Catalogue, width: str = "1 hour", delay: str = "10 minutes"
 ) -> DataFrame:
     """Points to one value per (series, window), by the metric's mode."""
-    mode = F.first(mode_of(F.col("key"), catalogue))
+    mode = mode_of(F.col("key"), catalogue)
     val = F.col("val")
     return (
         event_time(df, delay)
@@ -197,7 +197,7 @@ def impact_batches(
     def run(batch: DataFrame, epoch: int) -> None:
         seen = batch.select("level", "id").distinct()
         touched = home.join(seen, ["level", "id"], "left_semi").select("cclevel", "ccid").distinct()
-        near = cut_lineage(home.join(touched, ["cclevel", "ccid"], "left_semi").select("level", "id"))
+        near = stored(home.join(touched, ["cclevel", "ccid"], "left_semi").select("level", "id"))
         local = edges.join(near.withColumnsRenamed({"level": "level1", "id": "id1"}), ["level1", "id1"], "left_semi")
         mine = roles.join(near, ["level", "id"], "left_semi")
         before = read_open().select("level", "id").join(near, ["level", "id"], "left_semi").distinct()

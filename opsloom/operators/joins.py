@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.net import range_blocks
-from .ordered import number_rows
+from .ordered import number_rows, spread_ties
 from .rows import Expr, truth
 
 
@@ -37,11 +37,12 @@ def salted_join(
     """Equi join for a left side with very hot keys.
 
     Left rows are spread over ``salts`` copies of the right rows; exact for inner,
-    left, semi and anti joins.
+    left, semi and anti joins. The salt comes from the row and its input partition,
+    so that a task that is run again gives every row the same one.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
-    spread = left.withColumn("__salt", (F.rand(17) * salts).cast("int"))
+    spread = left.withColumn("__salt", F.pmod(F.xxhash64(*spread_ties(left)), F.lit(salts)).cast("int"))
     copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, "__salt"], how).drop("__salt")
 

@@ -7,8 +7,8 @@ Work inside a chunk is an ordinary window, and what a chunk needs to know about
 the chunks before it (a sum, a maximum, the last row) is carried by a table
 with at most one row per chunk.
 
-Give an order that ends in a unique column: ties are then spread over chunks
-and results do not depend on the run.
+Give an order that ends in a unique column, so that results do not depend on the
+run. Ties are spread over chunks in any case.
 """
 
 from __future__ import annotations
@@ -130,13 +130,23 @@ def lag_of(value: Column) -> tuple[Column, str, bool]:
     return F.struct(value.alias("v")), "last", False
 
 
+def spread_ties(df: DataFrame) -> list[Column]:
+    """Last sort keys that tell equal rows apart: a row hash, then the input partition.
+
+    A key value, or a group of copies, that fills a third of the rows would
+    otherwise be one range and one task. Both are the same when a task is run again.
+    """
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return [F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.spark_partition_id()]
+
+
 def in_order(df: DataFrame, order: Sequence[str | Column], series: Sequence[str] = ()) -> Ordered:
     """Sort once and cut into chunks.
 
     The sorted rows are written with their chunk and position: these must be the
     same for everything that later reads them, also after an executor is lost.
     """
-    keys = [F.col(s) for s in series] + [_col(o) for o in order]
+    keys = [F.col(s) for s in series] + [_col(o) for o in order] + spread_ties(df)
     mid = F.monotonically_increasing_id()
     sorted_rows = stored(df.sort(*keys).withColumn(POS, mid), "ordered")
     out = sorted_rows.withColumn(CHUNK, F.shiftright(F.col(POS), 33).cast("int"))

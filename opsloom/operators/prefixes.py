@@ -7,6 +7,7 @@ compares ranges pairwise.
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -147,6 +148,61 @@ def cidrs(a: DataFrame) -> DataFrame:
     return a.select(F.explode(range_cidrs(F.col("lo"), F.col("hi"))).alias("p")).select("p.addr", "p.len")
 
 
+PREFIXES6 = T.ArrayType(T.StructType([T.StructField("addr", T.BinaryType()), T.StructField("len", T.IntegerType())]))
+
+
+@F.pandas_udf(PREFIXES6)
+def _cidrs6(lo: pd.Series, hi: pd.Series) -> pd.Series:
+    def one(a, b):
+        nets = ipaddress.summarize_address_range(ipaddress.IPv6Address(bytes(a)), ipaddress.IPv6Address(bytes(b)))
+        return [(n.network_address.packed, n.prefixlen) for n in nets]
+
+    return pd.Series([one(a, b) for a, b in zip(lo, hi)], dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def _last6(addr: pd.Series, length: pd.Series) -> pd.Series:
+    def one(a, n):
+        return (int.from_bytes(a, "big") | ((1 << (128 - n)) - 1)).to_bytes(16, "big")
+
+    return pd.Series([one(a, n) for a, n in zip(addr, length)], dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def _first6(addr: pd.Series, length: pd.Series) -> pd.Series:
+    def one(a, n):
+        host = (1 << (128 - n)) - 1
+        return (int.from_bytes(a, "big") & ~host).to_bytes(16, "big")
+
+    return pd.Series([one(a, n) for a, n in zip(addr, length)], dtype=object)
+
+
+def cidrs6(a: DataFrame) -> DataFrame:
+    """IPv6 ranges to their fewest prefixes (at most 254 per range)."""
+    return a.select(F.explode(_cidrs6("lo", "hi")).alias("p")).select("p.addr", "p.len")
+
+
+def to_ranges6(prefixes: DataFrame, addr: str = "addr", length: str = "len") -> DataFrame:
+    return prefixes.select(_first6(addr, length).alias("lo"), _last6(addr, length).alias("hi"))
+
+
+def rebit6(a: DataFrame, bits: int) -> DataFrame:
+    """``rebit`` for IPv6."""
+    p = cidrs6(union([a], V6)).select("addr", F.least("len", F.lit(bits)).alias("len"))
+    return union([to_ranges6(p)], V6)
+
+
+def size6(a: DataFrame) -> DataFrame:
+    """Fewest prefixes and ranges of an IPv6 set; addresses as a double."""
+    u = union([a], V6)
+    p = cidrs6(u)
+    n = u.agg(F.count(F.lit(1))).scalar()
+    return p.agg(
+        F.count(F.lit(1)).alias("prefixes"), F.coalesce(F.sum(F.pow(F.lit(2.0), 128 - F.col("len"))), F.lit(0.0)).alias("addresses"),
+        F.max(n).alias("ranges"),
+    )
+
+
 def subset(a: DataFrame, b: DataFrame, space: Space = V4) -> DataFrame:
     """Is A within B?"""
     return difference(a, b, space).agg((F.count(F.lit(1)) == 0).alias("subset"))

@@ -195,6 +195,20 @@ def fanout(df: DataFrame, *steps: Transform) -> list[DataFrame]:
     return [df.transform(s) for s in steps]
 
 
+def callout(df: DataFrame, fn: Callable, schema: T.StructType | None = None) -> DataFrame:
+    """User code per batch of records: accept, change, delete or insert rows.
+
+    ``fn`` maps a pandas frame to a pandas frame; Spark feeds it Arrow batches of
+    every partition, ahead of a sort or any other operator.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            yield fn(pdf)
+
+    return df.mapInPandas(run, schema or df.schema)
+
+
 def count_selected(df: DataFrame, select: Expr) -> DataFrame:
     """Matched and total rows in one pass."""
     return df.agg(F.count_if(truth(select)).alias("matched"), F.count(F.lit(1)).alias("total"))

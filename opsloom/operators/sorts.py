@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggs import distinct_first
-from .ordered import in_order, number_rows
+from .ordered import in_order, number_rows, spread_ties
 from .rows import Expr, as_col
 
+# Spark's own default for pushing a rank limit below the shuffle.
+RANK_LIMIT = 1000
+# Copies of one value that a task writes out at a time.
+COPIES = 100_000
+
 
 def sort_keys(
     df: DataFrame, keys: Sequence[tuple[str, bool]], *, unique: bool = False, first_by: Sequence[Expr] = ()
@@ -18,7 +23,8 @@ def sort_keys(
     """Sort by (field, reverse) keys; ``unique`` keeps the first row per key."""
     if unique:
         df = distinct_first(df, [k for k, _ in keys], first_by)
-    return df.orderBy(*[F.col(k).desc() if rev else F.col(k).asc() for k, rev in keys])
+    by = [F.col(k).desc() if rev else F.col(k).asc() for k, rev in keys]
+    return df.orderBy(*by, *([] if unique else spread_ties(df)))
 
 
 def sort_merge(inputs: Sequence[DataFrame], keys: Sequence[tuple[str, bool]]) -> DataFrame:
@@ -76,17 +82,26 @@ def sort_check(df: DataFrame, arrival: Sequence[Expr], key: Expr, unique: bool =
 
 
 def shuffle(df: DataFrame, seed: int = 0) -> DataFrame:
-    """Random order. The random key is data, so that a retried task repeats it."""
-    key = F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])
-    return df.orderBy(key)
+    """Random order by seed. The key is computed from the row and its input partition,
+    so that a task that is run again repeats it."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *spread_ties(df)))
 
 
 def head(df: DataFrame, n: int, order: Sequence[Expr], skip: int = 0, by: Sequence[str] = ()) -> DataFrame:
-    """The first n rows per input after ``skip``."""
+    """The first n rows per input after ``skip``.
+
+    Small heads are found per task before the shuffle (a rank limit that Spark
+    pushes below the window), large ones by numbering.
+    """
+    keys = [as_col(o) for o in order]
     if not by:
-        return df.orderBy(*[as_col(o) for o in order]).offset(skip).limit(n)
-    out = number_rows(df, order, "__rn", by)
-    return out.where((F.col("__rn") > skip) & (F.col("__rn") <= skip + n)).drop("__rn")
+        return df.orderBy(*keys).offset(skip).limit(n)
+    if skip + n <= RANK_LIMIT:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*keys))
+        out = df.withColumn("__rn", rank).where(F.col("__rn") <= skip + n)
+    else:
+        out = number_rows(df, order, "__rn", by).where(F.col("__rn") <= skip + n)
+    return out.where(F.col("__rn") > skip).drop("__rn")
 
 
 def tail(df: DataFrame, n: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -159,10 +174,12 @@ def comm(a: DataFrame, b: DataFrame, c: str) -> DataFrame:
 
 
 def comm_rows(a: DataFrame, b: DataFrame, c: str, column: str) -> DataFrame:
-    """One of the three columns of ``comm`` as rows, with repetition."""
-    a, b = a.select(c), b.select(c)
-    if column == "only_a":
-        return a.exceptAll(b)
-    if column == "only_b":
-        return b.exceptAll(a)
-    return a.intersectAll(b)
+    """One of the three columns of ``comm`` as rows, with repetition.
+
+    A value with very many copies is written out in blocks by many tasks.
+    """
+    n = comm(a, b, c).where(F.col(column) > 0).select("value", F.col(column).alias("n"))
+    blocks = n.select("value", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))).alias("b"))
+    spread = blocks.repartition("value", "b")
+    size = F.least(F.lit(COPIES), F.col("n") - F.col("b") * COPIES).cast("int")
+    return spread.select(F.explode(F.array_repeat("value", size)).alias(c))

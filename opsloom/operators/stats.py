@@ -490,6 +490,15 @@ def m_of_n_alarm(matched: DataFrame, rule: ProfileRule) -> DataFrame:
     return matched.withColumns(cols)
 
 
+def state_prune(matched: DataFrame, rule: ProfileRule) -> DataFrame:
+    """The samples that can still count: the last ``rule.horizon`` of every series.
+
+    The rank limit is applied in every task before the shuffle.
+    """
+    w = Window.partitionBy(*SERIES).orderBy(F.col("timeissued").desc())
+    return matched.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= rule.horizon).drop("__r")
+
+
 def capacity_percent(
     df: DataFrame, catalogue: Catalogue, attrs: DataFrame
 ) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import sorts
+from ..operators.rows import callout
 from ..sources.readers import union_all as concat
 from .core import query, table
 
@@ -133,3 +135,13 @@ def comm_rows(spark, sf):
     a, b = (li.where(F.col("l_returnflag") == f) for f in "RA")
     parts = [sorts.comm_rows(a, b, "l_partkey", c).select(F.lit(n).alias("side"), "l_partkey") for c, n in (("only_a", "a"), ("both", "both"))]
     return parts[0].unionByName(parts[1])
+
+
+@query("sort_callout", """SELECT p_partkey, p_name, p_size FROM part WHERE p_size >= 10 UNION ALL SELECT p_partkey, 'extra ' || p_name, p_size FROM part WHERE p_size >= 45""")
+def sort_callout(spark, sf):
+    def adjust(pdf):
+        big = pdf[pdf["p_size"] >= 45].assign(p_name=lambda d: "extra " + d["p_name"])
+        return pd.concat([pdf[pdf["p_size"] >= 10], big])
+
+    out = callout(table(spark, sf, "part").select("p_partkey", "p_name", "p_size"), adjust)
+    return sorts.sort_keys(out, [("p_size", True), ("p_partkey", False)])

@@ -188,6 +188,12 @@ def alarm_state_changes(spark, sf):
     return profile_alarms.alarm_state_changes(_matched(spark, sf), RULE)
 
 
+@query("state_prune", f"""WITH {SAMPLED}, r AS (SELECT level, id, key, timeissued, sev, row_number() OVER (PARTITION BY level, id, key ORDER BY timeissued DESC) AS r FROM matched)
+  SELECT level, id, key, timeissued, sev FROM r WHERE r <= {RULE.horizon}""")
+def state_prune(spark, sf):
+    return stats.state_prune(_matched(spark, sf), RULE).select("level", "id", "key", "timeissued", "sev")
+
+
 # With m = n = 1 every match stands alone, so SQL can state the changes: a clear
 # after anything but a clear, an alarm below the lowest number since the last clear.
 SIMPLE = stats.parse_rule("SIGMA:i:1.5:n::1:1:1:1:21600;SIGMA:i:0.8:e:1.5:3:1:1:2:86400;CLEAR:5:1:1")

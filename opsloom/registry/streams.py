@@ -114,8 +114,7 @@ def _correlated(spark, sf, beat=None):
     out, cp = scratch_path(spark, "corr"), scratch_path(spark, "corr-cp")
 
     def run(path):
-        live = jobs.event_time(jobs.stream_tail(spark, path, a.schema), "0 seconds")
-        jobs.catch_up(jobs.correlate(live, [GEN]), out, cp)
+        jobs.catch_up(jobs.correlate(jobs.stream_tail(spark, path, a.schema), [GEN]), out, cp)
 
     rows = a
     if beat:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import spread_ties
 from ..operators.rows import Expr, as_col, conform
 from ..plans.dashboard import hide_attributes
 
@@ -21,7 +22,7 @@ def sink_split_by_key(
     every key over that many tasks, for keys that hold a large share of the rows.
     Replacing is per key that occurs in ``df``.
     """
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(buckets)) if buckets > 1 else F.lit(0)
+    spread = F.pmod(F.xxhash64(*spread_ties(df)), F.lit(buckets)) if buckets > 1 else F.lit(0)
     out = df.repartition(*[F.col(k) for k in keys], spread)
     w = out.write.partitionBy(*keys).format(fmt)
     if mode == "overwrite":

@@ -37,6 +37,11 @@ class CorrelationRule:
     refresh: int = 0
     closes_on_up: bool = False
 
+    @property
+    def counts_only(self) -> bool:
+        """Alarms of one second may be added up before they reach their group."""
+        return self.step == "1" and not self.closes_on_up
+
 
 # The three shipped behaviours: repeating alarms, up/down balance, up/down timeout.
 GEN1 = CorrelationRule(
@@ -106,14 +111,14 @@ def _ticket(g: GroupMemory, rule: CorrelationRule, at: int, event: str, out: lis
 
 
 def step_group(g: GroupMemory, alarms: Sequence[tuple], rule: CorrelationRule, clock: int | None) -> list[tuple]:
-    """Feed ordered (time, seq, severity, step, state) alarms, then move the clock.
+    """Feed ordered (time, seq, severity, step, state, count) alarms, then move the clock.
 
     Returns (event, time, representative seq, severity, alarms so far) rows with
     event first or refresh. The representative has the lowest severity number; of
     those the latest, then the lowest seq.
     """
     out: list[tuple] = []
-    for t, seq, sev, step, state in alarms:
+    for t, seq, sev, step, state, count in alarms:
         if g.open:
             _elapse(g, rule, t, out)
         if rule.closes_on_up and state == UP:
@@ -121,7 +126,7 @@ def step_group(g: GroupMemory, alarms: Sequence[tuple], rule: CorrelationRule, c
             continue
         if not g.open or g.spent:
             g.__init__(open=True, first=t)
-        g.last, g.counter, g.n = t, g.counter + step, g.n + 1
+        g.last, g.counter, g.n = t, g.counter + step, g.n + count
         cand = [sev, -t, seq]
         if g.best is None or cand < list(g.best):
             g.best = cand

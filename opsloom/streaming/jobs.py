@@ -126,12 +126,44 @@ def profile_alarms(matched: DataFrame, rule: ProfileRule) -> DataFrame:
 # --- correlation ------------------------------------------------------------------------
 
 
-def correlate(alarms: DataFrame, rules: Sequence[CorrelationRule], heartbeat: str | None = None) -> DataFrame:
+KEYED = "rule string, group string, timeissued bigint, state int, seq bigint, severity int, step int, n bigint"
+
+
+def combine_seconds(rules: Sequence[CorrelationRule]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Add up the alarms of one group and second within a batch of a task.
+
+    Done before the shuffle, so a group that receives a third of all alarms brings
+    one row per second and batch to its task. Only for rules that merely count;
+    the worst severity, then the lowest seq, stands for the rest.
+    """
+    plain = [r.id for r in rules if r.counts_only]
+    keys = ["rule", "group", "timeissued", "state"]
+    cols = [*keys, "seq", "severity", "step", "n"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            # rows of no rule only move the clock: the latest of them will do
+            idle = pdf[pdf["rule"].isna()]
+            if len(idle):
+                yield idle.nlargest(1, "timeissued")[cols]
+            easy = pdf["rule"].isin(plain)
+            yield pdf.loc[~easy & pdf["rule"].notna(), cols]
+            part = pdf[easy].sort_values(["severity", "seq"])
+            if len(part):
+                g = part.groupby(keys, sort=False, as_index=False)
+                yield g.agg(seq=("seq", "first"), severity=("severity", "first"), step=("step", "sum"), n=("n", "sum"))[cols]
+
+    return run
+
+
+def correlate(
+    alarms: DataFrame, rules: Sequence[CorrelationRule], delay: str = "0 seconds", heartbeat: str | None = None
+) -> DataFrame:
     """Rule-driven correlation: one group of alarms per (rule, key).
 
-    An alarm joins every rule whose predicate it meets. ``alarms`` needs an event
-    time watermark on ``ts``; groups time out as it moves. With ``heartbeat`` (a
-    duration) they time out on processing time, also when no data arrives.
+    An alarm joins every rule whose predicate it meets. Groups time out as the
+    event time, less ``delay``, moves on. With ``heartbeat`` (a duration) they time
+    out on processing time, also when no data arrives.
     """
     hits = [
         F.when(
@@ -142,16 +174,19 @@ def correlate(alarms: DataFrame, rules: Sequence[CorrelationRule], heartbeat: st
         )
         for r in rules
     ]
-    one = F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h")
+    one = F.explode_outer(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h")
     keyed = alarms.select("*", one).select(
-        F.col("h.rule").alias("rule"), F.col("h.group").alias("group"), "timeissued", "seq", "severity",
-        F.col("h.step").alias("step"), "state", "ts",
+        F.col("h.rule").alias("rule"), F.col("h.group").alias("group"), "timeissued", "state", "seq", "severity",
+        F.col("h.step").alias("step"), F.lit(1).cast("bigint").alias("n"),
     )
+    keyed = event_time(keyed.mapInPandas(combine_seconds(rules), KEYED), delay)
     by_id = {r.id: r for r in rules}
     timeout = GroupStateTimeout.ProcessingTimeTimeout if heartbeat else GroupStateTimeout.EventTimeTimeout
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rule = by_id[key[0]]
+        rule = by_id.get(key[0])
+        if rule is None:
+            return
         memory = GroupMemory(**json.loads(state.get[0])) if state.exists else GroupMemory()
         out: list[tuple] = []
         mark = state.getCurrentWatermarkMs() // 1000 if not heartbeat else 0
@@ -162,7 +197,7 @@ def correlate(alarms: DataFrame, rules: Sequence[CorrelationRule], heartbeat: st
         else:
             rows: list[tuple] = []
             for pdf in pdfs:
-                cols = ("timeissued", "seq", "severity", "step", "state")
+                cols = ("timeissued", "seq", "severity", "step", "state", "n")
                 rows += zip(*[pdf[c].astype(int).tolist() for c in cols])
             out += step_group(memory, sorted(rows), rule, None)
         if memory.open:

@@ -58,7 +58,7 @@ def test_sessions_and_groups_match_the_group_step(spark, many_chunks):
     exp = []
     for k in {d[1] for d in data}:
         g = GroupMemory()
-        alarms_of = sorted((t, s, sev, 1, st) for s, i, t, st, sev in data if i == k)
+        alarms_of = sorted((t, s, sev, 1, st, 1) for s, i, t, st, sev in data if i == k)
         out = step_group(g, alarms_of, rule, clock)
         exp += [(k, at) for e, at, *_ in out if e == "first"]
         refreshes = [at for e, at, *_ in out if e == "refresh"]
@@ -345,24 +345,23 @@ def test_echo_is_dropped_once(spark):
 def test_first_ticket_ends_a_one_shot_group():
     rule = CorrelationRule("b", "true", ("k",), window=100, immediate=2)
     g = GroupMemory()
-    out = step_group(g, [(0, 1, 3, 1, 3), (10, 2, 1, 1, 3), (20, 3, 1, 1, 3), (30, 4, 2, 1, 3)], rule, 500)
+    out = step_group(g, [(0, 1, 3, 1, 3, 1), (10, 2, 1, 1, 3, 1), (20, 3, 1, 1, 3, 1), (30, 4, 2, 1, 3, 1)], rule, 500)
     assert out == [("first", 10, 2, 1, 2), ("first", 30, 3, 1, 2)]
 
 
 def test_up_closes_a_group():
     rule = CorrelationRule("i", "true", ("k",), window=90_000, defer_count=1, defer_time=86_400, closes_on_up=True)
     g = GroupMemory()
-    assert step_group(g, [(0, 1, 1, 1, 3), (50, 2, 5, 0, 4)], rule, 200_000) == []
+    assert step_group(g, [(0, 1, 1, 1, 3, 1), (50, 2, 5, 0, 4, 1)], rule, 200_000) == []
     g = GroupMemory()
-    assert step_group(g, [(0, 1, 1, 1, 3)], rule, 86_401) == [("first", 86_400, 1, 1, 1)]
+    assert step_group(g, [(0, 1, 1, 1, 3, 1)], rule, 86_401) == [("first", 86_400, 1, 1, 1)]
 
 
 def test_representative_is_worst_then_latest_then_lowest():
     rule = CorrelationRule("r", "true", ("k",), window=100, immediate=4)
     g = GroupMemory()
-    out = step_group(g, [(0, 9, 1, 1, 3), (5, 8, 1, 1, 3), (5, 7, 1, 1, 3), (6, 1, 2, 1, 3)], rule, None)
-    assert out == [("first", 6, 7, 1, 4)] or out == [("first", 6, 8, 1, 4)]
-    assert g.best[2] == 7
+    out = step_group(g, [(0, 9, 1, 1, 3, 1), (5, 7, 1, 1, 3, 1), (5, 8, 1, 1, 3, 1), (6, 1, 2, 1, 3, 1)], rule, None)
+    assert out == [("first", 6, 7, 1, 4)]
 
 
 def test_keyed_frames_treat_absent_as_zero(spark):
@@ -455,3 +454,43 @@ def test_join_goldens(spark):
     assert sorted((tuple(r) for r in salted), key=str) == [("a", "1", None), ("b", "2", "9"), ("b", "3", "9")]
     assert joins.longest_literal("disk .* full") in ("disk ", " full")
     assert joins.longest_literal("a|b") == ""
+
+
+def test_address_sets_v6_prefixes(spark):
+    def raw(text):
+        return bytearray(ipaddress.IPv6Address(text).packed)
+
+    a = spark.createDataFrame([(raw("2001:db8::1"), raw("2001:db8::ff")), (raw("::"), raw("::1"))], "lo binary, hi binary")
+    got = {(str(ipaddress.IPv6Address(bytes(r.addr))), r.len) for r in prefixes.cidrs6(a).collect()}
+    exp = ipaddress.summarize_address_range(ipaddress.IPv6Address("2001:db8::1"), ipaddress.IPv6Address("2001:db8::ff"))
+    assert got == {(str(n.network_address), n.prefixlen) for n in exp} | {("::", 127)}
+    wide = {(str(ipaddress.IPv6Address(bytes(r.lo))), str(ipaddress.IPv6Address(bytes(r.hi)))) for r in prefixes.rebit6(a, 64).collect()}
+    assert wide == {("::", "::ffff:ffff:ffff:ffff"), ("2001:db8::", "2001:db8::ffff:ffff:ffff:ffff")}
+    n = prefixes.size6(a).first()
+    assert (n.prefixes, n.addresses, n.ranges) == (9, 257.0, 2)
+    low = prefixes.min_max(a).first()
+    assert bytes(low.min) == bytes(raw("::")) and bytes(low.max) == bytes(raw("2001:db8::ff"))
+
+
+def test_copies_of_a_hot_value_are_kept(spark, many_chunks):
+    a = spark.createDataFrame([("x",)] * 70 + [("y",)] * 3, "v string")
+    b = spark.createDataFrame([("x",)] * 25 + [("z",)], "v string")
+    for column, exp in (("only_a", {"x": 45, "y": 3}), ("both", {"x": 25}), ("only_b", {"z": 1})):
+        got = sorts.comm_rows(a, b, "v", column).groupBy("v").count().collect()
+        assert {r.v: r["count"] for r in got} == exp
+    assert [r.v for r in sorts.sort_keys(a, [("v", True)]).collect()] == ["y"] * 3 + ["x"] * 70
+    assert sorted(r.rn for r in ordered.number_rows(a, ["v"]).collect()) == list(range(1, 74))
+
+
+def test_combining_seconds_keeps_the_groups(spark):
+    import pandas as pd
+
+    from opsloom.streaming.correlate import GEN1
+    from opsloom.streaming.jobs import combine_seconds
+
+    rows_ = [("GEN1_ANY", "g", 5, 3, s, sev, 1, 1) for s, sev in ((1, 4), (2, 2), (3, 2))] + [(None, None, t, 0, 0, 0, None, 1) for t in (1, 9, 4)]
+    pdf = pd.DataFrame(rows_, columns=["rule", "group", "timeissued", "state", "seq", "severity", "step", "n"])
+    out = pd.concat(list(combine_seconds([GEN1])(iter([pdf]))))
+    hit = out[out["rule"].notna()].iloc[0]
+    assert len(out) == 2 and (hit["seq"], hit["severity"], hit["n"], hit["step"]) == (2, 2, 3, 3)
+    assert out[out["rule"].isna()].iloc[0]["timeissued"] == 9

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import ALARM_MODE, ALARM_TYPE, SORT_ORDER
+from ..session import stored
 from .ordered import in_order, lag_of, row_count
 from .rows import truth
 
@@ -65,7 +66,8 @@ def match_clears(df: DataFrame, clears: DataFrame) -> DataFrame:
     cleared time, object. A clear counts if it is not earlier than the alarm;
     of several the latest. One aggregated row per key is joined per kind.
     """
-    keys = clear_keys(clears)
+    # read five times below: reduced to one row per key once
+    keys = stored(clear_keys(clears), "clears")
     out = df.withColumns({"__cc": F.coalesce("ccid", F.lit("")), "__aid": F.coalesce("alarmid", F.lit(""))})
     plans = {
         "c": (F.col("__cc"), F.lit("")),

@@ -38,7 +38,8 @@ def load(
 
 def frame_count(ds: DataFrame) -> int:
     """Number of frames of a dataset (its highest frame + 1)."""
-    return (ds.agg(F.max("frame")).first()[0] or -1) + 1
+    top = ds.agg(F.max("frame")).first()[0]
+    return 0 if top is None else top + 1
 
 
 def cat(datasets: Sequence[DataFrame], counts: Sequence[int] | None = None) -> DataFrame:

@@ -197,7 +197,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     Nodes are numbered once in (level, id) order. The rounds then move and compare
     numbers only, and the smallest number is the representative.
     """
-    e = edges.where("level1 <> level2 or id1 <> id2").select("level1", "id1", "level2", "id2").distinct()
+    e = stored(edges.where("level1 <> level2 or id1 <> id2").select("level1", "id1", "level2", "id2").distinct())
     ends = e.select(F.col("level1").alias("level"), F.col("id1").alias("id")).unionByName(
         e.select(F.col("level2").alias("level"), F.col("id2").alias("id"))
     )

@@ -35,6 +35,7 @@ class Ordered:
 
     df: DataFrame
     series: tuple[str, ...] = ()
+    whole: bool = True  # no row was left out since the sort
 
     def _window(self):
         return Window.partitionBy(*self.series, CHUNK).orderBy(POS)
@@ -45,7 +46,7 @@ class Ordered:
 
     def where(self, cond: Column | str) -> Ordered:
         """Leave rows out; the order of the others stands."""
-        return replace(self, df=self.df.where(cond))
+        return replace(self, df=self.df.where(cond), whole=False)
 
     def within(self, *series: str) -> Ordered:
         """Scan within finer series, if the present order keeps each together."""
@@ -112,8 +113,22 @@ class Ordered:
         return self.scans({name: lag_of(value)}).with_columns({name: F.col(f"{name}.v")})
 
     def number(self, name: str) -> Ordered:
-        """1-based row number within the series."""
-        return self.scans({name: row_count()})
+        """1-based row number within the series.
+
+        Without series the position within the chunk is already known, so only the
+        sizes of the chunks before are added: nothing is shuffled again.
+        """
+        if self.series or not self.whole:
+            return self.scans({name: row_count()})
+        sizes = self.df.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("__n"))
+        before = Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+        # one row per chunk, and as many chunks as sort partitions
+        start = sizes.select(F.col(CHUNK).alias("__c"), "__n").select(
+            "__c", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
+        )
+        out = self.df.join(F.broadcast(start), self.df[CHUNK] == F.col("__c"))
+        index = F.col(POS).bitwiseAND(F.lit((1 << 33) - 1))
+        return replace(self, df=out.withColumn(name, F.col("__start") + index + 1).drop("__c", "__start"))
 
     def rows(self) -> DataFrame:
         """The rows without the bookkeeping columns."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..model import ALARM
 from ..operators.graph import level_closure, map_closure
 from ..operators.stats import CatalogueEntry, frame_assign
-from ..session import stored
+from ..session import scratch_path, stored
 from .core import table
 
 INTERVAL = 300
@@ -114,7 +114,7 @@ deduped AS (SELECT * FROM alarm WHERE seq NOT IN (SELECT seq FROM echo))"""
 # --- inventory --------------------------------------------------------------------------
 
 
-_INVENTORY: dict[tuple, DataFrame] = {}
+_INVENTORY: dict[tuple, tuple] = {}
 
 
 def _once(spark: SparkSession, sf: str, what: str, build) -> DataFrame:
@@ -122,8 +122,12 @@ def _once(spark: SparkSession, sf: str, what: str, build) -> DataFrame:
     the daily inventory load of an operations centre would provide them."""
     key = (spark.sparkContext.applicationId, sf, what)
     if key not in _INVENTORY:
-        _INVENTORY[key] = stored(build(), what)
-    return _INVENTORY[key]
+        df = build()
+        path = scratch_path(spark, what)
+        df.write.parquet(path)
+        _INVENTORY[key] = path, df.schema
+    path, schema = _INVENTORY[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def inv_node(spark: SparkSession, sf: str) -> DataFrame:

@@ -186,9 +186,10 @@ def fn_checksum(spark, sf):
     return table(spark, sf, "documents").select("doc_id", *[text.checksum(F.col("text"), m).alias(m) for m in ("md5", "sha1")])
 
 
-@query("fn_checksum_crc")
+@query("fn_checksum_crc", """SELECT c_custkey, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(c_name) + 1), lambda i: ord(c_name[i])::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) AS crc FROM customer""")
 def fn_checksum_crc(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.checksum(F.col("text"), "crc").alias("crc"))
+    return table(spark, sf, "customer").select("c_custkey", text.checksum(F.col("c_name"), "crc").alias("crc"))
 
 
 @query("fn_template", f"""WITH {V.NODES}, {V.CLOSURE}, nm AS (SELECT level, id, val FROM inv_node WHERE key = 'name'),

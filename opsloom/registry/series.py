@@ -183,9 +183,35 @@ def m_of_n_alarm(spark, sf):
     )
 
 
-@query("alarm_state_changes")
+def _steps_sql() -> str:
+    """The m-of-n scan as a fold over each series' samples, once per range."""
+    empty = "{'t': 0::BIGINT, 'sev': 0, 'win': []::BOOLEAN[], 'hits': []::BIGINT[]}"
+    parts = []
+    for i, r in enumerate(RULE.ranges):
+        good = "x.sev = -1" if r.kind == "CLEAR" else f"(x.sev <> -1 AND x.sev <= {r.sev})"
+        win = f"list_append(a.win, {good})[-{r.n}:]"
+        hit = f"len(list_filter({win}, lambda b: b)) >= {r.m}"
+        step = (
+            f"{{'t': x.t, 'sev': x.sev, 'win': CASE WHEN {hit} THEN []::BOOLEAN[] ELSE {win} END, "
+            f"'hits': CASE WHEN {hit} THEN list_append(a.hits, x.t) ELSE a.hits END}}"
+        )
+        parts.append(
+            f"SELECT level, id, key, {i} AS range, {r.sev} AS severity, '{'clear' if r.kind == 'CLEAR' else 'alarm'}' AS kind, "
+            f"unnest(list_reduce(list_prepend({empty}, xs), lambda a, x: {step}).hits) AS timeissued FROM l"
+        )
+    return f"""WITH {SAMPLED},
+  l AS (SELECT level, id, key, list({{'t': timeissued, 'sev': sev, 'win': []::BOOLEAN[], 'hits': []::BIGINT[]}} ORDER BY timeissued) AS xs FROM matched GROUP BY ALL),
+  c AS ({" UNION ALL ".join(parts)}),
+  g AS (SELECT *, sum(CASE WHEN kind = 'clear' THEN 1 ELSE 0 END) OVER w AS seg, lag(kind) OVER w AS prev FROM c WINDOW w AS (PARTITION BY level, id, key ORDER BY timeissued, range)),
+  d AS (SELECT *, min(severity) FILTER (kind = 'alarm') OVER (PARTITION BY level, id, key, seg ORDER BY timeissued, range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM g)
+  SELECT level, id, key, timeissued, kind, severity, range FROM d
+  WHERE (kind = 'clear' AND (prev IS NULL OR prev <> 'clear')) OR (kind = 'alarm' AND (best IS NULL OR severity < best))"""
+
+
+@query("alarm_state_changes", _steps_sql())
 def alarm_state_changes(spark, sf):
-    return profile_alarms.alarm_state_changes(_matched(spark, sf), RULE)
+    out = profile_alarms.alarm_state_changes(_matched(spark, sf), RULE).where("kind <> 'repeat'")
+    return out.select("level", "id", "key", "timeissued", "kind", "severity", "range")
 
 
 @query("state_prune", f"""WITH {SAMPLED}, r AS (SELECT level, id, key, timeissued, sev, row_number() OVER (PARTITION BY level, id, key ORDER BY timeissued DESC) AS r FROM matched)

@@ -17,6 +17,13 @@ from ..session import stored
 from .ordered import in_order, lag_of, row_count
 from .rows import truth
 
+# Object names with a meaning and attribute keys.
+SERVICE_UPDATE = "__ce_svc_upd__"
+ALL_CLEAR = "__all_clear__"
+ESSENTIAL_STAT = "essentialstat"
+SERVICE_LEVEL = "scope_servicelevel"
+SYSTEM_TYPE = "scope_systype"
+
 ECHO = ("timeissued", "severity", "state", "type", "text")
 
 
@@ -44,8 +51,8 @@ def clear_keys(clears: DataFrame) -> DataFrame:
     cc, aid, obj = (F.coalesce(F.col(c), F.lit("")) for c in ("ccid", "alarmid", "id1"))
     tc = F.coalesce(F.col("timecleared"), F.lit(0))
     key = (
-        F.when(obj == "__ce_svc_upd__", None)
-        .when(obj == "__all_clear__", F.struct(F.lit("all").alias("kind"), F.lit("").alias("a"), F.lit("").alias("b")))
+        F.when(obj == SERVICE_UPDATE, None)
+        .when(obj == ALL_CLEAR, F.struct(F.lit("all").alias("kind"), F.lit("").alias("a"), F.lit("").alias("b")))
         .when(cc != "", F.struct(F.lit("c").alias("kind"), cc.alias("a"), F.lit("").alias("b")))
         .when((aid != "") & (obj != ""), F.struct(F.lit("i").alias("kind"), obj.alias("a"), aid.alias("b")))
         .when((tc > 0) & (obj != ""), F.struct(F.lit("a").alias("kind"), obj.alias("a"), tc.cast("string").alias("b")))
@@ -154,7 +161,7 @@ def essential_stats(assets: DataFrame, attrs: DataFrame, defaults: DataFrame) ->
     without any, the defaults of its (service level, system type). ``defaults``:
     servicelevel, systype, key, regex (adds ``.*``).
     """
-    num = F.regexp_extract("key", "^essentialstat([0-9]+)$", 1)
+    num = F.regexp_extract("key", f"^{ESSENTIAL_STAT}([0-9]+)$", 1)
     own = attrs.where(num != "").select("level", "id", num.cast("int").alias("n"), F.col("val").alias("stat"))
     # the first number that is missing ends the list
     follow = own.select("level", "id", (F.col("n") + 1).alias("n")).unionByName(
@@ -164,8 +171,8 @@ def essential_stats(assets: DataFrame, attrs: DataFrame, defaults: DataFrame) ->
     own = own.join(upto, ["level", "id"]).where("n < upto").select("level", "id", "n", "stat")
     base = assets.select("level", "id").distinct()
     rest = base.join(own, ["level", "id"], "left_anti")
-    sl = attrs.where("key = 'scope_servicelevel'").select("level", "id", F.col("val").alias("servicelevel"))
-    st = attrs.where("key = 'scope_systype'").select("level", "id", F.col("val").alias("systype"))
+    sl = attrs.where(F.col("key") == SERVICE_LEVEL).select("level", "id", F.col("val").alias("servicelevel"))
+    st = attrs.where(F.col("key") == SYSTEM_TYPE).select("level", "id", F.col("val").alias("systype"))
     fallback = (
         rest.join(sl, ["level", "id"])
         .join(st, ["level", "id"])

@@ -14,7 +14,9 @@ from .aggs import distinct_first
 from .ordered import number_rows
 
 FWD, REV = 1, 2
+# The entity of unmapped assets and the service attribute.
 UNKNOWN = "UNKNOWN"
+SERVICE_ATTR = "gce_service"
 SEP = "\u0001"  # sorts before every printable character
 
 
@@ -201,7 +203,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     ends = e.select(F.col("level1").alias("level"), F.col("id1").alias("id")).unionByName(
         e.select(F.col("level2").alias("level"), F.col("id2").alias("id"))
     )
-    nodes = stored(number_rows(ends.distinct(), ["level", "id"], "n"))
+    nodes = number_rows(ends.distinct(), ["level", "id"], "n")
 
     def end(i: int, name: str) -> DataFrame:
         return nodes.select(F.col("level").alias(f"level{i}"), F.col("id").alias(f"id{i}"), F.col("n").alias(name))
@@ -393,7 +395,7 @@ def service_roles(attrs: DataFrame) -> DataFrame:
     """``gce_service<n>`` attributes (``prod:name`` / ``cons:name``) to (level, id, service, role)."""
     kind = F.substring_index("val", ":", 1)
     return (
-        attrs.where(F.col("key").rlike("^gce_service[0-9]+$") & kind.isin("prod", "cons"))
+        attrs.where(F.col("key").rlike(f"^{SERVICE_ATTR}[0-9]+$") & kind.isin("prod", "cons"))
         .select("level", "id", F.expr("substring(val, 6)").alias("service"), kind.alias("role"))
         .distinct()
     )
@@ -416,6 +418,11 @@ def service_impact(
         F.col("ndlevel").alias("level"), F.col("ndid").alias("id"), "cclevel", "ccid"
     )
     down = events.select("level", "id").distinct()
+    svc = ["cclevel", "ccid", "service"]
+    if down.isEmpty():
+        none = roles.limit(0).select(F.col("level").alias("cclevel"), F.col("id").alias("ccid"), "service")
+        counts = {c: F.lit(0).cast("long") for c in ("producers", "lost_all", "lost_some")}
+        return none.withColumns({**counts, "remaining": F.lit(0.0), "severity": F.lit(0)})
     up_edges = edges.join(
         down.withColumnsRenamed({"level": "level1", "id": "id1"}), ["level1", "id1"], "left_anti"
     ).join(down.withColumnsRenamed({"level": "level2", "id": "id2"}), ["level2", "id2"], "left_anti")
@@ -429,7 +436,6 @@ def service_impact(
         .join(down.withColumn("__down", F.lit(True)), ["level", "id"], "left")
         .withColumn("part", F.when(F.col("__down").isNull(), F.coalesce("part", F.concat_ws(SEP, "level", "id"))))
     )
-    svc = ["cclevel", "ccid", "service"]
     cons = placed.where("role = 'cons'")
     total = cons.groupBy(*svc).agg(F.count(F.lit(1)).alias("consumers"))
     reach = cons.where("part is not null").groupBy(*svc, "part").agg(F.count(F.lit(1)).alias("reached"))

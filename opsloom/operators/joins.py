@@ -9,7 +9,7 @@ configuration and become CASE expressions, which need no join at all.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -174,7 +174,12 @@ class AlarmRule:
     names: Sequence[str] = field(default=())
 
 
+# The fallback rule, the pattern that needs no ancestor, attribute keys.
 ANY_RULE = "__ANY__"
+EVERYTHING = "__ALL__"
+NAME_ATTR = "name"
+PRIVACY_ATTR = "custpriv"
+SIZE_PREFIXES = ("si_sz_", "scopeinv_size_")
 
 
 def longest_literal(pattern: str) -> str:
@@ -349,15 +354,23 @@ class ThresholdRule:
 def threshold_match(
     assets: DataFrame, closure: DataFrame, attrs: DataFrame, rules: Sequence[ThresholdRule],
     account_conditions: Mapping[str, Sequence[tuple[str, str]]], customer_level: str = "c",
+    restricted: Collection[str] = (),
 ) -> DataFrame:
     """One threshold row per asset and stat name, the first rule that holds.
 
     A rule holds if its pattern matches the asset's id (or name), ignoring case,
     and, for every (level, pattern) of its account, some ancestor at that level
-    matches; the asset must also have a customer.
+    matches; the asset must also have a customer. For ``restricted`` accounts an
+    asset that has a privacy attribute must carry a T in it.
     """
-    names = attrs.where("key = 'name'").groupBy("level", "id").agg(F.min("val").alias("name"))
-    conds = sorted({c for cs in account_conditions.values() for c in cs if c[1] != "__ALL__"})
+    own = F.when(F.col("key") == NAME_ATTR, F.col("val"))
+    priv = F.when(F.col("key") == PRIVACY_ATTR, F.col("val"))
+    names = (
+        attrs.where(F.col("key").isin(NAME_ATTR, PRIVACY_ATTR))
+        .groupBy("level", "id")
+        .agg(F.min(own).alias("name"), F.min(priv).alias("__priv"))
+    )
+    conds = sorted({c for cs in account_conditions.values() for c in cs if c[1] != EVERYTHING})
     bit = {c: 1 << i for i, c in enumerate(conds)}
     met = F.lit(0).cast("long")
     for (lv, rx), b in bit.items():
@@ -379,6 +392,8 @@ def threshold_match(
             p = subject.rlike(f"(?i)^(?:{r.pattern})$") if r.regex else (F.lower(subject) == r.pattern.lower())
             need = sum(bit[c] for c in account_conditions.get(r.account, ()) if c in bit)
             p = p & (F.col("__met").bitwiseAND(F.lit(need)) == need)
+            if r.account in restricted:
+                p = p & (F.col("__priv").isNull() | F.contains("__priv", F.lit("T")))
             val = F.struct(F.lit(stat).alias("stat"), F.lit(r.spec).alias("spec"), F.lit(r.account).alias("account"))
             ladder = F.when(truth(p), val) if ladder is None else ladder.when(truth(p), val)
         hits.append(ladder)
@@ -399,8 +414,9 @@ def profile_expand(assets: DataFrame, attrs: DataFrame, rules: DataFrame, defaul
         assets.select("level", "id").join(defaults, "level").select("level", "id", "key", "spec")
     )
     fan = F.contains("spec", F.lit("%")) & ~F.contains("key", F.lit("."))
-    inst = F.regexp_extract("__attr", "^(?:si_sz_|scopeinv_size_)(.*)$", 1)
-    sizes = attrs.where("key like 'si\\_sz\\_%' or key like 'scopeinv\\_size\\_%'").select(
+    inst = F.regexp_extract("__attr", f"^(?:{'|'.join(SIZE_PREFIXES)})(.*)$", 1)
+    sized = F.startswith(F.col("key"), F.lit(SIZE_PREFIXES[0])) | F.startswith(F.col("key"), F.lit(SIZE_PREFIXES[1]))
+    sizes = attrs.where(sized).select(
         "level", "id", F.col("key").alias("__attr"), F.col("val").alias("__size")
     )
     plain = spec.where(~fan)

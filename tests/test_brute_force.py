@@ -494,3 +494,41 @@ def test_combining_seconds_keeps_the_groups(spark):
     hit = out[out["rule"].notna()].iloc[0]
     assert len(out) == 2 and (hit["seq"], hit["severity"], hit["n"], hit["step"]) == (2, 2, 3, 3)
     assert out[out["rule"].isna()].iloc[0]["timeissued"] == 9
+
+
+def test_thresholds_of_restricted_accounts(spark):
+    assets = spark.createDataFrame([("o", "1"), ("o", "2"), ("o", "3")], "level string, id string")
+    up = spark.createDataFrame([("o", str(i), "c", "cust") for i in (1, 2, 3)], "level1 string, id1 string, level2 string, id2 string")
+    attrs = spark.createDataFrame([("o", "1", "custpriv", "xT"), ("o", "2", "custpriv", "x")], "level string, id string, key string, val string")
+    rule = joins.ThresholdRule("cpu", "spec", ".*", account="a")
+
+    def matched(**kw):
+        out = joins.threshold_match(assets, up, attrs, [rule], {"a": [("c", "cust")]}, **kw)
+        return sorted(r.id for r in out.collect())
+
+    assert matched() == ["1", "2", "3"]
+    assert matched(restricted={"a"}) == ["1", "3"]
+
+
+def test_event_elements_keep_malformed_lines_apart(spark):
+    from opsloom.sources.readers import parse_event_xml
+
+    good = "<stat><rt>5</rt><lv>o</lv><id>a&#x26;b</id><key>cpu</key><num>1.5</num></stat>"
+    bad = ["<stat><rt>5</rt>", "noise", "<stat><rt>x</rt></stat>", "<alarm><ti>1</ti></alarm>"]
+    ok, rest = parse_event_xml(spark.createDataFrame([(x,) for x in [good, *bad]], "value string"), "stat")
+    assert [(r.timeissued, r.id, r.val, r.label) for r in ok.collect()] == [(5, "a&b", 1.5, "")]
+    assert sorted(r.value for r in rest.collect()) == sorted(bad)
+
+
+def test_delimited_escapes_and_skips(spark, tmp_path):
+    from opsloom.model import struct
+    from opsloom.sources.readers import parse_delimited, read_delimited
+
+    schema = struct("a string, b int")
+    lines = spark.createDataFrame([(r"x\|y|7",), ("only",), ("p|q|r",)], "value string")
+    got = [tuple(r) for r in parse_delimited(lines, schema, "|", "simple").collect()]
+    assert got == [("x|y", 7), ("only", None), ("p", None)]
+    for i in (1, 2):
+        (tmp_path / f"f{i}").write_text(f"title\nmore\nr{i};{i}\n")
+    got = sorted(tuple(r) for r in read_delimited(spark, str(tmp_path), schema, ";", skip=2).collect())
+    assert got == [("r1", 1), ("r2", 2)]

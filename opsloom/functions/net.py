@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+import socket
 from collections.abc import Callable
 
 import pandas as pd
@@ -87,21 +88,22 @@ def in_prefix(addr: Column, prefix: str) -> Column:
 
 @F.pandas_udf(T.BinaryType())
 def ip6_parse(text: pd.Series) -> pd.Series:
-    """Colon text to 16 bytes; an IPv4 text gives its mapped address."""
+    """Colon text to 16 bytes; an IPv4 text gives its mapped address, other text NULL."""
 
     def one(s):
         try:
-            a = ipaddress.ip_address(s)
-        except ValueError:
+            if ":" in s:
+                return socket.inet_pton(socket.AF_INET6, s)
+            return b"\0" * 10 + b"\xff\xff" + socket.inet_pton(socket.AF_INET, s)
+        except OSError:
             return None
-        return a.packed if a.version == 6 else ipaddress.IPv6Address(f"::ffff:{a}").packed
 
     return text.map(one, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
 def ip6_format(addr: pd.Series) -> pd.Series:
-    return addr.map(lambda b: str(ipaddress.IPv6Address(bytes(b))), na_action="ignore")
+    return addr.map(lambda b: socket.inet_ntop(socket.AF_INET6, b), na_action="ignore")
 
 
 # --- AS paths -----------------------------------------------------------------

@@ -14,20 +14,20 @@ HTML_SPECIALS = "&;%|'\"<>\\"
 URL_SPECIALS = " +%;&|'\"<>\\"
 
 
-def _runs(c: Column, plain: str, special: str, encode) -> Column:
-    """Split into runs of plain text and single specials, and rewrite the latter."""
-    runs = F.regexp_extract_all(c, F.lit(f"(?s)({plain}|{special})"), F.lit(1))
-    return F.array_join(
-        F.transform(runs, lambda r: F.when(r.rlike(f"(?s)^{special}$"), encode(r)).otherwise(r)), ""
-    )
+def _runs(c: Column, runs: str, special: str, rewrite) -> Column:
+    """Cut into runs by a pattern and rewrite those that are special."""
+    parts = F.regexp_extract_all(c, F.lit(f"({runs})"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda r: F.when(r.rlike(special), rewrite(r)).otherwise(r)), "")
 
 
 def url_enc(c: Column) -> Column:
     """``%HH`` for specials and bytes outside printable ASCII; line ends become blanks."""
     flat = F.translate(c, "\n\r", "  ")
-    special = f"(?:[{re.escape(URL_SPECIALS)}]|[^ -~])"
-    plain = f"(?:(?!{special})[\\s\\S])+"
-    return _runs(flat, plain, special, lambda r: F.replace(F.url_encode(r), F.lit("+"), F.lit("%20")))
+    plain = f"[!-~&&[^{re.escape(URL_SPECIALS.strip())}]]"
+    other = f"[^!-~{re.escape(URL_SPECIALS.strip())}]|[{re.escape(URL_SPECIALS.strip())}]"
+    return _runs(
+        flat, f"{plain}+|(?:{other})+", f"^(?:{other})", lambda r: F.replace(F.url_encode(r), F.lit("+"), F.lit("%20"))
+    )
 
 
 def url_dec(c: Column) -> Column:
@@ -45,8 +45,9 @@ def html_enc(c: Column) -> Column:
 
 def html_dec(c: Column) -> Column:
     special = "&#x[0-9A-Fa-f]{2};"
-    plain = f"(?:(?!{special})[\\s\\S])+"
-    return _runs(c, plain, special, lambda r: F.char(F.conv(F.substring(r, 4, 2), 16, 10).cast("int")))
+    return _runs(
+        c, f"[^&]+|{special}|&", f"^{special}$", lambda r: F.char(F.conv(F.substring(r, 4, 2), 16, 10).cast("int"))
+    )
 
 
 def simple_enc(c: Column, separators: str = "|") -> Column:

@@ -139,10 +139,10 @@ scored AS (SELECT f.level, f.id, f.key, f.seq, f.timeissued, f.val, p.frame, p.m
   FROM framed f JOIN profile p ON f.level = p.level AND f.id = p.id AND f.key = p.key AND f.frame // 72 = p.frame)"""
 
 
-@query("sigma_score", f"WITH {SCORED} SELECT seq, frame, round(sigma, 6) AS sigma, round(actual, 9) AS actual FROM scored WHERE sdev > 0.01 OR sdev = 0")
+@query("sigma_score", f"WITH {SCORED} SELECT seq, frame, round(sigma, 4) AS sigma, round(actual, 9) AS actual FROM scored WHERE sdev > 0.01 OR sdev = 0")
 def sigma_score(spark, sf):
     out = stats.sigma_score(_quarter(spark, sf), _profile(spark, sf)).where("sdev > 0.01 or sdev = 0")
-    return out.select("seq", "frame", F.round("sigma", 6).alias("sigma"), F.round("actual", 9).alias("actual"))
+    return out.select("seq", "frame", F.round("sigma", 4).alias("sigma"), F.round("actual", 9).alias("actual"))
 
 
 SPEC = "VR:i:5:n:;SIGMA:i:1.5:n::1:1:2:1:21600;ACTUAL:e:30.1234567:i:90.7654321:2:2:3:2:86400;SIGMA:i:0.8:e:1.5:3:2:3:1:0;CLEAR:5:2:3"

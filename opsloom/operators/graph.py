@@ -158,7 +158,7 @@ def map_check(nodes: DataFrame, maps: DataFrame, required: Sequence[tuple[str, s
 # --- components ----------------------------------------------------------------------
 
 
-def _components(edges: DataFrame, max_rounds: int) -> DataFrame:
+def number_components(edges: DataFrame) -> DataFrame:
     """(u, v) edges over numbers to (node, root); large-star/small-star.
 
     Every round hooks neighbours to the smallest label seen, so the number of
@@ -167,9 +167,7 @@ def _components(edges: DataFrame, max_rounds: int) -> DataFrame:
     split when a hub holds a large share of the edges.
     """
     cur = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(max_rounds):
-        if _is_star_forest(cur):
-            break
+    while not _is_star_forest(cur):
         und = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = und.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = und.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -177,8 +175,6 @@ def _components(edges: DataFrame, max_rounds: int) -> DataFrame:
         pairs = F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))
         small = large.join(low, "u").select(F.explode(pairs).alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v"))
         cur = stored(small.where("u <> v").distinct())
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
@@ -193,7 +189,7 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return not per.agg(F.max(bad)).first()[0]
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Component of every node that has an edge to another: its smallest (level, id), and the size.
 
     Nodes are numbered once in (level, id) order. The rounds then move and compare
@@ -209,7 +205,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         return nodes.select(F.col("level").alias(f"level{i}"), F.col("id").alias(f"id{i}"), F.col("n").alias(name))
 
     numbered = e.join(end(1, "u"), ["level1", "id1"]).join(end(2, "v"), ["level2", "id2"]).select("u", "v")
-    cc = _components(numbered, max_rounds)
+    cc = number_components(numbered)
     size = cc.groupBy("root").agg(F.count(F.lit(1)).alias("ndn"))
     node = nodes.select(F.col("level").alias("ndlevel"), F.col("id").alias("ndid"), F.col("n").alias("node"))
     root = nodes.select(F.col("level").alias("cclevel"), F.col("id").alias("ccid"), F.col("n").alias("root"))

@@ -38,9 +38,9 @@ def resolve(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     equal. Extra columns are not read.
     """
     rows = _rows(docs)
-    sizes = stored(rows.select("len", "pre"), "dedup-sizes")
-    lengths = sizes.groupBy("len").count().where("count > 1").select("len")
-    keys = sizes.join(lengths, "len", "left_semi").groupBy("len", "pre").count().where("count > 1")
+    sizes = stored(rows.groupBy("len", "pre").count(), "dedup-sizes")  # summed in the map tasks: no length is hot
+    lengths = sizes.groupBy("len").agg(F.sum("count").alias("n")).where("n > 1").select("len")
+    keys = sizes.join(lengths, "len", "left_semi").where("count > 1")
     keys = stored(keys.select(F.col("len").alias("k_len"), F.col("pre").alias("k_pre")), "dedup-keys")
     shared = F.col("k_len").isNotNull()
     full = F.unhex(F.sha2("body", 256))

@@ -15,10 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from ..operators.graph import number_components
 from ..session import stored
@@ -49,12 +47,17 @@ class Measure:
 
 
 class PrefixTree:
-    """A compressed trie over ascending arrays: a node is a run of the sorted sets."""
+    """A compressed trie over ascending arrays: a node is a run of the sorted sets.
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+    ``sizes`` are the sizes of the sets of which the arrays are the smallest elements;
+    without it the arrays are the sets.
+    """
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray | None = None):
+        self.order = np.array(sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes()), np.int64)
         self.sets = [sets[i] for i in self.order]
-        size = np.array([len(s) for s in self.sets])
+        held = np.array([len(s) for s in self.sets], np.int64)
+        self.size = held if sizes is None else sizes[self.order]
         lcp = np.array([_common(a, b) for a, b in zip(self.sets[:-1], self.sets[1:], strict=True)], np.int64)
         self.lo, self.hi, self.begin, self.end, self.least, self.most, self.below = [], [], [], [], [], [], []
         todo = [(0, len(sets), 0, -1)]
@@ -63,10 +66,10 @@ class PrefixTree:
             node = len(self.lo)
             if parent >= 0:
                 self.below[parent].append(node)
-            end = int(lcp[lo : hi - 1].min()) if hi - lo > 1 else len(self.sets[lo])
+            end = int(lcp[lo : hi - 1].min()) if hi - lo > 1 else int(held[lo])
             for column, value in (
                 (self.lo, lo), (self.hi, hi), (self.begin, depth), (self.end, end),
-                (self.least, int(size[lo:hi].min())), (self.most, int(size[lo:hi].max())), (self.below, []),
+                (self.least, int(self.size[lo:hi].min())), (self.most, int(self.size[lo:hi].max())), (self.below, []),
             ):
                 column.append(value)
             if hi - lo > 1:
@@ -74,39 +77,47 @@ class PrefixTree:
                 todo += [(a, b, end, node) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def link(self, labels: np.ndarray, measure: Measure) -> np.ndarray:
-        """Labels of the sets, in the order given, joined along all links; equal labels at the start are linked."""
-        lab = labels[np.array(self.order, np.int64)]
+        """Labels of the sets, in the order given, joined along all links; equal labels at the start are linked.
+
+        Of sets that are known in part, all that may link are joined: what lies behind the
+        last element known of either can be shared.
+        """
+        lab = labels[self.order]
         num, den = measure.num, measure.den
         for x, own in enumerate(self.sets):
-            nx = len(own)
-            todo = [(0, 0, 0)]
+            nx, last = int(self.size[x]), own[-1]
+            todo = [(0, 0, 0, 0)]
             while todo:
-                node, overlap, used = todo.pop()
+                # of x and of the sets below: elements that are the same, and elements passed
+                node, same, mine, theirs = todo.pop()
                 lo, hi, begin, end = self.lo[node], self.hi[node], self.begin[node], self.end[node]
                 if hi <= x + 1 or (lab[max(lo, x + 1) : hi] == lab[x]).all():
                     continue
                 least, most = self.least[node], self.most[node]
                 if most * den < num * nx or least * num > den * nx:
                     continue
-                best = overlap + min(nx - used, most - begin)
+                best = same + min(nx - mine, most - theirs)
                 if den * best < num * (nx + least - best):
                     continue
                 part = self.sets[lo][begin:end]
-                if len(part):
+                if len(part) and theirs == begin:
                     at = np.searchsorted(own, part)
-                    same = own[np.minimum(at, nx - 1)] == part
-                    overlap += int(np.count_nonzero(same))
-                    used = int(at[-1]) + bool(same[-1])
-                if hi - lo == 1:
-                    if den * overlap >= num * (nx + end - overlap):
-                        a, b = sorted((lab[x], lab[lo]))
-                        lab[lab == b] = a
+                    equal = own[np.minimum(at, len(own) - 1)] == part
+                    same += int(np.count_nonzero(equal))
+                    if part[-1] <= last:
+                        mine, theirs = int(at[-1]) + bool(equal[-1]), end
+                    else:
+                        mine, theirs = len(own), begin + int(np.searchsorted(part, last, "right"))
+                best = same + min(nx - mine, most - theirs)
+                if den * best < num * (nx + least - best):
                     continue
-                best = overlap + min(nx - used, most - end)
-                if den * best >= num * (nx + least - best):
-                    todo += [(child, overlap, used) for child in self.below[node]]
+                if hi - lo == 1:
+                    a, b = sorted((lab[x], lab[lo]))
+                    lab[lab == b] = a
+                else:
+                    todo += [(child, same, mine, theirs) for child in self.below[node]]
         out = np.empty_like(lab)
-        out[np.array(self.order, np.int64)] = lab
+        out[self.order] = lab
         return out
 
 
@@ -152,28 +163,8 @@ def _signatures(measure: Measure):
     return run
 
 
-def _join_groups(measure: Measure, keys: tuple[str, ...]):
-    """Rows (keys, set_id, label, f1, f2, text), sorted by keys, to (keys, set_id, label, linked) per group.
-
-    A task holds one group at a time. Rows whose text is not the set's (another row with the
-    same doc_id) are left out.
-    """
-
-    def join(group: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(group)
-        ids, first = np.unique(table.column("set_id").to_numpy(), return_index=True)
-        texts = table.column("text").combine_chunks()
-        sets = [s for i in range(0, len(texts), 256) for s in gram_sets(texts.slice(i, 256), measure.words)]
-        n = np.array([len(s) for s in sets], np.int64)
-        f1, f2 = _fingerprints(np.concatenate(sets), np.concatenate(([0], np.cumsum(n))))
-        right = (f1 == table.column("f1").to_numpy()) & (f2 == table.column("f2").to_numpy())
-        at = np.flatnonzero(right)
-        _, once = np.unique(table.column("set_id").to_numpy()[at], return_index=True)
-        at = at[once]
-        labels = table.column("label").to_numpy()[at]
-        linked = PrefixTree([sets[i] for i in at]).link(labels.copy(), measure) if len(at) else labels
-        out = table.select([*keys, "set_id", "label"]).take(pa.array(at)).combine_chunks()
-        return pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in out.columns], pa.array(linked)], [*out.schema.names, "linked"])
+def _by_group(keys: tuple[str, ...], join):
+    """A function over batches sorted by ``keys`` that gives ``join`` one group at a time, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, now = [], None
@@ -185,26 +176,74 @@ def _join_groups(measure: Measure, keys: tuple[str, ...]):
                     continue
                 key = tuple(cols[a])
                 if group and key != now:
-                    yield join(group)
+                    yield join(pa.Table.from_batches(group))
                     group = []
                 now = key
                 group.append(batch.slice(a, b - a))
         if group:
-            yield join(group)
+            yield join(pa.Table.from_batches(group))
 
     return run
 
 
+def _linked(table: pa.Table, at: np.ndarray, linked: np.ndarray) -> pa.RecordBatch:
+    ids, labels = (pa.array(table.column(c).to_numpy()[at]) for c in ("set_id", "label"))
+    return pa.RecordBatch.from_arrays([ids, labels, pa.array(linked)], ["set_id", "label", "linked"])
+
+
+def _join_texts(measure: Measure):
+    """A group (set_id, label, f1, f2, text) to (set_id, label, linked) by the sets of the texts.
+
+    Rows whose text is not the set's (another row with the same doc_id) are left out.
+    """
+
+    def join(table: pa.Table) -> pa.RecordBatch:
+        texts = table.column("text").combine_chunks()
+        sets = [s for i in range(0, len(texts), 256) for s in gram_sets(texts.slice(i, 256), measure.words)]
+        n = np.array([len(s) for s in sets], np.int64)
+        f1, f2 = _fingerprints(np.concatenate(sets), np.concatenate(([0], np.cumsum(n))))
+        at = np.flatnonzero((f1 == table.column("f1").to_numpy()) & (f2 == table.column("f2").to_numpy()))
+        _, once = np.unique(table.column("set_id").to_numpy()[at], return_index=True)
+        at = at[once]
+        labels = table.column("label").to_numpy()[at]
+        return _linked(table, at, PrefixTree([sets[i] for i in at]).link(labels, measure) if len(at) else labels)
+
+    return join
+
+
+def _join_signatures(measure: Measure):
+    """A group (set_id, label, n, low) to (set_id, label, linked) by what the signatures leave possible."""
+
+    def join(table: pa.Table) -> pa.RecordBatch:
+        _, at = np.unique(table.column("set_id").to_numpy(), return_index=True)
+        low = table.column("low").combine_chunks()
+        sets = [low[int(i)].values.to_numpy().view(np.uint64) for i in at]
+        tree = PrefixTree(sets, table.column("n").to_numpy()[at])
+        return _linked(table, at, tree.link(table.column("label").to_numpy()[at], measure))
+
+    return join
+
+
 # --- the join -----------------------------------------------------------------------
 
 
-def _grouped_join(docs: DataFrame, members: DataFrame, keys: tuple[str, ...], measure: Measure) -> DataFrame:
+_LINKED = "set_id long, label long, linked long"
+
+
+def _by_text(docs: DataFrame, members: DataFrame, keys: tuple[str, ...], measure: Measure) -> DataFrame:
     """Fetch the texts of ``members`` (keys, set_id, label, first_doc, f1, f2) and join each group."""
     texts = docs.select(F.col("doc_id").alias("__i"), "text")
     rows = texts.join(counted(members), F.col("__i") == F.col("first_doc")).select(*keys, "set_id", "label", "f1", "f2", "text")
-    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in (*keys, "set_id", "label", "linked")]])
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "set_id")
-    return dealt.mapInArrow(_join_groups(measure, keys), schema)
+    return dealt.mapInArrow(_by_group(keys, _join_texts(measure)), _LINKED)
+
+
+def _pairs_of_chunks(at: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(gram, a, b, set_id, label): the sets of each shingle in ``sizes`` (gram, c, g), as pairs of chunks if they are many."""
+    at = at.join(sizes.select("gram", _parts("c", "g").alias("parts")), "gram")
+    at = at.withColumn("x", F.pmod(F.xxhash64("set_id"), F.col("parts")))
+    at = at.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return at.select("gram", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "set_id", "label")
 
 
 def _parts(n: str, grams: str) -> F.Column:
@@ -243,10 +282,12 @@ def components(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     are not read. An empty table gives an empty table.
 
     Steps: signatures; documents with one set become one set; prefix shingles; blocks
-    (components of sets over shared prefix shingles); the tree join in blocks. Blocks are
-    cut into chunks of bounded size that all hold the block's first and last set; if
-    sets of a cut block are still apart and share a prefix shingle, they meet
-    in another tree join, by shingle, cut into pairs of chunks. Shingles are 64-bit hashes.
+    (components of sets over shared prefix shingles); large blocks are split by a tree join
+    of the signatures; the tree join of the sets in blocks. Blocks that are still large are
+    cut into chunks that all hold the block's first and last set; sets that are
+    apart after that and share a prefix shingle meet in another tree join, by
+    shingle. Every group that a task holds is bounded; larger ones go as
+    pairs of chunks. Shingles are 64-bit hashes.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sig = text.mapInArrow(_signatures(measure), "doc_id long, n long, keep long, f1 long, f2 long, low array<long>")
@@ -258,7 +299,7 @@ def components(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     hubs = keys.groupBy("gram").agg(F.min("set_id").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1").select("gram", "v")
     star = keys.join(hubs, "gram").where("set_id <> v").select(F.col("set_id").alias("u"), "v").distinct()
     blocks = stored(number_components(star).select(F.col("node").alias("set_id"), F.col("root").alias("block")), "jaccard-blocks")
-    links = _block_links(text, sets, keys, blocks, measure)
+    links = _block_links(text, sets, keys, _split(sig, sets, keys, blocks, measure), measure)
     roots = number_components(links).select(F.col("node").alias("set_id"), "root")
     owner = sets.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     owner = stored(owner.select("f1", "f2", "n", "root", "first_doc"), "jaccard-owners")
@@ -283,6 +324,28 @@ def _same_ids(rows: DataFrame) -> DataFrame:
     return rows.join(merged, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "component_id").alias("component_id"))
 
 
+def _split(sig: DataFrame, sets: DataFrame, keys: DataFrame, blocks: DataFrame, measure: Measure) -> DataFrame:
+    """Blocks of more than one chunk, cut to the sets that may link by their signatures; other blocks as they are.
+
+    Sets that share frequent passages hang together in large blocks. Per shingle their
+    signatures are joined over a tree; few of them can reach the overlap.
+    """
+    size = blocks.join(sets.select("set_id", "n"), "set_id").groupBy("block").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("g"))
+    large = size.where(_parts("c", "g") > 1).select("block")
+    inside = stored(blocks.join(large, "block", "left_semi"), "jaccard-large")
+    if inside.isEmpty():
+        return blocks
+    at = keys.join(inside.select("set_id"), "set_id", "left_semi").withColumn("label", F.col("set_id"))
+    sizes = at.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("g")).where("c > 1")
+    at = _pairs_of_chunks(at, sizes)
+    low = sig.select(F.col("rid").alias("set_id"), "n", "low").join(inside.select("set_id"), "set_id", "left_semi")
+    dealt = at.join(low, "set_id").repartition("gram", "a", "b").sortWithinPartitions("gram", "a", "b", "set_id")
+    may = dealt.select("gram", "a", "b", "set_id", "label", "n", "low").mapInArrow(_by_group(("gram", "a", "b"), _join_signatures(measure)), _LINKED)
+    may = may.where("set_id <> linked").select(F.col("set_id").alias("u"), F.col("linked").alias("v")).distinct()
+    cut = number_components(may).select(F.col("node").alias("set_id"), F.col("root").alias("block"))
+    return stored(blocks.join(inside.select("set_id"), "set_id", "left_anti").unionByName(cut), "jaccard-split")
+
+
 def _block_links(text: DataFrame, sets: DataFrame, keys: DataFrame, blocks: DataFrame, measure: Measure) -> DataFrame:
     """(u, v) numbers of sets that spans all links."""
     facts = sets.select("set_id", "n", "first_doc", "f1", "f2")
@@ -295,23 +358,21 @@ def _block_links(text: DataFrame, sets: DataFrame, keys: DataFrame, blocks: Data
     members = members.withColumn("chunk", F.explode(F.when(hub, every).otherwise(own)))
     members = members.join(facts, "set_id").withColumn("label", F.col("set_id"))
     members = stored(members.select("block", "chunk", "parts", "set_id", "label", "first_doc", "f1", "f2"), "jaccard-members")
-    local = stored(_grouped_join(text, members.drop("parts"), ("block", "chunk"), measure), "jaccard-local")
+    local = stored(_by_text(text, members.drop("parts"), ("block", "chunk"), measure), "jaccard-local")
     links = local.where("set_id <> linked").select(F.col("set_id").alias("u"), F.col("linked").alias("v"))
-    cut = members.where("parts > 1").select("set_id").distinct()
+    cut = stored(members.where("parts > 1").select("set_id", "block").distinct(), "jaccard-chunked")
     if cut.isEmpty():
         return links
-    roots = number_components(links).select(F.col("node").alias("set_id"), "root")
-    now = stored(cut.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "jaccard-cut")
-    at = keys.select("gram", "set_id", "n").join(now, "set_id")
-    apart = at.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("g"))
-    apart = stored(apart.where("a <> b").select("gram", _parts("c", "g").alias("parts")), "jaccard-apart")
+    roots = number_components(links).select(F.col("node").alias("set_id"), F.col("root").alias("label"))
+    now = cut.join(roots, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    # sets of one block that are still apart, by the shingles that they share
+    at = stored(keys.select("gram", "set_id", "n").join(now, "set_id"), "jaccard-cut")
+    apart = at.groupBy("gram").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("g"))
+    apart = stored(apart.where("p <> q").select("gram", "c", "g"), "jaccard-apart")
     if apart.isEmpty():
         return links
-    at = at.join(apart, "gram").withColumn("x", F.pmod(F.xxhash64("set_id"), F.col("parts")))
-    at = at.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    at = at.select("gram", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "set_id", F.col("root").alias("label"))
-    at = stored(at.join(facts.drop("n"), "set_id"), "jaccard-again")
-    more = stored(_grouped_join(text, at, ("gram", "a", "b"), measure), "jaccard-more")
+    again = stored(_pairs_of_chunks(at, apart).join(facts.drop("n"), "set_id"), "jaccard-again")
+    more = stored(_by_text(text, again, ("gram", "a", "b"), measure), "jaccard-more")
     return links.unionByName(more.where("label <> linked").select(F.col("label").alias("u"), F.col("linked").alias("v")).distinct())
 
 

@@ -37,10 +37,10 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = (
-        sources.where("weight > 0")
+        sources.withColumn("total", F.sum("source_size").over(every) * F.lit(float(share)))
+        .where("weight > 0")
         .withColumn("cap", cap)
         .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(every) * F.lit(float(share)))
         .withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("clamped", F.col("cap") <= F.col("weight") * (F.col("left") / F.sum("weight").over(after)))
     )

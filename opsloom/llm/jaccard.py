@@ -23,7 +23,8 @@ from ..session import stored
 from .sizes import counted
 from .tokens import bounds, gram_sets, list_column, mix64, shingles, slices, words
 
-CHUNK_SETS, CHUNK_GRAMS = 1024, 2_000_000
+#: Sets and shingles of a group that one task joins at a time.
+CHUNK_SETS, CHUNK_GRAMS = 4096, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -76,6 +77,22 @@ class PrefixTree:
                 cuts = [lo, *(lo + 1 + np.flatnonzero(lcp[lo : hi - 1] == end)).tolist(), hi]
                 todo += [(a, b, end, node) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+        self.leaves = [self._leaves(node) for node in range(len(self.lo))]
+
+    def _leaves(self, node: int) -> _Leaves | None:
+        """The sets that hang directly on a node, side by side; inner nodes stay in ``below``."""
+        single = [c for c in self.below[node] if self.hi[c] - self.lo[c] == 1]
+        if not single:
+            return None
+        self.below[node] = [c for c in self.below[node] if self.hi[c] - self.lo[c] > 1]
+        at = np.array(sorted(self.lo[c] for c in single), np.int64)
+        end = self.end[node]
+        tails = [self.sets[i][end:] for i in at]
+        return _Leaves(
+            at, np.concatenate(tails), np.concatenate(([0], np.cumsum([len(t) for t in tails]))).astype(np.int64),
+            np.array([self.sets[i][-1] for i in at]), np.array([len(self.sets[i]) for i in at], np.int64), self.size[at],
+        )
+
     def link(self, labels: np.ndarray, measure: Measure) -> np.ndarray:
         """Labels of the sets, in the order given, joined along all links; equal labels at the start are linked.
 
@@ -84,6 +101,8 @@ class PrefixTree:
         """
         lab = labels[self.order]
         num, den = measure.num, measure.den
+        if len(self.sets) < 2:
+            return labels
         for x, own in enumerate(self.sets):
             nx, last = int(self.size[x]), own[-1]
             todo = [(0, 0, 0, 0)]
@@ -111,16 +130,55 @@ class PrefixTree:
                 best = same + min(nx - mine, most - theirs)
                 if den * best < num * (nx + least - best):
                     continue
-                if hi - lo == 1:
-                    a, b = sorted((lab[x], lab[lo]))
-                    lab[lab == b] = a
-                else:
-                    todo += [(child, same, mine, theirs) for child in self.below[node]]
+                if self.leaves[node] is not None:
+                    for y in self.leaves[node].near(x, own, nx, lab, same, mine, theirs, theirs == end, measure):
+                        a, b = sorted((lab[x], lab[y]))
+                        if a != b:
+                            lab[lab == b] = a
+                todo += [(child, same, mine, theirs) for child in self.below[node]]
         out = np.empty_like(lab)
         out[self.order] = lab
         return out
 
 
+@dataclass(frozen=True)
+class _Leaves:
+    """Sets below one node: place, what follows the common part, last element, elements known and in all."""
+
+    at: np.ndarray
+    flat: np.ndarray
+    cut: np.ndarray
+    last: np.ndarray
+    held: np.ndarray
+    size: np.ndarray
+
+    def near(self, x: int, own, nx: int, lab, same: int, mine: int, theirs: int, on: bool, measure: Measure) -> np.ndarray:
+        """Places of those behind x that link with it and have another label."""
+        num, den = measure.num, measure.den
+        best = same + np.minimum(nx - mine, self.size - theirs)
+        use = (self.at > x) & (lab[self.at] != lab[x]) & (den * best >= num * (nx + self.size - best))
+        use &= (self.size * den >= num * nx) & (self.size * num <= den * nx)
+        pick = np.flatnonzero(use)
+        if not len(pick):
+            return pick
+        size, shared, passed, used = self.size[pick], np.full(len(pick), same), np.full(len(pick), theirs), np.full(len(pick), mine)
+        if on:
+            length = self.cut[pick + 1] - self.cut[pick]
+            if len(pick) == len(self.at):
+                values = self.flat
+            else:
+                values = np.concatenate([self.flat[self.cut[i] : self.cut[i + 1]] for i in pick])
+            row = np.repeat(np.arange(len(pick)), length)
+            equal = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+            shared = same + np.bincount(row[equal], minlength=len(pick))
+            whole = self.last[pick] <= own[-1]
+            inside = np.bincount(row[values <= own[-1]], minlength=len(pick))
+            passed = np.where(whole, self.held[pick], theirs + inside)
+            used = np.where(whole, np.searchsorted(own, self.last[pick], "right"), len(own))
+        best = shared + np.minimum(nx - used, size - passed)
+        return self.at[pick[den * best >= num * (nx + size - best)]]
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     m = min(len(a), len(b))
     differ = np.flatnonzero(a[:m] != b[:m])
@@ -239,11 +297,11 @@ def _by_text(docs: DataFrame, members: DataFrame, keys: tuple[str, ...], measure
 
 
 def _pairs_of_chunks(at: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(gram, a, b, set_id, label): the sets of each shingle in ``sizes`` (gram, c, g), as pairs of chunks if they are many."""
+    """(gram, a, b, set_id, label, n): the sets of each shingle in ``sizes`` (gram, c, g), as pairs of chunks if they are many."""
     at = at.join(sizes.select("gram", _parts("c", "g").alias("parts")), "gram")
     at = at.withColumn("x", F.pmod(F.xxhash64("set_id"), F.col("parts")))
     at = at.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    return at.select("gram", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "set_id", "label")
+    return at.select("gram", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "set_id", "label", "n")
 
 
 def _parts(n: str, grams: str) -> F.Column:
@@ -324,26 +382,56 @@ def _same_ids(rows: DataFrame) -> DataFrame:
     return rows.join(merged, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "component_id").alias("component_id"))
 
 
+def _ranked(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """The keys of some sets (set_id), numbered by hash within each set."""
+    some = keys.join(counted(sets.select("set_id")), "set_id", "left_semi")
+    # the keys of one set
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("set_id").orderBy("gram")))
+
+
+def _apart(keys: DataFrame, labels: DataFrame, take: int | None) -> tuple[DataFrame, DataFrame]:
+    """The first ``take`` keys per set (all) with labels, and the size of each shingle whose sets have several."""
+    at = (keys if take is None else keys.where(F.col("rank") <= take)).join(labels, "set_id")
+    sizes = at.groupBy("gram").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("g"))
+    return at, stored(sizes.where("p <> q").select("gram", "c", "g"), "jaccard-apart")
+
+
+def _relabelled(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(set_id, label): the smallest set that links lead to."""
+    roots = number_components(links).select(F.col("node").alias("set_id"), F.col("root").alias("label"))
+    out = sets.select("set_id").join(roots, "set_id", "left").select("set_id", F.coalesce("label", "set_id").alias("label"))
+    return stored(out, "jaccard-labels")
+
+
 def _split(sig: DataFrame, sets: DataFrame, keys: DataFrame, blocks: DataFrame, measure: Measure) -> DataFrame:
     """Blocks of more than one chunk, cut to the sets that may link by their signatures; other blocks as they are.
 
     Sets that share frequent passages hang together in large blocks. Per shingle their
-    signatures are joined over a tree; few of them can reach the overlap.
+    signatures are joined over a tree; few of them can reach the overlap. Two shingles per set
+    come first, then eight, then all: near copies find each other early, and shingles of which all
+    sets are together are not looked at again.
     """
     size = blocks.join(sets.select("set_id", "n"), "set_id").groupBy("block").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("g"))
     large = size.where(_parts("c", "g") > 1).select("block")
     inside = stored(blocks.join(large, "block", "left_semi"), "jaccard-large")
     if inside.isEmpty():
         return blocks
-    at = keys.join(inside.select("set_id"), "set_id", "left_semi").withColumn("label", F.col("set_id"))
-    sizes = at.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("g")).where("c > 1")
-    at = _pairs_of_chunks(at, sizes)
-    low = sig.select(F.col("rid").alias("set_id"), "n", "low").join(inside.select("set_id"), "set_id", "left_semi")
-    dealt = at.join(low, "set_id").repartition("gram", "a", "b").sortWithinPartitions("gram", "a", "b", "set_id")
-    may = dealt.select("gram", "a", "b", "set_id", "label", "n", "low").mapInArrow(_by_group(("gram", "a", "b"), _join_signatures(measure)), _LINKED)
-    may = may.where("set_id <> linked").select(F.col("set_id").alias("u"), F.col("linked").alias("v")).distinct()
-    cut = number_components(may).select(F.col("node").alias("set_id"), F.col("root").alias("block"))
-    return stored(blocks.join(inside.select("set_id"), "set_id", "left_anti").unionByName(cut), "jaccard-split")
+    low = sig.select(F.col("rid").alias("set_id"), "low").join(counted(inside.select("set_id")), "set_id", "left_semi")
+    low, own = stored(low, "jaccard-low"), stored(_ranked(keys, inside), "jaccard-ranked")
+    labels, links = inside.select("set_id", F.col("set_id").alias("label")), None
+    for take in (2, 8, None):
+        at, sizes = _apart(own, labels, take)
+        if sizes.isEmpty():
+            continue
+        rows = _pairs_of_chunks(at, sizes).join(low, "set_id")
+        dealt = rows.repartition("gram", "a", "b").sortWithinPartitions("gram", "a", "b", "set_id")
+        may = dealt.mapInArrow(_by_group(("gram", "a", "b"), _join_signatures(measure)), _LINKED)
+        may = stored(may.where("label <> linked").select(F.col("label").alias("u"), F.col("linked").alias("v")).distinct(), "jaccard-may")
+        links = may if links is None else links.unionByName(may)
+        labels = _relabelled(inside, links)
+    together = labels.groupBy("label").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("label")
+    cut = labels.join(together, "label", "left_semi").select("set_id", F.col("label").alias("block"))
+    return stored(blocks.join(counted(inside.select("set_id")), "set_id", "left_anti").unionByName(cut), "jaccard-split")
 
 
 def _block_links(text: DataFrame, sets: DataFrame, keys: DataFrame, blocks: DataFrame, measure: Measure) -> DataFrame:
@@ -360,20 +448,19 @@ def _block_links(text: DataFrame, sets: DataFrame, keys: DataFrame, blocks: Data
     members = stored(members.select("block", "chunk", "parts", "set_id", "label", "first_doc", "f1", "f2"), "jaccard-members")
     local = stored(_by_text(text, members.drop("parts"), ("block", "chunk"), measure), "jaccard-local")
     links = local.where("set_id <> linked").select(F.col("set_id").alias("u"), F.col("linked").alias("v"))
-    cut = stored(members.where("parts > 1").select("set_id", "block").distinct(), "jaccard-chunked")
+    cut = stored(members.where("parts > 1").select("set_id").distinct(), "jaccard-chunked")
     if cut.isEmpty():
         return links
-    roots = number_components(links).select(F.col("node").alias("set_id"), F.col("root").alias("label"))
-    now = cut.join(roots, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    # sets of one block that are still apart, by the shingles that they share
-    at = stored(keys.select("gram", "set_id", "n").join(now, "set_id"), "jaccard-cut")
-    apart = at.groupBy("gram").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("g"))
-    apart = stored(apart.where("p <> q").select("gram", "c", "g"), "jaccard-apart")
-    if apart.isEmpty():
-        return links
-    again = stored(_pairs_of_chunks(at, apart).join(facts.drop("n"), "set_id"), "jaccard-again")
-    more = stored(_by_text(text, again, ("gram", "a", "b"), measure), "jaccard-more")
-    return links.unionByName(more.where("label <> linked").select(F.col("label").alias("u"), F.col("linked").alias("v")).distinct())
+    # sets of cut blocks that are still apart, by the shingles that they share
+    own = stored(_ranked(keys, cut), "jaccard-ranked")
+    for take in (2, None):
+        at, sizes = _apart(own, _relabelled(cut, links), take)
+        if sizes.isEmpty():
+            continue
+        again = stored(_pairs_of_chunks(at, sizes).drop("n").join(facts.drop("n"), "set_id"), "jaccard-again")
+        more = _by_text(text, again, ("gram", "a", "b"), measure).where("label <> linked")
+        links = links.unionByName(stored(more.select(F.col("label").alias("u"), F.col("linked").alias("v")).distinct(), "jaccard-more"))
+    return links
 
 
 def dedup(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:

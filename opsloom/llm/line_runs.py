@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stored
+from .sizes import counted
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = " \t\n\x0b\x0c\r"
@@ -132,7 +133,7 @@ def dedup_lines(
     frequent = stored(frequent.select(F.col("key").alias("k"), "holder"), "line-verdicts")
     goes = table.join(frequent, F.col("key") == F.col("k")).where("doc_id <> holder")
     per_doc = stored(goes.groupBy("doc_id").agg(F.collect_set("key").alias("__gone")), "line-gone")
-    per_doc = per_doc.withColumnRenamed("doc_id", "__i")
+    per_doc = counted(per_doc.withColumnRenamed("doc_id", "__i"), weight=1 + F.size("__gone"))
     base = docs.drop("n_lines", "n_dropped", "kept_text")
     out = base.join(per_doc, F.col("doc_id") == F.col("__i"), "left")
     split = lines(F.col("text"))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a few fixed-size columns that may be sent to every executor (some tens of MB).
 BROADCAST_ROWS = 500_000
 
 
-def counted(stored_rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def counted(stored_rows: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """A written table of short rows, marked for broadcast if it has ``limit`` rows at most.
 
-    A larger one takes part in a shuffle join. The result is the same; the count comes
-    from the footers of the Parquet files.
+    A larger one takes part in a shuffle join; the result is the same. The count comes
+    from the footers of the Parquet files. ``weight`` is what a row counts for, if rows hold lists.
     """
-    return F.broadcast(stored_rows) if stored_rows.count() <= limit else stored_rows
+    size = stored_rows.count() if weight is None else stored_rows.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(stored_rows) if size <= limit else stored_rows

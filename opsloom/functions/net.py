@@ -8,13 +8,10 @@ from __future__ import annotations
 
 import ipaddress
 import re
-import socket
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 V4_BITS = 32
 V4_MAX = (1 << 32) - 1
@@ -86,24 +83,178 @@ def in_prefix(addr: Column, prefix: str) -> Column:
     return addr.between(int(net.network_address), int(net.broadcast_address))
 
 
-@F.pandas_udf(T.BinaryType())
-def ip6_parse(text: pd.Series) -> pd.Series:
-    """Colon text to 16 bytes; an IPv4 text gives its mapped address, other text NULL."""
+# --- IPv6: text, bits and neighbours ----------------------------------------------
 
-    def one(s):
-        try:
-            if ":" in s:
-                return socket.inet_pton(socket.AF_INET6, s)
-            return b"\0" * 10 + b"\xff\xff" + socket.inet_pton(socket.AF_INET, s)
-        except OSError:
-            return None
+V6_BITS = 128
+V6_MIN, V6_MAX = bytes(16), b"\xff" * 16
+# one past the last address: longer, so it sorts after every address
+V6_END = V6_MAX + b"\x00"
+_MAPPED = "0" * 20 + "FFFF"
+_QUAD = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 
-    return text.map(one, na_action="ignore")
 
+def _hex32(quad: Column) -> Column:
+    return F.lpad(F.hex(ip_parse(quad)), 8, "0")
 
-@F.pandas_udf(T.StringType())
-def ip6_format(addr: pd.Series) -> pd.Series:
-    return addr.map(lambda b: socket.inet_ntop(socket.AF_INET6, b), na_action="ignore")
+
+def ip6_parse(text: Column) -> Column:
+    """Colon text to 16 bytes; an IPv4 text gives its mapped address, other text NULL.
+
+    ``::`` stands for one group of zeros or more; the last two groups may be a dotted quad.
+    """
+    tail = F.regexp_extract(text, f"^(?:.*:)({_QUAD})$", 1)
+    two = F.concat(F.substring(_hex32(tail), 1, 4), F.lit(":"), F.substring(_hex32(tail), 5, 4))
+    plain = F.when(tail != "", F.concat(text.substr(F.lit(1), F.length(text) - F.length(tail)), two)).otherwise(text)
+
+    def groups(part: Column) -> Column:
+        return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":", -1))
+
+    def sides(t: Column) -> Column:
+        at = F.instr(t, F.lit("::"))
+        short = at > 0
+        left = groups(F.when(short, t.substr(F.lit(1), at - 1)).otherwise(t))
+        right = groups(F.when(short, t.substr(at + 2, F.length(t))).otherwise(F.lit("")))
+        return F.struct(left.alias("left"), right.alias("right"), short.alias("short"))
+
+    def whole(s: Column) -> Column:
+        gap = 8 - F.size(s["left"]) - F.size(s["right"])
+        zeros = F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0)))
+        every = F.concat(s["left"], zeros, s["right"])
+        fits = F.when(s["short"], gap >= 1).otherwise(gap == 0) & F.forall(every, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
+        return F.when(fits, F.unhex(F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), "")))
+
+    six = let(let(plain, sides), whole)
+    return F.when(text.rlike(f"^{_QUAD}$"), F.unhex(F.concat(F.lit(_MAPPED), _hex32(text)))).when(F.contains(text, F.lit(":")), six)
+
+
+def ip6_format(addr: Column) -> Column:
+    """16 bytes to the shortest text: the first longest run of zero groups is ``::``; mapped and compatible IPv4 addresses end in a dotted quad."""
+
+    def text(h: Column) -> Column:
+        group = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substring(h, i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
+        joined = F.array_join(group, ":")
+        out = joined
+        for n in range(2, 9):
+            rx = f"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?:$|:)(.*)$"
+            cut = F.concat(F.regexp_extract(joined, rx, 1), F.lit("::"), F.regexp_extract(joined, rx, 2))
+            out = F.when(joined.rlike(rx), cut).otherwise(out)
+        quad = ip_format(F.conv(F.substring(h, 25, 8), 16, 10).cast("bigint"))
+        mapped = F.startswith(h, F.lit(_MAPPED.lower()))
+        compatible = F.startswith(h, F.lit("0" * 24)) & (F.substring(h, 25, 4) != "0000")
+        return F.when(mapped, F.concat(F.lit("::ffff:"), quad)).when(compatible, F.concat(F.lit("::"), quad)).otherwise(out)
+
+    return F.when(addr.isNotNull(), let(F.lower(F.hex(addr)), text))
+
+
+def ip6_next(addr: Column) -> Column:
+    """The next address; ``V6_END`` after the last one."""
+
+    def step(h: Column) -> Column:
+        ones = F.length(F.regexp_extract(h, "F*$", 0))
+        digit = F.substring(h, 32 - ones, F.lit(1))
+        up = F.translate(digit, "0123456789ABCDE", "123456789ABCDEF")
+        return F.when(ones == 32, F.lit(V6_END.hex())).otherwise(
+            F.concat(h.substr(F.lit(1), 31 - ones), up, F.repeat(F.lit("0"), ones))
+        )
+
+    return F.unhex(let(F.hex(addr), step))
+
+
+def ip6_prev(addr: Column) -> Column:
+    """The address before; the last one before ``V6_END``."""
+
+    def step(h: Column) -> Column:
+        zeros = F.length(F.regexp_extract(h, "0*$", 0))
+        digit = F.substring(h, 32 - zeros, F.lit(1))
+        down = F.translate(digit, "123456789ABCDEF", "0123456789ABCDE")
+        return F.when(F.length(h) > 32, F.lit(V6_MAX.hex())).otherwise(
+            F.concat(h.substr(F.lit(1), 31 - zeros), down, F.repeat(F.lit("F"), zeros))
+        )
+
+    return F.unhex(let(F.hex(addr), step))
+
+
+def ip6_bits(addr: Column) -> Column:
+    """The address as 128 characters 0 and 1 (129 for ``V6_END``)."""
+    h = F.hex(addr)
+    halves = [F.lpad(F.conv(F.substring(h, at, 16), 16, 2), 64, "0") for at in (1, 17)]
+    return F.when(F.length(h) > 32, F.lit("1" + "0" * V6_BITS)).otherwise(F.concat(*halves))
+
+
+def ip6_of_bits(bits: Column) -> Column:
+    """128 characters 0 and 1 to an address."""
+    halves = [F.lpad(F.conv(F.substring(bits, at, 64), 2, 16), 16, "0") for at in (1, 65)]
+    return F.unhex(F.concat(*halves))
+
+
+def network6(addr: Column, length: Column) -> Column:
+    """The first address of the prefix that holds ``addr``."""
+    return let(ip6_bits(addr), lambda b: ip6_of_bits(F.rpad(b.substr(F.lit(1), length.cast("int")), V6_BITS, "0")))
+
+
+def broadcast_address6(addr: Column, length: Column) -> Column:
+    """The last address of the prefix that holds ``addr``."""
+    return let(ip6_bits(addr), lambda b: ip6_of_bits(F.rpad(b.substr(F.lit(1), length.cast("int")), V6_BITS, "1")))
+
+
+def prefix6_parse(text: Column) -> Column:
+    """``address/len`` (128 without a length) to struct(addr, len)."""
+
+    def prefix(body: Column) -> Column:
+        addr = ip6_parse(F.get(body, F.lit(0)))
+        length = F.when(F.size(body) == 1, F.lit(V6_BITS)).otherwise(F.get(body, F.lit(1)).try_cast("int"))
+        ok = addr.isNotNull() & length.between(0, V6_BITS) & (F.size(body) <= 2)
+        return F.when(ok, F.struct(network6(addr, length).alias("addr"), length.alias("len")))
+
+    return F.when(F.contains(text, F.lit(":")), let(F.split(text, "/"), prefix))
+
+
+def in_prefix6(addr: Column, prefix: str) -> Column:
+    """Address-in-prefix test for a literal IPv6 prefix."""
+    net = ipaddress.IPv6Network(prefix, strict=False)
+    first, last = (F.lit(bytearray(x.packed)) for x in (net.network_address, net.broadcast_address))
+    return addr.between(first, last)
+
+
+def range_cidrs6(lo: Column, hi: Column) -> Column:
+    """The fewest prefixes of an IPv6 range: ``array<struct<addr binary, len int>>`` in address order.
+
+    On the bits of lo and of hi + 1, with p the first in which they differ. Going up from lo:
+    the block at its last 1 behind p (at p if there is none), then one for every 0 between,
+    with that bit set. Then one for every 1 of the end behind p, with that bit cleared.
+    """
+
+    def bit(s: Column, i: Column) -> Column:
+        return F.substring(s, i, F.lit(1))
+
+    def block(head: Column, length: Column) -> Column:
+        return F.struct(ip6_of_bits(F.rpad(head, V6_BITS, "0")).alias("addr"), length.cast("int").alias("len"))
+
+    def ends(s: Column) -> Column:
+        p = F.element_at(F.filter(F.sequence(F.lit(1), F.lit(V6_BITS + 1)), lambda i: bit(s["a"], i) != bit(s["e"], i)), 1)
+        return F.struct(s["a"].alias("a"), s["e"].alias("e"), p.alias("p"))
+
+    def places(s: Column) -> Column:
+        behind = F.filter(F.sequence(F.lit(1), F.lit(V6_BITS + 1)), lambda i: i > s["p"])
+        last = F.coalesce(F.array_max(F.filter(behind, lambda i: bit(s["a"], i) == "1")), s["p"])
+        return F.struct(s["a"].alias("a"), s["e"].alias("e"), behind.alias("behind"), last.alias("last"))
+
+    def blocks(s: Column) -> Column:
+        # the first character is the carry above the 128 bits
+        inside = lambda text, n: text.substr(F.lit(2), n)
+        first = F.array(block(inside(s["a"], s["last"] - 1), s["last"] - 1))
+        up = F.transform(
+            F.filter(s["behind"], lambda i: (i < s["last"]) & (bit(s["a"], i) == "0")),
+            lambda i: block(F.concat(inside(s["a"], i - 2), F.lit("1")), i - 1),
+        )
+        down = F.transform(
+            F.filter(s["behind"], lambda i: bit(s["e"], i) == "1"),
+            lambda i: block(F.concat(inside(s["e"], i - 2), F.lit("0")), i - 1),
+        )
+        return F.array_sort(F.concat(first, up, down))
+
+    both = F.struct(F.concat(F.lit("0"), ip6_bits(lo)).alias("a"), F.lpad(ip6_bits(ip6_next(hi)), V6_BITS + 1, "0").alias("e"))
+    return let(let(let(both, ends), places), blocks)
 
 
 # --- AS paths -----------------------------------------------------------------

@@ -70,8 +70,9 @@ def stats(
 ) -> DataFrame:
     """Count, sum, average, unbiased deviation, min and max of numeric fields.
 
-    Long form: one row per (group, field). Groups beyond the first ``max_groups``,
-    in the order they are first seen by ``first_by``, are merged in OVERFLOW.
+    Long form: one row per (group, field). ``group`` shows the group's values with commas, NULL
+    as nothing; groups that look alike are rows of their own. Groups beyond the first
+    ``max_groups``, in the order they are first seen by ``first_by``, are merged in OVERFLOW.
     """
     if fields is None:
         fields = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC) and f.name not in by]
@@ -85,15 +86,21 @@ def stats(
         ]
     if not by:
         return _long_stats(df.agg(*aggs).withColumn("group", F.lit("")), fields, ["group"]).drop("group")
-    label = F.concat_ws(",", *[F.coalesce(F.col(b).cast("string"), F.lit("")) for b in by])
-    keyed = df.withColumn("group", label)
-    per = keyed.groupBy("group").agg(*aggs)
-    order = F.struct(*first_by) if first_by else F.col("group")
-    seen = keyed.groupBy("group").agg(F.min(order).alias("__o"))
+    order = F.min(F.struct(*first_by) if first_by else F.struct(*by)).alias("__o")
+    per = df.groupBy(*by).agg(*aggs, order)
     # top-k by first sight: at most max_groups rows, whatever the number of groups
-    named = seen.orderBy("__o").limit(max_groups).select(F.col("group").alias("__g"))
-    marked = per.join(F.broadcast(named), per["group"] == F.col("__g"), "left").withColumn(
-        "group", F.coalesce("__g", F.lit("OVERFLOW"))
+    named = per.orderBy("__o", *by).limit(max_groups).select(*[F.col(b).alias(f"__g{i}") for i, b in enumerate(by)])
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same = same & per[b].eqNullSafe(F.col(f"__g{i}"))
+    label = F.concat_ws(",", *[F.coalesce(F.col(b).cast("string"), F.lit("")) for b in by])
+    known = F.broadcast(named.withColumn("__known", F.lit(True)))
+    # an id of the group besides its label: groups with one label, or named OVERFLOW, stay apart
+    marked = per.join(known, same, "left").withColumns(
+        {
+            "group": F.when(F.col("__known"), label).otherwise(F.lit("OVERFLOW")),
+            "__id": F.when(F.col("__known"), F.struct(*by)),
+        }
     )
     merged: list[Column] = []
     for f in fields:
@@ -105,7 +112,7 @@ def stats(
             F.when(F.count(F.lit(1)) == 1, F.sum(m2)).otherwise(many).alias(f"{f}__m2"),
             F.min(f"{f}__lo").alias(f"{f}__lo"), F.max(f"{f}__hi").alias(f"{f}__hi"),
         ]
-    return _long_stats(marked.groupBy("group").agg(*merged), fields, ["group"])
+    return _long_stats(marked.groupBy("group", "__id").agg(*merged), fields, ["group"])
 
 
 def _long_stats(wide: DataFrame, fields: Sequence[str], keys: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rows import Expr, as_col
+from .sorts import head
 
 OPS = ("add", "sub", "mul", "div", "min", "max", "wavg")
 
@@ -36,20 +37,19 @@ def load(
     return rows.groupBy("key", "frame").agg(agg("val").alias("val"))
 
 
-def frame_count(ds: DataFrame) -> int:
-    """Number of frames of a dataset (its highest frame + 1)."""
-    top = ds.agg(F.max("frame")).first()[0]
-    return 0 if top is None else top + 1
+def frame_count(ds: DataFrame) -> Column:
+    """Number of frames of a dataset (its highest frame + 1), as a value of the plan."""
+    return ds.agg(F.coalesce(F.max("frame") + 1, F.lit(0))).scalar()
 
 
 def cat(datasets: Sequence[DataFrame], counts: Sequence[int] | None = None) -> DataFrame:
     """Append along the frame axis; ``counts`` are the frame counts if known."""
-    counts = list(counts) if counts is not None else [frame_count(d) for d in datasets[:-1]]
-    out, off = None, 0
+    counts = [F.lit(n) for n in counts] if counts is not None else [frame_count(d) for d in datasets[:-1]]
+    out, off = None, F.lit(0)
     for i, d in enumerate(datasets):
         part = d.select("key", (F.col("frame") + off).cast("int").alias("frame"), "val")
         out = part if out is None else out.unionByName(part)
-        off += counts[i] if i < len(counts) else 0
+        off = off + counts[i] if i < len(counts) else off
     return out
 
 
@@ -174,5 +174,5 @@ def topn(
     """Top n cells over a frame range; several value columns compare in order."""
     src = ds.where(F.col("frame").between(*frames)) if frames else ds
     order = [F.col(v).desc() if largest else F.col(v).asc() for v in value]
-    return src.orderBy(*order, "frame", "key").limit(n)
+    return head(src, n, [*order, "frame", "key"])
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stored
+from ..session import scratch_path, stored
 from .aggs import distinct_first
+from .joins import attr_conditions as by_attr
+from .joins import holds_all, met_words
 from .ordered import number_rows
 
 FWD, REV = 1, 2
@@ -41,46 +43,33 @@ def first_attr_row(attrs: DataFrame, preferred: str = "name") -> DataFrame:
 # --- levels -------------------------------------------------------------------------
 
 
-def level_closure(
-    pairs: DataFrame, transitive: Sequence[str] | None = None, full: bool = False, max_levels: int = 1000
-) -> DataFrame:
+def level_closure(pairs: DataFrame, transitive: Sequence[str] | None = None, full: bool = False) -> DataFrame:
     """Paths between all levels through transitive levels, one row per hop.
 
-    ``pairs`` holds the direct (id1, id2) level relations, a configuration table of
-    a few dozen rows (checked). A path has the fewest hops; ties go to the first
-    in level order. With ``full`` paths may also go against a relation.
+    ``pairs`` holds the direct (id1, id2) level relations. A path has the fewest
+    hops; ties go to the first in level order. With ``full`` paths may also go
+    against a relation. One round per hop: the paths found last are joined with the
+    relations, and the first path to every new (start, end) is kept.
     """
-    rows = pairs.select("id1", "id2").distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"more than {max_levels} level relations: not a level table")
-    steps: dict[str, list[tuple[str, int]]] = {}
-    for a, b in sorted((r[0], r[1]) for r in rows):
-        steps.setdefault(a, []).append((b, FWD))
-        if full:
-            steps.setdefault(b, []).append((a, REV))
-    levels = sorted({x for r in rows for x in r})
-    inner = set(transitive) if transitive is not None else set(levels)
-    out = []
-    for start in levels:
-        paths: dict[str, list[tuple[str, str, int]]] = {start: []}
-        frontier = [start]
-        while frontier:
-            nxt = []
-            for at in frontier:
-                if at != start and at not in inner:
-                    continue
-                for to, d in sorted(steps.get(at, [])):
-                    if to not in paths:
-                        paths[to] = [*paths[at], (at, to, d)]
-                        nxt.append(to)
-            frontier = nxt
-        for end, hops in paths.items():
-            for i, (a, b, d) in enumerate(hops):
-                out.append((start, end, i, d, a, b, int(len(hops) == 1)))
-    schema = T.StructType.fromDDL(
-        "id1 string, id2 string, index int, dir int, iid1 string, iid2 string, orig int"
+    direct = pairs.select("id1", "id2").distinct()
+    steps = direct.select(F.col("id1").alias("iid1"), F.col("id2").alias("iid2"), F.lit(FWD).alias("dir"))
+    if full:
+        steps = steps.unionByName(direct.select(F.col("id2").alias("iid1"), F.col("id1").alias("iid2"), F.lit(REV).alias("dir")))
+    steps = stored(steps, "level-steps")
+    hop = F.struct("iid2", "dir", "iid1")  # compared in this order
+    here = (F.col("id1") == F.col("iid1")) & (F.col("iid2") != F.col("id1"))
+    found = stored(
+        steps.select(F.col("iid1").alias("id1"), "*").where(here).groupBy("id1", F.col("iid2").alias("id2")).agg(F.min(F.array(hop)).alias("path"))
     )
-    return pairs.sparkSession.createDataFrame(out, schema)
+    rounds = [found]
+    while not rounds[-1].isEmpty():
+        inner = rounds[-1] if transitive is None else rounds[-1].where(F.col("id2").isin(list(transitive)))
+        longer = inner.join(steps, F.col("id2") == F.col("iid1")).where("iid2 <> id1")
+        longer = longer.groupBy("id1", F.col("iid2").alias("id2")).agg(F.min(F.concat("path", F.array(hop))).alias("path"))
+        rounds.append(stored(longer.join(found, ["id1", "id2"], "left_anti")))
+        found = found.unionByName(rounds[-1])
+    one = found.select("id1", "id2", (F.size("path") == 1).cast("int").alias("orig"), F.posexplode("path").alias("index", "h"))
+    return one.select("id1", "id2", "index", F.col("h.dir").alias("dir"), F.col("h.iid1").alias("iid1"), F.col("h.iid2").alias("iid2"), "orig")
 
 
 def map_closure(
@@ -88,53 +77,40 @@ def map_closure(
 ) -> DataFrame:
     """For every asset and target level the entities reached along the level path.
 
-    ``levels`` is ``level_closure`` output. One equi join per hop; paths that begin
-    with the same hops share them.
+    ``levels`` is ``level_closure`` output. One equi join per hop, over all paths at
+    once; paths that begin with the same hops share the rows of those hops, and rows
+    of one asset that meet again are one row.
     """
     direct = maps.select("level1", "id1", "level2", "id2").distinct()
-    paths: dict[tuple[str, str], list[tuple[int, str, str, int]]] = {}
-    for r in levels.collect():  # the level table: configuration
-        paths.setdefault((r["id1"], r["id2"]), []).append((r["index"], r["iid1"], r["iid2"], r["dir"]))
+    step = direct.select(
+        F.col("level1").alias("iid1"), F.col("id1").alias("at"), F.col("level2").alias("iid2"), F.col("id2").alias("to"), F.lit(FWD).alias("dir")
+    ).unionByName(
+        direct.select(F.col("level2").alias("iid1"), F.col("id2").alias("at"), F.col("level1").alias("iid2"), F.col("id1").alias("to"), F.lit(REV).alias("dir"))
+    )
     own = nodes.select("level", "id").distinct()
-    reach: dict[tuple, DataFrame] = {}
-
-    def walk(hops: tuple) -> DataFrame:
-        if hops in reach:
-            return reach[hops]
-        *before, (a, b, d) = hops
-        if before:
-            src = walk(tuple(before))
-        else:
-            src = own.where(F.col("level") == a).select(F.col("id").alias("id1"), F.col("id").alias("at"))
-        if d == FWD:
-            step = direct.where((F.col("level1") == a) & (F.col("level2") == b)).select(
-                F.col("id1").alias("at"), F.col("id2").alias("to")
-            )
-        else:
-            step = direct.where((F.col("level1") == b) & (F.col("level2") == a)).select(
-                F.col("id2").alias("at"), F.col("id1").alias("to")
-            )
-        out = src.join(step, "at").select("id1", F.col("to").alias("at"))
+    hops = levels if targets is None else levels.where(F.col("id2").isin(list(targets)))
+    hop = F.struct("index", "iid1", "iid2", "dir")
+    paths = hops.groupBy(F.col("id1").alias("level1"), F.col("id2").alias("level2")).agg(F.sort_array(F.collect_list(hop)).alias("path"))
+    paths = stored(paths, "level-paths")
+    longest = paths.agg(F.max(F.size("path"))).first()[0] or 0
+    now = own.select(F.col("level").alias("level1"), F.col("id").alias("id1"), F.col("id").alias("at"), F.array().cast(paths.schema["path"].dataType).alias("done"))
+    out = own.select(
+        F.col("level").alias("level1"), F.col("id").alias("id1"), F.col("level").alias("level2"), F.col("id").alias("id2")
+    ).where("true" if identity else "false")
+    if identity and targets is not None:
+        out = out.where(F.col("level2").isin(list(targets)))
+    for k in range(1, longest + 1):
+        ahead = paths.where(F.size("path") >= k).select(
+            "level1", F.slice("path", 1, k - 1).alias("done") if k > 1 else F.array().cast(paths.schema["path"].dataType).alias("done"),
+            F.slice("path", 1, k).alias("next"),
+        ).distinct()
+        ahead = ahead.withColumn("__h", F.element_at("next", -1)).select("level1", "done", "next", "__h.iid1", "__h.iid2", "__h.dir")
+        now = now.join(ahead, ["level1", "done"]).join(step, ["iid1", "iid2", "dir", "at"])
+        now = now.select("level1", "id1", F.col("to").alias("at"), F.col("next").alias("done"))
         # several ways can only meet again from the second hop on
-        reach[hops] = out.distinct() if before else out
-        return reach[hops]
-
-    out = None
-    for (a, b), hops in sorted(paths.items()):
-        if targets is not None and b not in targets:
-            continue
-        hop = tuple((x, y, d) for _, x, y, d in sorted(hops))
-        part = walk(hop).select(
-            F.lit(a).alias("level1"), "id1", F.lit(b).alias("level2"), F.col("at").alias("id2")
-        )
-        out = part if out is None else out.unionByName(part)
-    if identity:
-        same = own.select(
-            F.col("level").alias("level1"), F.col("id").alias("id1"), F.col("level").alias("level2"), F.col("id").alias("id2")
-        )
-        if targets is not None:
-            same = same.where(F.col("level2").isin(list(targets)))
-        out = same if out is None else out.unionByName(same)
+        now = stored(now.distinct() if k > 1 else now, "closure-hop")
+        ends = paths.where(F.size("path") == k).select("level1", "level2", F.col("path").alias("done"))
+        out = out.unionByName(now.join(ends, ["level1", "done"]).select("level1", "id1", "level2", F.col("at").alias("id2")))
     return out
 
 
@@ -213,36 +189,77 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return cc.join(named, "root").join(node, "node").select("ndlevel", "ndid", "cclevel", "ccid", "ndn")
 
 
-def topological_layers(pairs: DataFrame, max_layers: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, head, off): nodes on an unbranched chain and how far they are from its head; and those that go in circles.
+
+    A node hangs on the one before if that is its only predecessor, and it that one's only
+    successor. Distances double per round, so the rounds grow with the logarithm of
+    the longest chain; what has no head after as many rounds as there are bits in the
+    number of nodes goes in a circle.
+    """
+    ins = edges.groupBy("after").agg(F.count(F.lit(1)).alias("i"), F.min("before").alias("before"))
+    outs = edges.groupBy("before").agg(F.count(F.lit(1)).alias("o"))
+    hangs = ins.where("i = 1").join(outs.where("o = 1"), "before").select(F.col("after").alias("node"), F.col("before").alias("up"), F.lit(1).cast("long").alias("off"))
+    now = stored(hangs, "chains")
+    left = now.count()
+    while left:
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("off").alias("more"))
+        step = now.join(above, "up", "left").select("node", F.coalesce("far", "up").alias("up"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"))
+        now, left = stored(step, "chains"), left >> 1
+    heads = now.select(F.col("node").alias("up")).distinct()
+    return now.join(heads, "up", "left_anti").select("node", F.col("up").alias("head"), "off"), now.join(heads, "up", "left_semi").select("node")
+
+
+def topological_layers(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Layer of every node: the length of the longest chain before it.
 
     Returns (node, layer) and the pairs left over, which are those on or behind a
-    cycle. One round per layer, each a semi join on what is left.
+    cycle. Unbranched chains are contracted first. Then one round per layer of what is
+    left, until nothing is free; every round appends its nodes to one table.
     """
+    spark = pairs.sparkSession
     p = pairs.select("before", "after")
     nodes = p.select(F.col("before").alias("node")).unionByName(p.select(F.col("after").alias("node"))).distinct()
-    left = stored(p.where("before <> after").distinct())
-    todo = stored(nodes)
-    done: list[DataFrame] = []
-    for layer in range(max_layers):
-        free = stored(todo.join(left.select(F.col("after").alias("node")), "node", "left_anti"))
+    nodes = stored(nodes, "nodes")
+    edges = stored(p.where("before <> after").distinct(), "edges")
+    chains, circles = _chains(edges)
+    chains, circles = stored(chains, "chains"), stored(circles, "circles")
+    place = nodes.join(circles, "node", "left_anti").join(chains, "node", "left")
+    place = stored(place.select("node", F.coalesce("head", "node").alias("head"), F.coalesce("off", F.lit(0)).alias("off")), "places")
+    # an edge that is not a link of a chain ends at a head
+    up = place.select(F.col("node").alias("before"), F.col("head").alias("src"), F.col("off").alias("at"))
+    links = chains.select(F.col("node").alias("after"))
+    weighted = edges.join(links, "after", "left_anti").join(circles.select(F.col("node").alias("before")), "before", "left_anti").join(up, "before")
+    left = stored(weighted.groupBy("src", F.col("after").alias("dst")).agg(F.max(F.col("at") + 1).alias("w")), "contracted")
+    behind = edges.join(circles.select(F.col("node").alias("before")), "before", "left_semi").select(F.col("after").alias("dst")).distinct()
+    todo = stored(place.select(F.col("head").alias("node")).distinct().withColumn("layer", F.lit(0).cast("long")), "todo")
+    path = scratch_path(spark, "layers")
+    todo.limit(0).write.parquet(path)
+    blocked = stored(behind, "behind")
+    while True:
+        waits = left.select(F.col("dst").alias("node")).unionByName(blocked.select(F.col("dst").alias("node"))).distinct()
+        free = stored(todo.join(waits, "node", "left_anti"), "free")
         if free.isEmpty():
             break
-        done.append(free.withColumn("layer", F.lit(layer)))
-        todo = stored(todo.join(free, "node", "left_anti"))
-        left = stored(left.join(free.select(F.col("node").alias("before")), "before", "left_anti"))
-    out = done[0] if done else nodes.limit(0).withColumn("layer", F.lit(0))
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out, left
-
-
-def topological_sort(pairs: DataFrame, max_layers: int = 10_000) -> DataFrame:
+        free.write.mode("append").parquet(path)
+        out = left.join(free.select(F.col("node").alias("src"), "layer"), "src")
+        reach = out.groupBy(F.col("dst").alias("node")).agg(F.max(F.col("layer") + F.col("w")).alias("reach"))
+        rest = todo.join(free.select("node"), "node", "left_anti").join(reach, "node", "left")
+        todo = stored(rest.select("node", F.greatest("layer", F.coalesce("reach", F.lit(0).cast("long"))).alias("layer")), "todo")
+        left = stored(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"), "contracted")
+    heads = spark.read.schema(todo.schema).parquet(path)
+    layers = place.join(heads.withColumnRenamed("node", "head"), "head").select("node", (F.col("layer") + F.col("off")).cast("int").alias("layer"))
+    layers = stored(layers, "node-layers")
+    over = edges.join(layers.select(F.col("node").alias("after")), "after", "left_anti").select("before", "after")
+    return layers, over
+
+
+def topological_sort(pairs: DataFrame) -> DataFrame:
     """A total order consistent with (before, after) pairs: by layer, then name.
 
     Raises on a cycle.
     """
-    layers, cycle = topological_layers(pairs, max_layers)
+    layers, cycle = topological_layers(pairs)
     if not cycle.isEmpty():
         raise ValueError(f"cycle through {cycle.first()['before']}")
     return number_rows(layers, ["layer", "node"], "position")
@@ -267,14 +284,20 @@ def _names(attrs: DataFrame) -> DataFrame:
     )
 
 
-def _met(conditions: Sequence[NodeCondition]):
-    bits = F.lit(0).cast("long")
-    for i, c in enumerate(conditions):
+def _tests(conditions: Sequence[NodeCondition]) -> list[Column]:
+    out = []
+    for c in conditions:
         subject = F.coalesce("__name", "id2") if c.by_name else F.col("id2")
         rx = f"(?i)^(?:{c.pattern})$" if c.by_name else f"^(?:{c.pattern})$"
-        ok = (F.col("level2") == c.level) & subject.rlike(rx)
-        bits = bits.bitwiseOR(F.when(ok, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return bits
+        out.append((F.col("level2") == c.level) & subject.rlike(rx))
+    return out
+
+
+def _any(tests: Sequence[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
 
 
 def select_nodes(
@@ -287,8 +310,6 @@ def select_nodes(
     ancestor; ``exact``: any one unforced condition matching the asset itself
     suffices, forced ones must hold too, and assets are not re-keyed.
     """
-    from .joins import attr_conditions as by_attr
-
     own = nodes.select(F.col("level").alias("level1"), F.col("id").alias("id1")).distinct()
     hits = closure.join(own, ["level1", "id1"], "left_semi")
     if any(c.by_name for c in conditions):
@@ -300,13 +321,12 @@ def select_nodes(
         every = [c for c in conditions if mode == "all" or c.force]
         some = [c for c in conditions if mode != "all" and not c.force]
         self_only = (F.col("level1") == F.col("level2")) & (F.col("id1") == F.col("id2"))
-        zero = F.lit(0).cast("long")
         agg = hits.groupBy("level1", "id1").agg(
-            F.bit_or(_met(every)).alias("__e"), F.bit_or(F.when(self_only, _met(some)).otherwise(zero)).alias("__s")
+            *met_words(_tests(every)), F.coalesce(F.bool_or(_any([self_only & t for t in _tests(some)])), F.lit(False)).alias("__some")
         )
-        agg = agg.where(F.col("__e") == (1 << len(every)) - 1)
+        agg = agg.where(holds_all(range(len(every))))
         if some:
-            agg = agg.where("__s <> 0")
+            agg = agg.where("__some")
         sel = agg.select("level1", "id1")
     if attr_conditions:
         ok = by_attr(attrs, [(k, f"^(?:{rx})$") for k, rx in attr_conditions])
@@ -331,8 +351,6 @@ def select_edges(
     """
     pairs = edges.select("level1", "id1", "level2", "id2").distinct()
     if edge_conditions:
-        from .joins import attr_conditions as by_attr
-
         conds = [(k, f"^(?:{rx})$") for k, rx in edge_conditions]
         own = by_attr(edges, conds, keys=("level1", "id1", "level2", "id2"))
         ok = by_attr(attrs, conds)
@@ -366,12 +384,8 @@ def propagate_filter(
     df: DataFrame, closure: DataFrame, conditions: Sequence[NodeCondition], level: str = "level1", id_: str = "id1"
 ) -> DataFrame:
     """Keep rows whose asset's ancestors match all scope patterns; ``closure`` with identity."""
-    met = closure.withColumn("__name", F.lit(None).cast("string")).groupBy("level1", "id1").agg(
-        F.bit_or(_met(conditions)).alias("__e")
-    )
-    ok = met.where(F.col("__e") == (1 << len(conditions)) - 1).select(
-        F.col("level1").alias("__l"), F.col("id1").alias("__i")
-    )
+    met = closure.withColumn("__name", F.lit(None).cast("string")).groupBy("level1", "id1").agg(*met_words(_tests(conditions)))
+    ok = met.where(holds_all(range(len(conditions)))).select(F.col("level1").alias("__l"), F.col("id1").alias("__i"))
     return df.join(ok, (df[level] == F.col("__l")) & (df[id_] == F.col("__i")), "left_semi")
 
 

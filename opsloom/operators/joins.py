@@ -9,7 +9,7 @@ configuration and become CASE expressions, which need no join at all.
 from __future__ import annotations
 
 import re
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Collection, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -141,11 +141,11 @@ def interval_join(
     blocks = ranges.select(*rid, F.explode(range_blocks(F.col(lo), F.col(hi))).alias("__b")).select(
         *rid, F.col("__b.size_log2").alias("__k"), F.col("__b.start").alias("__s")
     )
-    # at most 63 sizes can occur
-    sizes = sorted(r[0] for r in blocks.select("__k").distinct().collect())
     pts = points.select(F.col(point).cast("bigint").alias("__p")).distinct()
-    probe = pts.select(
-        "__p", F.explode(F.array(*[F.lit(k) for k in sizes]).cast("array<int>")).alias("__k")
+    # at most 63 sizes can occur
+    sizes = blocks.agg(F.collect_set("__k").alias("k")).scalar()
+    probe = pts.withColumn("__ks", sizes).select(
+        "__p", F.explode("__ks").alias("__k")
     ).withColumn(
         "__s",
         F.col("__p") - F.col("__p").bitwiseAND(F.expr("shiftleft(bigint(1), __k) - 1")),
@@ -183,7 +183,13 @@ SIZE_PREFIXES = ("si_sz_", "scopeinv_size_")
 
 
 def longest_literal(pattern: str) -> str:
-    """The longest run of plain characters every match must contain ('' if unsure)."""
+    """The longest run of plain characters every match must contain ('' if unsure).
+
+    Of escapes only that of a punctuation character stands for itself; any other
+    (a code, a class, a quotation) makes the pattern unsure.
+    """
+    if re.search(r"\\(?:[A-Za-z0-9]|$)", pattern):
+        return ""
     if re.search(r"[|?*{(\[]", pattern):
         simple = re.split(r"\.\*|\.\+", pattern)
         if any(re.search(r"[|?*+{}()\[\]^$.\\]", p) for p in simple):
@@ -327,16 +333,40 @@ def attr_conditions(
     """Assets for which every (attribute, value pattern) holds.
 
     An attribute that is absent fails its condition. Each attribute row sets the
-    bits of the conditions it meets; the bits are OR-ed before the shuffle.
+    bits of the conditions it meets, in as many words as there are; the bits are
+    OR-ed before the shuffle.
     """
-    bits = F.lit(0).cast("long")
-    for i, (k, rx) in enumerate(conditions):
-        bits = bits.bitwiseOR(
-            F.when((F.col("key") == k) & F.col("val").rlike(rx), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-        )
-    rel = attrs.where(F.col("key").isin([k for k, _ in conditions])).withColumn("__b", bits)
-    full = (1 << len(conditions)) - 1
-    return rel.groupBy(*keys).agg(F.bit_or("__b").alias("__b")).where(F.col("__b") == full).select(*keys)
+    tests = [(F.col("key") == k) & F.col("val").rlike(rx) for k, rx in conditions]
+    rel = attrs.where(F.col("key").isin([k for k, _ in conditions]))
+    met = rel.groupBy(*keys).agg(*met_words(tests))
+    return met.where(holds_all(range(len(tests)))).select(*keys)
+
+
+# Conditions per word: bits of a non-negative long.
+WORD = 62
+
+
+def met_words(tests: Sequence[Column], prefix: str = "__met") -> list[Column]:
+    """Aggregates that OR the bits of all tests, ``WORD`` tests to a column; one column at least."""
+    zero = F.lit(0).cast("long")
+    words = []
+    for at in range(0, max(1, len(tests)), WORD):
+        bits = zero
+        for i, t in enumerate(tests[at : at + WORD]):
+            bits = bits.bitwiseOR(F.when(t, F.lit(1 << i).cast("long")).otherwise(zero))
+        words.append(F.bit_or(bits).alias(f"{prefix}{at // WORD}"))
+    return words
+
+
+def holds_all(chosen: Iterable[int], prefix: str = "__met") -> Column:
+    """Whether the tests of these numbers were all met."""
+    masks: dict[int, int] = {}
+    for i in chosen:
+        masks[i // WORD] = masks.get(i // WORD, 0) | 1 << i % WORD
+    out = F.lit(True)
+    for word, mask in sorted(masks.items()):
+        out = out & (F.col(f"{prefix}{word}").bitwiseAND(F.lit(mask).cast("long")) == mask)
+    return out
 
 
 @dataclass(frozen=True)
@@ -371,15 +401,10 @@ def threshold_match(
         .agg(F.min(own).alias("name"), F.min(priv).alias("__priv"))
     )
     conds = sorted({c for cs in account_conditions.values() for c in cs if c[1] != EVERYTHING})
-    bit = {c: 1 << i for i, c in enumerate(conds)}
-    met = F.lit(0).cast("long")
-    for (lv, rx), b in bit.items():
-        ok = (F.col("level2") == lv) & F.col("id2").rlike(f"^(?:{rx})$")
-        met = met.bitwiseOR(F.when(ok, F.lit(b)).otherwise(F.lit(0)).cast("long"))
+    number = {c: i for i, c in enumerate(conds)}
+    tests = [(F.col("level2") == lv) & F.col("id2").rlike(f"^(?:{rx})$") for lv, rx in conds]
     cust = F.min(F.when(F.col("level2") == customer_level, F.col("id2")))
-    anc = closure.groupBy(F.col("level1").alias("level"), F.col("id1").alias("id")).agg(
-        F.bit_or(met).alias("__met"), cust.alias("cid")
-    )
+    anc = closure.groupBy(F.col("level1").alias("level"), F.col("id1").alias("id")).agg(*met_words(tests), cust.alias("cid"))
     base = assets.join(anc, ["level", "id"]).where("cid is not null").join(names, ["level", "id"], "left")
     by_stat: dict[str, list[tuple[int, ThresholdRule]]] = {}
     for i, r in enumerate(rules):
@@ -390,8 +415,7 @@ def threshold_match(
         for _, r in rs:
             subject = F.coalesce(F.col("name"), F.lit("")) if r.by_name else F.col("id")
             p = subject.rlike(f"(?i)^(?:{r.pattern})$") if r.regex else (F.lower(subject) == r.pattern.lower())
-            need = sum(bit[c] for c in account_conditions.get(r.account, ()) if c in bit)
-            p = p & (F.col("__met").bitwiseAND(F.lit(need)) == need)
+            p = p & holds_all(number[c] for c in account_conditions.get(r.account, ()) if c in number)
             if r.account in restricted:
                 p = p & (F.col("__priv").isNull() | F.contains("__priv", F.lit("T")))
             val = F.struct(F.lit(stat).alias("stat"), F.lit(r.spec).alias("spec"), F.lit(r.account).alias("account"))

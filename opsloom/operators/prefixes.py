@@ -7,65 +7,44 @@ compares ranges pairwise.
 
 from __future__ import annotations
 
-import ipaddress
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.net import V4_BITS, V4_MAX, broadcast_address, network, range_cidrs
+from ..functions.net import (
+    V4_BITS, V4_MAX, V6_BITS, V6_MAX, V6_MIN, broadcast_address, broadcast_address6, ip6_next, ip6_prev, network, network6,
+    range_cidrs, range_cidrs6,
+)
 from .ordered import in_order
 
-V6_MIN = bytes(16)
-V6_MAX = b"\xff" * 16
-
-
-# one past the last IPv6 address: longer, so it sorts after every address
-V6_END = V6_MAX + b"\x00"
-
-
-@F.pandas_udf(T.BinaryType())
-def _next6(addr: pd.Series) -> pd.Series:
-    def one(b):
-        n = int.from_bytes(b, "big") + 1
-        return V6_END if n >> 128 else n.to_bytes(16, "big")
-
-    return addr.map(one, na_action="ignore")
-
-
-@F.pandas_udf(T.BinaryType())
-def _prev6(addr: pd.Series) -> pd.Series:
-    def one(b):
-        return V6_MAX if len(b) > 16 else (int.from_bytes(b, "big") - 1).to_bytes(16, "big")
-
-    return addr.map(one, na_action="ignore")
-
-
 @dataclass(frozen=True)
 class Space:
-    """What the sweep needs to know about an address family."""
+    """What the operators need to know about an address family."""
 
     first: int | bytes
     last: int | bytes
     dtype: str
+    bits: int
     next: Callable[[Column], Column]
     prev: Callable[[Column], Column]
+    network: Callable[[Column, Column], Column]
+    broadcast: Callable[[Column, Column], Column]
+    cidrs: Callable[[Column, Column], Column]
 
     def lit(self, v: int | bytes) -> Column:
         return F.lit(bytearray(v) if isinstance(v, bytes) else v).cast(self.dtype)
 
 
-V4 = Space(0, V4_MAX, "bigint", lambda c: c + 1, lambda c: c - 1)
-V6 = Space(V6_MIN, V6_MAX, "binary", lambda c: _next6(c), lambda c: _prev6(c))
+V4 = Space(0, V4_MAX, "bigint", V4_BITS, lambda c: c + 1, lambda c: c - 1, network, broadcast_address, range_cidrs)
+V6 = Space(V6_MIN, V6_MAX, "binary", V6_BITS, ip6_next, ip6_prev, network6, broadcast_address6, range_cidrs6)
 
 
-def to_ranges(prefixes: DataFrame, addr: str = "addr", length: str = "len") -> DataFrame:
-    """IPv4 prefixes to ranges."""
+def to_ranges(prefixes: DataFrame, addr: str = "addr", length: str = "len", space: Space = V4) -> DataFrame:
+    """Prefixes to ranges."""
     a, n = F.col(addr), F.col(length)
-    return prefixes.select(network(a, n).alias("lo"), broadcast_address(a, n).alias("hi"))
+    return prefixes.select(space.network(a, n).alias("lo"), space.broadcast(a, n).alias("hi"))
 
 
 def _edges(sets: list[DataFrame], space: Space) -> DataFrame:
@@ -134,73 +113,34 @@ def cover(a: DataFrame, b: DataFrame, space: Space = V4) -> DataFrame:
     return o.rows().where("k = 2").select("__r.lo", "__r.hi").distinct()
 
 
-def rebit(a: DataFrame, bits: int) -> DataFrame:
-    """Widen IPv4 prefixes longer than ``bits``, then coalesce.
+def rebit(a: DataFrame, bits: int, space: Space = V4) -> DataFrame:
+    """Widen prefixes longer than ``bits``, then coalesce.
 
     Every range becomes its prefixes first, so a short prefix keeps its extent.
     """
-    p = cidrs(union([a]))
-    return union([to_ranges(p.select("addr", F.least("len", F.lit(bits)).alias("len")))])
-
-
-def cidrs(a: DataFrame) -> DataFrame:
-    """Ranges to their fewest prefixes (at most 62 per range)."""
-    return a.select(F.explode(range_cidrs(F.col("lo"), F.col("hi"))).alias("p")).select("p.addr", "p.len")
-
-
-PREFIXES6 = T.ArrayType(T.StructType([T.StructField("addr", T.BinaryType()), T.StructField("len", T.IntegerType())]))
-
-
-@F.pandas_udf(PREFIXES6)
-def _cidrs6(lo: pd.Series, hi: pd.Series) -> pd.Series:
-    def one(a, b):
-        nets = ipaddress.summarize_address_range(ipaddress.IPv6Address(bytes(a)), ipaddress.IPv6Address(bytes(b)))
-        return [(n.network_address.packed, n.prefixlen) for n in nets]
+    p = cidrs(union([a], space), space)
+    return union([to_ranges(p.select("addr", F.least("len", F.lit(bits)).alias("len")), space=space)], space)
 
-    return pd.Series([one(a, b) for a, b in zip(lo, hi)], dtype=object)
 
-
-@F.pandas_udf(T.BinaryType())
-def _last6(addr: pd.Series, length: pd.Series) -> pd.Series:
-    def one(a, n):
-        return (int.from_bytes(a, "big") | ((1 << (128 - n)) - 1)).to_bytes(16, "big")
-
-    return pd.Series([one(a, n) for a, n in zip(addr, length)], dtype=object)
-
-
-@F.pandas_udf(T.BinaryType())
-def _first6(addr: pd.Series, length: pd.Series) -> pd.Series:
-    def one(a, n):
-        host = (1 << (128 - n)) - 1
-        return (int.from_bytes(a, "big") & ~host).to_bytes(16, "big")
-
-    return pd.Series([one(a, n) for a, n in zip(addr, length)], dtype=object)
-
-
-def cidrs6(a: DataFrame) -> DataFrame:
-    """IPv6 ranges to their fewest prefixes (at most 254 per range)."""
-    return a.select(F.explode(_cidrs6("lo", "hi")).alias("p")).select("p.addr", "p.len")
-
-
-def to_ranges6(prefixes: DataFrame, addr: str = "addr", length: str = "len") -> DataFrame:
-    return prefixes.select(_first6(addr, length).alias("lo"), _last6(addr, length).alias("hi"))
-
-
-def rebit6(a: DataFrame, bits: int) -> DataFrame:
-    """``rebit`` for IPv6."""
-    p = cidrs6(union([a], V6)).select("addr", F.least("len", F.lit(bits)).alias("len"))
-    return union([to_ranges6(p)], V6)
+def cidrs(a: DataFrame, space: Space = V4) -> DataFrame:
+    """Ranges to their fewest prefixes (at most 62 per IPv4 range, 254 per IPv6 range)."""
+    return a.select(F.explode(space.cidrs(F.col("lo"), F.col("hi"))).alias("p")).select("p.addr", "p.len")
 
 
 def size6(a: DataFrame) -> DataFrame:
-    """Fewest prefixes and ranges of an IPv6 set; addresses as a double."""
+    """Fewest prefixes and ranges of an IPv6 set, and its addresses in two exact parts: whole /64 networks, and the rest."""
     u = union([a], V6)
-    p = cidrs6(u)
     n = u.agg(F.count(F.lit(1))).scalar()
-    return p.agg(
-        F.count(F.lit(1)).alias("prefixes"), F.coalesce(F.sum(F.pow(F.lit(2.0), 128 - F.col("len"))), F.lit(0.0)).alias("addresses"),
-        F.max(n).alias("ranges"),
-    )
+    power = F.array(*[F.lit(str(1 << k)).cast("decimal(20,0)") for k in range(65)])
+    long = F.when(F.col("len") > 64, F.get(power, 128 - F.col("len"))).cast("decimal(28,0)")
+    short = F.when(F.col("len") <= 64, F.get(power, 64 - F.col("len"))).cast("decimal(28,0)")
+    p = cidrs(u, V6).agg(F.count(F.lit(1)).alias("prefixes"), F.sum(short).alias("s"), F.sum(long).alias("l"))
+    zero, unit = F.lit(0).cast("decimal(38,0)"), F.lit(str(1 << 64)).cast("decimal(38,0)")
+    rest = F.coalesce(F.col("l"), zero)
+    nets = F.coalesce(F.col("s"), zero) + F.floor(rest / unit)
+    return p.select(
+        "prefixes", nets.cast("string").alias("networks64"), (rest % unit).cast("decimal(20,0)").cast("string").alias("addresses"), n.alias("ranges")
+    )
 
 
 def subset(a: DataFrame, b: DataFrame, space: Space = V4) -> DataFrame:
@@ -227,13 +167,14 @@ def min_max(a: DataFrame) -> DataFrame:
     return a.agg(F.min("lo").alias("min"), F.max("hi").alias("max"))
 
 
-def table_stats(prefixes: DataFrame) -> DataFrame:
+def table_stats(prefixes: DataFrame, space: Space = V4) -> DataFrame:
     """Prefixes and addresses per prefix length, with the total as length -1."""
-    per = F.pow(F.lit(2.0), F.lit(V4_BITS) - F.col("len")).cast("decimal(20,0)")
+    per = F.pow(F.lit(2.0), F.lit(space.bits) - F.col("len"))
+    exact = per.cast("decimal(20,0)") if space is V4 else per
     return (
         prefixes.select("addr", "len").distinct()
         .rollup("len")
-        .agg(F.count(F.lit(1)).alias("prefixes"), F.sum(per).cast("double").alias("addresses"), F.grouping("len").alias("__g"))
+        .agg(F.count(F.lit(1)).alias("prefixes"), F.sum(exact).cast("double").alias("addresses"), F.grouping("len").alias("__g"))
         .withColumn("len", F.when(F.col("__g") == 1, F.lit(-1)).otherwise(F.col("len")))
         .drop("__g")
     )
@@ -242,34 +183,29 @@ def table_stats(prefixes: DataFrame) -> DataFrame:
 # --- prefix tables ----------------------------------------------------------------------
 
 
-def lengths_present(prefixes: DataFrame, length: str = "len") -> list[int]:
-    """At most 33 values."""
-    return sorted(r[0] for r in prefixes.select(length).distinct().collect())
-
-
-def _candidates(df: DataFrame, addr: Column, lengths: list[int], keep: list[str]) -> DataFrame:
-    nets = F.array(*[F.struct(F.lit(n).alias("len"), network(addr, F.lit(n)).alias("net")) for n in lengths])
-    return df.select(*keep, F.explode(nets).alias("__c")).select(
-        *keep, F.col("__c.len").alias("__len"), F.col("__c.net").alias("__net")
-    )
+def _candidates(df: DataFrame, addr: str, lengths: DataFrame, keep: list[str], space: Space) -> DataFrame:
+    """Each address masked to every prefix length that occurs in ``lengths`` (len), at most 33 or 129."""
+    present = lengths.agg(F.collect_set("len").alias("l")).scalar()
+    each = df.withColumn("__all", present).select(*keep, F.col(addr).alias("__addr"), F.explode("__all").alias("__len"))
+    return each.withColumn("__net", space.network(F.col("__addr"), F.col("__len"))).drop("__addr")
 
 
 def lpm_join(
-    df: DataFrame, addr: str, prefixes: DataFrame, values: list[str], how: str = "left"
+    df: DataFrame, addr: str, prefixes: DataFrame, values: list[str], how: str = "left", space: Space = V4
 ) -> DataFrame:
     """Longest-prefix match of an address against a prefix table (addr, len, ..).
 
-    Distinct addresses are masked to every prefix length that occurs (at most 33)
-    and equi-joined; the longest hit is an aggregate. The answer per address is
+    Distinct addresses are masked to every prefix length that occurs and
+    equi-joined; the longest hit is an aggregate. The answer per address is
     joined back, so an address that fills a third of the rows is matched once.
     """
     table = prefixes.select(
-        network(F.col("addr"), F.col("len")).alias("__net"), F.col("len").alias("__len"), *values
+        space.network(F.col("addr"), F.col("len")).alias("__net"), F.col("len").alias("__len"), *values
     )
     best = F.max_by(F.struct(F.col("__len").alias("prefix_len"), *values), "__len").alias("__m")
     distinct = df.select(F.col(addr).alias("__a")).where("__a is not null").distinct()
     hits = (
-        _candidates(distinct, F.col("__a"), lengths_present(prefixes), ["__a"])
+        _candidates(distinct, "__a", prefixes.select("len"), ["__a"], space)
         .join(table, ["__len", "__net"])
         .groupBy("__a")
         .agg(best)
@@ -278,32 +214,31 @@ def lpm_join(
     return out.withColumns({c: F.col(f"__m.{c}") for c in ["prefix_len", *values]}).drop("__m")
 
 
-def _contained(inner: DataFrame, outer: DataFrame, proper: bool) -> DataFrame:
+def _contained(inner: DataFrame, outer: DataFrame, proper: bool, space: Space) -> DataFrame:
     """Pairs (inner prefix, containing prefix of outer), through masked ancestors."""
-    lengths = lengths_present(outer)
     own = inner.select("addr", "len").distinct()
-    anc = _candidates(own, F.col("addr"), lengths, ["addr", "len"])
+    anc = _candidates(own, "addr", outer.select("len"), ["addr", "len"], space)
     anc = anc.where(F.col("__len") < F.col("len") if proper else F.col("__len") <= F.col("len"))
     table = outer.select(F.col("addr").alias("__net"), F.col("len").alias("__len")).distinct()
     return anc.join(table, ["__len", "__net"])
 
 
-def supernets(prefixes: DataFrame) -> DataFrame:
+def supernets(prefixes: DataFrame, space: Space = V4) -> DataFrame:
     """Prefixes that no other prefix of the table contains."""
     p = prefixes.select("addr", "len").distinct()
-    inside = _contained(p, p, proper=True).select("addr", "len").distinct()
+    inside = _contained(p, p, True, space).select("addr", "len").distinct()
     return p.join(inside, ["addr", "len"], "left_anti")
 
 
-def subnets(prefixes: DataFrame) -> DataFrame:
+def subnets(prefixes: DataFrame, space: Space = V4) -> DataFrame:
     """Prefixes contained in another one of the table."""
     p = prefixes.select("addr", "len").distinct()
-    return p.join(_contained(p, p, proper=True), ["addr", "len"], "left_semi")
+    return p.join(_contained(p, p, True, space), ["addr", "len"], "left_semi")
 
 
-def match_prefixes(a: DataFrame, b: DataFrame, which: str = "longest") -> DataFrame:
+def match_prefixes(a: DataFrame, b: DataFrame, which: str = "longest", space: Space = V4) -> DataFrame:
     """The longest or shortest prefix of A that contains each prefix of B."""
-    pairs = _contained(b, a, proper=False)
+    pairs = _contained(b, a, False, space)
     pick = (F.max if which == "longest" else F.min)(F.struct(F.col("__len").alias("len"), F.col("__net").alias("net")))
     return pairs.groupBy("addr", "len").agg(pick.alias("__m")).select(
         "addr", "len", F.col("__m.net").alias("match_addr"), F.col("__m.len").alias("match_len")

@@ -34,11 +34,18 @@ class SeriesState:
     sev: int = 0
     since: int = 0
     repeat: int = 0
+    pending: list = field(default_factory=list)  # samples of times that a stream's clock has not passed
 
     def to_dict(self) -> dict:
         return asdict(self)
 
 
+def worse(sample: tuple) -> tuple:
+    """The order in which one of several (sev, score) of a time stands for it: the first."""
+    sev, score = sample
+    return (99 if sev == -1 else sev, -score)
+
+
 def first_match(samples: list, r, after: int | None) -> int | None:
     """Index of the first sample at which m of the last n qualify, counting only
     samples later than ``after``."""

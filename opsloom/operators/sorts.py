@@ -11,8 +11,6 @@ from .aggs import distinct_first
 from .ordered import in_order, number_rows, spread_ties
 from .rows import Expr, as_col
 
-# Spark's own default for pushing a rank limit below the shuffle.
-RANK_LIMIT = 1000
 # Copies of one value that a task writes out at a time.
 COPIES = 100_000
 
@@ -88,20 +86,18 @@ def shuffle(df: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def head(df: DataFrame, n: int, order: Sequence[Expr], skip: int = 0, by: Sequence[str] = ()) -> DataFrame:
-    """The first n rows per input after ``skip``.
+    """The first n rows per input after ``skip``, ties in the order of a row hash.
 
-    Small heads are found per task before the shuffle (a rank limit that Spark
-    pushes below the window), large ones by numbering.
+    Every input partition keeps its own first rows (at most ``skip + n`` per input);
+    what is left of all is numbered, which sorts over many tasks.
     """
     keys = [as_col(o) for o in order]
-    if not by:
-        return df.orderBy(*keys).offset(skip).limit(n)
-    if skip + n <= RANK_LIMIT:
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*keys))
-        out = df.withColumn("__rn", rank).where(F.col("__rn") <= skip + n)
-    else:
-        out = number_rows(df, order, "__rn", by).where(F.col("__rn") <= skip + n)
-    return out.where(F.col("__rn") > skip).drop("__rn")
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    marked = df.withColumns({"__h": F.xxhash64(*[F.col(f"`{c}`") for c in plain]), "__p": F.spark_partition_id()})
+    first = F.row_number().over(Window.partitionBy(*by, "__p").orderBy(*keys, "__h"))
+    some = marked.withColumn("__rn", first).where(F.col("__rn") <= skip + n).drop("__rn", "__p")
+    out = number_rows(some, [*order, "__h"], "__rn", by).where(F.col("__rn").between(skip + 1, skip + n))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def tail(df: DataFrame, n: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -299,13 +299,18 @@ def trend_projection(df: DataFrame, target_frame: int, target_time: int) -> Data
 # --- profiles -----------------------------------------------------------------------
 
 
-def profile_sample_days(day: dt.date, available: Sequence[dt.date], n: int = 4) -> list[dt.date]:
-    """The same weekday of the last n weeks; the last n days if fewer than n/2 exist."""
-    have = set(available)
-    weekly = [d for d in (day - dt.timedelta(weeks=w) for w in range(1, n + 1)) if d in have]
-    if len(weekly) * 2 >= n:
-        return weekly
-    return [d for d in (day - dt.timedelta(days=k) for k in range(1, n + 1)) if d in have]
+def profile_sample_days(day: dt.date, available: DataFrame, n: int = 4) -> DataFrame:
+    """(d): the same weekday of the last n weeks; the last n days if fewer than n/2 exist.
+
+    ``available``: one column of dates, repeats allowed. Only the 2n dates that can be chosen are
+    looked for.
+    """
+    weekly = [day - dt.timedelta(weeks=w) for w in range(1, n + 1)]
+    daily = [day - dt.timedelta(days=k) for k in range(1, n + 1)]
+    d = F.col("d")
+    have = available.toDF("d").where(d.isin([*weekly, *daily])).distinct()
+    weeks = have.agg(F.count_if(d.isin(weekly))).scalar()
+    return have.where(F.when(weeks * 2 >= n, d.isin(weekly)).otherwise(d.isin(daily)))
 
 
 def stat_profile(

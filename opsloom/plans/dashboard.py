@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import ALARM_MODE, MEAN_LABEL, SDEV_LABEL, SEVERITY
+from ..operators.alarms import SERVICE_UPDATE, ticket_echo_dedupe
 from ..operators.graph import UNKNOWN, rekey
 from ..operators.rows import in_time_ranges, truth
 from ..operators.stats import Catalogue, group_by_mode, trend_projection
@@ -60,22 +61,33 @@ def query_stats(
     return group_by_mode(out, group, grouped) if group is not None else out
 
 
-def query_stats_profile(stats: DataFrame, profile: DataFrame, **query) -> DataFrame:
-    """The same with the profile's mean and deviation series alongside."""
+def query_stats_profile(
+    stats: DataFrame, profile: DataFrame, times: Sequence[tuple[int, int]] = (), **query
+) -> DataFrame:
+    """The same with the profile's mean and deviation series alongside.
+
+    ``times`` choose points of the current series. A profile row has the time of its frame
+    there, the earliest one; a frame without points that of the series' start.
+    """
     cols = ["level", "id", "key", "frame", "timeissued", "val", "label"]
-    start = stats.agg((F.min("timeissued") - F.min(F.col("frame") * 0)).alias("t")).scalar()
-    prof = profile.where(F.col("label").isin(MEAN_LABEL, SDEV_LABEL)).withColumn("timeissued", start)
-    return query_stats(stats.select(*cols).unionByName(prof.select(*cols)), **query)
+    curr = in_time_ranges(stats, "timeissued", times) if times else stats
+    start = curr.agg(F.min("timeissued")).scalar()
+    at = curr.groupBy(F.col("frame").alias("__f")).agg(F.min("timeissued").alias("__t"))
+    prof = profile.where(F.col("label").isin(MEAN_LABEL, SDEV_LABEL)).join(at, F.col("frame") == F.col("__f"), "left")
+    prof = prof.withColumn("timeissued", F.coalesce("__t", start))
+    return query_stats(curr.select(*cols).unionByName(prof.select(*cols)), **query)
 
 
 def query_projection(stats: DataFrame, target_frame: int, target_time: int) -> DataFrame:
-    """Grouped current series with their trend points appended."""
+    """Grouped current series, and their trend points after them (``pos`` NULL and 0, 1, 2)."""
     curr = stats.where("series = 'curr'")
-    return trend_projection(curr, target_frame, target_time)
+    trend = trend_projection(curr, target_frame, target_time)
+    same = [c for c in trend.columns if c in curr.columns]
+    return curr.select(*same).unionByName(trend, allowMissingColumns=True)
 
 
 def alarm_predicate(params: Sequence[tuple[str, str]]) -> Column:
-    """ccid, severity (by name), ticket mode (by name), text, comment: all must match."""
+    """ccid, severity (by name, any case), ticket mode (by name), text, comment: all must match as a whole."""
     sev = F.create_map(*[F.lit(x) for n, i in SEVERITY.items() for x in (i, n)])
     mode = F.create_map(*[F.lit(x) for n, i in ALARM_MODE.items() for x in (i, n)])
     subject = {
@@ -87,8 +99,7 @@ def alarm_predicate(params: Sequence[tuple[str, str]]) -> Column:
     }
     p = F.lit(True)
     for field, rx in params:
-        # severity and ticket are whole names, texts may match anywhere
-        p = p & (_whole(subject[field], f"(?i:{rx})") if field in ("severity", "ticket") else subject[field].rlike(rx))
+        p = p & _whole(subject[field], f"(?i:{rx})" if field == "severity" else rx)
     return truth(p)
 
 
@@ -103,8 +114,6 @@ def query_alarms(
     secondary-level one (class 2) if that is not selected. An alarm of an edge
     needs one selected endpoint.
     """
-    from ..operators.alarms import ticket_echo_dedupe
-
     secondary_level = secondary_level or out_level
     out = alarms.where(alarm_predicate(params))
     if times:
@@ -144,6 +153,12 @@ def query_unknown(df: DataFrame, inventory: DataFrame, level: str = "level", id_
     return out.withColumn("iid", F.lit(UNKNOWN))
 
 
+def query_unknown_alarms(alarms: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Alarms of assets that are not in the inventory; service updates are no asset's and left out."""
+    own = alarms.where(F.coalesce("id1", F.lit("")) != SERVICE_UPDATE)
+    return query_unknown(own, inventory, "level1", "id1")
+
+
 def query_inventory(
     selected: DataFrame, edges: DataFrame | None, attrs: DataFrame, keys: Sequence[str], hide: Sequence[str] = ()
 ) -> DataFrame:

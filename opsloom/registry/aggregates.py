@@ -66,6 +66,17 @@ def stats_grouped_overflow(spark, sf):
     return _rounded(aggs.stats(table(spark, sf, "events"), ["user_id"], ["value"], max_groups=10, first_by=["event_id"]))
 
 
+@query("stats_grouped_two", """WITH e AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'a,' || user_id % 2 END AS g1, CASE WHEN user_id % 5 = 0 THEN '' ELSE event_type || ',b' END AS g2 FROM events)
+  SELECT coalesce(g1, '') || ',' || g2 AS "group", 'value' AS field, count(value) AS count, round(sum(value), 2) AS sum,
+  round(avg(value), 6) AS average, round(coalesce(stddev_samp(value), 0), 6) AS deviation, min(value) AS min, max(value) AS max FROM e GROUP BY g1, g2""")
+def stats_grouped_two(spark, sf):
+    """Groups of two columns with commas, NULL and empty text in them."""
+    e = table(spark, sf, "events").withColumns({
+        "g1": F.expr("if(user_id % 3 = 0, null, concat('a,', user_id % 2))"), "g2": F.expr("if(user_id % 5 = 0, '', concat(event_type, ',b'))"),
+    })
+    return _rounded(aggs.stats(e, ["g1", "g2"], ["value"]))
+
+
 @query("sort_count", "SELECT l_partkey, count(*) AS count FROM lineitem GROUP BY ALL HAVING count(*) >= 35")
 def sort_count(spark, sf):
     return aggs.sort_count(table(spark, sf, "lineitem"), ["l_partkey"], 35)
@@ -100,9 +111,10 @@ def usage_by_day(spark, sf):
 
 KF_SRC = """d AS (SELECT CAST(l_suppkey AS VARCHAR) AS key, CAST(month(l_shipdate) - 1 AS INTEGER) AS frame, l_quantity AS val,
   year(l_shipdate) AS y FROM lineitem),
- a AS (SELECT key, frame, sum(val) AS val FROM d WHERE y = 1996 GROUP BY ALL),
- b AS (SELECT key, frame, sum(val) AS val FROM d WHERE y = 1997 GROUP BY ALL),
- c AS (SELECT key, frame, sum(val) AS val FROM d WHERE y = 2001 AND val > 25 GROUP BY ALL),
+ a AS (SELECT key, frame, sum(val) AS val FROM d WHERE y % 3 = 0 GROUP BY ALL),
+ b AS (SELECT key, frame, sum(val) AS val FROM d WHERE y % 3 = 1 GROUP BY ALL),
+ c AS (SELECT key, frame, sum(val) AS val FROM d WHERE y % 3 = 2 GROUP BY ALL),
+ w AS (SELECT key, frame, sum(val) AS val FROM d GROUP BY ALL),
  cells AS (SELECT key, frame, sum(val) FILTER (i = 0) AS v0, sum(val) FILTER (i = 1) AS v1, sum(val) FILTER (i = 2) AS v2 FROM
   (SELECT *, 0 AS i FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 2 FROM c) GROUP BY ALL)"""
 
@@ -113,11 +125,12 @@ def _year(spark, sf, cond):
 
 
 def _abc(spark, sf):
-    return [
-        _year(spark, sf, "year(l_shipdate) = 1996"),
-        _year(spark, sf, "year(l_shipdate) = 1997"),
-        _year(spark, sf, "year(l_shipdate) = 2001 and l_quantity > 25"),
-    ]
+    """Three sets that together hold every line item."""
+    return [_year(spark, sf, f"year(l_shipdate) % 3 = {i}") for i in range(3)]
+
+
+def _whole(spark, sf):
+    return _year(spark, sf, "true")
 
 
 def _r(df, digits=4):
@@ -172,43 +185,43 @@ for _how, _sql in (("add", "sum(val)"), ("min", "min(val)"), ("max", "max(val)")
     _zero = "" if _how == "add" else f"CASE WHEN count(*) < {{n}} THEN {'least' if _how == 'min' else 'greatest'}({_sql}, 0) ELSE {_sql} END"
 
     def _frames(spark, sf, how=_how):
-        return frames.sum_frames(_abc(spark, sf)[2], how)
+        return frames.sum_frames(_whole(spark, sf), how)
 
     def _items(spark, sf, how=_how):
-        return frames.sum_items(_abc(spark, sf)[2], how)
+        return frames.sum_items(_whole(spark, sf), how)
 
     query(
         f"kf_sum_frames_{_how}",
-        f"WITH {KF_SRC} SELECT key, {_zero.format(n='(SELECT max(frame) + 1 FROM c)') or _sql} AS val FROM c GROUP BY key",
+        f"WITH {KF_SRC} SELECT key, {_zero.format(n='(SELECT max(frame) + 1 FROM w)') or _sql} AS val FROM w GROUP BY key",
     )(_frames)
     query(
         f"kf_sum_items_{_how}",
-        f"WITH {KF_SRC} SELECT frame, {_zero.format(n='(SELECT count(DISTINCT key) FROM c)') or _sql} AS val FROM c GROUP BY frame",
+        f"WITH {KF_SRC} SELECT frame, {_zero.format(n='(SELECT count(DISTINCT key) FROM w)') or _sql} AS val FROM w GROUP BY frame",
     )(_items)
 
 
-@query("kf_reaggregate", f"""WITH {KF_SRC} SELECT CAST(s_nationkey AS VARCHAR) AS key, frame, sum(val) AS val FROM a
+@query("kf_reaggregate", f"""WITH {KF_SRC} SELECT CAST(s_nationkey AS VARCHAR) AS key, frame, sum(val) AS val FROM w
   JOIN supplier ON key = CAST(s_suppkey AS VARCHAR) WHERE s_acctbal > 0 GROUP BY ALL""")
 def kf_reaggregate(spark, sf):
     m = table(spark, sf, "supplier").where("s_acctbal > 0").selectExpr("string(s_suppkey) key", "string(s_nationkey) newkey")
-    return frames.reaggregate(_abc(spark, sf)[0], m)
+    return frames.reaggregate(_whole(spark, sf), m)
 
 
-@query("kf_extract", f"WITH {KF_SRC} SELECT key, frame, val FROM a WHERE key IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_nationkey < 5)")
+@query("kf_extract", f"WITH {KF_SRC} SELECT key, frame, val FROM w WHERE key IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_nationkey < 5)")
 def kf_extract(spark, sf):
-    return frames.extract(_abc(spark, sf)[0], table(spark, sf, "supplier").where("s_nationkey < 5").selectExpr("string(s_suppkey) key"))
+    return frames.extract(_whole(spark, sf), table(spark, sf, "supplier").where("s_nationkey < 5").selectExpr("string(s_suppkey) key"))
 
 
-@query("kf_print_select", f"WITH {KF_SRC} SELECT key, frame, val FROM a WHERE key = '7' OR frame = 3")
+@query("kf_print_select", f"WITH {KF_SRC} SELECT key, frame, val FROM w WHERE key = '7' OR frame = 3")
 def kf_print_select(spark, sf):
-    a = _abc(spark, sf)[0]
+    a = _whole(spark, sf)
     return frames.print_select(a, key="7").unionByName(frames.print_select(a.where("key <> '7'"), frame=3))
 
 
-@query("kf_topn", f"""WITH {KF_SRC} (SELECT 'max' AS kind, key, frame, val FROM a WHERE frame BETWEEN 2 AND 9 ORDER BY val DESC, frame, key LIMIT 20)
-  UNION ALL (SELECT 'min', key, frame, val FROM a ORDER BY val, frame, key LIMIT 20)""")
+@query("kf_topn", f"""WITH {KF_SRC} (SELECT 'max' AS kind, key, frame, val FROM w WHERE frame BETWEEN 2 AND 9 ORDER BY val DESC, frame, key LIMIT 20)
+  UNION ALL (SELECT 'min', key, frame, val FROM w ORDER BY val, frame, key LIMIT 20)""")
 def kf_topn(spark, sf):
-    a = _abc(spark, sf)[0]
+    a = _whole(spark, sf)
     hi = frames.topn(a, 20, True, (2, 9)).withColumn("kind", F.lit("max"))
     return hi.unionByName(frames.topn(a, 20, False).withColumn("kind", F.lit("min")))
 

@@ -9,7 +9,8 @@ from ..operators import stats
 from ..plans import dashboard as D
 from ..session import stored
 from . import views as V
-from .core import query, table
+from .alarms import _TWICE, _with_echoes
+from .core import ORACLES, query, table
 
 
 @query("inv_dedupe", f"""WITH {V.NODES}, d AS (SELECT *, row_number() OVER (PARTITION BY level, id, key ORDER BY val) AS r FROM
@@ -208,23 +209,27 @@ def query_stats_asset_keys(spark, sf):
     return D.query_stats(V.framed(spark, sf), V.closure(spark, sf), "r", asset_keys=keys).select("seq", "iid")
 
 
-@query("query_stats_profile", f"""WITH {V.NODES}, {V.CLOSURE}, {V.FRAMED}, q AS (SELECT level, id, key, CAST(frame // 72 AS INTEGER) AS frame, val, '' AS label FROM framed WHERE key = 'click'),
-  m AS (SELECT level, id, key, frame, avg(val) AS a, coalesce(stddev_samp(val), 0) AS d FROM q GROUP BY ALL),
-  s AS (SELECT level, id, key, frame, val, label FROM q UNION ALL SELECT level, id, key, frame, a, '___mean___' FROM m UNION ALL SELECT level, id, key, frame, d, '___sdev___' FROM m)
-  SELECT s.id, s.key, s.frame, s.label, round(s.val, 6) AS val, u.id2 AS iid FROM s {_ANC}""")
+_LATER = "timeissued BETWEEN 1704900000 AND 1706000000"
+
+
+@query("query_stats_profile", f"""WITH {V.NODES}, {V.CLOSURE}, {V.FRAMED}, q AS (SELECT level, id, key, CAST(frame // 72 AS INTEGER) AS frame, val, timeissued FROM framed),
+  m AS (SELECT level, id, key, frame, avg(val) AS a, coalesce(stddev_samp(val), 0) AS d FROM q GROUP BY ALL), c AS (SELECT * FROM q WHERE {_LATER}),
+  ft AS (SELECT frame, min(timeissued) AS t FROM c GROUP BY frame), mt AS (SELECT m.*, coalesce(t, (SELECT min(timeissued) FROM c)) AS t FROM m LEFT JOIN ft USING (frame)),
+  s AS (SELECT level, id, key, frame, val, '' AS label, timeissued FROM c UNION ALL SELECT level, id, key, frame, a, '___mean___', t FROM mt UNION ALL SELECT level, id, key, frame, d, '___sdev___', t FROM mt)
+  SELECT s.id, s.key, s.frame, s.label, s.timeissued, round(s.val, 6) AS val, u.id2 AS iid FROM s {_ANC}""")
 def query_stats_profile(spark, sf):
-    s = V.framed(spark, sf).where("key = 'click'").withColumn("frame", F.expr("int(frame div 72)"))
+    s = V.framed(spark, sf).withColumn("frame", F.expr("int(frame div 72)"))
     prof = s.groupBy(*stats.SERIES, "frame").agg(F.avg("val").alias("m"), F.coalesce(F.stddev_samp("val"), F.lit(0.0)).alias("d"))
     long = prof.selectExpr("level", "id", "key", "frame", "stack(2, '___mean___', m, '___sdev___', d) as (label, val)")
-    out = D.query_stats_profile(s, long, closure=V.closure(spark, sf), out_level="n")
-    return out.select("id", "key", "frame", "label", F.round("val", 6).alias("val"), "iid")
+    out = D.query_stats_profile(s, long, times=[(1704900000, 1706000000)], closure=V.closure(spark, sf), out_level="n")
+    return out.select("id", "key", "frame", "label", "timeissued", F.round("val", 6).alias("val"), "iid")
 
 
-_AQ = "(severity = 1 OR severity = 2) AND tmode IN (1, 2) AND regexp_matches(text, 'disk_[0-4]') AND timeissued BETWEEN 1704067200 AND 1706000000"
+_AQ = "(severity = 1 OR severity = 2) AND tmode IN (1, 2) AND regexp_full_match(text, 'disk_[0-4].*') AND timeissued BETWEEN 1704067200 AND 1706000000"
 
 
 def _alarm_params():
-    return {"params": [("severity", "critical|major"), ("ticket", "keep|DEFER"), ("text", "disk_[0-4]")], "times": [(1704067200, 1706000000)]}
+    return {"params": [("severity", "critical|MAJOR"), ("ticket", "keep|defer"), ("text", "disk_[0-4].*")], "times": [(1704067200, 1706000000)]}
 
 
 @query("query_alarms", f"""WITH {SELECTED}, {V.ALARMS}, res AS (SELECT DISTINCT c.id2 FROM closure c JOIN sel USING (level1, id1) WHERE c.level2 = 'n'),
@@ -251,6 +256,28 @@ def query_alarms_by_asset(spark, sf):
     return out.select("seq", "iid1", "iid2")
 
 
+@query("query_alarms_ccid", f"""WITH {V.NODES}, {V.CLOSURE}, {V.ECHO} SELECT a.seq, u.id2 AS iid1 FROM deduped a JOIN closure u ON u.level1 = a.level1 AND u.id1 = a.id1 AND u.level2 = 'n'
+  LEFT JOIN closure w ON w.level1 = a.level2 AND w.id1 = a.id2 AND w.level2 = 'n' WHERE a.id2 = '' OR w.id2 IS NOT NULL""")
+def query_alarms_ccid(spark, sf):
+    """Alarms of the ccids cc1, cc10 to cc19, whole names, without the echoes of correlated ones."""
+    a = _with_echoes(spark, sf)
+    return D.query_alarms(a, V.closure(spark, sf), "n", params=[("ccid", "cc1[0-9]?")], order="seq").select("seq", "iid1")
+
+
+ORACLES["query_alarms_ccid"] = ORACLES["query_alarms_ccid"].replace(
+    V.ALARMS, V.ALARMS.replace("alarm AS (", "alarm0 AS (", 1) + ",\n" + _TWICE.replace("alarm AS (", "alarm1 AS (", 1)
+    + ",\nalarm AS (SELECT * FROM alarm1 WHERE regexp_full_match(ccid, 'cc1[0-9]?'))"
+)
+
+
+@query("query_unknown_alarms", f"WITH {V.ALARMS} SELECT seq, 'UNKNOWN' AS iid FROM alarm WHERE id1 NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier) AND CAST(id1 AS BIGINT) % 4 <> 0")
+def query_unknown_alarms(spark, sf):
+    """A quarter of the objects are service updates here."""
+    a = V.alarm(spark, sf).withColumn("id1", F.expr("if(bigint(id1) % 4 = 0, '__ce_svc_upd__', id1)"))
+    inv = table(spark, sf, "supplier").selectExpr("'o' as level", "string(s_suppkey) as id")
+    return D.query_unknown_alarms(a, inv).select("seq", "iid")
+
+
 @query("query_unknown", f"WITH {V.STAT} SELECT seq, 'UNKNOWN' AS iid FROM stat WHERE CAST(id AS BIGINT) NOT IN (SELECT s_suppkey FROM supplier)")
 def query_unknown(spark, sf):
     inv = table(spark, sf, "supplier").selectExpr("'o' as level", "string(s_suppkey) as id")

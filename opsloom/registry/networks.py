@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import net
 from ..operators import prefixes as P
 from . import views as V
 from .core import query
@@ -108,6 +109,87 @@ def pfx_difference_v6(spark, sf):
     return P.difference(a, b, P.V6).select(F.lower(F.hex("lo")).alias("lo"), F.lower(F.hex("hi")).alias("hi"))
 
 
+# The prefixes a.b.c.d/n of the tables as 2001:db8:aabb:ccdd::/(32 + n).
+
+
+def _wide_prefixes(spark, sf, which="a"):
+    p = V.prefix_table(spark, sf, which)
+    net_ = F.unhex(F.concat(F.lit("20010DB8"), F.lpad(F.hex("addr"), 8, "0"), F.lit("0" * 16)))
+    return p.select(net_.alias("addr"), (F.col("len") + 32).alias("len"), "owner")
+
+
+def _wide(spark, sf):
+    return [P.to_ranges(_wide_prefixes(spark, sf, w), space=P.V6) for w in "ab"]
+
+
+def _hexed(df, *cols):
+    return df.select(*[F.lower(F.hex(c)).alias(c) if c in cols else c for c in df.columns])
+
+
+def _wide_sql(ranges: str) -> str:
+    lo, hi = ("'20010db8' || printf('%08x', {0}) || repeat('{1}', 16)".format(*x) for x in (("lo", "0"), ("hi", "f")))
+    return f"SELECT {lo} AS lo, {hi} AS hi FROM ({ranges})"
+
+
+@query("pfx_intersect_v6", f"WITH {V.RANGES} {_wide_sql(V.sweep_sql('(ca > 0 AND cb > 0)'))}")
+def pfx_intersect_v6(spark, sf):
+    return _hexed(P.intersect(*_wide(spark, sf), P.V6), "lo", "hi")
+
+
+@query("pfx_invert_v6", f"""WITH {V.RANGES}, u AS ({V.sweep_sql('(ca > 0)')}), g AS (SELECT hi + 1 AS lo, lead(lo) OVER (ORDER BY lo) - 1 AS hi FROM u)
+  SELECT CASE WHEN lo = 4294967296 THEN '20010db9' || repeat('0', 24) ELSE '20010db8' || printf('%08x', lo) || repeat('0', 16) END AS lo,
+    CASE WHEN hi IS NULL THEN repeat('f', 32) ELSE '20010db8' || printf('%08x', hi) || repeat('f', 16) END AS hi FROM g WHERE hi IS NULL OR lo <= hi
+  UNION ALL SELECT repeat('0', 32), CASE WHEN min(lo) = 0 THEN '20010db7' || repeat('f', 24) ELSE '20010db8' || printf('%08x', min(lo) - 1) || repeat('f', 16) END FROM u""")
+def pfx_invert_v6(spark, sf):
+    return _hexed(P.invert(_wide(spark, sf)[0], P.V6), "lo", "hi")
+
+
+@query("pfx_cover_v6", f"""WITH {V.RANGES}, u AS ({V.sweep_sql('(ca > 0)')}), i AS ({V.sweep_sql('(ca > 0 AND cb > 0)')}),
+  c AS (SELECT lo, hi FROM u WHERE EXISTS (SELECT 1 FROM i WHERE i.lo >= u.lo AND i.lo <= u.hi)) {_wide_sql('SELECT * FROM c')}""")
+def pfx_cover_v6(spark, sf):
+    return _hexed(P.cover(*_wide(spark, sf), P.V6), "lo", "hi")
+
+
+@query("pfx_rebit_v6", f"""WITH {V.PFX_A}, ra AS (SELECT addr - addr % 65536 AS lo, addr - addr % 65536 + 65535 AS hi FROM pa WHERE len > 16
+  UNION ALL SELECT addr, addr + (1::BIGINT << (32 - len)) - 1 FROM pa WHERE len <= 16), edges AS (SELECT lo AS pos, 1 AS da FROM ra UNION ALL SELECT hi + 1, -1 FROM ra),
+  depth AS (SELECT pos, sum(sum(da)) OVER (ORDER BY pos) AS ca FROM edges GROUP BY pos) {_wide_sql(V.sweep_sql('(ca > 0)'))}""")
+def pfx_rebit_v6(spark, sf):
+    return _hexed(P.rebit(_wide(spark, sf)[0], 48, P.V6), "lo", "hi")
+
+
+@query("pfx_subset_v6", f"""WITH {V.RANGES}, d AS ({V.sweep_sql('(ca > 0 AND cb <= 0)')}) SELECT 'a in b' AS test, (SELECT count(*) FROM d) = 0 AS subset UNION ALL SELECT 'a in a+b', true""")
+def pfx_subset_v6(spark, sf):
+    a, b = _wide(spark, sf)
+    return P.subset(a, b, P.V6).withColumn("test", F.lit("a in b")).unionByName(P.subset(a, a.unionByName(b), P.V6).withColumn("test", F.lit("a in a+b")))
+
+
+@query("pfx_equal_v6", f"""WITH {V.RANGES}, d AS ({V.sweep_sql('((ca > 0) <> (cb > 0))')}) SELECT 'a is b' AS test, (SELECT count(*) FROM d) = 0 AS equal UNION ALL SELECT 'a is a+a', true""")
+def pfx_equal_v6(spark, sf):
+    a, b = _wide(spark, sf)
+    return P.equal(a, b, P.V6).withColumn("test", F.lit("a is b")).unionByName(P.equal(a, a.unionByName(a), P.V6).withColumn("test", F.lit("a is a+a")))
+
+
+@query("pfx_cidrs_v6", f"WITH RECURSIVE {V.RANGES}, u AS ({V.sweep_sql('(ca > 0 AND cb <= 0)')}), {_BLOCKS} SELECT '20010db8' || printf('%08x', addr) || repeat('0', 16) AS addr, CAST(64 - k AS INTEGER) AS len FROM blk")
+def pfx_cidrs_v6(spark, sf):
+    return _hexed(P.cidrs(P.difference(*_wide(spark, sf), P.V6), P.V6), "addr")
+
+
+@query("pfx_size_v6", f"WITH RECURSIVE {V.RANGES}, u AS ({V.sweep_sql('(ca > 0)')}), {_BLOCKS} SELECT (SELECT count(*) FROM blk) AS prefixes, CAST(sum(hi - lo + 1)::BIGINT AS VARCHAR) AS networks64, '0' AS addresses, count(*) AS ranges FROM u")
+def pfx_size_v6(spark, sf):
+    return P.size6(_wide(spark, sf)[0])
+
+
+@query("pfx_min_max_v6", f"WITH {V.RANGES} SELECT '20010db8' || printf('%08x', min(lo)) || repeat('0', 16) AS min, '20010db8' || printf('%08x', max(hi)) || repeat('f', 16) AS max FROM ra")
+def pfx_min_max_v6(spark, sf):
+    return _hexed(P.min_max(_wide(spark, sf)[0]), "min", "max")
+
+
+@query("prefix_table_stats_v6", f"""WITH {V.PFX_A}, d AS (SELECT DISTINCT addr, len FROM pa) SELECT len + 32 AS len, count(*) AS prefixes, sum(pow(2.0::DOUBLE, 96 - len)) AS addresses FROM d GROUP BY len
+  UNION ALL SELECT -1, count(*), sum(pow(2.0::DOUBLE, 96 - len)) FROM d""")
+def prefix_table_stats_v6(spark, sf):
+    return P.table_stats(_wide_prefixes(spark, sf), P.V6)
+
+
 LPM = f"""WITH {V.FLOW}, {V.PFX_A}, t AS (SELECT addr, len, min(owner) AS owner FROM pa GROUP BY ALL), d AS (SELECT DISTINCT src FROM flow), lens AS (SELECT DISTINCT len FROM t),
   m AS (SELECT d.src, arg_max(t.owner, t.len) AS owner, max(t.len) AS prefix_len FROM d CROSS JOIN lens JOIN t ON t.len = lens.len AND t.addr = d.src - d.src % (1::BIGINT << (32 - lens.len)) GROUP BY d.src)"""
 
@@ -118,6 +200,22 @@ def lpm_join(spark, sf):
     return P.lpm_join(V.flow(spark, sf), "src", t, ["owner"]).select("orderkey", "linenumber", "src", "prefix_len", "owner")
 
 
+@query("lpm_join_v6", LPM + " SELECT orderkey, linenumber, f.src, prefix_len + 32 AS prefix_len, owner FROM flow f LEFT JOIN m ON m.src = f.src")
+def lpm_join_v6(spark, sf):
+    t = _wide_prefixes(spark, sf).groupBy("addr", "len").agg(F.min("owner").alias("owner"))
+    host = F.unhex(F.concat(F.lit("20010DB8"), F.lpad(F.hex("src"), 8, "0"), F.lpad(F.hex("linenumber"), 16, "0")))
+    f = V.flow(spark, sf).withColumn("src6", host)
+    return P.lpm_join(f, "src6", t, ["owner"], space=P.V6).select("orderkey", "linenumber", "src", "prefix_len", "owner")
+
+
+@query("select_prefix_v6", f"WITH {V.FLOW} SELECT orderkey, linenumber, src FROM flow WHERE src BETWEEN 1073741824 AND 1610612735")
+def select_prefix_v6(spark, sf):
+    """2001:db8:4000::/35 of the sources, written as text and read back."""
+    text = F.concat_ws(":", F.lit("2001:db8"), F.hex(F.shiftright("src", 16)), F.hex(F.col("src").bitwiseAND(65535)), F.lit(":"), F.hex("linenumber"))
+    f = V.flow(spark, sf).withColumn("src6", net.ip6_parse(F.replace(text, F.lit(":::"), F.lit("::"))))
+    return f.where(net.in_prefix6(F.col("src6"), "2001:db8:4000::/35")).select("orderkey", "linenumber", "src")
+
+
 @query("flow_scan", f"""WITH {V.FLOW} SELECT dst_port, protocol, count(*) AS flows, sum(packets)::BIGINT AS packets, sum(bytes)::BIGINT AS bytes FROM flow
   WHERE src BETWEEN 1073741824 AND 2147483647 AND bytes > 5000 GROUP BY ALL""")
 def flow_scan(spark, sf):

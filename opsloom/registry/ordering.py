@@ -30,11 +30,10 @@ def sort_unique(spark, sf):
     ).select("l_suppkey", "l_returnflag", "l_orderkey")
 
 
-@query("sort_merge", """SELECT o_orderdate, o_totalprice FROM orders WHERE o_orderstatus = 'F' UNION ALL
-  SELECT o_orderdate, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_totalprice DESC""")
+@query("sort_merge", """SELECT o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate, o_totalprice DESC""")
 def sort_merge(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    parts = [o.where(F.col("o_orderstatus") == s).select("o_orderdate", "o_totalprice") for s in "FO"]
+    parts = [o.where(F.col("o_orderstatus") == s).select("o_orderdate", "o_totalprice") for s in "FOP"]
     return sorts.sort_merge(parts, [("o_orderdate", False), ("o_totalprice", True)])
 
 
@@ -117,22 +116,22 @@ def union_all(spark, sf):
     return concat([table(spark, sf, "supplier").selectExpr("s_suppkey k", "s_name n"), table(spark, sf, "customer").selectExpr("c_name n", "c_custkey k")])
 
 
-_COMM = """a AS (SELECT l_partkey AS v, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
-  b AS (SELECT l_partkey AS v, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL),
+_COMM = """a AS (SELECT l_partkey AS v, count(*) AS n FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY ALL),
+  b AS (SELECT l_partkey AS v, count(*) AS n FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY ALL),
   j AS (SELECT coalesce(a.v, b.v) AS value, coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb FROM a FULL JOIN b USING (v))"""
 
 
 @query("comm", f"WITH {_COMM} SELECT value, greatest(na - nb, 0) AS only_a, greatest(nb - na, 0) AS only_b, least(na, nb) AS both FROM j")
 def comm(spark, sf):
     li = table(spark, sf, "lineitem")
-    return sorts.comm(li.where("l_returnflag = 'R'"), li.where("l_returnflag = 'A'"), "l_partkey")
+    return sorts.comm(li.where("l_linenumber % 2 = 1"), li.where("l_linenumber % 2 = 0"), "l_partkey")
 
 
-@query("comm_rows", """SELECT 'a' AS side, l_partkey FROM (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT ALL SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')
-  UNION ALL SELECT 'both', l_partkey FROM (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT ALL SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')""")
+@query("comm_rows", """SELECT 'a' AS side, l_partkey FROM (SELECT l_partkey FROM lineitem WHERE l_linenumber % 2 = 1 EXCEPT ALL SELECT l_partkey FROM lineitem WHERE l_linenumber % 2 = 0)
+  UNION ALL SELECT 'both', l_partkey FROM (SELECT l_partkey FROM lineitem WHERE l_linenumber % 2 = 1 INTERSECT ALL SELECT l_partkey FROM lineitem WHERE l_linenumber % 2 = 0)""")
 def comm_rows(spark, sf):
     li = table(spark, sf, "lineitem")
-    a, b = (li.where(F.col("l_returnflag") == f) for f in "RA")
+    a, b = (li.where(F.col("l_linenumber") % 2 == f) for f in (1, 0))
     parts = [sorts.comm_rows(a, b, "l_partkey", c).select(F.lit(n).alias("side"), "l_partkey") for c, n in (("only_a", "a"), ("both", "both"))]
     return parts[0].unionByName(parts[1])
 

@@ -62,7 +62,7 @@ def src_flat_schema(spark, sf):
         ["user_id", F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), "event_type",
          "if(event_type = 'error', 500, 200)", "bigint(floor(value * 100))", "event_type"],
     )
-    return readers.read_flat(spark, path, readers.ACCESS_LOG).select("addr", "time", "request", "status", "size")
+    return readers.read_flat(spark, path, readers.ACCESS_LOG)[0].select("addr", "time", "request", "status", "size")
 
 
 @query("src_pattern_text", "SELECT o_orderstatus AS status, o_orderkey AS \"key\", o_totalprice AS price, o_orderpriority AS prio FROM orders")
@@ -70,7 +70,7 @@ def src_pattern_text(spark, sf):
     lines = writers.formatted(
         table(spark, sf, "orders"), "%s::%d=%.2f %s", ["o_orderstatus", "o_orderkey", "o_totalprice", "o_orderpriority"]
     )
-    return readers.parse_pattern(lines, "%(status)s::%(key::Order number.)d=%(price)f %(prio)s")
+    return readers.parse_pattern(lines, "%(status)s::%(key::Order number.)d=%(price)f %(prio)s")[0]
 
 
 @query("src_json", "SELECT event_id, user_id AS uid, event_type AS kind, CAST(props ->> '$.k' AS BIGINT) AS k FROM events")
@@ -111,7 +111,7 @@ def _flow_lines(spark, sf):
 def src_flow_text(spark, sf):
     path = scratch_path(spark, "flow")
     _flow_lines(spark, sf).write.text(path)
-    return readers.read_flow(spark, path).select(
+    return readers.read_flow(spark, path)[0].select(
         "src_addr_num", "dst_addr_num", "src_port", "dst_port", "protocol", "tcp_flags", "packets", "bytes", "src_as",
         "hop_num",
     )
@@ -125,10 +125,50 @@ def src_route_table(spark, sf):
         F.format_string("*> %s/%d 192.168.1.1 7018 %d %d i", net.ip_format(F.col("addr")), "len", F.expr("owner % 64"),
                         F.expr("1 + owner % 900")).alias("value")
     )
-    r = readers.parse_routes(lines)
+    r, _ = readers.parse_routes(lines)
     return r.select("addr", "len", "hop", F.col("path")[0].cast("int").alias("first_as"), "origin_as", F.size("path").alias("hops"))
 
 
+@query("src_route_table_v6", f"""WITH {V.PFX_A} SELECT '20010db8' || printf('%08x', addr) || repeat('0', 16) AS addr, len + 32 AS len, '20010db8' || repeat('0', 23) || '1' AS hop,
+  CAST(1 + owner % 900 AS BIGINT) AS origin_as, 3 AS hops FROM pa""")
+def src_route_table_v6(spark, sf):
+    p = V.prefix_table(spark, sf)
+    lines = p.select(
+        F.format_string("*> 2001:db8:%x:%x::/%d 2001:db8::1 7018 %d %d i", F.shiftright("addr", 16), F.col("addr").bitwiseAND(65535), F.col("len") + 32,
+                        F.expr("owner % 64"), F.expr("1 + owner % 900")).alias("value")
+    )
+    r, _ = readers.parse_routes(lines)
+    return r.where("family = 6").select(F.lower(F.hex("addr6")).alias("addr"), "len", F.lower(F.hex("hop6")).alias("hop"), "origin_as", F.size("path").alias("hops"))
+
+
+@query("src_rejects", """SELECT 'flat' AS reader, (SELECT count(*) FROM events) AS rows, (SELECT count(*) FROM events WHERE user_id % 3 = 0) AS rejects
+  UNION ALL SELECT 'pattern', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 1)
+  UNION ALL SELECT 'flow', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM lineitem WHERE l_linenumber = 2)
+  UNION ALL SELECT 'route', (SELECT count(*) FROM customer), (SELECT count(*) FROM customer WHERE c_custkey % 5 = 0)""")
+def src_rejects(spark, sf):
+    """Rows and rejected lines of every line reader; rejects come from broken copies of some lines."""
+    e, o = table(spark, sf, "events"), table(spark, sf, "orders")
+    log = e.select(F.format_string('h%d - - [t] "GET /" 200 1 "-" "a"', "user_id").alias("value"))
+    log = log.unionByName(e.where("user_id % 3 = 0").select(F.concat(F.lit("h [t"), "event_type").alias("value")))
+    text = o.select(F.format_string("%s::%d=1.5 x", "o_orderstatus", "o_orderkey").alias("value"))
+    text = text.unionByName(o.where("o_orderkey % 4 = 1").select(F.format_string("%s::%d", "o_orderstatus", "o_orderkey").alias("value")))
+    flows = _flow_lines(spark, sf)
+    flows = flows.unionByName(table(spark, sf, "lineitem").where("l_linenumber = 2").select(F.concat(F.lit("300.1.1.1|1.1.1.1|"), "l_orderkey").alias("value")))
+    c = table(spark, sf, "customer")
+    routes = c.select(F.format_string("*> 10.%d.0.0/16 10.0.0.1 7018 i", F.expr("c_custkey % 250")).alias("value"))
+    routes = routes.unionByName(c.where("c_custkey % 5 = 0").select(F.format_string("*> 10.%d.0.0/64 10.0.0.1 7018 i", F.expr("c_custkey % 250")).alias("value")))
+    parsed = {
+        "flat": readers.parse_flat(log, readers.ACCESS_LOG), "pattern": readers.parse_pattern(text, "%(status)s::%(key)d=%(price)f %(prio)s"),
+        "flow": readers.parse_flow(flows), "route": readers.parse_routes(routes),
+    }
+    out = None
+    for name, (rows, rejects) in parsed.items():
+        both = rows.select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(rejects.select(F.lit(0).alias("a"), F.lit(1).alias("b")))
+        n = both.agg(F.sum("a").alias("rows"), F.sum("b").alias("rejects")).select(F.lit(name).alias("reader"), "rows", "rejects")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 @query("src_event_xml", f"""WITH {V.ALARMS} SELECT alarmid, ccid, state, smode, timecleared, timeissued, type,
   sortorder, level1, id1, level2, id2, tmode, severity, text FROM alarm""")
 def src_event_xml(spark, sf):
@@ -139,7 +179,7 @@ def src_event_xml(spark, sf):
                        "id1", "level2", "id2", "tmode", "severity", "text")
 
 
-@query("src_event_xml_stat", f"WITH {V.STAT} SELECT timeissued, level, id, key, val FROM stat WHERE val >= 0")
+@query("src_event_xml_stat", f"WITH {V.STAT} SELECT timeissued, level, id, key, val FROM stat")
 def src_event_xml_stat(spark, sf):
     path = scratch_path(spark, "stats")
     s = V.stat(spark, sf)
@@ -178,7 +218,7 @@ def infer_widths(spark, sf):
 def sink_split_by_key(spark, sf):
     path = scratch_path(spark, "split")
     keys = ["o_orderstatus", "o_orderpriority"]
-    writers.sink_split_by_key(table(spark, sf, "orders"), path, keys, buckets=4)
+    writers.sink_split_by_key(table(spark, sf, "orders"), path, keys)
     return spark.read.parquet(path).groupBy(*keys).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
@@ -525,11 +565,11 @@ def lookup_dict_unique(spark, sf):
     return out.select("c_custkey", "s_name")
 
 
-@query("lookup_dict_all", "SELECT c_custkey, s_name FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey")
+@query("lookup_dict_all", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 def lookup_dict_all(spark, sf):
     return joins.lookup_dict(
-        table(spark, sf, "customer"), table(spark, sf, "supplier"), [[("c_nationkey", "s_nationkey")]], ["s_name"]
-    ).select("c_custkey", "s_name")
+        table(spark, sf, "customer"), table(spark, sf, "orders"), [[("c_custkey", "o_custkey")]], ["o_orderkey"]
+    ).select("c_custkey", "o_orderkey")
 
 
 @query("lookup_array", "SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
@@ -540,9 +580,9 @@ def lookup_array(spark, sf):
     ).select("s_suppkey", "n_name")
 
 
-@query("lookup_sorted", "SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'")
+@query("lookup_sorted", "SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def lookup_sorted(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderstatus = 'P'")
+    o = table(spark, sf, "orders")
     return joins.lookup_dict(
         o, table(spark, sf, "lineitem"), [[("o_orderkey", "l_orderkey")]], ["l_linenumber", "l_quantity"], how="inner"
     ).select("o_orderkey", "l_linenumber", "l_quantity")

@@ -139,11 +139,11 @@ def fn_html_ref(spark, sf):
     )
 
 
-@query("fn_cut", """SELECT o_orderkey, substring(o_orderpriority, 1, 1) || ':' || substring(o_orderpriority, 3, 3) || ':' || substring(o_orderpriority, 7) AS chars,
+@query("fn_cut", """SELECT o_orderkey, substring(o_orderpriority, 1, 1) || ':' || substring(o_orderpriority, 3, 3) || CASE WHEN length(o_orderpriority) >= 7 THEN ':' || substring(o_orderpriority, 7) ELSE '' END AS chars,
   split_part(s, ',', 1) || ';' || split_part(s, ',', 3) || ';' || split_part(s, ',', 4) AS fields, CASE WHEN contains(o_orderpriority, ' ') THEN split_part(o_orderpriority, ' ', 2) END AS only
-  FROM (SELECT *, o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',x' AS s FROM orders WHERE length(o_orderpriority) >= 7)""")
+  FROM (SELECT *, o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',x' AS s FROM orders)""")
 def fn_cut(spark, sf):
-    o = table(spark, sf, "orders").where("length(o_orderpriority) >= 7")
+    o = table(spark, sf, "orders")
     p = F.col("o_orderpriority")
     line = F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus", F.lit("x"))
     return o.select(

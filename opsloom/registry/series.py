@@ -127,10 +127,8 @@ def stat_profile(spark, sf):
   SELECT key, count(*) AS n FROM framed WHERE CAST(make_timestamp(timeissued * 1000000) AS DATE) IN (SELECT d FROM use) GROUP BY ALL""")
 def profile_sample_days(spark, sf):
     f = V.framed(spark, sf).withColumn("d", F.to_date(F.timestamp_seconds("timeissued")))
-    # dates of the stored days: partition names, a few thousand at most
-    have = [r[0] for r in f.select("d").distinct().collect()]
-    days = stats.profile_sample_days(dt.date(2024, 1, 31), have)
-    return f.where(F.col("d").isin(days)).groupBy("key").agg(F.count("*").alias("n"))
+    days = stats.profile_sample_days(dt.date(2024, 1, 31), f.select("d"))
+    return f.join(days, "d", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
 
 
 SCORED = PROFILE + """,
@@ -139,9 +137,9 @@ scored AS (SELECT f.level, f.id, f.key, f.seq, f.timeissued, f.val, p.frame, p.m
   FROM framed f JOIN profile p ON f.level = p.level AND f.id = p.id AND f.key = p.key AND f.frame // 72 = p.frame)"""
 
 
-@query("sigma_score", f"WITH {SCORED} SELECT seq, frame, round(sigma, 4) AS sigma, round(actual, 9) AS actual FROM scored WHERE sdev > 0.01 OR sdev = 0")
+@query("sigma_score", f"WITH {SCORED} SELECT seq, frame, round(sigma, 4) AS sigma, round(actual, 9) AS actual FROM scored")
 def sigma_score(spark, sf):
-    out = stats.sigma_score(_quarter(spark, sf), _profile(spark, sf)).where("sdev > 0.01 or sdev = 0")
+    out = stats.sigma_score(_quarter(spark, sf), _profile(spark, sf))
     return out.select("seq", "frame", F.round("sigma", 4).alias("sigma"), F.round("actual", 9).alias("actual"))
 
 
@@ -150,8 +148,9 @@ RULE = stats.parse_rule(SPEC)
 
 # one sample per (series, frame start), scored against the profile of its quarter day
 SAMPLED = V.POINTS.replace("stat AS (", "stat AS (", 1) + """,
-prof_src AS (SELECT level, id, key, frame // 72 AS q, avg(val) AS mean, stddev_samp(val) AS sdev FROM points GROUP BY ALL HAVING count(*) > 1 AND stddev_samp(val) > 0.01),
-sc AS (SELECT p.level, p.id, p.key, p.timeissued, p.val, abs((p.val - mean) / sdev) AS sigma, abs(p.val - mean) AS actual
+prof_src AS (SELECT level, id, key, frame // 72 AS q, avg(val) AS mean, coalesce(stddev_samp(val), 0) AS sdev FROM points GROUP BY ALL),
+sc AS (SELECT p.level, p.id, p.key, p.timeissued, p.val, abs(CASE WHEN abs(sdev) > 1e-6 THEN (p.val - mean) / sdev
+  WHEN abs(mean) > 1e-6 THEN 100.0 * (p.val - mean) / mean ELSE (0.001 + p.val) / 0.001 END) AS sigma, abs(p.val - mean) AS actual
   FROM points p JOIN prof_src s ON p.level = s.level AND p.id = s.id AND p.key = s.key AND p.frame // 72 = s.q),
 matched AS (SELECT *, CASE WHEN val < 5 THEN -1 WHEN sigma >= 1.5 THEN 1 WHEN actual > 30.1234567 AND actual <= 90.7654321 THEN 2
   WHEN sigma >= 0.8 AND sigma < 1.5 THEN 3 ELSE -1 END AS sev, CASE WHEN val < 5 THEN -1 WHEN sigma >= 1.5 THEN 0
@@ -160,11 +159,16 @@ matched AS (SELECT *, CASE WHEN val < 5 THEN -1 WHEN sigma >= 1.5 THEN 1 WHEN ac
 
 def _matched(spark, sf):
     points = stats.sample_points(V.framed(spark, sf), V.CATALOGUE).withColumn("frame", F.expr("int(frame div 72)"))
-    prof = points.groupBy(*stats.SERIES, "frame").agg(F.avg("val").alias("mean"), F.stddev_samp("val").alias("sdev"))
-    scored = stats.sigma_score(points, prof.where("sdev > 0.01"))
+    scored = stats.sigma_score(points, quarter_profile(points))
     return stats.range_rule_match(scored, RULE)
 
 
+def quarter_profile(points):
+    """Mean and deviation per series and quarter; a single point deviates by nothing."""
+    sdev = F.coalesce(F.stddev_samp("val"), F.lit(0.0)).alias("sdev")
+    return points.groupBy(*stats.SERIES, "frame").agg(F.avg("val").alias("mean"), sdev)
+
+
 @query("range_rule_match", f"WITH {SAMPLED} SELECT level, id, key, timeissued, sev, range FROM matched")
 def range_rule_match(spark, sf):
     return _matched(spark, sf).select("level", "id", "key", "timeissued", "sev", "range")
@@ -268,7 +272,8 @@ def group_by_mode(spark, sf):
   f AS (SELECT level, id, key, regr_slope(val, frame) AS b, regr_intercept(val, frame) AS a, arg_min(timeissued, frame) AS t0, min(frame) AS f0,
     arg_max(timeissued, frame) AS t1, max(frame) AS f1 FROM h GROUP BY ALL HAVING count(*) > 1 AND stddev_samp(frame) > 1e-6 AND (count(*) - 1) * stddev_samp(frame) * stddev_samp(val) > 1e-6)
   SELECT level, id, key, pos, frame, timeissued, round(a + b * frame, 6) AS val, '___proj___' AS label FROM (SELECT level, id, key, a, b, unnest([0, 1, 2]) AS pos,
-  unnest([f0, f1, 1000]) AS frame, unnest([t0, t1, 1707667200]) AS timeissued FROM f)""")
+  unnest([f0, f1, 1000]) AS frame, unnest([t0, t1, 1707667200]) AS timeissued FROM f)
+  UNION ALL SELECT level, id, key, NULL, frame, timeissued, round(val, 6), NULL FROM h""")
 def trend_projection(spark, sf):
     p = stats.sample_points(V.framed(spark, sf), V.CATALOGUE)
     hour = p.withColumn("frame", F.expr("int((timeissued - 1704067200) div 3600)"))

@@ -8,12 +8,12 @@ from ..operators import graph as G
 from ..operators import stats
 from ..session import scratch_path
 from ..streaming import jobs
-from ..streaming.correlate import CorrelationRule
+from ..streaming.correlate import GEN1, GEN2, IOT, CorrelationRule
 from . import views as V
 from .alarms import _GAP, sessions_sql
 from .core import query, table
 from .inventory import _order_edges
-from .series import CHANGES, SIMPLE
+from .series import CHANGES, SIMPLE, quarter_profile
 
 HALF = 1705400000
 
@@ -71,12 +71,12 @@ def st_late_split(spark, sf):
     s = V.stat(spark, sf)
     out, cp = scratch_path(spark, "late"), scratch_path(spark, "late-cp")
 
-    def save(side):
-        return lambda d: d.withColumn("side", F.lit(side)).write.mode("append").parquet(out)
+    def save(side, epoch):
+        return lambda d: jobs.write_epoch(f"{out}/side={side}")(d, epoch)
 
     def run(path):
         src = jobs.stream_tail(spark, path, s.schema)
-        jobs.catch_up_batches(src, lambda b, _: jobs.split_late(b, 1704500000, save("on time"), save("late")), cp)
+        jobs.catch_up_batches(src, lambda b, e: jobs.split_late(b, 1704500000, save("on time", e), save("late", e)), cp)
 
     _in_two(s, "timeissued", run)
     return spark.read.parquet(out).groupBy("side").agg(F.count("*").alias("n"))
@@ -85,9 +85,8 @@ def st_late_split(spark, sf):
 @query("st_profile_alarm", f"WITH {CHANGES} SELECT level, id, key, timeissued, kind FROM changes")
 def st_profile_alarm(spark, sf):
     points = stats.sample_points(V.framed(spark, sf), V.CATALOGUE).withColumn("frame", F.expr("int(frame div 72)"))
-    prof = points.groupBy(*stats.SERIES, "frame").agg(F.avg("val").alias("mean"), F.stddev_samp("val").alias("sdev"))
     store = scratch_path(spark, "profile")
-    prof.where("sdev > 0.01").write.parquet(store)
+    quarter_profile(points).write.parquet(store)
     out, cp = scratch_path(spark, "pce"), scratch_path(spark, "pce-cp")
 
     def run(path):
@@ -139,6 +138,86 @@ def st_heartbeat(spark, sf):
     return _correlated(spark, sf, beat=864000)
 
 
+# The three shipped rules as streams, over alarms with the attributes that they read.
+
+_CORR = V.ALARMS + """,
+x AS (SELECT seq, id1, timeissued, severity, CASE WHEN type = 1 THEN 'any.1' ELSE alarmid END AS aid1, 'k' || seq % 2 AS txt,
+  CASE WHEN CAST(id1 AS BIGINT) % 4 = 0 THEN '' ELSE 'u' || CAST(id1 AS BIGINT) % 3 END AS uniq, state,
+  43200 * (1 + CAST(id1 AS BIGINT) % 3) AS matchwindow, 2 + CAST(id1 AS BIGINT) % 2 AS imm, CAST(id1 AS BIGINT) % 3 AS dcount,
+  10800 AS dtime, 21600 AS upd, CAST(id1 AS BIGINT) % 2 AS bal FROM alarm),
+clk AS (SELECT max(timeissued) AS c FROM x)"""
+
+
+def _attributed(spark, sf):
+    i = "bigint(id1)"
+    return V.alarm(spark, sf).selectExpr(
+        "seq", "type", "id1", "timeissued", "severity", "state", "if(type = 1, 'any.1', alarmid) as any_id", "alarmid", "concat('k', seq % 2) as text",
+        f"if({i} % 4 = 0, '', concat('u', {i} % 3)) as `unique`", f"43200 * (1 + {i} % 3) as matchwindow", f"2 + {i} % 2 as ticketimmediatecount",
+        f"{i} % 3 as ticketdefercount", "10800 as ticketdefertime", "21600 as ticketupdatetime", f"{i} % 2 as balancemode",
+    )
+
+
+def _tickets(spark, sf, alarms, rule, label):
+    out, cp = scratch_path(spark, label), scratch_path(spark, f"{label}-cp")
+
+    def run(path):
+        jobs.catch_up(jobs.correlate(jobs.stream_tail(spark, path, alarms.schema), [rule]), out, cp)
+
+    _in_two(alarms, "timeissued", run)
+    return spark.read.parquet(out)
+
+
+def _seconds_sql(keys: str, where: str, step: str, window: str, extra: str) -> str:
+    """Alarms of one second added up, cut into groups by the window."""
+    return f"""{_CORR},
+ sec AS (SELECT {keys}, timeissued AS t, sum({step})::BIGINT AS step, {extra} FROM x WHERE {where} GROUP BY ALL),
+ s0 AS (SELECT *, lag(t) OVER (PARTITION BY {keys} ORDER BY t) AS p FROM sec),
+ s1 AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p > {window} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY t) AS session FROM s0),
+ s2 AS (SELECT a.*, (SELECT sum(b.step) FROM s1 b WHERE {" AND ".join(f"b.{k.strip()} = a.{k.strip()}" for k in keys.split(","))} AND b.session = a.session AND b.t <= a.t AND b.t >= a.t - a.{window}) AS counter FROM s1 a)"""
+
+
+def _events_sql(keys: str, window: str, refresh: str) -> str:
+    return f"""SELECT {keys}, CASE WHEN k = 0 THEN 'first' ELSE 'refresh' END AS event, ticket + {refresh} * k AS tick FROM
+  (SELECT *, unnest(range(0, CAST(1 + greatest(floor((least(last + {window}, c) - ticket) / {refresh}), 0) AS BIGINT))) AS k FROM g, clk WHERE ticket IS NOT NULL)"""
+
+
+@query("st_corr_gen1", f"""WITH {_seconds_sql('id1, txt', "aid1 = 'any.1'", "1", "w", "1800 AS w")},
+  g AS (SELECT id1, txt, session, max(t) AS last, max(w) AS w, least(min(t) FILTER (counter >= 2), CASE WHEN min(t) + 300 < (SELECT c FROM clk) THEN min(t) + 300 END) AS ticket FROM s2 GROUP BY ALL)
+  {_events_sql("id1, txt", "w", "7200")}""")
+def st_corr_gen1(spark, sf):
+    """Repeating alarms, by the shipped rule."""
+    a = _attributed(spark, sf).drop("alarmid").withColumnRenamed("any_id", "alarmid")
+    df = _tickets(spark, sf, a, GEN1, "gen1")
+    return df.select(F.get_json_object("group", "$.id1").alias("id1"), F.get_json_object("group", "$.text").alias("txt"), "event", F.col("at").alias("tick"))
+
+
+@query("st_corr_gen2", f"""WITH {_seconds_sql('id1, uniq', "uniq <> ''", "CASE WHEN bal = 0 OR state = 3 THEN 1 WHEN state = 4 THEN -1 ELSE 0 END", "w",
+    "max(matchwindow) AS w, max(imm) AS imm, max(dcount) AS dcount, max(dtime) AS dtime, max(upd) AS upd")},
+  n AS (SELECT *, lead(t) OVER (PARTITION BY id1, uniq, session ORDER BY t) AS nx, (SELECT c FROM clk) AS c,
+    (SELECT sum(b.step) FROM s1 b WHERE b.id1 = a.id1 AND b.uniq = a.uniq AND b.session = a.session AND b.t <= a.t AND b.t >= a.t + a.dtime - a.w) AS quiet FROM s2 a),
+  g AS (SELECT id1, uniq, session, max(t) AS last, max(w) AS w, max(upd) AS upd, least(min(t) FILTER (counter >= imm),
+    min(t + dtime) FILTER (quiet >= dcount AND dtime <= w AND coalesce(nx, c) > t + dtime)) AS ticket FROM n GROUP BY ALL)
+  {_events_sql("id1, uniq", "w", "upd")}""")
+def st_corr_gen2(spark, sf):
+    """Up/down balance by the shipped rule, with the settings that each alarm brings."""
+    df = _tickets(spark, sf, _attributed(spark, sf).withColumn("alarmid", F.lit("a")), GEN2, "gen2")
+    return df.select(F.get_json_object("group", "$.id1").alias("id1"), F.get_json_object("group", "$.unique").alias("uniq"), "event", F.col("at").alias("tick"))
+
+
+@query("st_corr_iot", f"""WITH {_CORR}, sec AS (SELECT id1, timeissued AS t, max(state) AS state, max(43200) AS dtime, max(upd) AS upd FROM x WHERE state IN (3, 4) GROUP BY ALL),
+  s0 AS (SELECT *, lag(t) OVER w AS p, lag(state) OVER w AS ps FROM sec WINDOW w AS (PARTITION BY id1 ORDER BY t)),
+  s1 AS (SELECT *, sum(CASE WHEN p IS NULL OR ps = 4 OR t - p > 90000 THEN 1 ELSE 0 END) OVER (PARTITION BY id1 ORDER BY t) AS session FROM s0),
+  n AS (SELECT *, lead(t) OVER (PARTITION BY id1, session ORDER BY t) AS nx, (SELECT c FROM clk) AS c FROM s1),
+  g AS (SELECT id1, session, max(t) FILTER (state = 3) AS last, min(t) FILTER (state = 4) AS up, max(upd) AS upd, min(t + dtime) FILTER (state = 3 AND coalesce(nx, c) > t + dtime) AS ticket FROM n GROUP BY ALL)
+  SELECT id1, CASE WHEN k = 0 THEN 'first' ELSE 'refresh' END AS event, ticket + upd * k AS tick FROM
+  (SELECT *, unnest(range(0, CAST(1 + greatest(floor((least(last + 90000, c, coalesce(up, c)) - ticket) / upd), 0) AS BIGINT))) AS k FROM g, clk WHERE ticket IS NOT NULL)""")
+def st_corr_iot(spark, sf):
+    """Downs without an up in half a day, by the shipped rule."""
+    a = _attributed(spark, sf).withColumns({"alarmid": F.lit("IoT.1"), "matchwindow": F.lit(90000), "ticketdefertime": F.lit(43200)})
+    df = _tickets(spark, sf, a, IOT, "iot")
+    return df.select(F.get_json_object("group", "$.id1").alias("id1"), "event", F.col("at").alias("tick"))
+
+
 def _impact(down: str, name: str) -> str:
     return f"""{name} AS (SELECT *, CASE WHEN lost_all = 0 AND lost_some = 0 THEN 0 WHEN lost_all = producers THEN 1 WHEN 100.0 * (producers - lost_all) / producers <= 25 THEN 2
   WHEN 100.0 * (producers - lost_all) / producers <= 50 THEN 3 ELSE 4 END AS sev FROM (SELECT o_custkey, producers, CASE WHEN alive = 0 THEN producers ELSE producers - pup END AS lost_all,
@@ -146,13 +225,28 @@ def _impact(down: str, name: str) -> str:
   count(*) FILTER (o_orderstatus <> 'O' AND NOT ({down})) AS alive, count(*) FILTER (o_orderstatus = 'O' AND NOT ({down})) AS pup FROM orders GROUP BY ALL) WHERE producers > 0 AND consumers > 0))"""
 
 
-_D1 = "o_totalprice > 400000 AND epoch_us(o_orderdate) // 1000000 < 883612800"
-_D2 = "o_totalprice > 400000"
+# Orders above a price go down at their date; every third of them comes up again 30 days later.
+_CUTS = (820454400, 883612800, 4000000000)
+_UPS = "o_orderkey % 3 = 0"
+
+
+def _down_at(cut: int) -> str:
+    t = "epoch_us(o_orderdate) // 1000000"
+    return f"o_totalprice > 400000 AND {t} < {cut} AND NOT ({_UPS} AND {t} + 2592000 < {cut})"
+
+
+def _changes_sql() -> str:
+    parts = [f"SELECT 'svc' || o_custkey % 3 AS service, CAST(o_custkey AS VARCHAR) AS ccid, 0 AS old, sev AS new FROM i0 WHERE sev <> 0"]
+    for k in range(1, len(_CUTS)):
+        parts.append(
+            f"SELECT 'svc' || a.o_custkey % 3, CAST(a.o_custkey AS VARCHAR), a.sev, b.sev FROM i{k - 1} a JOIN i{k} b USING (o_custkey) WHERE a.sev <> b.sev"
+        )
+    return f"WITH {', '.join(_impact(_down_at(c), f'i{k}') for k, c in enumerate(_CUTS))} {' UNION ALL '.join(parts)}"
 
 
-@query("st_service_impact", f"""WITH {_impact(_D1, 'i1')}, {_impact(_D2, 'i2')} SELECT 'svc' || o_custkey % 3 AS service, CAST(o_custkey AS VARCHAR) AS ccid, 0 AS old, sev AS new FROM i1 WHERE sev <> 0
-  UNION ALL SELECT 'svc' || i1.o_custkey % 3, CAST(i1.o_custkey AS VARCHAR), i1.sev, i2.sev FROM i1 JOIN i2 USING (o_custkey) WHERE i1.sev <> i2.sev""")
+@query("st_service_impact", _changes_sql())
 def st_service_impact(spark, sf):
+    """Raises and clears in three deliveries; the last batch of each is run twice."""
     o = table(spark, sf, "orders")
     edges = _order_edges(spark, sf)
     roles = G.service_roles(
@@ -161,26 +255,26 @@ def st_service_impact(spark, sf):
     )
     members = scratch_path(spark, "members")
     G.connected_components(edges).write.parquet(members)
-    events = o.where("o_totalprice > 400000").select(
+    high = o.where("o_totalprice > 400000").select(
         F.lit("ord").alias("level"), F.col("o_orderkey").cast("string").alias("id"), F.lit(1).alias("type"),
         F.unix_timestamp("o_orderdate").alias("t"),
     )
+    ups = high.where("bigint(id) % 3 = 0").withColumns({"type": F.lit(2), "t": F.col("t") + 2592000})
+    events = high.unionByName(ups)
     arrive, opened = scratch_path(spark, "gce"), scratch_path(spark, "gce-open")
     out, cp = scratch_path(spark, "gce-out"), scratch_path(spark, "gce-cp")
-    events.limit(0).write.parquet(opened)
-
-    def emit(changes, epoch):
-        changes.write.mode("append").parquet(out)
-
-    evaluate = jobs.impact_batches(edges, roles, spark.read.parquet(members), lambda: spark.read.schema(events.schema).parquet(opened), emit)
-
-    def step(batch, epoch):
-        evaluate(batch, epoch)
-        batch.write.mode("append").parquet(opened)
-
-    for part in (events.where("t < 883612800"), events.where("t >= 883612800")):
-        part.write.mode("append").parquet(arrive)
-        jobs.catch_up_batches(jobs.stream_tail(spark, arrive, events.schema), step, cp)
+    before = jobs.read_before(spark, opened, events.select("level", "id").schema)
+    step = jobs.impact_batches(
+        edges, roles, spark.read.parquet(members), before, jobs.write_epoch(out), jobs.write_epoch(opened), "t"
+    )
+
+    def twice(batch, epoch):
+        step(batch, epoch)
+        step(batch, epoch)
+
+    done = 0
+    for cut in _CUTS:
+        events.where((F.col("t") >= done) & (F.col("t") < cut)).coalesce(4).write.mode("append").parquet(arrive)
+        jobs.catch_up_batches(jobs.stream_tail(spark, arrive, events.schema), twice, cp)
+        done = cut
     return spark.read.parquet(out).select("service", "ccid", "old", "new")
-
-

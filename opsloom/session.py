@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,14 +46,15 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local master may fall back to a fresh folder on this machine.
+    Where it is unset, a cluster gets an error; a session on one machine, as in a test
+    run, gets a fresh folder.
     """
     sc = spark.sparkContext
     path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF)
     if not path:
         path = sc.getCheckpointDir()
     if not path:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
         path = tempfile.mkdtemp(prefix="opsloom-")
     if sc.getCheckpointDir() is None:
@@ -74,3 +78,35 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Remove a table below the shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """``stored`` for the length of a block: its tables are removed at the end of it.
+
+    For steps whose result is written inside the block. Tables that a returned DataFrame reads
+    go with the application's folder, by ``release_all``.
+    """
+    paths: list[str] = []
+
+    def keep(df: DataFrame, label: str = "table") -> DataFrame:
+        paths.append(scratch_path(spark, label))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield keep
+    finally:
+        for p in paths:
+            release(spark, p)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; its earlier results can't be read after that."""
+    release(spark, f"{shared_dir(spark).rstrip('/')}/opsloom/{spark.sparkContext.applicationId}")

@@ -10,15 +10,16 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.net import aspath_parse, ip_parse, prefix_parse
+from ..functions.net import aspath_parse, ip6_parse, ip_parse, prefix6_parse, prefix_parse
 from ..functions.text import html_dec, simple_dec, url_dec
 from ..model import ALARM, STAT, struct
 
 LINE = "value"
+RAW = "__raw"
 
 
 def _decode(c: Column, how: str | None, sep: str) -> Column:
@@ -38,9 +39,9 @@ def _decode(c: Column, how: str | None, sep: str) -> Column:
 
 
 def parse_delimited(
-    lines: DataFrame, schema: T.StructType, sep: str = "|", decode: str | None = None, line: str = LINE
+    lines: DataFrame, schema: T.StructType, sep: str = "|", decode: str | None = None, line: str = LINE, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Fields of delimited lines; a separator after a backslash does not separate.
+    """Fields of delimited lines, after the columns in ``keep``; a separator after a backslash does not separate.
 
     A blank separator means any run of blanks. Missing fields are NULL, extra ones
     are dropped, and text that is no number is NULL.
@@ -57,7 +58,7 @@ def parse_delimited(
             fields.append(text.alias(f.name))
         else:
             fields.append(F.trim(text).try_cast(f.dataType).alias(f.name))
-    return lines.select(*fields)
+    return lines.select(*keep, *fields)
 
 
 def read_delimited(
@@ -65,19 +66,25 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited text files; ``skip`` leaves out the first lines of every file.
 
-    Without skip the files stay splittable. To skip more than one line the
-    position of a line is needed, so each file is read whole (for moderate files).
+    Files stay splittable. To skip, the lines of every split are counted, so the place of a line
+    in its file is known: one more pass over the text and one row per split.
     """
-    if skip == 0:
-        return parse_delimited(spark.read.text(path), schema, sep, decode)
-    if skip == 1 and decode is None:
-        return spark.read.schema(schema).option("sep", sep).option("header", True).option(
-            "enforceSchema", True
-        ).csv(path)
-    whole = spark.read.text(path, wholetext=True)
-    body = F.split(F.regexp_replace(LINE, "\n$", ""), "\n")
-    lines = whole.select(F.explode(F.slice(body, skip + 1, F.greatest(F.size(body) - skip, F.lit(0)))).alias(LINE))
-    return parse_delimited(lines, schema, sep, decode)
+    lines = spark.read.text(path)
+    return parse_delimited(skip_lines(lines, skip) if skip else lines, schema, sep, decode)
+
+
+def skip_lines(lines: DataFrame, skip: int) -> DataFrame:
+    """Lines of text files without the first ``skip`` of every file."""
+    at = lines.select(
+        LINE, F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__n")
+    )
+    splits = at.groupBy("__f", "__b").agg(F.min("__n").alias("__first"), F.count(F.lit(1)).alias("__lines"))
+    before = Window.partitionBy("__f").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    place = splits.withColumn("__before", F.coalesce(F.sum("__lines").over(before), F.lit(0))).where(F.col("__before") < skip)
+    # splits in which lines go: one per file, or more if the file begins with very long lines
+    place = place.select("__f", "__b", "__first", "__before")
+    kept = at.join(place, ["__f", "__b"], "left")
+    return kept.where(F.coalesce(F.col("__before") + F.col("__n") - F.col("__first") >= skip, F.lit(True))).select(LINE)
 
 
 def parse_fixed(lines: DataFrame, layout: Sequence[tuple[str, int, str]], line: str = LINE) -> DataFrame:
@@ -131,10 +138,16 @@ def flat_regex(fields: Sequence[FlatField]) -> str:
     return "^" + "".join(out) + "$"
 
 
-def parse_flat(lines: DataFrame, fields: Sequence[FlatField], line: str = LINE) -> DataFrame:
-    """Text with per-field delimiters and quotes; lines that do not fit are dropped."""
+def parse_flat(lines: DataFrame, fields: Sequence[FlatField], line: str = LINE) -> tuple[DataFrame, DataFrame]:
+    """Text with per-field delimiters and quotes to rows, and the lines that do not fit."""
     rx = flat_regex(fields)
-    return _extract(lines.where(F.col(line).rlike(rx)), rx, [(f.name, f.dtype) for f in fields], line)
+    return _fitting(lines, rx, [(f.name, f.dtype) for f in fields], line)
+
+
+def _fitting(lines: DataFrame, rx: str, fields: Sequence[tuple[str, str]], line: str) -> tuple[DataFrame, DataFrame]:
+    """The fields of the lines that match, and the other lines."""
+    fits = F.coalesce(F.col(line).rlike(rx), F.lit(False))
+    return _extract(lines.where(fits), rx, fields, line), lines.where(~fits).select(line)
 
 
 def _extract(lines: DataFrame, rx: str, fields: Sequence[tuple[str, str]], line: str) -> DataFrame:
@@ -145,7 +158,7 @@ def _extract(lines: DataFrame, rx: str, fields: Sequence[tuple[str, str]], line:
     return lines.select(*cols)
 
 
-def read_flat(spark: SparkSession, path: str, fields: Sequence[FlatField]) -> DataFrame:
+def read_flat(spark: SparkSession, path: str, fields: Sequence[FlatField]) -> tuple[DataFrame, DataFrame]:
     return parse_flat(spark.read.text(path), fields)
 
 
@@ -166,13 +179,13 @@ def pattern_regex(pattern: str) -> tuple[str, list[tuple[str, str]]]:
     return rx + re.escape(pattern[at:]) + "$", fields
 
 
-def parse_pattern(lines: DataFrame, pattern: str, line: str = LINE) -> DataFrame:
-    """Scanf-like text; lines that do not fit are dropped."""
+def parse_pattern(lines: DataFrame, pattern: str, line: str = LINE) -> tuple[DataFrame, DataFrame]:
+    """Scanf-like text to rows, and the lines that do not fit."""
     rx, fields = pattern_regex(pattern)
-    return _extract(lines.where(F.col(line).rlike(rx)), rx, fields, line)
+    return _fitting(lines, rx, fields, line)
 
 
-def read_pattern(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+def read_pattern(spark: SparkSession, path: str, pattern: str) -> tuple[DataFrame, DataFrame]:
     return parse_pattern(spark.read.text(path), pattern)
 
 
@@ -192,30 +205,41 @@ FLOW_TEXT = struct(
 )
 
 
-def parse_flow(lines: DataFrame, line: str = LINE) -> DataFrame:
-    """Pipe-delimited flow records, with addresses as numbers beside the text."""
-    df = parse_delimited(lines, FLOW_TEXT, "|", line=line)
+def parse_flow(lines: DataFrame, line: str = LINE) -> tuple[DataFrame, DataFrame]:
+    """Pipe-delimited flow records, with addresses as numbers beside the text; and the lines without both addresses."""
+    df = parse_delimited(lines.withColumn(RAW, F.col(line)), FLOW_TEXT, "|", line=line, keep=(RAW,))
     df = df.withColumns({f"{c}_num": ip_parse(F.col(c)) for c in ("src_addr", "dst_addr", "hop")})
-    return df.where("src_addr_num is not null and dst_addr_num is not null")
+    good = F.col("src_addr_num").isNotNull() & F.col("dst_addr_num").isNotNull()
+    return df.where(good).drop(RAW), df.where(~good).select(F.col(RAW).alias(line))
 
 
-def read_flow(spark: SparkSession, path: str) -> DataFrame:
+def read_flow(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_flow(spark.read.text(path))
 
 
-def parse_routes(lines: DataFrame, line: str = LINE) -> DataFrame:
-    """Routing table lines: prefix, next hop, AS path."""
-    rx = r"^\s*[*>i ]*\s*([0-9.]+(?:/[0-9]+)?)\s+([0-9.]+)\s*(.*?)\s*([ie?])?\s*$"
-    src = lines.where(F.col(line).rlike(rx))
-    p = prefix_parse(F.regexp_extract(line, rx, 1))
-    path = aspath_parse(F.regexp_extract(line, rx, 3))
-    return src.select(
-        p["addr"].alias("addr"), p["len"].alias("len"), ip_parse(F.regexp_extract(line, rx, 2)).alias("hop"),
-        path.alias("path"), F.try_element_at(path, F.lit(-1)).alias("origin_as"), F.regexp_extract(line, rx, 4).alias("origin"),
-    ).where("addr is not null")
-
+def parse_routes(lines: DataFrame, line: str = LINE) -> tuple[DataFrame, DataFrame]:
+    """Routing table lines (prefix, next hop, AS path) of both families, and the lines that are no routes.
 
-def read_routes(spark: SparkSession, path: str) -> DataFrame:
+    ``family`` is 4 or 6; ``addr`` and ``hop`` are numbers for IPv4, ``addr6`` and ``hop6``
+    16 bytes for IPv6, and NULL for the other family.
+    """
+    rx = r"^\s*[*>i ]*\s*([0-9A-Fa-f.:]+(?:/[0-9]+)?)\s+([0-9A-Fa-f.:]+)\s*(.*?)\s*([ie?])?\s*$"
+    part = [F.regexp_extract(line, rx, i) for i in range(1, 5)]
+    path = aspath_parse(part[2])
+    out = lines.select(
+        F.col(line).alias(RAW), prefix_parse(part[0]).alias("__p4"), prefix6_parse(part[0]).alias("__p6"),
+        ip_parse(part[1]).alias("hop"), F.when(F.contains(part[1], F.lit(":")), ip6_parse(part[1])).alias("hop6"),
+        path.alias("path"), F.try_element_at(path, F.lit(-1)).alias("origin_as"), part[3].alias("origin"),
+    )
+    good = F.col("__p4").isNotNull() | F.col("__p6").isNotNull()
+    rows = out.where(good).select(
+        F.when(F.col("__p4").isNotNull(), 4).otherwise(6).alias("family"), F.col("__p4.addr").alias("addr"), F.col("__p6.addr").alias("addr6"),
+        F.coalesce("__p4.len", "__p6.len").alias("len"), "hop", "hop6", "path", "origin_as", "origin",
+    )
+    return rows, out.where(~good).select(F.col(RAW).alias(line))
+
+
+def read_routes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_routes(spark.read.text(path))
 
 

@@ -8,42 +8,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordered import spread_ties
 from ..operators.rows import Expr, as_col, conform
 from ..plans.dashboard import hide_attributes
+from ..session import scratch
 
 
-def sink_split_by_key(
-    df: DataFrame, path: str, keys: Sequence[str], mode: str = "append", fmt: str = "parquet", buckets: int = 1
-) -> None:
+def sink_split_by_key(df: DataFrame, path: str, keys: Sequence[str], mode: str = "append", fmt: str = "parquet") -> None:
     """One output folder per key combination.
 
-    Rows are clustered by key first, so a folder gets few files; ``buckets`` spreads
-    every key over that many tasks, for keys that hold a large share of the rows.
-    Replacing is per key that occurs in ``df``.
+    Rows are rebalanced on the keys: a folder gets few files, small keys share a task, and
+    a key with a large share of the rows is written by many tasks. Replacing is
+    per key that occurs in ``df``.
     """
-    spread = F.pmod(F.xxhash64(*spread_ties(df)), F.lit(buckets)) if buckets > 1 else F.lit(0)
-    out = df.repartition(*[F.col(k) for k in keys], spread)
+    out = df.hint("rebalance", *[F.col(k) for k in keys])
     w = out.write.partitionBy(*keys).format(fmt)
     if mode == "overwrite":
         w = w.option("partitionOverwriteMode", "dynamic")
     w.mode(mode).save(path)
 
 
-def sink_group_by_expr(df: DataFrame, path: str, group: Expr, mode: str = "append", buckets: int = 1) -> None:
+def sink_group_by_expr(df: DataFrame, path: str, group: Expr, mode: str = "append") -> None:
     """One output per non-negative group number; other rows are left out."""
     g = as_col(group).cast("int")
-    sink_split_by_key(df.withColumn("grp", g).where("grp >= 0"), path, ["grp"], mode, buckets=buckets)
+    sink_split_by_key(df.withColumn("grp", g).where("grp >= 0"), path, ["grp"], mode)
 
 
 def sink_tee(df: DataFrame, sinks: Sequence[Callable[[DataFrame], None]]) -> None:
-    """Send the same rows to several sinks, reading the input once."""
-    kept = df.persist()
-    try:
+    """Send the same rows to several sinks, computing the input once.
+
+    The rows are a table in the shared folder meanwhile, which goes when all sinks are done.
+    """
+    with scratch(df.sparkSession) as keep:
+        kept = keep(df, "tee")
         for s in sinks:
             s(kept)
-    finally:
-        kept.unpersist()
 
 
 def sink_table(df: DataFrame, path: str, sep: str = "|") -> None:

@@ -1,137 +1,178 @@
 """Correlation rules and the step of one alarm group.
 
-A rule is data: predicates and steps are SQL expressions, the rest numbers.
-``step_group`` is the whole behaviour over the ordered alarms of one group; the
-stream calls it per micro-batch and timeout, tests call it on lists.
+A rule is data: predicates and steps are SQL expressions, the rest numbers, or SQL
+expressions over the alarm that opens a group. ``step_group`` is the whole behaviour over
+the alarms of one group; the stream calls it as its clock moves on, tests call it on lists.
+Alarms of one second are looked at together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+import json
+from collections.abc import Iterable, Sequence
+from dataclasses import asdict, dataclass, field
+from itertools import groupby
 
 GROUP_EVENTS = "rule string, group string, event string, at bigint, seq bigint, severity int, n bigint"
 UP, DOWN = 4, 3
+SETTINGS = ("window", "immediate", "first_delay", "defer_count", "defer_time", "refresh")
 
 
 @dataclass(frozen=True)
 class CorrelationRule:
     """``match`` opens or joins a group of ``keys``; ``step`` is what an alarm adds.
 
-    window: a later alarm joins only this many seconds after the last one;
+    window: a later alarm joins only this many seconds after the last one, and an alarm
+    leaves the group, and what it added, when it is older than that;
     immediate: ticket when the counter reaches it; first_delay: ticket this long
     after the first alarm; defer_count/defer_time: ticket when the counter is at
-    least that and nothing came for that long; refresh: repeat the ticket
+    least that and nothing came for that long (0: never); refresh: repeat the ticket
     (0: the group ends with its first ticket); closes_on_up: an up ends the group.
+    A setting that is text is an expression over the alarm that opens the group.
     """
 
     id: str
     match: str
     keys: Sequence[str]
     step: str = "1"
-    window: int = 1800
-    immediate: int | None = None
-    first_delay: int | None = None
-    defer_count: int | None = None
-    defer_time: int = 0
-    refresh: int = 0
+    window: int | str = 1800
+    immediate: int | str | None = None
+    first_delay: int | str | None = None
+    defer_count: int | str | None = None
+    defer_time: int | str = 0
+    refresh: int | str = 0
     closes_on_up: bool = False
 
     @property
-    def counts_only(self) -> bool:
-        """Alarms of one second may be added up before they reach their group."""
-        return self.step == "1" and not self.closes_on_up
+    def from_alarm(self) -> dict[str, str]:
+        """The settings that the opening alarm gives."""
+        return {n: v for n in SETTINGS if isinstance(v := getattr(self, n), str)}
 
 
-# The three shipped behaviours: repeating alarms, up/down balance, up/down timeout.
+# The ids, alarm ids, attribute names and times of the three shipped behaviours:
+# repeating alarms, up/down balance, up/down timeout.
 GEN1 = CorrelationRule(
     "GEN1_ANY", "alarmid = 'any.1'", ("id1", "text"), window=1800, immediate=2, first_delay=300, refresh=7200
 )
 GEN2 = CorrelationRule(
-    "GEN2_BALANCE", "`unique` <> ''", ("id1", "`unique`", "alarmid"), "CASE state WHEN 3 THEN 1 WHEN 4 THEN -1 ELSE 0 END",
-    window=1800, immediate=3,
-)
+    "GEN2_BALANCE", "`unique` <> ''", ("id1", "`unique`", "alarmid"),
+    "CASE WHEN balancemode = 0 OR state = 3 THEN 1 WHEN state = 4 THEN -1 ELSE 0 END",
+    window="matchwindow", immediate="ticketimmediatecount", defer_count="ticketdefercount", defer_time="ticketdefertime",
+    refresh="ticketupdatetime",
+)
 IOT = CorrelationRule(
     "IOT_UPDOWN", "alarmid = 'IoT.1' AND state IN (3, 4)", ("id1", "alarmid"),
-    window=90_000, defer_count=1, defer_time=86_400, closes_on_up=True,
-)
+    window="matchwindow", defer_count=1, defer_time="ticketdefertime", refresh="ticketupdatetime", closes_on_up=True,
+)
 
 
 @dataclass
 class GroupMemory:
-    """An open group: its times, counter, ticket and representative."""
+    """An open group: its alarms by second, ticket and settings; and seconds that wait for the clock."""
 
     open: bool = False
-    first: int = 0
     last: int = 0
-    counter: int = 0
-    n: int = 0
     ticket: int = -1
     spent: bool = False
-    best: list | None = None  # severity, -time, seq
+    recent: list = field(default_factory=list)  # [time, step, count, severity, seq], within the window
+    settings: dict = field(default_factory=dict)
+    pending: list = field(default_factory=list)  # alarms of seconds that the clock has not passed
 
     def to_dict(self) -> dict:
         return asdict(self)
 
+    def get(self, rule: CorrelationRule, name: str):
+        return self.settings[name] if name in self.settings else getattr(rule, name)
+
+    def alive(self, rule: CorrelationRule, at: int) -> list:
+        """The alarms that are not older than the window at a time."""
+        return [a for a in self.recent if a[0] >= at - self.get(rule, "window")]
+
+    def counter(self, rule: CorrelationRule, at: int) -> int:
+        return sum(a[1] for a in self.alive(rule, at))
+
+    def delays(self, rule: CorrelationRule) -> list[int]:
+        """When a delayed first ticket is due."""
+        due, end = [], self.last + self.get(rule, "window")
+        first, count, wait = (self.get(rule, n) for n in ("first_delay", "defer_count", "defer_time"))
+        if first is not None and self.recent[0][0] + first <= end:
+            due.append(self.recent[0][0] + first)
+        if count is not None and wait and self.last + wait <= end and self.counter(rule, self.last + wait) >= count:
+            due.append(self.last + wait)
+        return due
+
     def next_due(self, rule: CorrelationRule) -> int:
         """When the group changes by itself: a delayed ticket, a refresh, its end."""
-        due = [self.last + rule.window + 1]
+        due = [self.last + self.get(rule, "window") + 1]
         if self.ticket < 0:
-            if rule.first_delay is not None:
-                due.append(self.first + rule.first_delay + 1)
-            if rule.defer_count is not None and self.counter >= rule.defer_count:
-                due.append(self.last + rule.defer_time + 1)
-        elif rule.refresh:
-            due.append(self.ticket + rule.refresh)
+            due += [d + 1 for d in self.delays(rule)]
+        elif self.get(rule, "refresh"):
+            due.append(self.ticket + self.get(rule, "refresh"))
         return min(due)
 
 
+def by_second(alarms: Iterable[tuple]) -> list[tuple]:
+    """(time, seq, severity, step, state, count[, first seq, settings]) rows, one per second.
+
+    Steps and counts add up, an up stands for the second, the worst severity and then the lowest
+    seq represent it, the lowest seq gives the settings.
+    """
+    out = []
+    for t, rows in groupby(sorted(((*a, a[1], None) if len(a) == 6 else tuple(a) for a in alarms), key=lambda a: a[0]), key=lambda a: a[0]):
+        rows = list(rows)
+        sev, seq = min((r[2], r[1]) for r in rows)
+        lead = min(rows, key=lambda r: r[6])
+        out.append((t, seq, sev, sum(r[3] for r in rows), max(r[4] for r in rows), sum(r[5] for r in rows), lead[6], lead[7]))
+    return out
+
+
 def _elapse(g: GroupMemory, rule: CorrelationRule, clock: int, out: list) -> None:
     """What happens up to ``clock`` without further alarms."""
-    end = g.last + rule.window
+    end = g.last + g.get(rule, "window")
     if g.ticket < 0 and not g.spent:
-        due = []
-        if rule.first_delay is not None and clock > g.first + rule.first_delay <= end:
-            due.append(g.first + rule.first_delay)
-        if rule.defer_count is not None and g.counter >= rule.defer_count and clock > g.last + rule.defer_time:
-            due.append(g.last + rule.defer_time)
+        due = [d for d in g.delays(rule) if clock > d]
         if due:
             _ticket(g, rule, min(due), "first", out)
-    while g.ticket >= 0 and rule.refresh and g.ticket + rule.refresh <= min(clock, end):
-        _ticket(g, rule, g.ticket + rule.refresh, "refresh", out)
+    refresh = g.get(rule, "refresh")
+    while g.ticket >= 0 and refresh and g.ticket + refresh <= min(clock, end):
+        _ticket(g, rule, g.ticket + refresh, "refresh", out)
     if clock > end:
         g.open = False
 
 
 def _ticket(g: GroupMemory, rule: CorrelationRule, at: int, event: str, out: list) -> None:
-    out.append((event, at, g.best[2], g.best[0], g.n))
+    alive = g.alive(rule, at)
+    sev, _, seq = min((a[3], -a[0], a[4]) for a in alive)
+    out.append((event, at, seq, sev, sum(a[2] for a in alive)))
     g.ticket = at
-    if event == "first" and rule.refresh == 0:
+    if event == "first" and not g.get(rule, "refresh"):
         g.spent = True
 
 
-def step_group(g: GroupMemory, alarms: Sequence[tuple], rule: CorrelationRule, clock: int | None) -> list[tuple]:
-    """Feed ordered (time, seq, severity, step, state, count) alarms, then move the clock.
+def step_group(g: GroupMemory, alarms: Iterable[tuple], rule: CorrelationRule, clock: int | None) -> list[tuple]:
+    """Feed (time, seq, severity, step, state, count) alarms, then move the clock.
 
-    Returns (event, time, representative seq, severity, alarms so far) rows with
+    Returns (event, time, representative seq, severity, alarms in the group) rows with
     event first or refresh. The representative has the lowest severity number; of
-    those the latest, then the lowest seq.
+    those the latest, then the lowest seq. A late alarm joins the open group and counts
+    from its own time, but does not turn the clock back.
     """
     out: list[tuple] = []
-    for t, seq, sev, step, state, count in alarms:
+    for t, seq, sev, step, state, count, _, settings in by_second(alarms):
         if g.open:
             _elapse(g, rule, t, out)
         if rule.closes_on_up and state == UP:
             g.open = False
             continue
         if not g.open or g.spent:
-            g.__init__(open=True, first=t)
-        g.last, g.counter, g.n = t, g.counter + step, g.n + count
-        cand = [sev, -t, seq]
-        if g.best is None or cand < list(g.best):
-            g.best = cand
-        if g.ticket < 0 and rule.immediate is not None and g.counter >= rule.immediate:
-            _ticket(g, rule, t, "first", out)
+            g.open, g.last, g.ticket, g.spent, g.recent = True, t, -1, False, []
+            g.settings = json.loads(settings) if settings else {}
+        g.last = max(g.last, t)
+        g.recent = sorted([*g.alive(rule, g.last), [t, step, count, sev, seq]])
+        g.recent = g.alive(rule, g.last)
+        immediate = g.get(rule, "immediate")
+        if g.ticket < 0 and immediate is not None and g.counter(rule, g.last) >= immediate:
+            _ticket(g, rule, g.last, "first", out)
     if clock is not None and g.open:
         _elapse(g, rule, clock, out)
     return out

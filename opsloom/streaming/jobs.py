@@ -6,17 +6,17 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.graph import impact_changes, service_impact
-from ..operators.profile_alarms import CHANGE_COLUMNS, CHANGES, SeriesState, prune, step_series
+from ..operators.profile_alarms import CHANGE_COLUMNS, CHANGES, SeriesState, prune, step_series, worse
 from ..operators.stats import SERIES, Catalogue, ProfileRule, mode_of
-from ..session import stored
-from .correlate import GROUP_EVENTS, CorrelationRule, GroupMemory, step_group
+from ..session import scratch
+from .correlate import GROUP_EVENTS, CorrelationRule, GroupMemory, by_second, step_group
 
 BatchSink = Callable[[DataFrame, int], None]
 
@@ -54,12 +54,10 @@ def tee(df: DataFrame, sinks: Sequence[BatchSink], checkpoint: str) -> Streaming
     """Every micro-batch to several sinks, computed once."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        kept = batch.persist()
-        try:
+        with scratch(batch.sparkSession) as keep:
+            kept = keep(batch, "tee")
             for s in sinks:
                 s(kept, epoch)
-        finally:
-            kept.unpersist()
 
     return df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
 
@@ -96,64 +94,96 @@ def split_late(batch: DataFrame, watermark: int, on_time: Callable[[DataFrame],
 # --- profile alarms --------------------------------------------------------------------
 
 
-def profile_alarms(matched: DataFrame, rule: ProfileRule) -> DataFrame:
+def worst_samples(matched: DataFrame) -> DataFrame:
+    """One sample per series and time of a batch in each task: the worst severity, then the largest score."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield _worst(pdf)
+
+    return matched.select(*SERIES, "timeissued", "sev", "score").mapInPandas(run, SAMPLES)
+
+
+SAMPLES = "level string, id string, key string, timeissued bigint, sev int, score double"
+
+
+def _worst(pdf: pd.DataFrame) -> pd.DataFrame:
+    rank = pdf["sev"].where(pdf["sev"] != -1, 99)
+    ordered = pdf.assign(__r=rank).sort_values(["__r", "score"], ascending=[True, False])
+    return ordered.drop_duplicates([*SERIES, "timeissued"]).drop(columns="__r")
+
+
+def profile_alarms(matched: DataFrame, rule: ProfileRule, delay: str = "0 seconds", keep: int = 14 * 86_400) -> DataFrame:
     """The deviation-alarm state machine over a stream.
 
     ``matched``: streaming ``range_rule_match`` output (a stream-static join with
-    the profile). State per series is the samples within the rule horizon, the
-    current alarm and where each range counts from.
+    the profile). Samples of one time are merged, as in batch, in the tasks and in the series;
+    a series looks at a time when the event time, less ``delay``, has reached it. State per
+    series is the samples within the rule horizon, those that wait, the current alarm
+    and where each range counts from. A series without samples for ``keep`` seconds is forgotten.
     """
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         memory = SeriesState(**json.loads(state.get[0])) if state.exists else SeriesState()
-        samples: list[tuple] = []
-        for pdf in pdfs:
-            samples += zip(pdf["timeissued"].astype(int).tolist(), pdf["sev"].astype(int).tolist(), pdf["score"].tolist())
+        clock = state.getCurrentWatermarkMs() // 1000
+        rows = [tuple(p) for p in memory.pending]
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                rows += zip(pdf["timeissued"].astype(int).tolist(), pdf["sev"].astype(int).tolist(), pdf["score"].tolist())
+        one: dict[int, tuple] = {}
+        for t, sev, score in rows:
+            if t not in one or worse((sev, score)) < worse(one[t][1:]):
+                one[t] = (t, sev, score)
         memory.samples = [tuple(s) for s in memory.samples]
-        until = max([s[0] for s in samples], default=0)
-        rows = step_series(memory, samples, rule, until)
+        memory.pending = sorted(s for s in one.values() if s[0] > clock)
+        ready = sorted(s for s in one.values() if s[0] <= clock)
+        out = step_series(memory, ready, rule, max([s[0] for s in ready], default=0))
         prune(memory, rule)
-        state.update((json.dumps(memory.to_dict()),))
-        yield pd.DataFrame(
-            [(*key, *r) for r in rows], columns=CHANGE_COLUMNS
-        )
+        last = max([s[0] for s in memory.samples + memory.pending], default=0)
+        if not memory.pending and last + keep <= clock:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps(memory.to_dict()),))
+            due = memory.pending[0][0] if memory.pending else last + keep
+            # a timer fires once the watermark is past it
+            state.setTimeoutTimestamp(max(due, clock + 1) * 1000 - 1)
+        yield pd.DataFrame([(*key, *r) for r in out], columns=CHANGE_COLUMNS)
 
-    return matched.groupBy(*SERIES).applyInPandasWithState(
-        run, CHANGES, "memory string", "append", GroupStateTimeout.NoTimeout
-    )
+    timed = event_time(worst_samples(matched), delay)
+    return timed.groupBy(*SERIES).applyInPandasWithState(run, CHANGES, "memory string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- correlation ------------------------------------------------------------------------
 
 
-KEYED = "rule string, group string, timeissued bigint, state int, seq bigint, severity int, step int, n bigint"
+KEYED = (
+    "rule string, group string, timeissued bigint, state int, seq bigint, severity int, step int, n bigint, "
+    "lead bigint, settings string"
+)
 
 
-def combine_seconds(rules: Sequence[CorrelationRule]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def combine_seconds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Add up the alarms of one group and second within a batch of a task.
 
     Done before the shuffle, so a group that receives a third of all alarms brings
-    one row per second and batch to its task. Only for rules that merely count;
-    the worst severity, then the lowest seq, stands for the rest.
+    one row per second and batch to its task (see ``by_second``).
     """
-    plain = [r.id for r in rules if r.counts_only]
-    keys = ["rule", "group", "timeissued", "state"]
-    cols = [*keys, "seq", "severity", "step", "n"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            # rows of no rule only move the clock: the latest of them will do
-            idle = pdf[pdf["rule"].isna()]
-            if len(idle):
-                yield idle.nlargest(1, "timeissued")[cols]
-            easy = pdf["rule"].isin(plain)
-            yield pdf.loc[~easy & pdf["rule"].notna(), cols]
-            part = pdf[easy].sort_values(["severity", "seq"])
-            if len(part):
-                g = part.groupby(keys, sort=False, as_index=False)
-                yield g.agg(seq=("seq", "first"), severity=("severity", "first"), step=("step", "sum"), n=("n", "sum"))[cols]
-
-    return run
+    keys = ["rule", "group", "timeissued"]
+    cols = [*keys, "state", "seq", "severity", "step", "n", "lead", "settings"]
+    for pdf in batches:
+        # rows of no rule only move the clock: the latest of them will do
+        idle = pdf[pdf["rule"].isna()]
+        if len(idle):
+            yield idle.nlargest(1, "timeissued")[cols]
+        part = pdf[pdf["rule"].notna()]
+        if len(part):
+            first = part.sort_values("lead").groupby(keys, sort=False, as_index=False).agg(lead=("lead", "first"), settings=("settings", "first"))
+            g = part.sort_values(["severity", "seq"]).groupby(keys, sort=False, as_index=False)
+            sums = g.agg(
+                state=("state", "max"), seq=("seq", "first"), severity=("severity", "first"), step=("step", "sum"), n=("n", "sum")
+            )
+            yield sums.merge(first, on=keys)[cols]
 
 
 def correlate(
@@ -161,25 +191,28 @@ def correlate(
 ) -> DataFrame:
     """Rule-driven correlation: one group of alarms per (rule, key).
 
-    An alarm joins every rule whose predicate it meets. Groups time out as the
-    event time, less ``delay``, moves on. With ``heartbeat`` (a duration) they time
-    out on processing time, also when no data arrives.
+    An alarm joins every rule whose predicate it meets. A group looks at a second when the
+    event time, less ``delay``, has reached it, so alarms that arrive in any order within
+    ``delay`` give the same tickets; later ones join late. Groups time out as the event time
+    moves on. With ``heartbeat`` (a duration) alarms are looked at as they come, and
+    groups time out on processing time, also when no data arrives.
     """
     hits = [
         F.when(
             F.coalesce(F.expr(r.match), F.lit(False)),
             F.struct(
-                F.lit(r.id).alias("rule"), F.to_json(F.struct(*r.keys)).alias("group"), F.expr(r.step).cast("int").alias("step")
+                F.lit(r.id).alias("rule"), F.to_json(F.struct(*r.keys)).alias("group"), F.expr(r.step).cast("int").alias("step"),
+                _settings(r).alias("settings"),
             ),
         )
         for r in rules
-    ]
+    ]
     one = F.explode_outer(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h")
     keyed = alarms.select("*", one).select(
         F.col("h.rule").alias("rule"), F.col("h.group").alias("group"), "timeissued", "state", "seq", "severity",
-        F.col("h.step").alias("step"), F.lit(1).cast("bigint").alias("n"),
+        F.col("h.step").alias("step"), F.lit(1).cast("bigint").alias("n"), F.col("seq").alias("lead"), F.col("h.settings").alias("settings"),
     )
-    keyed = event_time(keyed.mapInPandas(combine_seconds(rules), KEYED), delay)
+    keyed = event_time(keyed.mapInPandas(combine_seconds, KEYED), delay)
     by_id = {r.id: r for r in rules}
     timeout = GroupStateTimeout.ProcessingTimeTimeout if heartbeat else GroupStateTimeout.EventTimeTimeout
 
@@ -188,26 +221,27 @@ def correlate(
         if rule is None:
             return
         memory = GroupMemory(**json.loads(state.get[0])) if state.exists else GroupMemory()
-        out: list[tuple] = []
-        mark = state.getCurrentWatermarkMs() // 1000 if not heartbeat else 0
-        if state.hasTimedOut:
-            # the clock ran on without alarms of this group
-            clock = state.getCurrentProcessingTimeMs() // 1000 if heartbeat else mark
-            out += step_group(memory, [], rule, clock)
-        else:
-            rows: list[tuple] = []
+        rows = [tuple(r) for r in memory.pending]
+        if not state.hasTimedOut:
             for pdf in pdfs:
-                cols = ("timeissued", "seq", "severity", "step", "state", "n")
-                rows += zip(*[pdf[c].astype(int).tolist() for c in cols])
-            out += step_group(memory, sorted(rows), rule, None)
-        if memory.open:
+                numbers = [pdf[c].astype(int).tolist() for c in ("timeissued", "seq", "severity", "step", "state", "n", "lead")]
+                rows += zip(*numbers, pdf["settings"].where(pdf["settings"].notna(), None).tolist())
+        if heartbeat:
+            clock = state.getCurrentProcessingTimeMs() // 1000
+            memory.pending, ready = [], rows
+        else:
+            clock = state.getCurrentWatermarkMs() // 1000
+            ready = [r for r in rows if r[0] <= clock]
+            memory.pending = by_second(r for r in rows if r[0] > clock)
+        out = step_group(memory, ready, rule, clock)
+        if memory.open or memory.pending:
             state.update((json.dumps(memory.to_dict()),))
             if heartbeat:
                 state.setTimeoutDuration(heartbeat)
             else:
-                due = memory.next_due(rule)
+                due = [r[0] for r in memory.pending[:1]] + ([memory.next_due(rule)] if memory.open else [])
                 # a timer fires once the watermark is past it
-                state.setTimeoutTimestamp(max(due, mark + 1) * 1000 - 1)
+                state.setTimeoutTimestamp(max(min(due), clock + 1) * 1000 - 1)
         elif state.exists:
             state.remove()
         yield pd.DataFrame([(*key, *r) for r in out], columns=["rule", "group", "event", "at", "seq", "severity", "n"])
@@ -215,30 +249,71 @@ def correlate(
     return keyed.groupBy("rule", "group").applyInPandasWithState(run, GROUP_EVENTS, "memory string", "append", timeout)
 
 
+def _settings(rule: CorrelationRule) -> Column:
+    """What an alarm would give a group that it opens, as JSON; missing values count as 0."""
+    given = [F.coalesce(F.expr(e).cast("bigint"), F.lit(0)).alias(n) for n, e in rule.from_alarm.items()]
+    return F.to_json(F.struct(*given)) if given else F.lit(None).cast("string")
+
+
 # --- service impact -----------------------------------------------------------------------
 
 
 def impact_batches(
-    edges: DataFrame, roles: DataFrame, members: DataFrame, read_open: Callable[[], DataFrame], emit: BatchSink
-) -> BatchSink:
+    edges: DataFrame, roles: DataFrame, members: DataFrame, read_open: Callable[[int], DataFrame], emit: BatchSink,
+    save_open: BatchSink, order: str = "timeissued",
+) -> BatchSink:
     """A ``foreachBatch`` function: re-evaluate the touched components, emit changes.
 
     ``members`` is the stored ``connected_components`` of the inventory; only
-    components with a raised or cleared node in the batch are looked at.
-    ``read_open`` gives the events that were open before the batch.
+    components with a raised or cleared node in the batch are looked at. Of several events
+    of a node in a batch the latest by ``order`` counts, a clear before a raise of the same time.
+    ``read_open`` gives the (level, id) that were open before an epoch, ``save_open`` gets
+    those that are open after it; both must give the same again when an epoch is repeated.
     """
     home = members.select(F.col("ndlevel").alias("level"), F.col("ndid").alias("id"), "cclevel", "ccid")
 
     def run(batch: DataFrame, epoch: int) -> None:
-        seen = batch.select("level", "id").distinct()
-        touched = home.join(seen, ["level", "id"], "left_semi").select("cclevel", "ccid").distinct()
-        near = stored(home.join(touched, ["cclevel", "ccid"], "left_semi").select("level", "id"))
-        local = edges.join(near.withColumnsRenamed({"level": "level1", "id": "id1"}), ["level1", "id1"], "left_semi")
-        mine = roles.join(near, ["level", "id"], "left_semi")
-        before = read_open().select("level", "id").join(near, ["level", "id"], "left_semi").distinct()
-        raised = before.unionByName(batch.where("type = 1").select("level", "id")).distinct()
-        after = raised.join(batch.where("type = 2").select("level", "id").distinct(), ["level", "id"], "left_anti")
-        old, new = (service_impact(local, mine, e, members=members) for e in (before, after))
-        emit(impact_changes(old, new), epoch)
+        last = batch.groupBy("level", "id").agg(F.max_by("type", F.struct(F.col(order), -F.col("type"))).alias("type"))
+        with scratch(batch.sparkSession) as keep:
+            last = keep(last, "impact-last")
+            touched = home.join(last, ["level", "id"], "left_semi").select("cclevel", "ccid").distinct()
+            near = keep(home.join(touched, ["cclevel", "ccid"], "left_semi").select("level", "id"), "impact-near")
+            local = edges.join(near.withColumnsRenamed({"level": "level1", "id": "id1"}), ["level1", "id1"], "left_semi")
+            mine = roles.join(near, ["level", "id"], "left_semi")
+            was_open = read_open(epoch).select("level", "id").distinct()
+            now_open = was_open.join(last, ["level", "id"], "left_anti").unionByName(last.where("type = 1").select("level", "id"))
+            now_open = keep(now_open, "impact-open")
+            old, new = (
+                service_impact(local, mine, e.join(near, ["level", "id"], "left_semi"), members=members) for e in (was_open, now_open)
+            )
+            emit(impact_changes(old, new), epoch)
+            save_open(now_open, epoch)
+
+    return run
+
+
+def epoch_path(path: str, epoch: int) -> str:
+    return f"{path}/epoch={epoch:010d}"
+
+
+def write_epoch(path: str) -> BatchSink:
+    """A sink with a folder per epoch, replaced as a whole: a repeated batch writes the same again.
+
+    ``spark.read.parquet(path)`` reads all epochs, with a column ``epoch``.
+    """
+
+    def run(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(epoch_path(path, epoch))
+
+    return run
+
+
+def read_before(spark: SparkSession, path: str, schema: T.StructType) -> Callable[[int], DataFrame]:
+    """What the epoch before an epoch has written with ``write_epoch``; nothing before the first."""
+
+    def run(epoch: int) -> DataFrame:
+        if epoch == 0:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(epoch_path(path, epoch - 1))
 
     return run

@@ -1,6 +1,7 @@
 """Operators against small plain-Python models on random input."""
 
 import ipaddress
+import json
 import random
 import zlib
 
@@ -461,13 +462,13 @@ def test_address_sets_v6_prefixes(spark):
         return bytearray(ipaddress.IPv6Address(text).packed)
 
     a = spark.createDataFrame([(raw("2001:db8::1"), raw("2001:db8::ff")), (raw("::"), raw("::1"))], "lo binary, hi binary")
-    got = {(str(ipaddress.IPv6Address(bytes(r.addr))), r.len) for r in prefixes.cidrs6(a).collect()}
+    got = {(str(ipaddress.IPv6Address(bytes(r.addr))), r.len) for r in prefixes.cidrs(a, prefixes.V6).collect()}
     exp = ipaddress.summarize_address_range(ipaddress.IPv6Address("2001:db8::1"), ipaddress.IPv6Address("2001:db8::ff"))
     assert got == {(str(n.network_address), n.prefixlen) for n in exp} | {("::", 127)}
-    wide = {(str(ipaddress.IPv6Address(bytes(r.lo))), str(ipaddress.IPv6Address(bytes(r.hi)))) for r in prefixes.rebit6(a, 64).collect()}
+    wide = {(str(ipaddress.IPv6Address(bytes(r.lo))), str(ipaddress.IPv6Address(bytes(r.hi)))) for r in prefixes.rebit(a, 64, prefixes.V6).collect()}
     assert wide == {("::", "::ffff:ffff:ffff:ffff"), ("2001:db8::", "2001:db8::ffff:ffff:ffff:ffff")}
     n = prefixes.size6(a).first()
-    assert (n.prefixes, n.addresses, n.ranges) == (9, 257.0, 2)
+    assert (n.prefixes, n.networks64, n.addresses, n.ranges) == (9, "0", "257", 2)
     low = prefixes.min_max(a).first()
     assert bytes(low.min) == bytes(raw("::")) and bytes(low.max) == bytes(raw("2001:db8::ff"))
 
@@ -482,18 +483,87 @@ def test_copies_of_a_hot_value_are_kept(spark, many_chunks):
     assert sorted(r.rn for r in ordered.number_rows(a, ["v"]).collect()) == list(range(1, 74))
 
 
-def test_combining_seconds_keeps_the_groups(spark):
+def test_combining_seconds_keeps_the_groups():
     import pandas as pd
 
-    from opsloom.streaming.correlate import GEN1
+    from opsloom.streaming.correlate import by_second
     from opsloom.streaming.jobs import combine_seconds
 
-    rows_ = [("GEN1_ANY", "g", 5, 3, s, sev, 1, 1) for s, sev in ((1, 4), (2, 2), (3, 2))] + [(None, None, t, 0, 0, 0, None, 1) for t in (1, 9, 4)]
-    pdf = pd.DataFrame(rows_, columns=["rule", "group", "timeissued", "state", "seq", "severity", "step", "n"])
-    out = pd.concat(list(combine_seconds([GEN1])(iter([pdf]))))
+    cols = ["rule", "group", "timeissued", "state", "seq", "severity", "step", "n", "lead", "settings"]
+    rows_ = [("GEN1_ANY", "g", 5, 3, s, sev, 1, 1, s, f"s{s}") for s, sev in ((3, 2), (1, 4), (2, 2))]
+    rows_ += [(None, None, t, 0, 0, 0, None, 1, 0, None) for t in (1, 9, 4)]
+    out = pd.concat(list(combine_seconds(iter([pd.DataFrame(rows_, columns=cols)]))))
     hit = out[out["rule"].notna()].iloc[0]
-    assert len(out) == 2 and (hit["seq"], hit["severity"], hit["n"], hit["step"]) == (2, 2, 3, 3)
+    assert len(out) == 2 and (hit["seq"], hit["severity"], hit["n"], hit["step"], hit["settings"]) == (2, 2, 3, 3, "s1")
     assert out[out["rule"].isna()].iloc[0]["timeissued"] == 9
+    plain = [(5, s, sev, 1, 3, 1, s, f"s{s}") for s, sev in ((3, 2), (1, 4), (2, 2))]
+    assert by_second(plain) == [(5, 2, 2, 3, 3, 3, 1, "s1")] == by_second([*by_second(plain[:2]), plain[2]])
+
+
+def test_a_late_alarm_does_not_turn_the_clock_back():
+    rule = CorrelationRule("l", "true", ("k",), window=100, immediate=3)
+    g = GroupMemory()
+    out = [r for t, s in ((1000, 1), (950, 2), (1060, 3)) for r in step_group(g, [(t, s, 1, 1, 3, 1)], rule, None)]
+    assert out == [] and g.last == 1060 and [a[0] for a in g.recent] == [1000, 1060]
+    assert step_group(g, [(1061, 4, 1, 1, 3, 1)], rule, None) == [("first", 1061, 4, 1, 3)]
+
+
+def test_old_alarms_leave_the_group():
+    rule = CorrelationRule("p", "true", ("k",), window=100, immediate=3)
+    g = GroupMemory()
+    assert step_group(g, [(t, i, 1, 1, 3, 1) for i, t in enumerate(range(0, 1000, 60))], rule, None) == []
+    assert step_group(g, [(970, 50, 1, 1, 3, 1)], rule, None) == [("first", 970, 50, 1, 3)]
+
+
+def test_settings_of_the_opening_alarm():
+    rule = CorrelationRule("s", "true", ("k",), window="w", immediate="n")
+    g = GroupMemory()
+    given = ['{"window": 50, "immediate": 2}', '{"window": 5000, "immediate": 9}']
+    out = step_group(g, [(0, 1, 1, 1, 3, 1, 1, given[0]), (10, 2, 1, 1, 3, 1, 2, given[1])], rule, None)
+    assert out == [("first", 10, 2, 1, 2)]
+
+
+@pytest.mark.parametrize("order", [0, 1, 2])
+def test_stream_equals_the_group_step_in_any_arrival_order(spark, tmp_path, order):
+    from opsloom.streaming import jobs
+    from opsloom.streaming.correlate import GEN1, GEN2, IOT, by_second
+
+    rng = random.Random(order)
+    rows_ = []
+    for i in range(160):
+        k = rng.choice("abc")
+        state = rng.choice([3, 3, 4])
+        rows_.append((i, k, "t", rng.choice(["any.1", "IoT.1"]), rng.choice(["", "u"]), rng.randrange(0, 30_000), state, rng.randint(1, 5),
+                      600 * (1 + "abc".index(k)), 2, 2, 300, 900, "abc".index(k) % 2))
+    schema = ("seq long, id1 string, text string, alarmid string, `unique` string, timeissued long, state int, severity int, matchwindow long, "
+              "ticketimmediatecount long, ticketdefercount long, ticketdefertime long, ticketupdatetime long, balancemode long")
+    shuffled = sorted(rows_, key=lambda r: r[5] + rng.randrange(2000) * bool(order))
+    # the last row moves the clock past everything
+    shuffled.append((999, "z", "t", "none", "", 1_000_000, 3, 1, 1, 1, 1, 1, 1, 0))
+    path, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for at in range(0, len(shuffled), 60):
+        spark.createDataFrame(shuffled[at : at + 60], schema).coalesce(1).write.mode("append").parquet(path)
+        live = jobs.stream_tail(spark, path, spark.read.parquet(path).schema)
+        jobs.catch_up(jobs.correlate(live, [GEN1, GEN2, IOT], delay="2000 seconds"), out, cp)
+    got = sorted((r.rule, json.loads(r.group)["id1"], json.loads(r.group).get("alarmid"), r.event, r["at"], r.seq, r.n) for r in spark.read.parquet(out).collect())
+    want = []
+    balance = lambda r: 1 if r[13] == 0 or r[6] == 3 else -1
+    sets = lambda r: json.dumps({"window": r[8], "immediate": r[9], "defer_count": r[10], "defer_time": r[11], "refresh": r[12]})
+    late = lambda r: json.dumps({"window": r[8], "defer_time": r[11], "refresh": r[12]})
+    for rule, use, key, step, settings in (
+        (GEN1, lambda r: r[3] == "any.1", lambda r: (r[1], None), lambda r: 1, lambda r: None),
+        (GEN2, lambda r: r[4] != "", lambda r: (r[1], r[3]), balance, sets),
+        (IOT, lambda r: r[3] == "IoT.1", lambda r: (r[1], r[3]), lambda r: 1, late),
+    ):
+        groups = {}
+        for r in rows_:
+            if use(r):
+                groups.setdefault(key(r), []).append((r[5], r[0], r[7], step(r), r[6], 1, r[0], settings(r)))
+        for k, alarms_of in groups.items():
+            events = step_group(GroupMemory(), by_second(alarms_of), rule, 1_000_000 - 2000)
+            want += [(rule.id, *k, e, at, seq, n) for e, at, seq, _, n in events]
+    assert got == sorted(want, key=lambda w: tuple("" if x is None else x for x in w)) or sorted(map(str, got)) == sorted(map(str, want))
+    assert len(want) > 20
 
 
 def test_thresholds_of_restricted_accounts(spark):
@@ -532,3 +602,211 @@ def test_delimited_escapes_and_skips(spark, tmp_path):
         (tmp_path / f"f{i}").write_text(f"title\nmore\nr{i};{i}\n")
     got = sorted(tuple(r) for r in read_delimited(spark, str(tmp_path), schema, ";", skip=2).collect())
     assert got == [("r1", 1), ("r2", 2)]
+
+
+def test_a_hundred_conditions(spark):
+    attrs = spark.createDataFrame([("o", "1", f"k{i}", "v") for i in range(100)] + [("o", "2", f"k{i}", "v") for i in range(99)], "level string, id string, key string, val string")
+    conds = [(f"k{i}", "^v$") for i in range(100)]
+    assert [r.id for r in joins.attr_conditions(attrs, conds).collect()] == ["1"]
+    up = spark.createDataFrame([("o", i, f"l{k}", "x") for i in ("1", "2") for k in range(100 if i == "1" else 99)] + [("o", i, "c", "cust") for i in "12"], "level1 string, id1 string, level2 string, id2 string")
+    scope = [graph.NodeCondition(f"l{k}", "x") for k in range(100)]
+    rows_ = spark.createDataFrame([("o", "1"), ("o", "2")], "level1 string, id1 string")
+    assert [r.id1 for r in graph.propagate_filter(rows_, up, scope).collect()] == ["1"]
+    assets = rows_.toDF("level", "id")
+    nodes = attrs.limit(0)
+    assert [r.id for r in graph.select_nodes(assets, up, nodes, scope, "c").collect()] == ["1"]
+    rule = joins.ThresholdRule("cpu", "spec", ".*", account="a")
+    got = joins.threshold_match(assets, up, nodes, [rule], {"a": [(f"l{k}", "x") for k in range(100)]})
+    assert [r.id for r in got.collect()] == ["1"]
+
+
+def test_long_chains_branches_and_cycles(spark):
+    rng = random.Random(11)
+    chain = [(f"n{i:05d}", f"n{i + 1:05d}") for i in range(1500)]
+    dag = [(f"d{a}", f"d{b}") for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(60)) if a < b]
+    pairs = chain + dag + [("n00700", "d0"), ("d29", "z"), ("solo", "solo")]
+    layers, left = graph.topological_layers(spark.createDataFrame(pairs, "before string, after string"))
+    got = {r.node: r.layer for r in layers.collect()}
+    exp = {n: 0 for p in pairs for n in p}
+    for _ in range(len(exp)):
+        nxt = dict(exp)
+        for a, b in pairs:
+            if a != b:
+                nxt[b] = max(nxt[b], exp[a] + 1)
+        if nxt == exp:
+            break
+        exp = nxt
+    assert got == exp and left.isEmpty()
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("x", "y"), ("x", "e")], "before string, after string")
+    layers, left = graph.topological_layers(ring)
+    assert {r.node: r.layer for r in layers.collect()} == {"x": 0, "y": 1}
+    assert {(r.before, r.after) for r in left.collect()} >= {("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")}
+
+
+def test_a_hub_with_a_third_of_the_edges(spark, many_chunks):
+    rng = random.Random(7)
+    edges = [(0, i) for i in range(1, 400)] + [(rng.randrange(400, 1200), rng.randrange(400, 1200)) for _ in range(700)]
+    df = spark.createDataFrame([(f"{a:04d}", f"{b:04d}") for a, b in edges], "id1 string, id2 string").selectExpr("'o' as level1", "id1", "'o' as level2", "id2")
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        p, q = sorted((root(a), root(b)))
+        up[q] = p
+    got = {int(r.ndid): int(r.ccid) for r in graph.connected_components(df).collect()}
+    assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_one_parser_whatever_is_skipped(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from opsloom.sources.readers import parse_delimited, read_delimited, skip_lines
+
+    body = ['"q|z"|3', "a\\|b|4", "", "plain|5"]
+    schema = T.StructType.fromDDL("name string, n bigint")
+    want = sorted(map(tuple, parse_delimited(spark.createDataFrame([(b,) for b in body], "value string"), schema).collect()), key=str)
+    for skip in (0, 1, 3):
+        path = tmp_path / str(skip)
+        path.mkdir()
+        for name in ("x", "y"):
+            (path / name).write_text("\n".join([f"h{i}" for i in range(skip)] + body) + "\n")
+        got = sorted(map(tuple, read_delimited(spark, str(path), schema, skip=skip).collect()), key=str)
+        assert got == sorted(want * 2, key=str)
+    many = tmp_path / "many"
+    many.mkdir()
+    (many / "f").write_text("".join(f"{i:06d}\n" for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        lines = spark.read.text(str(many))
+        assert lines.rdd.getNumPartitions() > 8
+        assert sorted(int(r.value) for r in skip_lines(lines, 333).collect()) == list(range(333, 5000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_escapes_other_than_punctuation_are_unsure(spark):
+    for rx, text_ in ((r"\x41BC", "ABC"), (r"a\tb", "a\tb"), (r"\QABC\E", "ABC"), (r"ABC\.d", "ABC.d"), (r"\101BC", None)):
+        lit = joins.longest_literal(rx)
+        assert text_ is None or lit in text_
+    df = spark.createDataFrame([("ABC",)], "text string").selectExpr("'' as alarmid", "text", "'x' as id1")
+    assert joins.rule_match_first(df, [joins.AlarmRule("r", r"\x41BC")]).first()["rule"] == 0
+
+
+def test_groups_that_look_alike_stay_apart(spark):
+    from opsloom.operators import aggs
+
+    rows_ = [("a,b", "c", 1.0), ("a", "b,c", 2.0), (None, "", 3.0), ("", "", 4.0), ("OVERFLOW", "", 5.0)]
+    df = spark.createDataFrame(rows_, "x string, y string, v double")
+    assert sorted((r.group, r["sum"]) for r in aggs.stats(df, ["x", "y"], ["v"]).collect()) == [(",", 3.0), (",", 4.0), ("OVERFLOW,", 5.0), ("a,b,c", 1.0), ("a,b,c", 2.0)]
+    out = {(r.group, r["sum"]) for r in aggs.stats(df, ["x"], ["v"], max_groups=2, first_by=["v"]).collect()}
+    assert out == {("a,b", 1.0), ("a", 2.0), ("OVERFLOW", 12.0)}
+
+
+def test_smallest_reads_its_input_once(spark):
+    from opsloom.functions.text import smallest
+
+    df = spark.range(100).selectExpr("id % 3 as k", "string(id % 10) as v").repartition(2)
+    out = smallest(df, ["k"], "v", 6)
+    assert {r.k: r.vs for r in out.collect()} == {k: [str(i) for i in range(6)] for k in range(3)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_head_has_one_rule_for_any_size(spark, many_chunks):
+    df = spark.range(5000).selectExpr("id", "id % 7 as k", "id % 3 as tie").repartition(9)
+    small = [r.id for r in sorts.head(df, 40, ["tie"], by=["k"]).collect()]
+    large = [r.id for r in sorts.head(df, 1200, ["tie"], by=["k"]).collect()]
+    assert set(small) <= set(large) and len(small) == 280 and len(large) == 5000
+    assert sorted(r.id for r in sorts.head(df, 10, [F.col("id").desc()], skip=5).collect()) == list(range(4985, 4995))
+    assert sorts.head(df, 10, ["id"]).columns == df.columns
+
+
+def test_ipv6_text_and_neighbours(spark):
+    rng = random.Random(13)
+    nums = [0, 1, (1 << 128) - 1, 0xFFFF << 32, (0xFFFF << 32) + 0x01020304, 1 << 32, (1 << 64) - 1, 0x10002, 5 << 112]
+    for _ in range(300):
+        groups = [rng.choice([0, 0, 0, 1, 0xFFFF, rng.randrange(1 << 16)]) for _ in range(8)]
+        nums.append(sum(g << (16 * i) for i, g in enumerate(groups)))
+    import socket
+
+    packed = [n.to_bytes(16, "big") for n in nums]
+    good = [socket.inet_ntop(socket.AF_INET6, p) for p in packed] + [str(ipaddress.IPv6Address(p).exploded) for p in packed]
+    bad = ["", "1", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "12345::", "g::", "::1.2.3.400", "1:2:3:4:5:6:7:8::", "1.2.3.4:1"]
+    df = spark.createDataFrame([(t,) for t in good + bad], "t string").repartition(3)
+
+    def parsed(t):
+        try:
+            return socket.inet_pton(socket.AF_INET6, t)
+        except OSError:
+            return None
+
+    for r in df.select("t", net.ip6_parse(F.col("t")).alias("b")).collect():
+        assert (bytes(r.b) if r.b is not None else None) == parsed(r.t), r.t
+    rows_ = spark.createDataFrame([(bytearray(p), rng.randrange(129)) for p in packed], "a binary, n int")
+    out = rows_.select(
+        "a", "n", net.ip6_format(F.col("a")).alias("t"), net.ip6_next(F.col("a")).alias("up"), net.ip6_prev(F.col("a")).alias("down"),
+        net.network6(F.col("a"), F.col("n")).alias("lo"), net.broadcast_address6(F.col("a"), F.col("n")).alias("hi"),
+    )
+    for r in out.collect():
+        n = int.from_bytes(r.a, "big")
+        host = (1 << (128 - r.n)) - 1
+        assert r.t == socket.inet_ntop(socket.AF_INET6, bytes(r.a))
+        assert bytes(r.up) == ((n + 1).to_bytes(16, "big") if n + 1 < 1 << 128 else net.V6_END)
+        assert n == 0 or int.from_bytes(r.down, "big") == n - 1
+        assert (int.from_bytes(r.lo, "big"), int.from_bytes(r.hi, "big")) == (n & ~host, n | host)
+    pairs = [tuple(sorted(rng.sample(nums, 2))) for _ in range(60)] + [(0, (1 << 128) - 1), (5, 5), (0, 0), ((1 << 128) - 1,) * 2]
+    pairs += [(n, n + rng.randrange(300)) for n in nums[9:60] if n < 1 << 127]
+    rng_df = spark.createDataFrame([(bytearray(a.to_bytes(16, "big")), bytearray(b.to_bytes(16, "big"))) for a, b in pairs], "lo binary, hi binary")
+    for r in rng_df.select("lo", "hi", net.range_cidrs6(F.col("lo"), F.col("hi")).alias("p")).collect():
+        exp = ipaddress.summarize_address_range(ipaddress.IPv6Address(bytes(r.lo)), ipaddress.IPv6Address(bytes(r.hi)))
+        assert [(bytes(x.addr), x.len) for x in r.p] == [(n.network_address.packed, n.prefixlen) for n in exp]
+    whole = prefixes.size6(rng_df.limit(0).unionByName(spark.createDataFrame([(bytearray(16), bytearray(b"\xff" * 16))], "lo binary, hi binary"))).first()
+    assert tuple(whole) == (1, str(1 << 64), "0", 1)
+
+
+def test_routes_of_both_families_and_rejects(spark):
+    from opsloom.sources.readers import parse_routes
+
+    lines = ["*> 10.1.0.0/16 10.0.0.1 7018 {5,6} 9 i", "*>i2001:db8::/32 2001:db8::1 7018 5 e", "2001:db8::/129 ::1 7", "noise", ""]
+    rows_, rejects = parse_routes(spark.createDataFrame([(x,) for x in lines], "value string"))
+    got = sorted((r.family, r.len, list(r.path), r.origin) for r in rows_.collect())
+    assert got == [(4, 16, [7018, 5, 6, 9], "i"), (6, 32, [7018, 5], "e")]
+    assert sorted(r.value for r in rejects.collect()) == sorted(lines[2:])
+
+
+def test_whole_patterns_and_profile_times(spark):
+    from opsloom.plans import dashboard
+
+    alarms_ = spark.createDataFrame([("cc1", 1, 1, "t", ""), ("cc10", 1, 1, "t", "")], "ccid string, severity int, tmode int, text string, comment string")
+    assert [r.ccid for r in alarms_.where(dashboard.alarm_predicate([("ccid", "cc1"), ("severity", "CRITICAL"), ("ticket", "keep")])).collect()] == ["cc1"]
+    assert alarms_.where(dashboard.alarm_predicate([("ticket", "KEEP")])).count() == 0
+    s = spark.createDataFrame([("o", "1", "k", f, 1000 + f * 100, 1.0, "") for f in range(4)], "level string, id string, key string, frame int, timeissued long, val double, label string")
+    p = spark.createDataFrame([("o", "1", "k", f, 5.0, "___mean___") for f in range(4)], "level string, id string, key string, frame int, val double, label string")
+    up = spark.createDataFrame([("o", "1", "n", "x")], "level1 string, id1 string, level2 string, id2 string")
+    got = dashboard.query_stats_profile(s, p, times=[(1200, 1300)], closure=up, out_level="n").collect()
+    assert sorted((r.label, r.frame, r.timeissued) for r in got) == [("", 2, 1200), ("", 3, 1300), ("___mean___", 0, 1200), ("___mean___", 1, 1200), ("___mean___", 2, 1200), ("___mean___", 3, 1300)]
+
+
+def test_breaches_at_one_time_count_once_in_stream_and_batch(spark, tmp_path):
+    from opsloom.streaming import jobs
+
+    rule = stats.parse_rule("SIGMA:i:1:n::1:2:3:1:0;CLEAR:5:2:2")
+    rng = random.Random(5)
+    rows_ = [("o", str(k), "m", t, rng.choice([-1, 1, 1]), 1.0 + t % 3) for k in range(4) for t in [1000 + rng.randrange(60) * 10 for _ in range(70)]]
+    rows_ += [("o", "two", "m", 1005, 1, 2.0), ("o", "two", "m", 1005, 1, 3.0)]
+    schema = "level string, id string, key string, timeissued long, sev int, score double"
+    batch = profile_alarms.alarm_state_changes(spark.createDataFrame(rows_, schema), rule).where("kind <> 'repeat'")
+    rows_.sort(key=lambda r: r[3] + rng.randrange(100))
+    rows_.append(("o", "clock", "m", 100_000, -1, 0.0))
+    path, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for at in range(0, len(rows_), 90):
+        spark.createDataFrame(rows_[at : at + 90], schema).coalesce(1).write.mode("append").parquet(path)
+        live = jobs.stream_tail(spark, path, spark.read.parquet(path).schema)
+        jobs.catch_up(jobs.profile_alarms(live, rule, delay="100 seconds"), out, cp)
+    key = lambda df: sorted((r.id, r.timeissued, r.kind, r.severity) for r in df.where("id <> 'clock'").collect())
+    assert key(spark.read.parquet(out).where("kind <> 'repeat'")) == key(batch)
+    assert "two" not in {r.id for r in batch.where("kind = 'alarm'").collect()}

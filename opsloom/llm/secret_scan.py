@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import re._constants as sc
 import re._parser as sp
 from dataclasses import dataclass
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .sizes import counted
 
 LIMIT = 64  # spellings kept apart while a query is derived; beyond, a part is a gap
 
@@ -102,18 +104,28 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return sorted(least, key=sorted)
 
 
+# Letters from the most to the least frequent in English text.
+FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
+PER_AND = 3
+
+
+def asked(grams: frozenset[str]) -> list[str]:
+    """The ``PER_AND`` trigrams of a set that are likely the rarest; fewer postings, and still necessary."""
+    rare = lambda g: sum(FREQUENT.find(c) if c in FREQUENT else len(FREQUENT) for c in g)
+    return sorted(sorted(grams), key=rare, reverse=True)[:PER_AND]
+
+
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """The inverted index, (gram, doc_id), for the trigrams that the queries name."""
-    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    held = F.filter(F.array(*[F.when(F.contains(F.col("low"), F.lit(g)), F.lit(g)) for g in grams]), lambda g: g.isNotNull())
-    rows = docs.select("doc_id", low.alias("low")).select("doc_id", held.alias("grams"))
-    return rows.where(F.size("grams") > 0).select(F.explode("grams").alias("gram"), "doc_id")
+    """The inverted index, (gram, doc_id), for the trigrams that the queries name, from one pass over each text."""
+    by_first = [f"{re.escape(c)}(?:{'|'.join(re.escape(g[1:]) for g in sorted(group))})" for c, group in itertools.groupby(sorted(grams), key=lambda g: g[0])]
+    held = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(f"(?=({'|'.join(by_first)}))"), F.lit(1)))
+    return docs.select(F.explode(held).alias("gram"), "doc_id")
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     """(doc_id, kinds): documents in all postings of some AND of a rule's query."""
     spark = docs.sparkSession
-    queries = [(r.kind, i, sorted(q)) for r in rules for i, q in enumerate(trigram_query(r.pattern))]
+    queries = [(r.kind, i, asked(q)) for r in rules for i, q in enumerate(trigram_query(r.pattern))]
     if not queries:
         return None
     index = stored(postings(docs, sorted({g for _, _, q in queries for g in q})), "trigram-index")
@@ -131,21 +143,22 @@ def spans(text: Column, rule: Rule) -> Column:
 
     The pieces between the matches and the matches themselves give the positions.
     """
-    between = F.transform(F.split(text, rule.pattern, -1), F.length)
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    part = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    pattern = _long_enough(rule)
+    between = F.transform(F.split(text, pattern, -1), F.length)
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
     sized = F.arrays_zip(between.alias("gap"), F.transform(whole, F.length).alias("len"), F.transform(part, F.length).alias("part"))
-    none = F.array().cast("array<struct<start:int,end:int,long:boolean>>")
+    none = F.array().cast("array<struct<start:int,end:int>>")
     start = F.struct(F.lit(0).alias("at"), none.alias("got"))
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
         end = begin + x["len"]
-        one = F.struct(begin.alias("start"), end.alias("end"), (x["part"] >= rule.least).alias("long"))
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(x["len"].isNull(), acc["got"]).otherwise(F.concat(acc["got"], F.array(one))).alias("got"))
+        one = F.struct(begin.alias("start"), end.alias("end"))
+        got = F.when(x["part"] >= rule.least, F.concat(acc["got"], F.array(one))).otherwise(acc["got"])
+        return F.struct(F.coalesce(end, begin).alias("at"), got.alias("got"))
 
-    found = F.filter(F.aggregate(sized, start, step)["got"], lambda s: s["long"])
-    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return F.aggregate(sized, start, step)["got"]
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -167,7 +180,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         base = base.withColumn("__kinds", F.lit(None).cast("array<string>")).withColumn("__i", F.lit(None))
     else:
         known = stored(known.withColumnRenamed("doc_id", "__i").withColumnRenamed("kinds", "__kinds"), "secret-candidates")
-        base = base.join(known, F.col("doc_id") == F.col("__i"), "left")
+        base = base.join(counted(known), F.col("doc_id") == F.col("__i"), "left")
     nothing = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     all_spans = []
     for rank, rule in enumerate(rules):
@@ -185,6 +198,6 @@ def _named(rank: int, kind: str):
 
 
 def _long_enough(rule: Rule) -> str:
-    """A quick test that every text with a long enough match passes."""
+    """The pattern, for one class of characters without its matches that are too short: the others are the same."""
     one_class = rule.group == 0 and rule.pattern.startswith("[") and rule.pattern.index("]") == len(rule.pattern) - 2 and rule.pattern.endswith("+")
     return f"{rule.pattern[:-1]}{{{rule.least},}}" if one_class else rule.pattern

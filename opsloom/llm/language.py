@@ -70,14 +70,18 @@ def fit(
     # one row per language
     rates = F.broadcast(sizes.select(F.col("lang").alias("__l"), shares.alias("share")))
     sample = train.join(rates, F.col("lang") == F.col("__l")).where(unit < F.col("share")).select("text", "lang")
-    data = sample.mapInArrow(_draw(draws, seed), "lang string, ids array<int>").toPandas()
-    data = data[data.ids.map(len) > 0]
-    if not len(data):
+    data = sample.mapInArrow(_draw(draws, seed), "lang string, ids array<int>").toArrow()
+    lists = data.column("ids").combine_chunks()
+    full = np.flatnonzero(np.diff(lists.offsets.to_numpy()) == draws)
+    if not len(full):
         return None
-    data = data.assign(k=data.ids.map(lambda x: hash(tuple(x[:8])))).sort_values(["lang", "k"]).reset_index(drop=True)
-    langs = tuple(sorted(set(data.lang)))
-    y = data.lang.map({v: i for i, v in enumerate(langs)}).to_numpy()
-    ids = np.stack(data.ids.to_numpy())
+    ids = lists.flatten().to_numpy().reshape(-1, draws)
+    lang = data.column("lang").to_numpy(zero_copy_only=False)[full]
+    langs = tuple(sorted(set(lang.tolist())))
+    y = np.searchsorted(np.array(langs), lang.astype(str))
+    # an order that does not depend on the tasks
+    by = np.lexsort((*ids[:, :8].T, y))
+    ids, y = ids[by], y[by]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     cut = max(1, len(y) * 4 // 5)

@@ -36,18 +36,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket, how many texts of each label have it: one row per bucket and task at most."""
     seen = np.zeros((2, 1 << BITS), np.int64)
     total = np.zeros(2, np.int64)
-    for part in slices(batches, "text"):
+    mark = np.zeros(1 << BITS, bool)
+    for part in slices(batches, "text", 1 << 20):
         label = part.column("label").to_numpy(zero_copy_only=False)
         total += np.bincount(label, minlength=2)
-        for order in ORDERS:
-            last, pairs = None, []
-            for ids, rows in byte_ngrams(part.column("text"), order, BITS):
-                pairs.append((rows << BITS) | ids)
-            if pairs:
-                last = np.unique(np.concatenate(pairs))
-                for y in (0, 1):
-                    own = last[label[last >> BITS] == y] & ((1 << BITS) - 1)
-                    seen[y] += np.bincount(own, minlength=1 << BITS)
+        found = [pair for order in ORDERS for pair in byte_ngrams(part.column("text"), order, BITS)]
+        cuts = [np.searchsorted(rows, np.arange(part.num_rows + 1)) for _, rows in found]
+        for i, y in enumerate(label):
+            own = [ids[c[i] : c[i + 1]] for (ids, _), c in zip(found, cuts, strict=True)]
+            for ids in own:
+                mark[ids] = True
+            seen[y] += mark
+            for ids in own:
+                mark[ids] = False
     at = np.flatnonzero(seen.any(axis=0))
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.append(at, -1)), pa.array(np.append(seen[0, at], total[0])), pa.array(np.append(seen[1, at], total[1]))],
@@ -73,12 +74,12 @@ def _features(chosen: np.ndarray):
     return run
 
 
-def fit(train: DataFrame, rows: int = 20_000, least: int = 4, strength: float = 3.0, steps: int = 200) -> Model:
+def fit(train: DataFrame, rows: int = 10_000, least: int = 4, chance: float = 4.0, strength: float = 3.0, steps: int = 200) -> Model:
     """A model from (doc_id, text, label 0/1).
 
     The log-count ratios come from all rows: log of the share of texts with the n-gram in
     one class over that in the other, smoothed by the share in both. n-grams in fewer than
-    ``least`` texts, or with a ratio within chance (2.5 standard errors), are left out.
+    ``least`` texts, or with a ratio within ``chance`` standard errors of none, are left out.
     The coefficients are fitted by logistic regression with an L2 penalty on at most
     ``rows`` texts, those with the smallest hash of doc_id; that is the only sample. What
     reaches the driver is bounded: one row per bucket, and ``rows`` rows of chosen buckets.
@@ -88,33 +89,32 @@ def fit(train: DataFrame, rows: int = 20_000, least: int = 4, strength: float =
     """
     train = train.where("label in (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long"))
     per_task = train.select("text", "label").mapInArrow(_count, "bucket long, clean long, toxic long")
-    got = per_task.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
-    total = got[got.bucket == -1]
-    n0, n1 = (int(total.clean.sum()), int(total.toxic.sum())) if len(total) else (0, 0)
+    table = per_task.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    bucket, clean, toxic = (table.column(c).to_numpy() for c in ("bucket", "clean", "toxic"))
+    n0, n1 = int(clean[bucket == -1].sum()), int(toxic[bucket == -1].sum())
     weights = np.zeros(1 << BITS)
     if not n0 or not n1:
         return Model(weights, float(np.log((n1 + 0.5) / (n0 + 1.0))))
-    got = got[(got.bucket >= 0) & (got.clean + got.toxic >= least)]
-    both = (got.clean + got.toxic + 1.0).to_numpy()
+    use = (bucket >= 0) & (clean + toxic >= least)
+    bucket, clean, toxic = bucket[use], clean[use], toxic[use]
     prior = n1 / (n0 + n1)
-    p1, p0 = (got.toxic.to_numpy() + prior) / n1, (got.clean.to_numpy() + 1 - prior) / n0
-    ratio = np.log(p1 / p0)
-    error = np.sqrt(1 / (both * prior) + 1 / (both * (1 - prior)))
-    use = np.abs(ratio) > 2.5 * error
+    ratio = np.log((toxic + prior) / n1) - np.log((clean + 1 - prior) / n0)
+    error = np.sqrt(1 / ((clean + toxic + 1.0) * prior * (1 - prior)))
+    use = np.abs(ratio) > chance * error
     ratios = np.zeros(1 << BITS)
-    ratios[got.bucket.to_numpy()[use]] = ratio[use]
+    ratios[bucket[use]] = ratio[use]
     order = F.xxhash64("doc_id", F.lit(17))
     sample = train.withColumn("o", order)
     if n0 + n1 > rows:
         cut = rows / (n0 + n1)
         sample = sample.where(F.col("o") < F.lit(int(-(2**63) + cut * 2**64)))
-    data = sample.select("text", "label").mapInArrow(_features(ratios != 0), "label long, ids array<int>").toPandas()
-    y = data.label.to_numpy().astype(float)
+    data = sample.select("text", "label").mapInArrow(_features(ratios != 0), "label long, ids array<int>").toArrow().combine_chunks()
+    y = data.column("label").to_numpy().astype(float)
     if not len(y):
         return Model(weights, float(np.log(prior / (1 - prior))))
-    sizes = data.ids.map(len).to_numpy()
-    ids = np.concatenate([*data.ids, np.zeros(0, np.int32)]).astype(np.int64)
-    names, col = np.unique(ids, return_inverse=True)
+    lists = data.column("ids").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    names, col = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     row = np.repeat(np.arange(len(y)), sizes)
     x = ratios[names]
     w, bias = _logistic(row, col, x[col], y, len(names), strength, steps)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import SERIES, ProfileRule
+from .stats import SERIES, ProfileRule, worst_per_time
 
 CHANGE_COLUMNS = ["level", "id", "key", "timeissued", "kind", "severity", "range", "val"]
 CHANGES = "level string, id string, key string, timeissued bigint, kind string, severity int, range int, val double"
@@ -114,11 +114,7 @@ def alarm_state_changes(matched: DataFrame, rule: ProfileRule, now: int | None =
     (series, frame start). Equal times are merged before the shuffle, worst
     severity first, so the rows of a series are bounded by the horizon read.
     """
-    worst = F.struct(F.when(F.col("sev") == -1, F.lit(99)).otherwise(F.col("sev")), -F.col("score"))
-    one = matched.groupBy(*SERIES, "timeissued").agg(
-        F.min_by(F.struct(F.col("sev").alias("sev"), F.col("score").alias("score")), worst).alias("s")
-    )
-    src = one.select(*SERIES, "timeissued", F.col("s.sev").alias("sev"), F.col("s.score").alias("score"))
+    src = worst_per_time(matched.select(*SERIES, "timeissued", "sev", "score"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur, state, last = None, SeriesState(), 0

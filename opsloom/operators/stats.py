@@ -478,13 +478,21 @@ def range_rule_match(scored: DataFrame, rule: ProfileRule) -> DataFrame:
     return out.withColumns({c: F.col(f"__h.{c}") for c in ("sev", "range", "score")}).drop("__h")
 
 
+def worst_per_time(matched: DataFrame) -> DataFrame:
+    """One sample per series and time: the worst severity, then the largest score. Merged before the shuffle."""
+    rest = [c for c in matched.columns if c not in (*SERIES, "timeissued")]
+    rank = F.struct(F.when(F.col("sev") == -1, F.lit(99)).otherwise(F.col("sev")), -F.col("score"))
+    one = matched.groupBy(*SERIES, "timeissued").agg(F.min_by(F.struct(*rest), rank).alias("__s"))
+    return one.select(*[c if c not in rest else F.col(f"__s.`{c}`").alias(c) for c in matched.columns])
+
+
 def m_of_n_alarm(matched: DataFrame, rule: ProfileRule) -> DataFrame:
     """Per sample and range: do at least m of the last n samples qualify?
 
     A sample qualifies for an alarm range if its severity is at most the range's
     number, for the clear range if it matched nothing. Output: one boolean ``r<i>``
-    per range. Samples are one per (series, frame start), so a window holds at
-    most the frames of the horizon read.
+    per range. Samples of one time are merged first, so a window holds at
+    most the frames of the horizon read, however many points there are.
     """
     w = Window.partitionBy(*SERIES).orderBy("timeissued")
     cols = {}
@@ -492,7 +500,7 @@ def m_of_n_alarm(matched: DataFrame, rule: ProfileRule) -> DataFrame:
         good = F.col("sev") == -1 if r.kind == "CLEAR" else (F.col("sev") != -1) & (F.col("sev") <= r.sev)
         cnt = F.sum(good.cast("int")).over(w.rowsBetween(-(r.n - 1), 0))
         cols[f"r{i}"] = cnt >= r.m
-    return matched.withColumns(cols)
+    return worst_per_time(matched).withColumns(cols)
 
 
 def state_prune(matched: DataFrame, rule: ProfileRule) -> DataFrame:

@@ -187,15 +187,15 @@ def combine_seconds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def correlate(
-    alarms: DataFrame, rules: Sequence[CorrelationRule], delay: str = "0 seconds", heartbeat: str | None = None
+    alarms: DataFrame, rules: Sequence[CorrelationRule], delay: str = "0 seconds", heartbeat: int | None = None
 ) -> DataFrame:
     """Rule-driven correlation: one group of alarms per (rule, key).
 
     An alarm joins every rule whose predicate it meets. A group looks at a second when the
     event time, less ``delay``, has reached it, so alarms that arrive in any order within
     ``delay`` give the same tickets; later ones join late. Groups time out as the event time
-    moves on. With ``heartbeat`` (a duration) alarms are looked at as they come, and
-    groups time out on processing time, also when no data arrives.
+    moves on. With ``heartbeat`` (seconds) alarms are looked at as they come, and
+    groups time out on processing time, that often, also when no data arrives.
     """
     hits = [
         F.when(
@@ -237,7 +237,7 @@ def correlate(
         if memory.open or memory.pending:
             state.update((json.dumps(memory.to_dict()),))
             if heartbeat:
-                state.setTimeoutDuration(heartbeat)
+                state.setTimeoutDuration(heartbeat * 1000)
             else:
                 due = [r[0] for r in memory.pending[:1]] + ([memory.next_due(rule)] if memory.open else [])
                 # a timer fires once the watermark is past it

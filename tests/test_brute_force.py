@@ -810,3 +810,33 @@ def test_breaches_at_one_time_count_once_in_stream_and_batch(spark, tmp_path):
     key = lambda df: sorted((r.id, r.timeissued, r.kind, r.severity) for r in df.where("id <> 'clock'").collect())
     assert key(spark.read.parquet(out).where("kind <> 'repeat'")) == key(batch)
     assert "two" not in {r.id for r in batch.where("kind = 'alarm'").collect()}
+
+
+def test_heartbeat_moves_groups_without_data(spark, tmp_path):
+    """Processing time alone brings the delayed ticket."""
+    import time
+
+    from opsloom.streaming import jobs
+
+    rule = CorrelationRule("hb", "true", ("id1",), window=60, first_delay=2)
+    path, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    now = int(time.time())
+    spark.createDataFrame([(1, "a", now, 3, 2)], "seq long, id1 string, timeissued long, state int, severity int").coalesce(1).write.parquet(path)
+    live = jobs.stream_tail(spark, path, spark.read.parquet(path).schema)
+    events = jobs.correlate(live, [rule], heartbeat=1)
+    run = events.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(processingTime="1 second").start()
+    try:
+        until, got = time.time() + 60, []
+        while not got and time.time() < until:
+            time.sleep(1)
+            got = spark.read.schema(events.schema).parquet(out).collect() if (tmp_path / "out" / "_spark_metadata").exists() else []
+    finally:
+        run.stop()
+    assert [(r.event, r["at"], r.seq) for r in got] == [("first", now + 2, 1)]
+
+
+def test_equal_times_are_one_sample(spark):
+    rule = stats.parse_rule("SIGMA:i:1:n::1:2:3:1:0;CLEAR:5:2:2")
+    rows_ = [("o", "x", "m", t, sev, 1.0) for t, sev in ((5, 1), (5, 1), (5, -1), (9, -1), (9, 1))]
+    got = stats.m_of_n_alarm(spark.createDataFrame(rows_, "level string, id string, key string, timeissued long, sev int, score double"), rule)
+    assert sorted((r.timeissued, r.sev, r.r0) for r in got.collect()) == [(5, 1, False), (9, 1, True)]

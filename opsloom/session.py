@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,14 +69,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/opsloom/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str = "table") -> DataFrame:
+#: Paths of tables that go when the innermost ``scratch`` block ends.
+_open: ContextVar[list[str] | None] = ContextVar("_open", default=None)
+
+
+def stored(df: DataFrame, label: str = "table", keep: bool = False) -> DataFrame:
     """Write a result that several steps read, and read it back.
 
     A Parquet table in the shared folder cuts the lineage: it is computed once,
     read by column, has a known size for join planning, and survives the loss of
-    any executor.
+    any executor. Inside a ``scratch`` block the table goes with the block, unless
+    ``keep`` says that the result of the block reads it.
     """
     path = scratch_path(df.sparkSession, label)
+    paths = _open.get()
+    if paths is not None and not keep:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -87,22 +96,18 @@ def release(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
-    """``stored`` for the length of a block: its tables are removed at the end of it.
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block whose ``stored`` tables are removed at its end.
 
-    For steps whose result is written inside the block. Tables that a returned DataFrame reads
-    go with the application's folder, by ``release_all``.
+    What the block returns must not read them: write it inside the block, or store it with
+    ``keep``. Kept tables go by ``release_all``.
     """
     paths: list[str] = []
-
-    def keep(df: DataFrame, label: str = "table") -> DataFrame:
-        paths.append(scratch_path(spark, label))
-        df.write.parquet(paths[-1])
-        return spark.read.schema(df.schema).parquet(paths[-1])
-
+    token = _open.set(paths)
     try:
-        yield keep
+        yield
     finally:
+        _open.reset(token)
         for p in paths:
             release(spark, p)
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..operators.rows import Expr, as_col, conform
 from ..plans.dashboard import hide_attributes
-from ..session import scratch
+from ..session import scratch, stored
 
 
 def sink_split_by_key(df: DataFrame, path: str, keys: Sequence[str], mode: str = "append", fmt: str = "parquet") -> None:
@@ -38,8 +38,8 @@ def sink_tee(df: DataFrame, sinks: Sequence[Callable[[DataFrame], None]]) -> Non
 
     The rows are a table in the shared folder meanwhile, which goes when all sinks are done.
     """
-    with scratch(df.sparkSession) as keep:
-        kept = keep(df, "tee")
+    with scratch(df.sparkSession):
+        kept = stored(df, "tee")
         for s in sinks:
             s(kept)
 

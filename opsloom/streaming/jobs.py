@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.graph import impact_changes, service_impact
 from ..operators.profile_alarms import CHANGE_COLUMNS, CHANGES, SeriesState, prune, step_series, worse
 from ..operators.stats import SERIES, Catalogue, ProfileRule, mode_of
-from ..session import scratch
+from ..session import scratch, stored
 from .correlate import GROUP_EVENTS, CorrelationRule, GroupMemory, by_second, step_group
 
 BatchSink = Callable[[DataFrame, int], None]
@@ -54,8 +54,8 @@ def tee(df: DataFrame, sinks: Sequence[BatchSink], checkpoint: str) -> Streaming
     """Every micro-batch to several sinks, computed once."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        with scratch(batch.sparkSession) as keep:
-            kept = keep(batch, "tee")
+        with scratch(batch.sparkSession):
+            kept = stored(batch, "tee")
             for s in sinks:
                 s(kept, epoch)
 
@@ -274,15 +274,15 @@ def impact_batches(
 
     def run(batch: DataFrame, epoch: int) -> None:
         last = batch.groupBy("level", "id").agg(F.max_by("type", F.struct(F.col(order), -F.col("type"))).alias("type"))
-        with scratch(batch.sparkSession) as keep:
-            last = keep(last, "impact-last")
+        with scratch(batch.sparkSession):
+            last = stored(last, "impact-last")
             touched = home.join(last, ["level", "id"], "left_semi").select("cclevel", "ccid").distinct()
-            near = keep(home.join(touched, ["cclevel", "ccid"], "left_semi").select("level", "id"), "impact-near")
+            near = stored(home.join(touched, ["cclevel", "ccid"], "left_semi").select("level", "id"), "impact-near")
             local = edges.join(near.withColumnsRenamed({"level": "level1", "id": "id1"}), ["level1", "id1"], "left_semi")
             mine = roles.join(near, ["level", "id"], "left_semi")
             was_open = read_open(epoch).select("level", "id").distinct()
             now_open = was_open.join(last, ["level", "id"], "left_anti").unionByName(last.where("type = 1").select("level", "id"))
-            now_open = keep(now_open, "impact-open")
+            now_open = stored(now_open, "impact-open")
             old, new = (
                 service_impact(local, mine, e.join(near, ["level", "id"], "left_semi"), members=members) for e in (was_open, now_open)
             )

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import scratch, stored
 from .sizes import counted
 from .tokens import _ODD, PUNCT, U64, list_column, mix64, slices, words
 
@@ -163,10 +163,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> DataF
 
 def report(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> DataFrame:
     """Per document: doc_id, contaminated, n_items, items (ids, ascending), first_word, last_word (null if clean)."""
-    per = hits(docs, benchmark, seeds).groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("item_id")).alias("items"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word")
-    )
-    per = counted(stored(per.withColumnRenamed("doc_id", "__i"), "contaminated"), 200_000)
+    with scratch(docs.sparkSession):
+        per = hits(docs, benchmark, seeds).groupBy("doc_id").agg(
+            F.array_sort(F.collect_set("item_id")).alias("items"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word")
+        )
+        per = stored(per.withColumnRenamed("doc_id", "__i"), "contaminated", keep=True)
+    per = counted(per, weight=1 + F.size("items"))
     out = docs.select("doc_id").join(per, F.col("doc_id") == F.col("__i"), "left")
     return out.select(
         "doc_id",
@@ -180,5 +182,6 @@ def report(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> Dat
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> DataFrame:
     """The documents without an overlap with the benchmark, with their columns."""
-    bad = stored(hits(docs, benchmark, seeds).select(F.col("doc_id").alias("__i")).distinct(), "contaminated")
+    with scratch(docs.sparkSession):
+        bad = stored(hits(docs, benchmark, seeds).select(F.col("doc_id").alias("__i")).distinct(), "contaminated", keep=True)
     return docs.join(counted(bad), F.col("doc_id") == F.col("__i"), "left_anti")

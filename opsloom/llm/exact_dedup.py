@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import scratch, stored
+from .sizes import counted
 
 PREFIX = 256
 
@@ -37,6 +38,11 @@ def resolve(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     last), then any one of the repeated rows. Null counts as empty, and empty texts are
     equal. Extra columns are not read.
     """
+    with scratch(docs.sparkSession):
+        return _resolve(docs, digest_all)
+
+
+def _resolve(docs: DataFrame, digest_all: bool) -> DataFrame:
     rows = _rows(docs)
     sizes = stored(rows.groupBy("len", "pre").count(), "dedup-sizes")  # summed in the map tasks: no length is hot
     lengths = sizes.groupBy("len").agg(F.sum("count").alias("n")).where("n > 1").select("len")
@@ -44,7 +50,7 @@ def resolve(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     keys = stored(keys.select(F.col("len").alias("k_len"), F.col("pre").alias("k_pre")), "dedup-keys")
     shared = F.col("k_len").isNotNull()
     full = F.unhex(F.sha2("body", 256))
-    hashed = rows.join(keys, (F.col("len") == F.col("k_len")) & (F.col("pre") == F.col("k_pre")), "left")
+    hashed = rows.join(counted(keys), (F.col("len") == F.col("k_len")) & (F.col("pre") == F.col("k_pre")), "left")
     hashed = stored(
         hashed.select(
             "doc_id", "n", "h", "len", shared.alias("shared"), (full if digest_all else F.when(shared, full)).alias("digest")
@@ -64,7 +70,7 @@ def resolve(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     alone = hashed.where("not shared").select(
         "doc_id", "h", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
     )
-    return joined.select(*cols).unionByName(alone)
+    return stored(joined.select(*cols).unionByName(alone), "dedup-rows", keep=True)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -73,12 +79,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     Rows that go are taken out by (doc_id, raw text). Of repeated rows with the same
     doc_id and text one stays; they are looked at apart, only if there are any.
     """
-    rows = stored(resolve(docs).select("doc_id", "h", "kept"), "dedup-rows")
-    per = rows.groupBy("doc_id", "h").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
-    out = stored(per.where("not stays or n > 1").select(F.col("doc_id").alias("__i"), F.col("h").alias("__h"), "stays"), "dedup-out")
+    per = resolve(docs).groupBy("doc_id", "h").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    out = stored(per.where("not stays or n > 1").select(F.col("doc_id").alias("__i"), F.col("h").alias("__h"), "stays"), "dedup-out", keep=True)
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     same = F.col("doc_id").eqNullSafe(F.col("__i")) & (own == F.col("__h"))
-    left = docs.join(out, same, "left_anti")
+    left = docs.join(counted(out), same, "left_anti")
     again = out.where("stays")
     if again.isEmpty():
         return left

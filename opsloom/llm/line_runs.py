@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, stored
+from ..session import release, scratch, scratch_path, stored
 from .sizes import counted
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,11 +46,19 @@ class LineRuns:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.fanout = fanout
         self.levels: list[list[DataFrame]] = []
+        self.tables: list[tuple[str, str]] = []
+
+    def release(self) -> None:
+        """Remove the runs, those that were merged included."""
+        for name, path in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            release(self.spark, path)
 
     def _run(self, rows: DataFrame) -> DataFrame:
         """Write rows with unique keys as a sorted run."""
         name = f"line_run_{uuid.uuid4().hex}"
         path = scratch_path(self.spark, "line-run")
+        self.tables.append((name, path))
         # dealt by the bucket's own hash, so that every bucket is one sorted file
         dealt = rows.repartition(self.buckets, "key").sortWithinPartitions("key")
         dealt.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).format("parquet").saveAsTable(name)
@@ -130,9 +138,12 @@ def dedup_lines(
     for b in reversed(range(batches)):
         runs.add(table.where(F.col("batch") == b).select("key", "doc_id").distinct())
     frequent = LineRuns.merged(runs.runs()).where(F.col("n") >= min_docs)
-    frequent = stored(frequent.select(F.col("key").alias("k"), "holder"), "line-verdicts")
-    goes = table.join(frequent, F.col("key") == F.col("k")).where("doc_id <> holder")
-    per_doc = stored(goes.groupBy("doc_id").agg(F.collect_set("key").alias("__gone")), "line-gone")
+    with scratch(spark):
+        frequent = stored(frequent.select(F.col("key").alias("k"), "holder"), "line-verdicts")
+        goes = table.join(frequent, F.col("key") == F.col("k")).where("doc_id <> holder")
+        per_doc = stored(goes.groupBy("doc_id").agg(F.collect_set("key").alias("__gone")), "line-gone", keep=True)
+    runs.release()
+    release(spark, path)
     per_doc = counted(per_doc.withColumnRenamed("doc_id", "__i"), weight=1 + F.size("__gone"))
     base = docs.drop("n_lines", "n_dropped", "kept_text")
     out = base.join(per_doc, F.col("doc_id") == F.col("__i"), "left")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import stored
+from ..session import scratch, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 DIGITS = 3  # hex digits that one descent resolves: at most 4096 sums per source
@@ -81,9 +82,27 @@ def mix(
     down. An empty table gives an empty table. Columns of the input with the names
     of result columns are replaced.
     """
-    spark = docs.sparkSession
     names = ("size", "source_size", "target", "taken", "epochs")
     rows = docs.drop(*names).withColumn("size", word_count(F.col("text"))).withColumn("__key", _key(F.col("doc_id"), seed))
+    with scratch(docs.sparkSession):
+        plan = _plan(rows, weights, share, max_epochs)
+    out = rows.join(plan, rows["source"].cast("string").eqNullSafe(plan["__source"]), "left")
+    extra = (
+        F.when(F.col("__key") < F.col("end"), F.col("size"))
+        .when(F.col("__key") == F.col("end"), F.expr("size * part div of"))
+        .otherwise(0)
+    )
+    taken = (F.col("whole") * F.col("size") + extra).cast("long")
+    return (
+        out.withColumn("taken", taken)
+        .withColumn("epochs", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0))
+        .drop("__source", "__key", "whole", "end", "part", "of")
+        .to(_schema(docs, names))
+    )
+
+
+def _plan(rows: DataFrame, weights: DataFrame | tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
+    """Per source: size, target, whole repetitions, the hash at which the rest ends, and how much of it goes there."""
     base = stored(rows.select(F.col("source").cast("string").alias("source"), "size", "__key"), "mix")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     table = weights if isinstance(weights, DataFrame) else cycled_weights(sizes, weights)
@@ -108,20 +127,7 @@ def mix(
     sums = inside.groupBy("__s", "rest", F.col("__key").alias("bucket")).agg(F.sum("size").alias("n"))
     ends = _ending(sums, by_source).select("__s", F.col("bucket").alias("end"), F.col("rest").alias("part"), F.col("n").alias("of"))
     plan = state.join(ends, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s", "rest")
-    plan = stored(plan.withColumnRenamed("source", "__source"), "mix-plan")
-    out = rows.join(plan, rows["source"].cast("string").eqNullSafe(plan["__source"]), "left")
-    extra = (
-        F.when(F.col("__key") < F.col("end"), F.col("size"))
-        .when(F.col("__key") == F.col("end"), F.expr("size * part div of"))
-        .otherwise(0)
-    )
-    taken = (F.col("whole") * F.col("size") + extra).cast("long")
-    return (
-        out.withColumn("taken", taken)
-        .withColumn("epochs", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0))
-        .drop("__source", "__key", "whole", "end", "part", "of")
-        .to(_schema(spark, docs, names))
-    )
+    return stored(plan.withColumnRenamed("source", "__source"), "mix-plan", keep=True)
 
 
 def _ending(sums: DataFrame, by_source) -> DataFrame:
@@ -131,9 +137,7 @@ def _ending(sums: DataFrame, by_source) -> DataFrame:
     return cut.withColumn("rest", F.col("rest") - F.col("before"))
 
 
-def _schema(spark, docs: DataFrame, names: tuple[str, ...]):
-    from pyspark.sql import types as T
-
+def _schema(docs: DataFrame, names: tuple[str, ...]):
     kinds = dict(zip(names, (T.LongType(), T.LongType(), T.DoubleType(), T.LongType(), T.DoubleType()), strict=True))
     return T.StructType([*docs.drop(*names).schema.fields, *[T.StructField(n, k) for n, k in kinds.items()]])
 

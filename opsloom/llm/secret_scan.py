@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import scratch, stored
 from .sizes import counted
 
 LIMIT = 64  # spellings kept apart while a query is derived; beyond, a part is a gap
@@ -129,8 +129,12 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     if not queries:
         return None
     index = stored(postings(docs, sorted({g for _, _, q in queries for g in q})), "trigram-index")
-    terms = [(kind, i, g, len(q)) for kind, i, q in queries for g in q]
-    wanted = spark.createDataFrame(terms, "kind string, term int, gram string, needs int")
+    terms = [
+        F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("term"), F.lit(g).alias("gram"), F.lit(len(q)).alias("needs"))
+        for kind, i, q in queries
+        for g in q
+    ]
+    wanted = spark.range(1).select(F.inline(F.array(*terms)))
     # a table of the rules' trigrams, a few dozen rows whatever the documents hold
     met = index.join(F.broadcast(wanted), "gram").groupBy("doc_id", "kind", "term", "needs")
     # repeated rows post a trigram again: distinct ones count
@@ -174,12 +178,14 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     ``secrets`` is replaced. An empty table gives an empty table.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    known = candidates(docs.where("doc_id is not null"), rules)
+    with scratch(docs.sparkSession):
+        known = candidates(docs.where("doc_id is not null"), rules)
+        if known is not None:
+            known = stored(known.withColumnRenamed("doc_id", "__i").withColumnRenamed("kinds", "__kinds"), "secret-candidates", keep=True)
     base = docs.drop("secrets")
     if known is None:
         base = base.withColumn("__kinds", F.lit(None).cast("array<string>")).withColumn("__i", F.lit(None))
     else:
-        known = stored(known.withColumnRenamed("doc_id", "__i").withColumnRenamed("kinds", "__kinds"), "secret-candidates")
         base = base.join(counted(known), F.col("doc_id") == F.col("__i"), "left")
     nothing = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     all_spans = []

@@ -246,7 +246,7 @@ def _changes_sql() -> str:
 
 @query("st_service_impact", _changes_sql())
 def st_service_impact(spark, sf):
-    """Raises and clears in three deliveries; the last batch of each is run twice."""
+    """Raises and clears in three deliveries; the second batch is run twice."""
     o = table(spark, sf, "orders")
     edges = _order_edges(spark, sf)
     roles = G.service_roles(
@@ -270,7 +270,8 @@ def st_service_impact(spark, sf):
 
     def twice(batch, epoch):
         step(batch, epoch)
-        step(batch, epoch)
+        if epoch == 1:
+            step(batch, epoch)
 
     done = 0
     for cut in _CUTS:

@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import number_components
-from ..session import stored
+from ..session import scratch, stored
 from .sizes import counted
 from .tokens import bounds, gram_sets, list_column, mix64, shingles, slices, words
 
 #: Sets and shingles of a group that one task joins at a time.
 CHUNK_SETS, CHUNK_GRAMS = 4096, 2_000_000
+#: Sets of a subtree that are compared side by side.
+BUCKET = 64
 
 
 @dataclass(frozen=True)
@@ -50,7 +52,7 @@ class Measure:
 class PrefixTree:
     """A compressed trie over ascending arrays: a node is a run of the sorted sets.
 
-    ``sizes`` are the sizes of the sets of which the arrays are the smallest elements;
+    Below a node of at most ``BUCKET`` sets the sets lie side by side. ``sizes`` are the sizes of the sets of which the arrays are the smallest elements;
     without it the arrays are the sets.
     """
 
@@ -61,6 +63,7 @@ class PrefixTree:
         self.size = held if sizes is None else sizes[self.order]
         lcp = np.array([_common(a, b) for a, b in zip(self.sets[:-1], self.sets[1:], strict=True)], np.int64)
         self.lo, self.hi, self.begin, self.end, self.least, self.most, self.below = [], [], [], [], [], [], []
+        self.leaves: list[_Leaves | None] = []
         todo = [(0, len(sets), 0, -1)]
         while todo:
             lo, hi, depth, parent = todo.pop()
@@ -73,20 +76,21 @@ class PrefixTree:
                 (self.least, int(self.size[lo:hi].min())), (self.most, int(self.size[lo:hi].max())), (self.below, []),
             ):
                 column.append(value)
-            if hi - lo > 1:
+            if 1 < hi - lo <= BUCKET:
+                self.leaves.append(self._leaves(range(lo, hi), end))
+            elif hi - lo > 1:
                 cuts = [lo, *(lo + 1 + np.flatnonzero(lcp[lo : hi - 1] == end)).tolist(), hi]
-                todo += [(a, b, end, node) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-        self.leaves = [self._leaves(node) for node in range(len(self.lo))]
+                runs = list(zip(cuts[:-1], cuts[1:], strict=True))
+                self.leaves.append(self._leaves([a for a, b in runs if b - a == 1], end))
+                todo += [(a, b, end, node) for a, b in runs if b - a > 1]
+            else:
+                self.leaves.append(self._leaves([lo], end))
 
-    def _leaves(self, node: int) -> _Leaves | None:
-        """The sets that hang directly on a node, side by side; inner nodes stay in ``below``."""
-        single = [c for c in self.below[node] if self.hi[c] - self.lo[c] == 1]
-        if not single:
+    def _leaves(self, places, end: int) -> _Leaves | None:
+        """Sets that hang directly on a node, side by side."""
+        at = np.array(places, np.int64)
+        if not len(at):
             return None
-        self.below[node] = [c for c in self.below[node] if self.hi[c] - self.lo[c] > 1]
-        at = np.array(sorted(self.lo[c] for c in single), np.int64)
-        end = self.end[node]
         tails = [self.sets[i][end:] for i in at]
         return _Leaves(
             at, np.concatenate(tails), np.concatenate(([0], np.cumsum([len(t) for t in tails]))).astype(np.int64),
@@ -100,46 +104,58 @@ class PrefixTree:
         last element known of either can be shared.
         """
         lab = labels[self.order]
-        num, den = measure.num, measure.den
-        if len(self.sets) < 2:
+        n = len(lab)
+        if n < 2:
             return labels
-        for x, own in enumerate(self.sets):
-            nx, last = int(self.size[x]), own[-1]
-            todo = [(0, 0, 0, 0)]
-            while todo:
-                # of x and of the sets below: elements that are the same, and elements passed
-                node, same, mine, theirs = todo.pop()
-                lo, hi, begin, end = self.lo[node], self.hi[node], self.begin[node], self.end[node]
-                if hi <= x + 1 or (lab[max(lo, x + 1) : hi] == lab[x]).all():
-                    continue
-                least, most = self.least[node], self.most[node]
-                if most * den < num * nx or least * num > den * nx:
-                    continue
-                best = same + min(nx - mine, most - theirs)
-                if den * best < num * (nx + least - best):
-                    continue
-                part = self.sets[lo][begin:end]
-                if len(part) and theirs == begin:
-                    at = np.searchsorted(own, part)
-                    equal = own[np.minimum(at, len(own) - 1)] == part
-                    same += int(np.count_nonzero(equal))
-                    if part[-1] <= last:
-                        mine, theirs = int(at[-1]) + bool(equal[-1]), end
-                    else:
-                        mine, theirs = len(own), begin + int(np.searchsorted(part, last, "right"))
-                best = same + min(nx - mine, most - theirs)
-                if den * best < num * (nx + least - best):
-                    continue
-                if self.leaves[node] is not None:
-                    for y in self.leaves[node].near(x, own, nx, lab, same, mine, theirs, theirs == end, measure):
-                        a, b = sorted((lab[x], lab[y]))
-                        if a != b:
-                            lab[lab == b] = a
-                todo += [(child, same, mine, theirs) for child in self.below[node]]
+        # some sets look for all others; in a family of near copies most are linked after that
+        for x in sorted({0, n // 2, n - 1}):
+            self._probe(x, lab, np.arange(n) == x, measure)
+        # sets of the most frequent label do not look for others: the others look for them
+        _, of, counts = np.unique(lab, return_inverse=True, return_counts=True)
+        probes = (of != counts.argmax()) if counts.max() > 1 else np.ones(n, bool)
+        for x in np.flatnonzero(probes):
+            self._probe(int(x), lab, probes, measure)
         out = np.empty_like(lab)
         out[self.order] = lab
         return out
 
+    def _probe(self, x: int, lab: np.ndarray, probes: np.ndarray, measure: Measure) -> None:
+        """Link a set with those that do not look for it themselves."""
+        num, den = measure.num, measure.den
+        own = self.sets[x]
+        nx, last = int(self.size[x]), own[-1]
+        todo = [(0, 0, 0, 0)]
+        while todo:
+            # of x and of the sets below: elements that are the same, and elements passed
+            node, same, mine, theirs = todo.pop()
+            lo, hi, begin, end = self.lo[node], self.hi[node], self.begin[node], self.end[node]
+            if (lab[lo:hi] == lab[x]).all():
+                continue
+            least, most = self.least[node], self.most[node]
+            if most * den < num * nx or least * num > den * nx:
+                continue
+            best = same + min(nx - mine, most - theirs)
+            if den * best < num * (nx + least - best):
+                continue
+            part = self.sets[lo][begin:end]
+            if len(part) and theirs == begin:
+                at = np.searchsorted(own, part)
+                equal = own[np.minimum(at, len(own) - 1)] == part
+                same += int(np.count_nonzero(equal))
+                if part[-1] <= last:
+                    mine, theirs = int(at[-1]) + bool(equal[-1]), end
+                else:
+                    mine, theirs = len(own), begin + int(np.searchsorted(part, last, "right"))
+            best = same + min(nx - mine, most - theirs)
+            if den * best < num * (nx + least - best):
+                continue
+            if self.leaves[node] is not None:
+                for y in self.leaves[node].near(x, own, nx, lab, probes, same, mine, theirs, theirs == end, measure):
+                    a, b = sorted((lab[x], lab[y]))
+                    if a != b:
+                        lab[lab == b] = a
+            todo += [(child, same, mine, theirs) for child in self.below[node]]
+
 
 @dataclass(frozen=True)
 class _Leaves:
@@ -152,11 +168,11 @@ class _Leaves:
     held: np.ndarray
     size: np.ndarray
 
-    def near(self, x: int, own, nx: int, lab, same: int, mine: int, theirs: int, on: bool, measure: Measure) -> np.ndarray:
-        """Places of those behind x that link with it and have another label."""
+    def near(self, x: int, own, nx: int, lab, probes, same: int, mine: int, theirs: int, on: bool, measure: Measure) -> np.ndarray:
+        """Places of those that link with x, have another label, and do not look for x themselves."""
         num, den = measure.num, measure.den
         best = same + np.minimum(nx - mine, self.size - theirs)
-        use = (self.at > x) & (lab[self.at] != lab[x]) & (den * best >= num * (nx + self.size - best))
+        use = ((self.at > x) | ~probes[self.at]) & (lab[self.at] != lab[x]) & (den * best >= num * (nx + self.size - best))
         use &= (self.size * den >= num * nx) & (self.size * num <= den * nx)
         pick = np.flatnonzero(use)
         if not len(pick):
@@ -282,6 +298,39 @@ def _join_signatures(measure: Measure):
     return join
 
 
+#: Links that one task may join up; more of them take distributed rounds.
+LOCAL_LINKS = 500_000
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """(node, root) of (u, v) links: the smallest number that is connected.
+
+    Links are counted first: up to ``LOCAL_LINKS`` (16 bytes each) are joined up by one task,
+    which saves the rounds of shuffles; the result is the same.
+    """
+    links = stored(links, "jaccard-links")
+    if links.count() > LOCAL_LINKS:
+        return number_components(links)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        ends = np.concatenate([np.zeros((0, 2), np.int64), *[np.stack([b.column(c).to_numpy() for c in ("u", "v")], axis=1) for b in got]])
+        nodes, at = np.unique(ends, return_inverse=True)
+        u, v = at.reshape(-1, 2).T
+        root = np.arange(len(nodes))
+        while True:
+            low = np.minimum(root[u], root[v])
+            if (low == root[u]).all() and (low == root[v]).all():
+                break
+            for end in (u, v):
+                np.minimum.at(root, root[end], low)
+            while (root[root] != root).any():
+                root = root[root]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
+    return stored(links.coalesce(1).mapInArrow(run, "node long, root long"), "jaccard-roots")
+
+
 # --- the join -----------------------------------------------------------------------
 
 
@@ -297,11 +346,12 @@ def _by_text(docs: DataFrame, members: DataFrame, keys: tuple[str, ...], measure
 
 
 def _pairs_of_chunks(at: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(gram, a, b, set_id, label, n): the sets of each shingle in ``sizes`` (gram, c, g), as pairs of chunks if they are many."""
+    """(a, b, ..): the rows of each shingle in ``sizes`` (gram, c, g), as pairs of chunks if they are many."""
+    kept = at.columns
     at = at.join(sizes.select("gram", _parts("c", "g").alias("parts")), "gram")
     at = at.withColumn("x", F.pmod(F.xxhash64("set_id"), F.col("parts")))
     at = at.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    return at.select("gram", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "set_id", "label", "n")
+    return at.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *kept)
 
 
 def _parts(n: str, grams: str) -> F.Column:
@@ -347,6 +397,11 @@ def components(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     shingle. Every group that a task holds is bounded; larger ones go as
     pairs of chunks. Shingles are 64-bit hashes.
     """
+    with scratch(docs.sparkSession):
+        return _components(docs, measure)
+
+
+def _components(docs: DataFrame, measure: Measure) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sig = text.mapInArrow(_signatures(measure), "doc_id long, n long, keep long, f1 long, f2 long, low array<long>")
     sig = stored(sig.withColumn("rid", F.monotonically_increasing_id()), "jaccard-signatures")
@@ -356,9 +411,9 @@ def components(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     keys = stored(_prefix_keys(sig, sets), "jaccard-keys")
     hubs = keys.groupBy("gram").agg(F.min("set_id").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1").select("gram", "v")
     star = keys.join(hubs, "gram").where("set_id <> v").select(F.col("set_id").alias("u"), "v").distinct()
-    blocks = stored(number_components(star).select(F.col("node").alias("set_id"), F.col("root").alias("block")), "jaccard-blocks")
+    blocks = stored(_roots(star).select(F.col("node").alias("set_id"), F.col("root").alias("block")), "jaccard-blocks")
     links = _block_links(text, sets, keys, _split(sig, sets, keys, blocks, measure), measure)
-    roots = number_components(links).select(F.col("node").alias("set_id"), "root")
+    roots = _roots(links).select(F.col("node").alias("set_id"), "root")
     owner = sets.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     owner = stored(owner.select("f1", "f2", "n", "root", "first_doc"), "jaccard-owners")
     least = owner.groupBy("root").agg(F.min("first_doc").alias("component"))
@@ -369,7 +424,8 @@ def components(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     )
     rows = _same_ids(stored(rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "jaccard-rows"))
     none = sig.where("n = 0 or doc_id is null")
-    return rows.unionByName(none.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id")))
+    none = none.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id"))
+    return stored(rows.unionByName(none), "jaccard-components", keep=True)
 
 
 def _same_ids(rows: DataFrame) -> DataFrame:
@@ -378,7 +434,7 @@ def _same_ids(rows: DataFrame) -> DataFrame:
     pairs = stored(rows.join(twice, "doc_id").select(F.col("component_id").alias("u"), F.col("a").alias("v")).where("u <> v").distinct(), "jaccard-twice")
     if pairs.isEmpty():
         return rows
-    merged = number_components(pairs).select(F.col("node").alias("component_id"), "root")
+    merged = _roots(pairs).select(F.col("node").alias("component_id"), "root")
     return rows.join(merged, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "component_id").alias("component_id"))
 
 
@@ -389,16 +445,16 @@ def _ranked(keys: DataFrame, sets: DataFrame) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("set_id").orderBy("gram")))
 
 
-def _apart(keys: DataFrame, labels: DataFrame, take: int | None) -> tuple[DataFrame, DataFrame]:
-    """The first ``take`` keys per set (all) with labels, and the size of each shingle whose sets have several."""
-    at = (keys if take is None else keys.where(F.col("rank") <= take)).join(labels, "set_id")
+def _apart(keys: DataFrame, state: DataFrame, take: int | None) -> tuple[DataFrame, DataFrame]:
+    """The first ``take`` keys per set (all) with what ``state`` knows of it, and the size of each shingle whose sets have several labels."""
+    at = stored((keys if take is None else keys.where(F.col("rank") <= take)).join(state, "set_id"), "jaccard-at")
     sizes = at.groupBy("gram").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("g"))
     return at, stored(sizes.where("p <> q").select("gram", "c", "g"), "jaccard-apart")
 
 
 def _relabelled(sets: DataFrame, links: DataFrame) -> DataFrame:
     """(set_id, label): the smallest set that links lead to."""
-    roots = number_components(links).select(F.col("node").alias("set_id"), F.col("root").alias("label"))
+    roots = _roots(links).select(F.col("node").alias("set_id"), F.col("root").alias("label"))
     out = sets.select("set_id").join(roots, "set_id", "left").select("set_id", F.coalesce("label", "set_id").alias("label"))
     return stored(out, "jaccard-labels")
 
@@ -408,7 +464,7 @@ def _split(sig: DataFrame, sets: DataFrame, keys: DataFrame, blocks: DataFrame,
 
     Sets that share frequent passages hang together in large blocks. Per shingle their
     signatures are joined over a tree; few of them can reach the overlap. Two shingles per set
-    come first, then eight, then all: near copies find each other early, and shingles of which all
+    come first, then all: near copies find each other early, and shingles of which all
     sets are together are not looked at again.
     """
     size = blocks.join(sets.select("set_id", "n"), "set_id").groupBy("block").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("g"))
@@ -419,12 +475,11 @@ def _split(sig: DataFrame, sets: DataFrame, keys: DataFrame, blocks: DataFrame,
     low = sig.select(F.col("rid").alias("set_id"), "low").join(counted(inside.select("set_id")), "set_id", "left_semi")
     low, own = stored(low, "jaccard-low"), stored(_ranked(keys, inside), "jaccard-ranked")
     labels, links = inside.select("set_id", F.col("set_id").alias("label")), None
-    for take in (2, 8, None):
-        at, sizes = _apart(own, labels, take)
+    for take in (2, None):
+        at, sizes = _apart(own, labels.join(low, "set_id"), take)
         if sizes.isEmpty():
             continue
-        rows = _pairs_of_chunks(at, sizes).join(low, "set_id")
-        dealt = rows.repartition("gram", "a", "b").sortWithinPartitions("gram", "a", "b", "set_id")
+        dealt = _pairs_of_chunks(at, sizes).repartition("gram", "a", "b").sortWithinPartitions("gram", "a", "b", "set_id")
         may = dealt.mapInArrow(_by_group(("gram", "a", "b"), _join_signatures(measure)), _LINKED)
         may = stored(may.where("label <> linked").select(F.col("label").alias("u"), F.col("linked").alias("v")).distinct(), "jaccard-may")
         links = may if links is None else links.unionByName(may)
@@ -457,7 +512,7 @@ def _block_links(text: DataFrame, sets: DataFrame, keys: DataFrame, blocks: Data
         at, sizes = _apart(own, _relabelled(cut, links), take)
         if sizes.isEmpty():
             continue
-        again = stored(_pairs_of_chunks(at, sizes).drop("n").join(facts.drop("n"), "set_id"), "jaccard-again")
+        again = stored(_pairs_of_chunks(at, sizes).drop("n", "rank").join(facts.drop("n"), "set_id"), "jaccard-again")
         more = _by_text(text, again, ("gram", "a", "b"), measure).where("label <> linked")
         links = links.unionByName(stored(more.select(F.col("label").alias("u"), F.col("linked").alias("v")).distinct(), "jaccard-more"))
     return links

@@ -215,10 +215,12 @@ def random_sets(rng, n):
     return [np.array(sorted(s), np.uint64) for s in out]
 
 
+@pytest.mark.parametrize("bucket", [1, 8, 64])
 @pytest.mark.parametrize("measure", [jaccard.Measure(5, 80, 100), jaccard.Measure(4, 85, 100), jaccard.Measure(3, 50, 100)])
-def test_tree_links_equal_all_pairs(measure):
+def test_tree_links_equal_all_pairs(monkeypatch, measure, bucket):
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
     rng = random.Random(measure.num)
-    for n in (1, 2, 40, 120):
+    for n in (1, 2, 3, 40, 120, 200):
         sets = random_sets(rng, n)
         lab = np.arange(n)
         for i in range(n):
@@ -229,8 +231,10 @@ def test_tree_links_equal_all_pairs(measure):
         assert jaccard.PrefixTree(sets).link(np.arange(n), measure).tolist() == lab.tolist()
 
 
-def test_signature_links_hold_all_links():
+@pytest.mark.parametrize("bucket", [1, 64])
+def test_signature_links_hold_all_links(monkeypatch, bucket):
     """What is known in part is joined at least where the sets link, and not everywhere."""
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
     measure = jaccard.Measure(4, 85, 100)
     rng = random.Random(12)
     for _ in range(20):
@@ -266,9 +270,30 @@ def test_prefix_keys_meet():
             assert keys[0] & keys[1]
 
 
-@pytest.mark.parametrize("chunk", [1024, 3])
-def test_components_equal_all_pairs(spark, odd, odd_rows, monkeypatch, chunk):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_roots(spark, monkeypatch, local):
+    monkeypatch.setattr(jaccard, "LOCAL_LINKS", local)
+    rng = random.Random(local)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1050)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        p, q = sorted((root(a), root(b)))
+        up[q] = p
+    got = dict(rows_of(jaccard._roots(spark.createDataFrame(edges, "u long, v long")), "node", "root"))
+    assert {x: got.get(x, x) for x in up} == {x: root(x) for x in up}
+    assert jaccard._roots(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize(("chunk", "local"), [(4096, 500_000), (3, 500_000), (4096, 0)])
+def test_components_equal_all_pairs(spark, odd, odd_rows, monkeypatch, chunk, local):
     monkeypatch.setattr(jaccard, "CHUNK_SETS", chunk)
+    monkeypatch.setattr(jaccard, "LOCAL_LINKS", local)
     rng = random.Random(9)
     family = [rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(50)]
     more = []

@@ -74,12 +74,17 @@ def _features(chosen: np.ndarray):
     return run
 
 
-def fit(train: DataFrame, rows: int = 10_000, least: int = 4, chance: float = 4.0, strength: float = 3.0, steps: int = 200) -> Model:
+def fit(
+    train: DataFrame, rows: int = 10_000, least: int = 4, chance: float = 4.0, effect: float = 1.0, features: int = 4096,
+    strength: float = 3.0, steps: int = 200,
+) -> Model:
     """A model from (doc_id, text, label 0/1).
 
     The log-count ratios come from all rows: log of the share of texts with the n-gram in
     one class over that in the other, smoothed by the share in both. n-grams in fewer than
-    ``least`` texts, or with a ratio within ``chance`` standard errors of none, are left out.
+    ``least`` texts, or with a ratio below ``effect`` or within ``chance`` standard errors of none, are
+    left out; of the others the ``features`` farthest from chance are used, so the model and the
+    time per text do not grow with the labels.
     The coefficients are fitted by logistic regression with an L2 penalty on at most
     ``rows`` texts, those with the smallest hash of doc_id; that is the only sample. What
     reaches the driver is bounded: one row per bucket, and ``rows`` rows of chosen buckets.
@@ -100,7 +105,8 @@ def fit(train: DataFrame, rows: int = 10_000, least: int = 4, chance: float = 4.
     prior = n1 / (n0 + n1)
     ratio = np.log((toxic + prior) / n1) - np.log((clean + 1 - prior) / n0)
     error = np.sqrt(1 / ((clean + toxic + 1.0) * prior * (1 - prior)))
-    use = np.abs(ratio) > chance * error
+    use = (np.abs(ratio) > chance * error) & (np.abs(ratio) >= effect)
+    use[use] = np.argsort(np.argsort(-np.abs(ratio / error)[use], kind="stable")) < features
     ratios = np.zeros(1 << BITS)
     ratios[bucket[use]] = ratio[use]
     order = F.xxhash64("doc_id", F.lit(17))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import text_batches
+
 Message = tuple[str, str]
 Template = Callable[[Sequence[Message]], str]
 
@@ -125,6 +127,7 @@ def format_conversations(rows: DataFrame, template: Template = chatml, learn: Se
     conversation. Extra columns are not read. A conversation is rendered in one task, one
     at a time.
     """
+    text_batches(rows.sparkSession)
     learn = frozenset(learn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

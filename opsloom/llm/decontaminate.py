@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch, stored
-from .sizes import counted
+from .sizes import counted, text_batches
 from .tokens import _ODD, PUNCT, U64, list_column, mix64, slices, words
 
 BITS = 26  # of the fixed-size bitmap of test hashes: 8 MB
@@ -136,6 +136,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> DataF
     as one document. Extra columns are not read. Empty tables give an empty table.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     tests = stored(test_hashes(benchmark, seeds), "test-hashes")
     bits = _bitmap(spark, tests)
     train = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import number_components
 from ..session import scratch, stored
-from .sizes import counted
+from .sizes import counted, text_batches
 from .tokens import bounds, gram_sets, list_column, mix64, shingles, slices, words
 
 #: Sets and shingles of a group that one task joins at a time.
@@ -397,6 +397,7 @@ def components(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     shingle. Every group that a task holds is bounded; larger ones go as
     pairs of chunks. Shingles are 64-bit hashes.
     """
+    text_batches(docs.sparkSession)
     with scratch(docs.sparkSession):
         return _components(docs, measure)
 

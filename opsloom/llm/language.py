@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stored
+from .sizes import text_batches
 from .tokens import byte_ngrams, list_column, slices
 
 BITS = 15
@@ -63,6 +64,7 @@ def fit(
     the least score to accept (99 % of what is accepted is right).
     Without any labelled text there is no model.
     """
+    text_batches(train.sparkSession)
     train = train.where("lang is not null and length(text) > 0").select("doc_id", "text", "lang")
     sizes = stored(train.groupBy("lang").count(), "lang-counts")
     shares = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("count"))
@@ -128,6 +130,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     bound are marked ``rejected``; the best language is given all the same. Without
     a model every text is ``und``. Columns with these names are replaced.
     """
+    text_batches(docs.sparkSession)
     names = ("lang_pred", "score", "rejected")
     base = docs.drop(*names)
     if model is None:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .sizes import counted
+from .sizes import counted, text_batches
 from .tokens import byte_ngrams, list_column, slices
 
 BITS = 18
@@ -92,6 +92,7 @@ def fit(
     Without rows of both classes the model scores every text with the share of label 1
     (smoothed; a third without any rows, so that nothing is rejected).
     """
+    text_batches(train.sparkSession)
     train = train.where("label in (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long"))
     per_task = train.select("text", "label").mapInArrow(_count, "bucket long, clean long, toxic long")
     table = per_task.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
@@ -150,6 +151,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null or empty texts score the intercept. Columns with these names are replaced.
     """
+    text_batches(docs.sparkSession)
     weights, bias = model.weights.astype(np.float32), model.bias
     base = docs.drop("score", "predicted")
     schema = [*base.schema.fields]

@@ -469,8 +469,9 @@ def _split(sig: DataFrame, sets: DataFrame, keys: DataFrame, blocks: DataFrame,
     sets are together are not looked at again.
     """
     size = blocks.join(sets.select("set_id", "n"), "set_id").groupBy("block").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("g"))
-    large = size.where(_parts("c", "g") > 1).select("block")
-    inside = stored(blocks.join(large, "block", "left_semi"), "jaccard-large")
+    # blocks by size, not sets by block: a block may hold a third of the sets
+    large = stored(size.where(_parts("c", "g") > 1).select("block"), "jaccard-large-blocks")
+    inside = stored(blocks.join(counted(large), "block", "left_semi"), "jaccard-large")
     if inside.isEmpty():
         return blocks
     low = sig.select(F.col("rid").alias("set_id"), "low").join(counted(inside.select("set_id")), "set_id", "left_semi")
@@ -495,7 +496,8 @@ def _block_links(text: DataFrame, sets: DataFrame, keys: DataFrame, blocks: Data
     facts = sets.select("set_id", "n", "first_doc", "f1", "f2")
     size = blocks.join(sets.select("set_id", "n"), "set_id").groupBy("block")
     size = size.agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("g"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi"))
-    members = blocks.join(size.withColumn("parts", _parts("c", "g")).drop("c", "g"), "block")
+    size = stored(size.withColumn("parts", _parts("c", "g")).drop("c", "g"), "jaccard-block-sizes")
+    members = blocks.join(counted(size), "block")
     own = F.array(F.pmod(F.xxhash64("set_id"), F.col("parts")))
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     hub = F.col("set_id").isin(F.col("lo"), F.col("hi"))

@@ -56,35 +56,49 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _features(chosen: np.ndarray):
-    """A function from batches of (text, label) to (label, buckets): those among ``chosen``."""
+def _buckets(texts: pa.Array, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, how many per text): the distinct places of each text's buckets, text after text; buckets at a place below 0 are passed over."""
+    n, found = len(texts), []
+    for order in ORDERS:
+        for ids, rows in byte_ngrams(texts, order, BITS):
+            at = place[ids]
+            use = at >= 0
+            found.append((at[use], np.searchsorted(rows[use], np.arange(n + 1))))
+    last = np.zeros(max(0, int(place.max())) + 1, np.int32)
+    out, sizes = [np.zeros(0, np.int32)], np.zeros(n, np.int64)
+    for i in range(n):
+        own = np.concatenate([at[c[i] : c[i + 1]] for at, c in found]) if found else out[0]
+        k = np.arange(len(own), dtype=np.int32)
+        last[own] = k
+        own = own[last[own] == k]
+        sizes[i] = len(own)
+        out.append(own)
+    return np.concatenate(out), sizes
+
+
+def _places(chosen: np.ndarray) -> np.ndarray:
+    """For every bucket its number among ``chosen``, -1 for the others."""
+    return np.where(chosen, np.cumsum(chosen) - 1, -1).astype(np.int32)
+
+
+def _features(place: np.ndarray):
+    """A function from batches of (text, label) to (label, places of buckets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            pairs = [np.zeros(0, np.int64)]
-            for order in ORDERS:
-                for ids, rows in byte_ngrams(part.column("text"), order, BITS):
-                    use = chosen[ids]
-                    pairs.append((rows[use] << BITS) | ids[use])
-            pair = np.unique(np.concatenate(pairs))
-            sizes = np.bincount(pair >> BITS, minlength=part.num_rows)
-            ids = (pair & ((1 << BITS) - 1)).astype(np.int32)
+        for part in slices(batches, "text", 1 << 20):
+            ids, sizes = _buckets(part.column("text"), place)
             yield pa.RecordBatch.from_arrays([part.column("label"), list_column(ids, sizes, pa.int32())], ["label", "ids"])
 
     return run
 
 
-def fit(
-    train: DataFrame, rows: int = 10_000, least: int = 4, chance: float = 4.0, effect: float = 1.0, features: int = 4096,
-    strength: float = 3.0, steps: int = 200,
-) -> Model:
+def fit(train: DataFrame, rows: int = 10_000, least: int = 4, chance: float = 4.0, strength: float = 3.0, steps: int = 200) -> Model:
     """A model from (doc_id, text, label 0/1).
 
     The log-count ratios come from all rows: log of the share of texts with the n-gram in
     one class over that in the other, smoothed by the share in both. n-grams in fewer than
-    ``least`` texts, or with a ratio below ``effect`` or within ``chance`` standard errors of none, are
-    left out; of the others the ``features`` farthest from chance are used, so the model and the
-    time per text do not grow with the labels.
+    ``least`` texts, or with a ratio within ``chance`` standard errors of none, are left out; all
+    others are used, 2^18 buckets at most.
     The coefficients are fitted by logistic regression with an L2 penalty on at most
     ``rows`` texts, those with the smallest hash of doc_id; that is the only sample. What
     reaches the driver is bounded: one row per bucket, and ``rows`` rows of chosen buckets.
@@ -106,8 +120,7 @@ def fit(
     prior = n1 / (n0 + n1)
     ratio = np.log((toxic + prior) / n1) - np.log((clean + 1 - prior) / n0)
     error = np.sqrt(1 / ((clean + toxic + 1.0) * prior * (1 - prior)))
-    use = (np.abs(ratio) > chance * error) & (np.abs(ratio) >= effect)
-    use[use] = np.argsort(np.argsort(-np.abs(ratio / error)[use], kind="stable")) < features
+    use = np.abs(ratio) > chance * error
     ratios = np.zeros(1 << BITS)
     ratios[bucket[use]] = ratio[use]
     order = F.xxhash64("doc_id", F.lit(17))
@@ -115,30 +128,41 @@ def fit(
     if n0 + n1 > rows:
         cut = rows / (n0 + n1)
         sample = sample.where(F.col("o") < F.lit(int(-(2**63) + cut * 2**64)))
-    data = sample.select("text", "label").mapInArrow(_features(ratios != 0), "label long, ids array<int>").toArrow().combine_chunks()
+    data = sample.select("text", "label").mapInArrow(_features(_places(ratios != 0)), "label long, ids array<int>").toArrow()
     y = data.column("label").to_numpy().astype(float)
     if not len(y):
         return Model(weights, float(np.log(prior / (1 - prior))))
-    lists = data.column("ids").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    names, col = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    row = np.repeat(np.arange(len(y)), sizes)
-    x = ratios[names]
-    w, bias = _logistic(row, col, x[col], y, len(names), strength, steps)
-    weights[names] = w * x
+    w, bias = _logistic(data.column("ids"), ratios[ratios != 0], y, strength, steps)
+    weights[ratios != 0] = w * ratios[ratios != 0]
     return Model(weights, bias)
 
 
-def _logistic(row, col, val, y, width: int, strength: float, steps: int) -> tuple[np.ndarray, float]:
-    """The penalised logistic loss of a sparse matrix, by gradient steps scaled per coefficient (Adam)."""
-    n = len(y)
+def _logistic(lists: pa.ChunkedArray, x: np.ndarray, y: np.ndarray, strength: float, steps: int) -> tuple[np.ndarray, float]:
+    """The penalised logistic loss of texts given by the places of their buckets, with values ``x``, by gradient steps scaled per coefficient (Adam).
+
+    The texts are gone through some at a time, so memory is that of the lists.
+    """
+    n, width = len(y), len(x)
+    parts, at = [], 0
+    for chunk in lists.chunks:
+        col, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        lo = 0
+        while lo < len(chunk):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (1 << 20), "right")) - 1)
+            parts.append((at + lo, at + hi, col[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]))
+            lo = hi
+        at += len(chunk)
     w = np.zeros(width + 1)
     w[-1] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     mean, square = np.zeros(width + 1), np.zeros(width + 1)
     for k in range(1, steps + 1):
-        z = np.bincount(row, w[col] * val, n) + w[-1]
-        err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        slope = np.append(np.bincount(col, err[row] * val, width) + strength / n * w[:-1], err.sum())
+        value, slope = w[:-1] * x, np.zeros(width + 1)
+        for lo, hi, col, ends in parts:
+            z = np.diff(np.append(0.0, np.cumsum(value[col]))[ends]) + w[-1]
+            err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[lo:hi]) / n
+            slope[:-1] += np.bincount(col, np.repeat(err, np.diff(ends)), width)
+            slope[-1] += err.sum()
+        slope[:-1] = slope[:-1] * x + strength / n * w[:-1]
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope * slope
         size = 0.05 * (1 - k / (steps + 1))
@@ -152,19 +176,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null or empty texts score the intercept. Columns with these names are replaced.
     """
     text_batches(docs.sparkSession)
-    weights, bias = model.weights.astype(np.float32), model.bias
+    place, weights, bias = _places(model.weights != 0), model.weights[model.weights != 0], model.bias
     base = docs.drop("score", "predicted")
     schema = [*base.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            pairs = [np.zeros(0, np.int64)]
-            for order in ORDERS:
-                for ids, rows in byte_ngrams(part.column("text"), order, BITS):
-                    use = weights[ids] != 0
-                    pairs.append((rows[use] << BITS) | ids[use])
-            pair = np.unique(np.concatenate(pairs))
-            z = bias + np.bincount(pair >> BITS, weights[pair & ((1 << BITS) - 1)], part.num_rows)
+        for part in slices(batches, "text", 1 << 20):
+            ids, sizes = _buckets(part.column("text"), place)
+            z = bias + np.bincount(np.repeat(np.arange(part.num_rows), sizes), weights[ids], part.num_rows)
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*part.schema.names, "score", "predicted"]

@@ -356,6 +356,36 @@ def test_toxicity_learns_and_handles_odd_rows(spark, odd, empty, no_id):
     assert sum(again[i] == y for i, _, y in rows) / len(rows) > 0.9
 
 
+def test_toxicity_keeps_rare_toxic_ngrams(spark):
+    """However many frequent n-grams lean to clean, those of rare toxic words stay in the model."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    clean = ["".join(rng.choice(letters) for _ in range(6)) for _ in range(1500)]
+    both = "tree house river walk quick under stone water".split()
+    vile = ["zqxvilg", "grubwyz", "snotqaj", "kkworpz", "jyxmuck", "vuzzfip", "qibblat", "xodrekk"]
+    rows = []
+    for i in range(900):
+        bad = i % 6 == 0
+        w = rng.choices(both, k=20)
+        w += [rng.choice(vile)] if bad else rng.sample(clean, 300)
+        if i % 12 == 6:
+            w += rng.sample(clean, 100)
+        rows.append((i, " ".join(rng.sample(w, len(w))), int(bad)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(toxicity.labelled(docs, labels))
+    assert np.count_nonzero(model.weights) > 4096
+    for word in vile:
+        of = {int(i) for n in toxicity.ORDERS for ids, _ in tokens.byte_ngrams(pa.array([word]), n, toxicity.BITS) for i in ids}
+        assert sum(model.weights[i] > 0 for i in of) >= 4
+    place = toxicity._places(model.weights != 0)
+    texts = [r[1] for r in rows[:20]] + ["", None]
+    ids, sizes = toxicity._buckets(pa.array(texts), place)
+    for text, got in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        of = {int(i) for n in toxicity.ORDERS for found, _ in tokens.byte_ngrams(pa.array([text or ""]), n, toxicity.BITS) for i in found}
+        assert sorted(got.tolist()) == sorted(int(place[i]) for i in of if place[i] >= 0)
+
+
 def test_language_learns_and_handles_odd_rows(spark, odd, empty, no_id):
     rng = random.Random(4)
     vocab = {"aa": "alor bemi cotu dera".split(), "bb": "xyth wronk vlach zzut".split(), "cc": "ñoña güíro êtrè çaá".split()}

@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch, stored
 from .sizes import counted, text_batches
 from .tokens import _ODD, PUNCT, U64, list_column, mix64, slices, words
 
-BITS = 26  # of the fixed-size bitmap of test hashes: 8 MB
+BITS = (26, 29)  # of the bitmap of test hashes, 8 to 64 MB: 32 times their number between these bounds
+MASKS = 128  # per window length, at most
+LEAST = 12  # words of an item that is searched
 
 
 @dataclass(frozen=True)
 class Seeds:
-    """Masks over ``span`` words: mask r leaves out the positions that are r modulo ``masks``.
+    """An overlap is ``window`` neighbouring words of which ``share`` percent are equal; items of fewer words are compared whole.
 
-    So a window is found however many words are replaced at positions of one residue, a
-    single replaced word at any place included. ``window`` words around a hit are compared
-    for the verdict, of which ``share`` (percent) must be equal; items of fewer words
-    are compared whole.
+    With a ``span`` an overlap needs a seed as well: ``span`` words that are equal but for the
+    positions of one residue modulo ``masks``. With span 0 it needs none.
     """
 
     span: int = 12
@@ -32,105 +35,130 @@ class Seeds:
     window: int = 13
     share: int = 80
 
-    @property
-    def around(self) -> int:
-        return max(0, self.window - self.span)
-
-
-def _windows(h: np.ndarray, rows: np.ndarray, seeds: Seeds) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per mask: the hash of every window, and the index of its first word."""
-    m = len(h) - seeds.span + 1
-    if m <= 0:
-        return
-    at = np.flatnonzero(rows[:m] == rows[seeds.span - 1 :])
-    for r in range(seeds.masks):
-        v = np.zeros(len(at), U64)
-        with np.errstate(over="ignore"):
-            for j in range(seeds.span):
-                if j % seeds.masks != r:
-                    v *= U64(_ODD)
-                    v += h[at + j]
-        yield mix64(v, 40 + r), at
-
-
-def _context(h: np.ndarray, rows: np.ndarray, at: np.ndarray, seeds: Seeds, outside: int) -> np.ndarray:
-    """The words of each window and ``around`` it; ``outside`` beyond the text."""
-    c = seeds.around
-    index = at[:, None] + np.arange(-c, seeds.span + c)
-    safe = np.clip(index, 0, len(h) - 1)
-    inside = (index >= 0) & (index < len(h)) & (rows[safe] == rows[at][:, None])
-    return np.where(inside, h[safe] | U64(2), U64(outside))
-
-
-def _emit(ids: pa.Array, h, rows, keep, seeds: Seeds, outside: int, size: np.ndarray) -> pa.RecordBatch:
-    begin = np.searchsorted(rows, rows)
-    width = seeds.span + 2 * seeds.around
-    got_h, got_at = keep
-    ctx = _context(h, rows, got_at, seeds, outside) if len(got_at) else np.zeros((0, width), U64)
-    n = len(got_at)
-    return pa.RecordBatch.from_arrays(
-        [
-            ids.take(pa.array(rows[got_at])),
-            pa.array((got_at - begin[got_at]).astype(np.int64)),
-            pa.array(got_h.view(np.int64)),
-            pa.array(size[rows[got_at]].astype(np.int64)),
-            list_column(ctx.ravel().view(np.int64), np.full(n, width), pa.int64()),
-        ],
-        ["id", "pos", "hash", "n_words", "ctx"],
-    )
+    def spare(self, w: int) -> int:
+        """How many of ``w`` words may differ."""
+        return min(w - 1, (100 - self.share) * w // 100)
+
 
+WHOLE = Seeds(span=0)
 
-def _hashes(seeds: Seeds, bitmap=None, outside: int = 0):
-    """A function from (id, text) batches to the windows whose hash may be in the bitmap (all without one)."""
+
+def masks(w: int, spare: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """Groups of neighbouring positions of ``w`` words as (first, end), and the groups that each mask leaves out: every choice of ``spare`` ones.
+
+    ``spare`` words lie in ``spare`` groups at most, so some mask leaves all of them out.
+    """
+    n = max(spare + 1, min(w, 3 * spare))
+    while n > spare + 1 and math.comb(n, spare) > MASKS:
+        n -= 1
+    ends = [w * i // n for i in range(n + 1)]
+    return list(itertools.pairwise(ends)), list(itertools.combinations(range(n), spare))
+
+
+def _windows(h: np.ndarray, w: int, spare: int) -> Iterator[np.ndarray]:
+    """Per mask: the hash of the ``w`` words from every word on."""
+    m = len(h) - w + 1
+    groups, left_out = masks(w, spare)
+    with np.errstate(over="ignore"):
+        runs = {1: h}
+        for n in range(2, max(b - a for a, b in groups) + 1):
+            runs[n] = runs[n - 1][: len(h) - n + 1] * U64(_ODD) + h[n - 1 :]
+        parts = [mix64(runs[b - a][a : a + m], 64 * w + a) for a, b in groups]
+        whole = reduce(np.add, parts)
+        for out in left_out:
+            yield reduce(np.subtract, [parts[i] for i in out], whole)
+
+
+def _may_hold(bits: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Where both bits of a hash are set."""
+    n = len(bits).bit_length() + 5
+    slot = v >> U64(64 - n)
+    hit = (bits[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) == 1
+    at = np.flatnonzero(hit)
+    slot = (v[at] >> U64(64 - 2 * n)) & U64((1 << n) - 1)
+    hit[at] = (bits[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) == 1
+    return hit
+
+
+def _hashes(seeds: Seeds, lengths: list[int], bitmap=None):
+    """A function from (id, text) batches to the windows of ``lengths`` words whose hash may be in the bitmap; without one, of texts to all windows of their own length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else bitmap.value
         for part in slices(batches, "text"):
             h, rows = words(part.column("text"), PUNCT)
-            hs, ats = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-            for v, at in _windows(h, rows, seeds):
-                if bits is not None:
-                    slot = v >> U64(64 - BITS)
-                    hit = (bits[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) == 1
-                    v, at = v[hit], at[hit]
-                hs.append(v)
-                ats.append(at)
             size = np.bincount(rows, minlength=part.num_rows)
-            yield _emit(part.column("id"), h, rows, (np.concatenate(hs), np.concatenate(ats)), seeds, outside, size)
+            begin = np.cumsum(size) - size
+            for w in lengths:
+                m = len(h) - w + 1
+                if m <= 0:
+                    continue
+                inside = rows[:m] == rows[w - 1 :]
+                if bits is None:
+                    inside &= np.minimum(size, seeds.window)[rows[:m]] == w
+                hs, ats = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+                for v in _windows(h, w, seeds.spare(w)):
+                    at = np.flatnonzero(inside if bits is None else inside & _may_hold(bits, v))
+                    hs.append(v[at])
+                    ats.append(at)
+                at = np.concatenate(ats)
+                ctx = h[at[:, None] + np.arange(w)].ravel()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id").take(pa.array(rows[at])),
+                        pa.array(at - begin[rows[at]]),
+                        pa.array(np.concatenate(hs).view(np.int64)),
+                        pa.array(np.full(len(at), w)),
+                        list_column(ctx.view(np.int64), np.full(len(at), w), pa.int64()),
+                    ],
+                    ["id", "pos", "hash", "w", "ctx"],
+                )
 
     return run
 
 
-_SCHEMA = "id long, pos long, hash long, n_words long, ctx array<long>"
+_SCHEMA = "id long, pos long, hash long, w long, ctx array<long>"
 
 
 def test_hashes(benchmark: DataFrame, seeds: Seeds) -> DataFrame:
-    """(hash, item_id, item_words, item_ctx) of all windows of the items; of equal texts the smallest item_id stands for all."""
+    """(hash, w, item_id, item_ctx) of all windows of the items; of equal texts the smallest item_id stands for all."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text")
     items = items.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("id").alias("id"), F.first("text").alias("text"))
-    rows = items.select("id", "text").mapInArrow(_hashes(seeds, outside=1), _SCHEMA)
-    return rows.select("hash", F.col("id").alias("item_id"), F.col("n_words").alias("item_words"), F.col("ctx").alias("item_ctx"))
+    rows = items.select("id", "text").mapInArrow(_hashes(seeds, list(range(LEAST, seeds.window + 1))), _SCHEMA)
+    return rows.select("hash", "w", F.col("id").alias("item_id"), F.col("ctx").alias("item_ctx"))
 
 
 def _bitmap(spark: SparkSession, hashes: DataFrame):
-    """One bit for the first ``BITS`` bits of every test hash; at most 2^(BITS-6) rows reach the driver."""
-    slot = F.shiftrightunsigned("hash", 64 - BITS)
+    """Two bits for every test hash; at most 2^(n-6) rows reach the driver, n the bits of a slot."""
+    n = min(max(hashes.count().bit_length() + 5, BITS[0]), BITS[1])
+    slots = F.array(F.shiftrightunsigned("hash", 64 - n), F.shiftrightunsigned("hash", 64 - 2 * n).bitwiseAND(F.lit((1 << n) - 1)))
     one = F.expr("shiftleft(1L, cast(slot & 63 as int))")
-    rows = hashes.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("w"), one.alias("b"))
+    rows = hashes.select(F.explode(slots).alias("slot")).select(F.shiftright("slot", 6).alias("w"), one.alias("b"))
     got = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bits = np.zeros(1 << (BITS - 6), U64)
+    bits = np.zeros(1 << (n - 6), U64)
     bits[got.w.to_numpy(np.int64)] = got.b.to_numpy(np.int64).view(U64)
     return spark.sparkContext.broadcast(bits)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> DataFrame:
+def _has_seed(same: Column, seeds: Seeds) -> Column:
+    """Whether some ``span`` words are equal outside one residue."""
+    at = lambda i: F.coalesce(F.get(same, F.lit(i)), F.lit(False))
+    return reduce(
+        lambda a, b: a | b,
+        [reduce(lambda a, b: a & b, [at(o + p) for p in range(seeds.span) if p % seeds.masks != r], F.size(same) >= o + seeds.span)
+         for o in range(max(1, seeds.window - seeds.span + 1)) for r in range(seeds.masks)],
+    )
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = WHOLE) -> DataFrame:
     """(doc_id, item_id, first_word, last_word, n_hits): verified overlaps, one row per document and item.
 
-    Words are runs of letters and digits, A-Z folded. The hashes of all windows of all
-    texts are tested against a bitmap of the test hashes, of a fixed size; those that pass are
-    joined with the test hashes. The words around each joint hit are then compared in
-    place: the verdict needs ``window`` neighbouring words, the seed among them, of
-    which ``share`` percent are equal. Items shorter than ``span`` words are not searched.
+    Words are runs of letters and digits, A-Z folded. An overlap is ``window`` neighbouring
+    words, or a whole item if it has fewer, of which ``share`` percent are equal. All are found:
+    the words that may differ lie in a few groups of positions, and for every choice of that many groups a
+    mask leaves them out. The hashes of all windows of all texts under all masks are tested against a
+    bitmap of the test hashes; those that pass are joined with the test hashes, and the words
+    of both windows compared. ``n_hits`` counts the windows of the document. Items shorter than 12 words are not searched.
 
     Null texts have no words. Rows without doc_id are left out. Repeated doc_ids count
     as one document. Extra columns are not read. Empty tables give an empty table.
@@ -139,30 +167,23 @@ def hits(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> DataF
     text_batches(spark)
     tests = stored(test_hashes(benchmark, seeds), "test-hashes")
     bits = _bitmap(spark, tests)
+    lengths = sorted(r.w for r in tests.select("w").distinct().collect())
     train = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    found = stored(train.mapInArrow(_hashes(seeds, bits), _SCHEMA), "training-hits")
-    pairs = found.join(counted(tests, 50_000), "hash")
-    same = F.transform(F.arrays_zip("ctx", "item_ctx"), lambda x: F.when(x["ctx"] == x["item_ctx"], 1).otherwise(0))
-    outside = F.transform("item_ctx", lambda x: F.when(x == 1, 1).otherwise(0))
-    pairs = pairs.select("id", "item_id", "pos", F.least("item_words", F.lit(seeds.window)).alias("w"), same.alias("same"), outside.alias("off"), "ctx")
-    starts = F.sequence(F.lit(1), F.lit(2 * seeds.around + 1))
-
-    def good(i):
-        part = lambda a: F.aggregate(F.slice(a, i, F.col("w")), F.lit(0), lambda s, x: s + x)
-        in_doc = ~F.exists(F.slice("ctx", i, F.col("w")), lambda x: x == 0)
-        holds_seed = (i <= seeds.around + 1) & (i + F.col("w") > seeds.around + seeds.span)
-        return holds_seed & in_doc & (part(F.col("off")) == 0) & (100 * part(F.col("same")) >= seeds.share * F.col("w"))
-
-    checked = pairs.withColumn("ok", F.filter(starts, good)).where(F.size("ok") > 0)
-    first = F.col("pos") + F.array_min("ok") - 1 - seeds.around
-    last = F.col("pos") + F.array_max("ok") - 2 - seeds.around + F.col("w")
+    found = stored(train.mapInArrow(_hashes(seeds, lengths, bits), _SCHEMA), "training-hits")
+    # as many windows as 50,000 rows of three masks
+    pairs = found.join(counted(tests, 250_000), ["hash", "w"])
+    same = F.zip_with("ctx", "item_ctx", lambda a, b: a == b)
+    pairs = pairs.select("id", "item_id", "pos", "w", same.alias("same"))
+    checked = pairs.where(100 * F.size(F.filter("same", lambda x: x)) >= seeds.share * F.col("w"))
+    if seeds.span:
+        checked = checked.where(_has_seed(F.col("same"), seeds))
     return (
         checked.groupBy(F.col("id").alias("doc_id"), "item_id")
-        .agg(F.min(first).alias("first_word"), F.max(last).alias("last_word"), F.count(F.lit(1)).alias("n_hits"))
+        .agg(F.min("pos").alias("first_word"), F.max(F.col("pos") + F.col("w") - 1).alias("last_word"), F.count_distinct("pos").alias("n_hits"))
     )
 
 
-def report(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = WHOLE) -> DataFrame:
     """Per document: doc_id, contaminated, n_items, items (ids, ascending), first_word, last_word (null if clean)."""
     with scratch(docs.sparkSession):
         per = hits(docs, benchmark, seeds).groupBy("doc_id").agg(
@@ -181,7 +202,7 @@ def report(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> Dat
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = WHOLE) -> DataFrame:
     """The documents without an overlap with the benchmark, with their columns."""
     with scratch(docs.sparkSession):
         bad = stored(hits(docs, benchmark, seeds).select(F.col("doc_id").alias("__i")).distinct(), "contaminated", keep=True)

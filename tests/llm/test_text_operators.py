@@ -1,5 +1,6 @@
 """The text operators against brute force, on odd and on empty tables."""
 
+import itertools
 import random
 import re
 import zlib
@@ -151,6 +152,36 @@ def test_decontamination_equals_brute_force(spark, odd, odd_rows, empty, no_id):
     assert decontaminate.decontaminate(odd, bench.where("false")).count() == len(odd_rows)
 
 
+def near(text, test):
+    """By the rule alone: 13 neighbouring words (all of a shorter item), 80 % equal."""
+    doc, test = text.split(), test.split()
+    w = min(13, len(test))
+    pairs = ((doc[i : i + w], test[j : j + w]) for i in range(len(doc) - w + 1) for j in range(len(test) - w + 1))
+    return any(100 * sum(map(str.__eq__, a, b)) >= 80 * w for a, b in pairs)
+
+
+def test_decontamination_finds_all_that_the_rule_accepts(spark):
+    rng = random.Random(17)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in (12, 13, 15, 17, 20, 40)]
+    copies = []
+    for n, text in items:
+        places = [c for r in (2, 3) for c in itertools.combinations(range(n), r)]
+        for places in rng.sample(places, 60):
+            copies.append((n, [f"new{k}" if k in places else w for k, w in enumerate(text.split())]))
+    copies += [(40, [f"new{k}" if k % 5 == r else w for k, w in enumerate(items[-1][1].split())]) for r in range(5)]
+    rows = [(i, n, " ".join(["before"] * rng.randrange(3) + w + ["after"] * rng.randrange(3))) for i, (n, w) in enumerate(copies)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontaminate.report(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {i: [n] if near(t, dict(items)[n]) else [] for i, n, t in rows}
+    assert got == want
+    assert 200 < sum(map(bool, want.values())) < len(rows)
+    for w, spare in ((13, 2), (12, 2), (9, 1), (4, 0), (30, 6)):
+        groups, left_out = decontaminate.masks(w, spare)
+        free = [{k for g in out for k in range(*groups[g])} for out in left_out]
+        assert all(any(set(c) <= f for f in free) for c in itertools.combinations(range(w), min(spare, 3)))
+        assert len(left_out) <= decontaminate.MASKS and groups[0][0] == 0 and groups[-1][1] == w
+
+
 # --- 4 --------------------------------------------------------------------------------
 
 

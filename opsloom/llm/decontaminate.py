@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +20,13 @@ from .tokens import _ODD, PUNCT, U64, list_column, mix64, slices, words
 
 BITS = (26, 29)  # of the bitmap of test hashes, 8 to 64 MB: 32 times their number between these bounds
 MASKS = 128  # per window length, at most
-LEAST = 12  # words of an item that is searched
 
 
 @dataclass(frozen=True)
 class Seeds:
     """An overlap is ``window`` neighbouring words of which ``share`` percent are equal; items of fewer words are compared whole.
 
+    Of items of fewer than ``few`` words all must be equal, as one of a few words is soon another text.
     With a ``span`` an overlap needs a seed as well: ``span`` words that are equal but for the
     positions of one residue modulo ``masks``. With span 0 it needs none.
     """
@@ -34,10 +35,11 @@ class Seeds:
     masks: int = 3
     window: int = 13
     share: int = 80
+    few: int = 12
 
     def spare(self, w: int) -> int:
         """How many of ``w`` words may differ."""
-        return min(w - 1, (100 - self.share) * w // 100)
+        return 0 if w < min(self.few, self.window) else min(w - 1, (100 - self.share) * w // 100)
 
 
 WHOLE = Seeds(span=0)
@@ -86,7 +88,7 @@ def _hashes(seeds: Seeds, lengths: list[int], bitmap=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else bitmap.value
         for part in slices(batches, "text"):
-            h, rows = words(part.column("text"), PUNCT)
+            h, rows = words(part.column("text"), PUNCT, alone=True)
             size = np.bincount(rows, minlength=part.num_rows)
             begin = np.cumsum(size) - size
             for w in lengths:
@@ -124,7 +126,7 @@ def test_hashes(benchmark: DataFrame, seeds: Seeds) -> DataFrame:
     """(hash, w, item_id, item_ctx) of all windows of the items; of equal texts the smallest item_id stands for all."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text")
     items = items.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("id").alias("id"), F.first("text").alias("text"))
-    rows = items.select("id", "text").mapInArrow(_hashes(seeds, list(range(LEAST, seeds.window + 1))), _SCHEMA)
+    rows = items.select("id", "text").mapInArrow(_hashes(seeds, list(range(1, seeds.window + 1))), _SCHEMA)
     return rows.select("hash", "w", F.col("id").alias("item_id"), F.col("ctx").alias("item_ctx"))
 
 
@@ -153,12 +155,14 @@ def _has_seed(same: Column, seeds: Seeds) -> Column:
 def hits(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = WHOLE) -> DataFrame:
     """(doc_id, item_id, first_word, last_word, n_hits): verified overlaps, one row per document and item.
 
-    Words are runs of letters and digits, A-Z folded. An overlap is ``window`` neighbouring
-    words, or a whole item if it has fewer, of which ``share`` percent are equal. All are found:
+    Words are runs of letters and digits, A-Z folded; in scripts without spaces every character
+    is a word. An overlap is ``window`` neighbouring words, or a whole item if it has fewer, of which
+    ``share`` percent are equal (all for items of fewer than ``few`` words, down to one). All are found:
     the words that may differ lie in a few groups of positions, and for every choice of that many groups a
     mask leaves them out. The hashes of all windows of all texts under all masks are tested against a
     bitmap of the test hashes; those that pass are joined with the test hashes, and the words
-    of both windows compared. ``n_hits`` counts the windows of the document. Items shorter than 12 words are not searched.
+    of both windows compared. ``n_hits`` counts the windows of the document.
+    Items without any word cannot be searched; ``unsearched`` lists them.
 
     Null texts have no words. Rows without doc_id are left out. Repeated doc_ids count
     as one document. Extra columns are not read. Empty tables give an empty table.
@@ -174,7 +178,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = WHOLE) -> DataFra
     pairs = found.join(counted(tests, 250_000), ["hash", "w"])
     same = F.zip_with("ctx", "item_ctx", lambda a, b: a == b)
     pairs = pairs.select("id", "item_id", "pos", "w", same.alias("same"))
-    checked = pairs.where(100 * F.size(F.filter("same", lambda x: x)) >= seeds.share * F.col("w"))
+    least = F.when(F.col("w") < min(seeds.few, seeds.window), 100).otherwise(seeds.share)
+    checked = pairs.where(100 * F.size(F.filter("same", lambda x: x)) >= least * F.col("w"))
     if seeds.span:
         checked = checked.where(_has_seed(F.col("same"), seeds))
     return (
@@ -183,6 +188,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = WHOLE) -> DataFra
     )
 
 
+def unsearched(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text) of the items that no search can find: without item_id, or without a letter or digit."""
+    text_batches(benchmark.sparkSession)
+    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            size = np.bincount(words(part.column("text"), PUNCT)[1], minlength=part.num_rows)
+            yield part.filter(pc.or_(pa.array(size == 0), part.column("item_id").is_null()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def report(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = WHOLE) -> DataFrame:
     """Per document: doc_id, contaminated, n_items, items (ids, ascending), first_word, last_word (null if clean)."""
     with scratch(docs.sparkSession):

@@ -41,6 +41,9 @@ _ALNUM = ((_BYTE >= 48) & (_BYTE <= 57)) | ((_FOLDED >= 97) & (_FOLDED <= 122))
 #: Separators when words are runs of letters and digits; every non-ASCII byte is part of a word.
 PUNCT = ~_ALNUM
 
+#: Lead bytes of characters of scripts without spaces, some of them with others.
+_UNSPACED = (_BYTE == 0xE0) | (_BYTE == 0xE1) | ((_BYTE >= 0xE3) & (_BYTE <= 0xE9)) | (_BYTE == 0xF0)
+
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -77,8 +80,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             lo = hi
 
 
-def words(texts: pa.Array, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every word, in order; A-Z is folded to a-z."""
+def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every character of a script that is written without spaces.
+
+    Thai, Lao and Tibetan, Myanmar, Khmer, kana and Han (with the marks among them), of 3 bytes, and Han of 4 bytes.
+    """
+    lead = np.flatnonzero(_UNSPACED[data[:-1]])
+    a, b = data[lead], data[lead + 1]
+    use = ((a >= 0xE3) & (a <= 0xE9)) | ((a == 0xE0) & (b >= 0xB8)) | ((a == 0xE1) & (((b >= 0x80) & (b <= 0x82)) | (b == 0x9E) | (b == 0x9F))) | ((a == 0xF0) & (b >= 0xA0) & (b <= 0xB3))
+    return lead[use], np.minimum(lead[use] + np.where(a[use] == 0xF0, 4, 3), len(data))
+
+
+def words(texts: pa.Array, separators: np.ndarray = SPACE, alone: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every word, in order; A-Z is folded to a-z. With ``alone``, characters of scripts without spaces are words."""
     data, at = buffers(texts)
     hashes, rows = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     lo, end = int(at[0]), int(at[-1])
@@ -100,6 +114,9 @@ def words(texts: pa.Array, separators: np.ndarray = SPACE) -> tuple[np.ndarray,
         inside = at[np.searchsorted(at, lo) : np.searchsorted(at, hi)]
         begins[inside - lo] = True
         begins[-1] = True
+        if alone:
+            for bounds_of in unspaced(part):
+                begins[bounds_of] = True
         before = np.empty(len(part), bool)
         before[0] = True
         before[1:] = apart[:-1]

@@ -182,6 +182,35 @@ def test_decontamination_finds_all_that_the_rule_accepts(spark):
         assert len(left_out) <= decontaminate.MASKS and groups[0][0] == 0 and groups[-1][1] == w
 
 
+def test_decontamination_of_short_and_unspaced_items(spark):
+    item = [" ".join(f"s{n}w{k}" for k in range(n)) for n in range(12)]
+    han, thai, rare = "今天的天气非常好我们一起去公园散步吧", "สวัสดีวันนี้อากาศดีมาก", "\U00020000\U00020001\U00020002\U00020003"
+    items = [(n, item[n]) for n in range(1, 12)] + [(20, han), (21, thai), (22, rare), (30, " .,! "), (31, None), (None, "no id here")]
+    rows = [(n, f"before {item[n].upper()}, after", [n]) for n in range(1, 12)]
+    rows += [(100 + n, "before " + item[n].rsplit(" ", 1)[0] + " other", []) for n in range(2, 12)]
+    rows += [(200, "前言" + han + "。后记", [20]), (201, "前言" + han.replace("公", "花") + "后", [20]), (202, han[:9] + "前言" + han[9:11], [])]
+    rows += [(203, "กก" + thai + "กก", [21]), (204, "x" + rare + "y", [22]), (205, rare[:3], []), (206, None, []), (207, "no id here", [])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: r["items"] for r in decontaminate.report(docs, bench).collect()} == {i: want for i, _, want in rows}
+    assert {r.item_id for r in decontaminate.unsearched(bench).collect()} == {30, 31, None}
+    assert decontaminate.unsearched(bench.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("segment", [7, 64, 1 << 20])
+def test_words_of_scripts_without_spaces(monkeypatch, segment):
+    monkeypatch.setattr(tokens, "SEGMENT", segment)
+    rng = random.Random(segment)
+    texts = ["".join(rng.choice("aBé .今天のกမខ\U00020000\U0001f600") for _ in range(rng.randrange(60))) for _ in range(200)] + [None, ""]
+    alone = "[今天のกမខ\U00020000]"
+    h, rows = tokens.words(pa.array(texts), tokens.PUNCT, alone=True)
+    want = [(w, i) for i, t in enumerate(texts) for w in re.findall(alone + "|[aébB\U0001f600]+", (t or "").translate(plain.FOLD))]
+    assert rows.tolist() == [i for _, i in want]
+    names = {}
+    assert all(names.setdefault(w, x) == x for (w, _), x in zip(want, h.tolist(), strict=True))
+    assert len(set(names.values())) == len(names)
+
+
 # --- 4 --------------------------------------------------------------------------------
 
 

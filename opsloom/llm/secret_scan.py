@@ -67,7 +67,9 @@ def _spellings(tree) -> list[tuple[str | None, ...]]:
             elif low == 0:
                 step = [(GAP,)]
             else:
-                step = [s * low if high == low else s * low + (GAP,) for s in inner]
+                step = _times(inner, low)
+                if high != low:
+                    step = [s + (GAP,) for s in step]
         else:
             step = [(GAP,)]
         step = list(dict.fromkeys(step))
@@ -77,6 +79,16 @@ def _spellings(tree) -> list[tuple[str | None, ...]]:
     return out
 
 
+def _times(inner: list[tuple[str | None, ...]], n: int) -> list[tuple[str | None, ...]]:
+    """All sequences of ``n`` spellings, each any of ``inner``; past LIMIT what follows is a gap, and so are repetitions past it of one spelling."""
+    out: list[tuple[str | None, ...]] = [()]
+    for k in range(n):
+        if len(out) * len(inner) > LIMIT or k == LIMIT:
+            return [s + (GAP,) for s in out]
+        out = list(dict.fromkeys(a + b for a, b in itertools.product(out, inner)))
+    return out
+
+
 def _class(items) -> list[tuple[str | None, ...]]:
     chars = set()
     for op, arg in items:

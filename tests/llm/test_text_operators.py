@@ -240,6 +240,43 @@ def test_trigram_queries_are_mandatory():
                 assert any(all(g in text.lower() for g in alt) for alt in q[r.kind])
 
 
+def test_trigram_queries_of_counted_groups_are_mandatory():
+    """Random patterns of groups, classes and counts, with texts made to match them."""
+    rng = random.Random(21)
+
+    def part(depth):
+        kind = rng.randrange(4 if depth else 2)
+        if kind == 0:
+            word = "".join(rng.choice("abcXY_") for _ in range(rng.randrange(1, 4)))
+            return word, lambda: word
+        if kind == 1:
+            chars = rng.choice(["ab", "xyz", "AbC", "abcdefghijkl"])
+            return f"[{chars}]", lambda: rng.choice(chars)
+        subs = [part(depth - 1) for _ in range(rng.randrange(1, 4))]
+        if kind == 2:
+            return "(?:" + "|".join(p for p, _ in subs) + ")", lambda: rng.choice(subs)[1]()
+        low = rng.randrange(4)
+        high = low + rng.choice([0, 0, 1, 3])
+        body, make = "".join(p for p, _ in subs), lambda: "".join(m() for _, m in subs)
+        return f"(?:{body}){{{low},{max(1, high)}}}", lambda: "".join(make() for _ in range(rng.randint(low, max(1, high))))
+
+    asked = 0
+    for _ in range(1500):
+        parts = [part(3) for _ in range(rng.randrange(1, 4))]
+        pattern = "".join(p for p, _ in parts)
+        query = secret_scan.trigram_query(pattern)
+        asked += bool(query)
+        for _ in range(10):
+            text = "".join(m() for _, m in parts)
+            assert re.fullmatch(pattern, text)
+            assert not query or any(all(g in text.lower() for g in alt) for alt in query)
+    assert asked > 100
+    for pattern, text in (("(?:abc|def){2}[0-9]+", "abcdef9"), ("key[ab]{3}z", "keyabaz")):
+        query = secret_scan.trigram_query(pattern)
+        assert query and any(all(g in text for g in alt) for alt in query)
+    assert secret_scan.trigram_query("(?:abc){1000}") == [frozenset({"abc", "bca", "cab"})]
+
+
 # --- 5 --------------------------------------------------------------------------------
 
 

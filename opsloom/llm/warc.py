@@ -48,8 +48,9 @@ def http_head(block: Column) -> Column:
 
 def http_body(block: Column) -> Column:
     """What follows the first blank line; nothing if there is none."""
-    at = F.instr(block, F.lit(CRLF * 2))
-    return F.when(at > 0, block.substr(at + 4, F.length(block))).otherwise("")
+    # by bytes, as a body need not be text
+    at = F.octet_length(http_head(block))
+    return F.when(at < F.octet_length(block), F.substring(block.cast("binary"), at + 5, F.octet_length(block)).cast("string")).otherwise("")
 
 
 def plain_text(html: Column) -> Column:
@@ -63,6 +64,15 @@ def plain_text(html: Column) -> Column:
     return F.btrim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
+def _source_fields(given: Column) -> Column:
+    """The named fields of the source but its payload digest: ``WARC-X`` as ``WARC-Source-X``, others as ``Source-X``."""
+    kept = F.map_filter(given, lambda k, v: (k != "WARC-Payload-Digest") & v.isNotNull())
+    named = F.transform_keys(
+        kept, lambda k, v: F.when(F.lower(k).startswith("warc-"), F.concat(F.substring(k, 1, 5), F.lit("Source-"), k.substr(F.lit(6), F.length(k)))).otherwise(F.concat(F.lit("Source-"), k))
+    )
+    return F.coalesce(named, F.create_map().cast("map<string,string>"))
+
+
 def derive(records: DataFrame) -> DataFrame:
     """Of every response record a metadata and a conversion record, with columns record_id, type, refers_to, target_uri, date, headers, block.
 
@@ -70,7 +80,8 @@ def derive(records: DataFrame) -> DataFrame:
     payload digest if it has one, else one that is computed. The metadata block lists the status
     and the headers of the source as ``http-<name>`` fields, the digests, the number of links and
     the id of the conversion record; the conversion block is the plain text of the
-    body. Digests of the new blocks are computed from the blocks.
+    body. Digests of the new blocks are computed from the blocks. The other named fields of the
+    source, its block digest among them, are headers of the metadata record (``_source_fields``).
 
     One scan, no shuffle. Records of other types are passed over. Null blocks are empty, null
     targets empty; a block without a blank line has no body. Repeated records give
@@ -107,6 +118,8 @@ def derive(records: DataFrame) -> DataFrame:
             F.lit("WARC-Source-Payload-Digest"), F.col("payload"),
             F.lit("WARC-Block-Digest"), digest(block),
         )
+        if kind == "metadata":
+            headers = F.map_concat(headers, _source_fields(F.col("given")))
         return F.struct(own.alias("record_id"), F.lit(kind).alias("type"), headers.alias("headers"), block.alias("block"))
 
     src = src.withColumn("about", about)
@@ -116,9 +129,9 @@ def derive(records: DataFrame) -> DataFrame:
 
 
 def serialise(records: DataFrame) -> Column:
-    """A record as WARC/1.1 text: version, named fields, blank line, block."""
+    """A record as WARC/1.1 text: version, named fields (a line for each line of a value), blank line, block."""
     refers = F.concat(F.lit("WARC-Refers-To: "), F.col("refers_to"), F.lit(CRLF)) if "refers_to" in records.columns else F.lit("")
-    named = F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    named = F.flatten(F.transform(F.filter(F.map_entries("headers"), lambda e: e["value"].isNotNull()), lambda e: F.transform(F.split(e["value"], CRLF, -1), lambda v: F.concat(e["key"], F.lit(": "), v))))
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.col("type"), F.lit(f"{CRLF}WARC-Record-ID: "), F.col("record_id"), F.lit(CRLF), F.coalesce(refers, F.lit("")),
         F.lit("WARC-Target-URI: "), F.col("target_uri"), F.lit(f"{CRLF}WARC-Date: "), F.col("date"), F.lit(CRLF),
@@ -132,12 +145,16 @@ def write(records: DataFrame, path: str) -> None:
 
 
 def _parse(data: bytes) -> Iterator[dict]:
-    """Records of one file, by the lengths they declare."""
+    """Records of one file, by the lengths they declare; values of repeated fields are lines of one value."""
     at = 0
     while (head := data.find(b"\r\n\r\n", at)) >= 0:
-        got = dict(line.decode().split(": ", 1) for line in data[at:head].split(b"\r\n")[1:] if b": " in line)
-        size = int(got.pop("Content-Length", "0"))
-        block = data[head + 4 : head + 4 + size].decode("utf-8", "replace")
+        got = {}
+        for line in data[at:head].split(b"\r\n")[1:]:
+            if b": " in line:
+                name, value = line.decode().split(": ", 1)
+                got[name] = f"{got[name]}{CRLF}{value}" if name in got else value
+        size = int(got.pop("Content-Length", "0").split(CRLF)[-1])
+        block = data[head + 4 : head + 4 + size]
         own = {"WARC-Record-ID", "WARC-Type", "WARC-Target-URI", "WARC-Date", "WARC-Refers-To"}
         yield {
             "record_id": got.get("WARC-Record-ID"), "type": got.get("WARC-Type"), "refers_to": got.get("WARC-Refers-To"),
@@ -148,9 +165,12 @@ def _parse(data: bytes) -> Iterator[dict]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files below ``path``; a file is read by one task, so keep files to about a gigabyte as crawls do."""
+    """Records of the WARC files below ``path``; a file is read by one task, so keep files to about a gigabyte as crawls do.
+
+    Blocks keep their bytes, whether they are UTF-8 or not.
+    """
     kinds = [(c, pa.string()) for c in ("record_id", "type", "refers_to", "target_uri", "date")]
-    schema = pa.schema([*kinds, ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.string())])
+    schema = pa.schema([*kinds, ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,4 +185,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(held, schema)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "record_id string, type string, refers_to string, target_uri string, date string, headers map<string,string>, block string")
+    got = files.mapInArrow(run, "record_id string, type string, refers_to string, target_uri string, date string, headers map<string,string>, block binary")
+    return got.withColumn("block", F.col("block").cast("string"))

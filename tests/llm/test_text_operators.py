@@ -1,5 +1,6 @@
 """The text operators against brute force, on odd and on empty tables."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -123,6 +124,26 @@ def test_warc_derivatives_and_files(spark, tmp_path):
     assert {r.block for r in warc.derive(odd).where("type = 'conversion'").collect()} == {""}
 
 
+def test_warc_keeps_named_fields_and_bytes(spark, tmp_path):
+    body = bytes(range(256)) * 3 + b"\r\n\r\n\xf0\xff"
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n" + body
+    fields = ["WARC-Type: response", "WARC-Record-ID: <a>", "WARC-Target-URI: u", "WARC-Date: d", "Content-Type: application/http", "WARC-IP-Address: 10.0.0.1", "WARC-Concurrent-To: <b>", "WARC-Concurrent-To: <c>", "WARC-Block-Digest: sha256:x"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc").write_bytes("\r\n".join(["WARC/1.1", *fields, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+    path = str(tmp_path / "out")
+    source = warc.read(spark, str(tmp_path / "in"))
+    warc.write(source, path)
+    for got in (source, warc.read(spark, path)):
+        row = got.select(F.col("block").cast("binary").alias("block"), "headers", warc.http_body(F.col("block")).cast("binary").alias("body")).first()
+        assert row.block == block and row.body == body
+        assert row.headers["WARC-Concurrent-To"] == "<b>\r\n<c>"
+        out = {r.type: r.headers for r in warc.derive(got).select("type", "headers").collect()}
+        assert out["metadata"]["WARC-Source-IP-Address"] == "10.0.0.1" and out["metadata"]["WARC-Source-Concurrent-To"] == "<b>\r\n<c>"
+        assert out["metadata"]["WARC-Source-Block-Digest"] == "sha256:x" and out["metadata"]["Source-Content-Type"] == "application/http"
+        assert out["metadata"]["WARC-Source-Payload-Digest"] == "sha256:" + hashlib.sha256(body).hexdigest()
+    assert b"".join(p.read_bytes() for p in (tmp_path / "out").glob("part*")).count(b"WARC-Concurrent-To: <") == 2
+
+
 # --- 3 --------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..session import use_utc
-from . import chat, decontaminate, exact_dedup, jaccard, language, line_runs, mixing, secret_scan, toxicity, warc
+from . import chat, decontaminate, exact_dedup, jaccard, language, line_runs, mixing, periods, quality, secret_scan, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -241,6 +241,59 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query(
+    "op11_quality_rules",
+    r"""
+with w as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+u as (select rid, unnest(ws) as word, unnest(range(len(ws))) as i from w),
+v as (select word, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, (length(hex(word)) // 2)::bigint), lambda i: ('0x' || hex(word)[2 * i + 1:2 * i + 2])::bigint)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda y, z: case when y & 1 = 1 then xor(y >> 1, 3988292384) else y >> 1 end)), 4294967295) as crc
+  from (select distinct word from u)),
+c as (select rid, i, crc, lead(crc) over (partition by rid order by i) as nxt from u join v using (word)),
+g as (select rid, crc % 65521 as b from c union all select rid, (crc * 1000003 + nxt) % 65521 from c where nxt is not null),
+good as (select distinct doc_id from labels where quality = 1 and doc_id is not null),
+f as (select rid, doc_id in (select doc_id from good) and doc_id is not null as good from w),
+n as (select b, count(*) as n, count(*) filter (good) as k from g join f using (rid) group by b),
+t as (select sum(n)::double + 65521 as n, sum(k)::double + 65521 as k, sum(k) as any_good from n),
+x as (select b, case when t.any_good > 0 then floor((ln((n.k + 1)::double / t.k) - ln((n.n + 1)::double / t.n)) * 1000000 + 0.5)::bigint else 0 end as x from n, t),
+s as (select rid, sum(x)::bigint as total, count(*) as grams from g join x using (b) group by rid),
+h as (select floor(total::double / grams / 1000)::bigint as bin, count(*) as n from s join f using (rid) where good group by 1),
+q as (select bin, sum(n) over (order by bin) as upto, sum(n) over () as whole from h),
+p as (select (2 * min(bin) filter (upto > 0.01::double * whole) - min(bin) filter (upto > 0.5::double * whole)) * 1000 as threshold from q),
+l as (select rid, count(*) - count(distinct line) as dup from (select rid, unnest(string_split(text, chr(10))) as line from w) where regexp_matches(line, '[^\x20\x09-\x0D]') group by rid),
+e as (select rid, i, array_to_string(ws[i + 1:i + 8], ' ') as body from (select rid, ws, unnest(range(greatest(0, len(ws) - 7))) as i from w)),
+r as (select rid, i, lead(i) over (partition by rid order by i) as nxt from (select rid, i, count(*) over (partition by rid, body) as k from e) where k > 1),
+o as (select rid, sum(least(8, coalesce(nxt - i, 8)))::bigint as rep from r group by rid),
+m as (select doc_id, rid, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+    coalesce(dup, 0)::bigint as n_dup_lines, coalesce(rep, 0)::bigint as n_repeat_words from w left join l using (rid) left join o using (rid)),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and (threshold is null or total >= grams * threshold) as kept
+from b left join s using (rid), p
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents; those of good quality by label are trusted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
+    return quality.assess(docs, model).select("doc_id", *quality.FEATURES, "base_failed", "kept")
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents; a tenth of them have their words repeated first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = periods.periodic_runs(docs, periods.planted(F.col("doc_id"), F.col("text")), whole=False)
+    return got.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All clean embeddings on the eight leading components."""
+    got = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=8)
+    return whitening.components_of(got).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxic texts, copies, near copies and benchmark passages go; the rest is mixed."""

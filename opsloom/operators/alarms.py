@@ -46,11 +46,11 @@ def ticket_echo_dedupe(df: DataFrame, order: str) -> DataFrame:
     )
 
 
-def clear_keys(clears: DataFrame) -> DataFrame:
-    """What each clear is looked up by: kind c(cid), i(d), a(t time), o(bject), all."""
+def clear_key() -> Column:
+    """What a clear is looked up by, as (kind, a, b): kind c(cid), i(d), a(t time), o(bject), all; null if it names nothing."""
     cc, aid, obj = (F.coalesce(F.col(c), F.lit("")) for c in ("ccid", "alarmid", "id1"))
     tc = F.coalesce(F.col("timecleared"), F.lit(0))
-    key = (
+    return (
         F.when(obj == SERVICE_UPDATE, None)
         .when(obj == ALL_CLEAR, F.struct(F.lit("all").alias("kind"), F.lit("").alias("a"), F.lit("").alias("b")))
         .when(cc != "", F.struct(F.lit("c").alias("kind"), cc.alias("a"), F.lit("").alias("b")))
@@ -58,7 +58,12 @@ def clear_keys(clears: DataFrame) -> DataFrame:
         .when((tc > 0) & (obj != ""), F.struct(F.lit("a").alias("kind"), obj.alias("a"), tc.cast("string").alias("b")))
         .when(obj != "", F.struct(F.lit("o").alias("kind"), obj.alias("a"), F.lit("").alias("b")))
     )
-    keyed = clears.withColumns({"__k": key, "__tc": F.when(tc > 0, tc).otherwise(F.col("timeissued"))})
+
+
+def clear_keys(clears: DataFrame) -> DataFrame:
+    """One row per key of ``clear_key``: the latest clear, and the time it gives."""
+    tc = F.coalesce(F.col("timecleared"), F.lit(0))
+    keyed = clears.withColumns({"__k": clear_key(), "__tc": F.when(tc > 0, tc).otherwise(F.col("timeissued"))})
     return (
         keyed.where("__k is not null")
         .groupBy(F.col("__k.kind").alias("kind"), F.col("__k.a").alias("a"), F.col("__k.b").alias("b"))

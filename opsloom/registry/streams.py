@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import alarms as A
 from ..operators import graph as G
 from ..operators import stats
 from ..session import scratch_path
 from ..streaming import jobs
 from ..streaming.correlate import GEN1, GEN2, IOT, CorrelationRule
+from ..streaming.groups import group_id
 from . import views as V
 from .alarms import _GAP, sessions_sql
 from .core import query, table
@@ -138,6 +141,88 @@ def st_heartbeat(spark, sf):
     return _correlated(spark, sf, beat=864000)
 
 
+# Clears between deliveries: each mode as a stream of alarms (type 1) and clears (type 2).
+
+
+def _cleared_sql(cuts: str) -> str:
+    """Groups of GEN, ended by ``cuts`` (id1, t) as well: the first clear at or after a group's last alarm."""
+    return f"""WITH {V.ALARMS}, e AS (SELECT id1, alarmid, timeissued AS t, seq FROM alarm WHERE type = 1), cl AS (SELECT * FROM alarm WHERE type = 2),
+  plain AS (SELECT id1, t, session FROM (SELECT *, sum(brk) OVER (PARTITION BY id1 ORDER BY t, seq) AS session FROM (SELECT *, CASE WHEN coalesce(t - lag(t) OVER (PARTITION BY id1 ORDER BY t, seq), 1e9) > {_GAP} THEN 1 ELSE 0 END AS brk FROM e))),
+  cut AS ({cuts}), clk AS (SELECT greatest((SELECT max(t) FROM e), coalesce(max(t), 0)) AS c FROM cut),
+  n AS (SELECT id1, t, seq, lag(t) OVER (PARTITION BY id1 ORDER BY t, seq) AS p FROM e),
+  m AS (SELECT n.*, CASE WHEN p IS NULL OR t - p > {_GAP} OR EXISTS (SELECT 1 FROM cut WHERE cut.id1 = n.id1 AND cut.fits AND cut.t >= p AND cut.t < n.t) THEN 1 ELSE 0 END AS brk FROM n),
+  s AS (SELECT *, sum(brk) OVER (PARTITION BY id1 ORDER BY t, seq) AS session FROM m),
+  r AS (SELECT *, row_number() OVER (PARTITION BY id1, session ORDER BY t, seq) AS nth FROM s),
+  g AS (SELECT id1, session, min(t) AS first, max(t) AS last, min(t) FILTER (nth = 2) AS nt FROM r GROUP BY ALL),
+  h AS (SELECT g.*, lead(first) OVER (PARTITION BY id1 ORDER BY session) AS nx FROM g),
+  x AS (SELECT h.id1, first, last, nt, min(cut.t) AS clear FROM h LEFT JOIN cut ON cut.id1 = h.id1 AND cut.fits AND cut.t >= last AND cut.t <= last + {_GAP} AND (nx IS NULL OR cut.t < nx) GROUP BY ALL),
+  k AS (SELECT *, coalesce(clear, c) AS stop, least(nt, CASE WHEN first + 30000 < coalesce(clear, c) THEN first + 30000 END) AS ticket FROM x, clk)
+  SELECT id1, CASE WHEN k = 0 THEN 'first' ELSE 'refresh' END AS event, ticket + 36000 * k AS tick FROM
+    (SELECT *, unnest(range(0, CAST(1 + greatest(floor((least(last + {_GAP}, stop) - ticket) / 36000), 0) AS BIGINT))) AS k FROM k WHERE ticket IS NOT NULL)
+  UNION ALL SELECT id1, 'clear', clear FROM x WHERE clear IS NOT NULL"""
+
+
+def _cleared(spark, sf, clears, label):
+    """Tickets and ends of GEN's groups over all alarms and these clears, in two deliveries."""
+    cols = ["seq", "type", "id1", "alarmid", "ccid", "timecleared", "severity", "state", "timeissued"]
+    a = V.alarm(spark, sf).where("type = 1").withColumns({"ccid": F.lit(""), "timecleared": F.lit(0).cast("bigint")}).select(*cols)
+    rows = a.unionByName(clears.select(*[F.col(c).cast(a.schema[c].dataType).alias(c) for c in cols]))
+    out, cp = scratch_path(spark, label), scratch_path(spark, f"{label}-cp")
+
+    def run(path):
+        jobs.catch_up(jobs.correlate(jobs.stream_tail(spark, path, a.schema), [GEN], clears="type = 2"), out, cp)
+
+    _in_two(rows, "timeissued", run)
+    return spark.read.parquet(out).select(F.get_json_object("group", "$.id1").alias("id1"), "event", F.col("at").alias("tick"))
+
+
+def _asks(spark, sf, **given):
+    """The clears of the alarm table, naming only what is given."""
+    plain = {"alarmid": "''", "ccid": "''", "timecleared": "0"} | given
+    return V.alarm(spark, sf).where("type = 2").withColumns({c: F.expr(e) for c, e in plain.items()})
+
+
+@query("st_clear_object", _cleared_sql("SELECT id1, timeissued AS t, true AS fits FROM cl"))
+def st_clear_object(spark, sf):
+    """Clears by object end its groups in the stream."""
+    return _cleared(spark, sf, _asks(spark, sf), "clear-o")
+
+
+@query("st_clear_alarmid", _cleared_sql("SELECT id1, timeissued AS t, seq % 2 = 0 AS fits FROM cl"))
+def st_clear_alarmid(spark, sf):
+    """Clears by object and alarm id: every other one names an id that no alarm has."""
+    return _cleared(spark, sf, _asks(spark, sf, alarmid="if(seq % 2 = 0, concat('disk_used.sd', bigint(id1) % 3), 'other')"), "clear-i")
+
+
+@query("st_clear_time", _cleared_sql("SELECT c.id1, c.timeissued AS t, c.seq % 2 = 0 AS fits FROM cl c"))
+def st_clear_time(spark, sf):
+    """Clears by object and the time of its last alarm before; every other one names a second without alarms."""
+    a = V.alarm(spark, sf)
+    past = Window.partitionBy("id1").orderBy("timeissued", "type", "seq")
+    known = a.withColumn("before", F.last(F.when(F.col("type") == 1, F.col("timeissued")), ignorenulls=True).over(past)).where("type = 2")
+    asked = known.withColumns({"alarmid": F.lit(""), "ccid": F.lit(""), "timecleared": F.expr("if(seq % 2 = 0, coalesce(before, 1), 1)")})
+    return _cleared(spark, sf, asked, "clear-a")
+
+
+@query("st_clear_ccid", _cleared_sql(f"""SELECT id1, (min(t) + max(t)) // 2 AS t, true AS fits FROM plain GROUP BY id1, session HAVING count(*) >= 3"""))
+def st_clear_ccid(spark, sf):
+    """Clears by the name of a group: every group of three alarms or more, half way through."""
+    whole = A.sessions(V.alarm(spark, sf).where("type = 1"), ["id1"], _GAP, "seq").groupBy("id1", "session")
+    group = F.to_json(F.struct("id1"))
+    ask = whole.agg(F.min("timeissued").alias("first"), F.max("timeissued").alias("last"), F.count("*").alias("n")).where("n >= 3").select(
+        F.lit(-1).alias("seq"), F.lit(2).alias("type"), "id1", F.lit("").alias("alarmid"),
+        F.concat_ws(":", F.lit(GEN.id), group_id(group), F.col("first").cast("string")).alias("ccid"),
+        F.lit(0).alias("timecleared"), F.lit(1).alias("severity"), F.lit(4).alias("state"), F.expr("(first + last) div 2").alias("timeissued"),
+    )
+    return _cleared(spark, sf, ask, "clear-c")
+
+
+@query("st_clear_all", _cleared_sql("SELECT DISTINCT e.id1, c.timeissued AS t, true AS fits FROM e, cl c WHERE c.seq % 50 = 0"))
+def st_clear_all(spark, sf):
+    """Clears of everything end all open groups."""
+    return _cleared(spark, sf, _asks(spark, sf, id1="'__all_clear__'").where("seq % 50 = 0"), "clear-all")
+
+
 # The three shipped rules as streams, over alarms with the attributes that they read.
 
 _CORR = V.ALARMS + """,

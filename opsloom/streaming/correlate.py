@@ -9,9 +9,11 @@ Alarms of one second are looked at together.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
-from dataclasses import asdict, dataclass, field
-from itertools import groupby
+from bisect import bisect_left, insort
+from collections import defaultdict
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass, field
+from itertools import accumulate, groupby
 
 GROUP_EVENTS = "rule string, group string, event string, at bigint, seq bigint, severity int, n bigint"
 UP, DOWN = 4, 3
@@ -66,41 +68,132 @@ IOT = CorrelationRule(
 )
 
 
+class Window:
+    """The seconds of a group, oldest first: [time, step, count, severity, seq] with an aggregate over any latest part.
+
+    A second is added at the end and old ones leave at the front in constant amortised time: steps and counts are
+    running sums, and the representative comes from a stack of the seconds that are better than all after
+    them. A second that is older than the last one is put in its place, and everything is summed up again.
+    """
+
+    def __init__(self, seconds: Iterable[Sequence] = ()):
+        self.rows: list[list] = sorted(list(r) for r in seconds)
+        self._sum()
+
+    def _sum(self) -> None:
+        self.first = 0
+        self.times = [r[0] for r in self.rows]
+        self.steps = [0, *accumulate(r[1] for r in self.rows)]
+        self.counts = [0, *accumulate(r[2] for r in self.rows)]
+        self.better: list[tuple] = []  # (time, severity, seq), the best of all from its time on
+        for r in self.rows:
+            self._rank(r)
+
+    def _rank(self, r: Sequence) -> None:
+        while self.better and (self.better[-1][1], -self.better[-1][0], self.better[-1][2]) >= (r[3], -r[0], r[4]):
+            self.better.pop()
+        self.better.append((r[0], r[3], r[4]))
+
+    def __len__(self) -> int:
+        return len(self.rows) - self.first
+
+    def live(self) -> list[list]:
+        return self.rows[self.first :]
+
+    def add(self, row: Sequence) -> None:
+        row = list(row)
+        if self.rows and row < self.rows[-1]:
+            self.drop(self.times[self.first] if len(self) else row[0], now=True)
+            insort(self.rows, row)
+            self._sum()
+            return
+        self.rows.append(row)
+        self.times.append(row[0])
+        self.steps.append(self.steps[-1] + row[1])
+        self.counts.append(self.counts[-1] + row[2])
+        self._rank(row)
+
+    def drop(self, before: int, now: bool = False) -> None:
+        """Seconds before a time leave."""
+        self.first = bisect_left(self.times, before, self.first)
+        if now or self.first > 64 and 2 * self.first > len(self.rows):
+            lead = bisect_left(self.better, (before,))
+            del self.rows[: self.first], self.times[: self.first], self.steps[: self.first], self.counts[: self.first], self.better[:lead]
+            self.first = 0
+
+    def counter(self, since: int) -> int:
+        """The steps of all seconds from a time on."""
+        return self.steps[-1] - self.steps[bisect_left(self.times, since, self.first)]
+
+    def count(self, since: int) -> int:
+        return self.counts[-1] - self.counts[bisect_left(self.times, since, self.first)]
+
+    def best(self, since: int) -> tuple[int, int]:
+        """(severity, seq) of the representative of all seconds from a time on: lowest severity, then latest, then lowest seq."""
+        at = bisect_left(self.better, (max(since, self.times[self.first]),))
+        return self.better[at][1:]
+
+
 @dataclass
 class GroupMemory:
-    """An open group: its alarms by second, ticket and settings; and seconds that wait for the clock."""
+    """An open group: its seconds, its ticket and settings, and which alarms were in which second."""
 
     open: bool = False
+    opened: int = 0
     last: int = 0
     ticket: int = -1
     spent: bool = False
-    recent: list = field(default_factory=list)  # [time, step, count, severity, seq], within the window
+    window: Window = field(default_factory=Window)
     settings: dict = field(default_factory=dict)
-    pending: list = field(default_factory=list)  # alarms of seconds that the clock has not passed
+    who: dict[int, set] = field(default_factory=dict)  # second: {(object, alarm id)}
+    latest: dict[tuple, int] = field(default_factory=dict)  # (object, alarm id) and (object, None): its last second
 
-    def to_dict(self) -> dict:
-        return asdict(self)
+    @property
+    def recent(self) -> list[list]:
+        return self.window.live()
 
     def get(self, rule: CorrelationRule, name: str):
         return self.settings[name] if name in self.settings else getattr(rule, name)
 
-    def alive(self, rule: CorrelationRule, at: int) -> list:
-        """The alarms that are not older than the window at a time."""
-        return [a for a in self.recent if a[0] >= at - self.get(rule, "window")]
+    def since(self, rule: CorrelationRule, at: int) -> int:
+        """The oldest time that the window reaches back to."""
+        return at - self.get(rule, "window")
 
     def counter(self, rule: CorrelationRule, at: int) -> int:
-        return sum(a[1] for a in self.alive(rule, at))
+        return self.window.counter(self.since(rule, at))
+
+    def note(self, t: int, names: Iterable[tuple]) -> None:
+        """Remember who was in a second."""
+        known = self.who.setdefault(t, set())
+        for name in names:
+            known.add(tuple(name))
+            for key in (tuple(name), (name[0], None)):
+                self.latest[key] = max(t, self.latest.get(key, t))
+
+    def holds(self, rule: CorrelationRule, clear: Clear) -> bool:
+        """Whether an alarm within the window fits a clear."""
+        since = self.since(rule, self.last)
+        if clear.mode == "all":
+            return True
+        if clear.mode == "c":
+            return clear.opened == self.opened
+        if clear.mode == "a":
+            return clear.time >= since and any(n[0] == clear.id1 for n in self.who.get(clear.time, ()))
+        return self.latest.get((clear.id1, clear.alarmid if clear.mode == "i" else None), since - 1) >= since
 
     def delays(self, rule: CorrelationRule) -> list[int]:
         """When a delayed first ticket is due."""
         due, end = [], self.last + self.get(rule, "window")
         first, count, wait = (self.get(rule, n) for n in ("first_delay", "defer_count", "defer_time"))
-        if first is not None and self.recent[0][0] + first <= end:
-            due.append(self.recent[0][0] + first)
+        if first is not None and self.recent_first() + first <= end:
+            due.append(self.recent_first() + first)
         if count is not None and wait and self.last + wait <= end and self.counter(rule, self.last + wait) >= count:
             due.append(self.last + wait)
         return due
 
+    def recent_first(self) -> int:
+        return self.window.times[self.window.first]
+
     def next_due(self, rule: CorrelationRule) -> int:
         """When the group changes by itself: a delayed ticket, a refresh, its end."""
         due = [self.last + self.get(rule, "window") + 1]
@@ -111,6 +204,18 @@ class GroupMemory:
         return min(due)
 
 
+@dataclass(frozen=True)
+class Clear:
+    """A clear by everything ("all"), ccid ("c"), object and alarm id ("i"), object and time ("a") or object ("o")."""
+
+    at: int
+    mode: str
+    id1: str = ""
+    alarmid: str = ""
+    time: int = 0  # of the alarm that mode "a" names
+    opened: int = 0  # from the ccid that mode "c" names
+
+
 def by_second(alarms: Iterable[tuple]) -> list[tuple]:
     """(time, seq, severity, step, state, count[, first seq, settings]) rows, one per second.
 
@@ -141,38 +246,66 @@ def _elapse(g: GroupMemory, rule: CorrelationRule, clock: int, out: list) -> Non
 
 
 def _ticket(g: GroupMemory, rule: CorrelationRule, at: int, event: str, out: list) -> None:
-    alive = g.alive(rule, at)
-    sev, _, seq = min((a[3], -a[0], a[4]) for a in alive)
-    out.append((event, at, seq, sev, sum(a[2] for a in alive)))
+    since = g.since(rule, at)
+    sev, seq = g.window.best(since)
+    out.append((event, at, seq, sev, g.window.count(since)))
     g.ticket = at
     if event == "first" and not g.get(rule, "refresh"):
         g.spent = True
 
 
-def step_group(g: GroupMemory, alarms: Iterable[tuple], rule: CorrelationRule, clock: int | None) -> list[tuple]:
-    """Feed (time, seq, severity, step, state, count) alarms, then move the clock.
+def step_group(
+    g: GroupMemory, alarms: Iterable[tuple], rule: CorrelationRule, clock: int | None,
+    clears: Iterable[Clear] = (), who: Mapping[int, Iterable[tuple]] | None = None,
+) -> list[tuple]:
+    """Feed (time, seq, severity, step, state, count) alarms and clears, then move the clock.
 
     Returns (event, time, representative seq, severity, alarms in the group) rows with
-    event first or refresh. The representative has the lowest severity number; of
+    event first, refresh or clear. The representative has the lowest severity number; of
     those the latest, then the lowest seq. A late alarm joins the open group and counts
-    from its own time, but does not turn the clock back.
+    from its own time, but does not turn the clock back. A clear ends the group if an
+    alarm in its window fits, after the alarms of the same second; ``who`` has the
+    (object, alarm id) of each second's alarms.
     """
     out: list[tuple] = []
-    for t, seq, sev, step, state, count, _, settings in by_second(alarms):
+    late = defaultdict(list)
+    for c in clears:
+        late[c.at].append(c)
+    seconds = {a[0]: a for a in by_second(alarms)}
+    for t in sorted({*seconds, *late}):
         if g.open:
             _elapse(g, rule, t, out)
-        if rule.closes_on_up and state == UP:
+        if t in seconds:
+            _join(g, rule, seconds[t], (who or {}).get(t, ()), out)
+        if g.open and not g.spent and any(g.holds(rule, c) for c in late.get(t, ())):
+            since = g.since(rule, g.last)
+            sev, seq = g.window.best(since)
+            out.append(("clear", t, seq, sev, g.window.count(since)))
             g.open = False
-            continue
-        if not g.open or g.spent:
-            g.open, g.last, g.ticket, g.spent, g.recent = True, t, -1, False, []
-            g.settings = json.loads(settings) if settings else {}
-        g.last = max(g.last, t)
-        g.recent = sorted([*g.alive(rule, g.last), [t, step, count, sev, seq]])
-        g.recent = g.alive(rule, g.last)
-        immediate = g.get(rule, "immediate")
-        if g.ticket < 0 and immediate is not None and g.counter(rule, g.last) >= immediate:
-            _ticket(g, rule, g.last, "first", out)
     if clock is not None and g.open:
         _elapse(g, rule, clock, out)
     return out
+
+
+def _join(g: GroupMemory, rule: CorrelationRule, second: tuple, names: Iterable[tuple], out: list) -> None:
+    """The alarms of a second open the group or join it."""
+    t, seq, sev, step, state, count, _, settings = second
+    if rule.closes_on_up and state == UP:
+        g.open = False
+        return
+    if not g.open or g.spent:
+        g.open, g.opened, g.last, g.ticket, g.spent = True, t, t, -1, False
+        g.window, g.who, g.latest = Window(), {}, {}
+        g.settings = json.loads(settings) if settings else {}
+    g.last = max(g.last, t)
+    g.window.add([t, step, count, sev, seq])
+    since = g.since(rule, g.last)
+    g.window.drop(since)
+    if names:
+        g.note(t, names)
+    if len(g.who) > 2 * len(g.window) + 64:
+        g.who = {s: n for s, n in g.who.items() if s >= since}
+        g.latest = {k: s for k, s in g.latest.items() if s >= since}
+    immediate = g.get(rule, "immediate")
+    if g.ticket < 0 and immediate is not None and g.counter(rule, g.last) >= immediate:
+        _ticket(g, rule, g.last, "first", out)

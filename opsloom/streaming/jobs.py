@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.alarms import clear_key
 from ..operators.graph import impact_changes, service_impact
 from ..operators.profile_alarms import CHANGE_COLUMNS, CHANGES, SeriesState, prune, step_series, worse
 from ..operators.stats import SERIES, Catalogue, ProfileRule, mode_of
 from ..session import scratch, stored
-from .correlate import GROUP_EVENTS, CorrelationRule, GroupMemory, by_second, step_group
+from .correlate import CorrelationRule
+from .groups import APART, KEYED, MESSAGE, SHARDS, Names, clear_rows, combine, group_id, step_groups, typed_state
 
 BatchSink = Callable[[DataFrame, int], None]
 
@@ -157,38 +159,10 @@ def profile_alarms(matched: DataFrame, rule: ProfileRule, delay: str = "0 second
 # --- correlation ------------------------------------------------------------------------
 
 
-KEYED = (
-    "rule string, group string, timeissued bigint, state int, seq bigint, severity int, step int, n bigint, "
-    "lead bigint, settings string"
-)
-
-
-def combine_seconds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Add up the alarms of one group and second within a batch of a task.
-
-    Done before the shuffle, so a group that receives a third of all alarms brings
-    one row per second and batch to its task (see ``by_second``).
-    """
-    keys = ["rule", "group", "timeissued"]
-    cols = [*keys, "state", "seq", "severity", "step", "n", "lead", "settings"]
-    for pdf in batches:
-        # rows of no rule only move the clock: the latest of them will do
-        idle = pdf[pdf["rule"].isna()]
-        if len(idle):
-            yield idle.nlargest(1, "timeissued")[cols]
-        part = pdf[pdf["rule"].notna()]
-        if len(part):
-            first = part.sort_values("lead").groupby(keys, sort=False, as_index=False).agg(lead=("lead", "first"), settings=("settings", "first"))
-            g = part.sort_values(["severity", "seq"]).groupby(keys, sort=False, as_index=False)
-            sums = g.agg(
-                state=("state", "max"), seq=("seq", "first"), severity=("severity", "first"), step=("step", "sum"), n=("n", "sum")
-            )
-            yield sums.merge(first, on=keys)[cols]
-
-
 def correlate(
-    alarms: DataFrame, rules: Sequence[CorrelationRule], delay: str = "0 seconds", heartbeat: int | None = None
-) -> DataFrame:
+    alarms: DataFrame, rules: Sequence[CorrelationRule], delay: str = "0 seconds", heartbeat: int | None = None,
+    clears: str | None = None, keep: int = 129_600,
+) -> DataFrame:
     """Rule-driven correlation: one group of alarms per (rule, key).
 
     An alarm joins every rule whose predicate it meets. A group looks at a second when the
@@ -196,10 +170,21 @@ def correlate(
     ``delay`` give the same tickets; later ones join late. Groups time out as the event time
     moves on. With ``heartbeat`` (seconds) alarms are looked at as they come, and
     groups time out on processing time, that often, also when no data arrives.
+
+    ``clears`` is a predicate: rows that meet it are no alarms but clears (columns id1, alarmid, ccid,
+    timecleared), of everything, a ccid, object and alarm id, object and the time of an alarm, or an object, in
+    the precedence of ``alarms.clear_key``. A clear ends every open group that holds, within its window, an alarm
+    that fits and is not later, with an event "clear"; clears and alarms may arrive in any order within
+    ``delay``. ``keep``: how long after an alarm its object is known to be in the group; give the
+    longest window, if that is longer. Clears need event time, so not with ``heartbeat``.
     """
+    if heartbeat and clears:
+        raise ValueError("clears are looked at in event time: give either heartbeat or clears")
+    typed_state(alarms.sparkSession)
+    is_clear = F.coalesce(F.expr(clears), F.lit(False)) if clears else F.lit(False)
     hits = [
         F.when(
-            F.coalesce(F.expr(r.match), F.lit(False)),
+            F.coalesce(F.expr(r.match), F.lit(False)) & ~is_clear,
             F.struct(
                 F.lit(r.id).alias("rule"), F.to_json(F.struct(*r.keys)).alias("group"), F.expr(r.step).cast("int").alias("step"),
                 _settings(r).alias("settings"),
@@ -207,46 +192,44 @@ def correlate(
         )
         for r in rules
     ]
+    names = F.concat_ws(APART, F.coalesce("id1", F.lit("")), F.coalesce("alarmid", F.lit(""))) if clears else F.lit("")
     one = F.explode_outer(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h")
-    keyed = alarms.select("*", one).select(
-        F.col("h.rule").alias("rule"), F.col("h.group").alias("group"), "timeissued", "state", "seq", "severity",
-        F.col("h.step").alias("step"), F.lit(1).cast("bigint").alias("n"), F.col("seq").alias("lead"), F.col("h.settings").alias("settings"),
+    out = alarms.select("*", one).select(
+        F.when(F.col("h").isNotNull(), "alarm").alias("kind"), F.col("h.rule").alias("rule"), F.col("h.group").alias("group"),
+        "timeissued", "state", "seq", "severity", F.col("h.step").alias("step"), F.lit(1).cast("bigint").alias("n"),
+        F.col("seq").alias("lead"), F.col("h.settings").alias("settings"), names.alias("who"),
     )
-    keyed = event_time(keyed.mapInPandas(combine_seconds, KEYED), delay)
-    by_id = {r.id: r for r in rules}
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if heartbeat else GroupStateTimeout.EventTimeTimeout
-
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rule = by_id.get(key[0])
-        if rule is None:
-            return
-        memory = GroupMemory(**json.loads(state.get[0])) if state.exists else GroupMemory()
-        rows = [tuple(r) for r in memory.pending]
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                numbers = [pdf[c].astype(int).tolist() for c in ("timeissued", "seq", "severity", "step", "state", "n", "lead")]
-                rows += zip(*numbers, pdf["settings"].where(pdf["settings"].notna(), None).tolist())
-        if heartbeat:
-            clock = state.getCurrentProcessingTimeMs() // 1000
-            memory.pending, ready = [], rows
-        else:
-            clock = state.getCurrentWatermarkMs() // 1000
-            ready = [r for r in rows if r[0] <= clock]
-            memory.pending = by_second(r for r in rows if r[0] > clock)
-        out = step_group(memory, ready, rule, clock)
-        if memory.open or memory.pending:
-            state.update((json.dumps(memory.to_dict()),))
-            if heartbeat:
-                state.setTimeoutDuration(heartbeat * 1000)
-            else:
-                due = [r[0] for r in memory.pending[:1]] + ([memory.next_due(rule)] if memory.open else [])
-                # a timer fires once the watermark is past it
-                state.setTimeoutTimestamp(max(min(due), clock + 1) * 1000 - 1)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame([(*key, *r) for r in out], columns=["rule", "group", "event", "at", "seq", "severity", "n"])
-
-    return keyed.groupBy("rule", "group").applyInPandasWithState(run, GROUP_EVENTS, "memory string", "append", timeout)
+    if clears:
+        objects = F.coalesce("id1", F.lit(""))
+        shard = F.pmod(F.xxhash64("h.rule", "h.group"), F.lit(SHARDS)).cast("string")
+        slots = F.array(F.concat(F.lit("o:"), objects), F.concat(F.lit("all:"), shard))
+        known = alarms.select("*", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h")).select(
+            F.lit("name").alias("kind"), F.col("h.rule").alias("rule"), F.col("h.group").alias("group"), "timeissued",
+            F.explode(slots).alias("slot"), (F.col("timeissued") + keep).cast("bigint").alias("until"),
+        )
+        key = clear_key()
+        named = F.regexp_extract("ccid", "^(.*):([0-9a-f]{32}):([0-9]+)$", 1)
+        asked = alarms.where(is_clear).withColumn("__mode", key["kind"]).where("__mode is not null")
+        asked = asked.select("*", F.explode(clear_rows("__mode")).alias("slot")).select(
+            F.lit("clear").alias("kind"), F.when(F.col("__mode") == "c", named).alias("rule"),
+            F.when(F.col("__mode") == "c", F.regexp_extract("ccid", "^(.*):([0-9a-f]{32}):([0-9]+)$", 2)).alias("group"), "timeissued", "slot",
+            F.col("__mode").alias("mode"), "id1", "alarmid", F.col("timecleared").cast("bigint").alias("at"),
+            F.when(F.col("__mode") == "c", F.regexp_extract("ccid", "^(.*):([0-9a-f]{32}):([0-9]+)$", 3)).try_cast("bigint").alias("opened"),
+        )
+        out = out.unionByName(known, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
+    kinds = dict(c.split(None, 1) for c in KEYED.split(", "))
+    out = out.select(*[(F.col(c) if c in out.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+    keyed = event_time(out.mapInPandas(combine, KEYED), delay)
+    gid = F.when(F.col("kind") == "clear", F.col("group")).otherwise(group_id(F.col("group"))).alias("gid")
+    columns = [c.split()[0] for c in MESSAGE.split(", ")]
+    # conditions name the event time, so that Spark cannot move them below the clock, which every row must reach
+    direct = keyed.where("kind = 'alarm' or (kind = 'clear' and mode = 'c') or ts is null").select("*", gid, F.col("timeissued").alias("t"))
+    direct = direct.withColumn("group", F.when(F.col("kind") == "alarm", F.col("group"))).select(*columns)
+    if clears:
+        asked = keyed.where("slot is not null or ts is null").select("*", gid).groupBy("slot")
+        passed = asked.transformWithState(Names(), MESSAGE, "Append", "EventTime", eventTimeColumnName="ts")
+        direct = direct.unionByName(passed)
+    return step_groups(direct, {r.id: r for r in rules}, heartbeat)
 
 
 def _settings(rule: CorrelationRule) -> Column:

@@ -1,6 +1,7 @@
 """Operators against small plain-Python models on random input."""
 
 import ipaddress
+import hashlib
 import json
 import random
 import zlib
@@ -487,19 +488,109 @@ def test_combining_seconds_keeps_the_groups():
     import pandas as pd
 
     from opsloom.streaming.correlate import by_second
-    from opsloom.streaming.jobs import combine_seconds
-
-    cols = ["rule", "group", "timeissued", "state", "seq", "severity", "step", "n", "lead", "settings"]
-    rows_ = [("GEN1_ANY", "g", 5, 3, s, sev, 1, 1, s, f"s{s}") for s, sev in ((3, 2), (1, 4), (2, 2))]
-    rows_ += [(None, None, t, 0, 0, 0, None, 1, 0, None) for t in (1, 9, 4)]
-    out = pd.concat(list(combine_seconds(iter([pd.DataFrame(rows_, columns=cols)]))))
-    hit = out[out["rule"].notna()].iloc[0]
-    assert len(out) == 2 and (hit["seq"], hit["severity"], hit["n"], hit["step"], hit["settings"]) == (2, 2, 3, 3, "s1")
-    assert out[out["rule"].isna()].iloc[0]["timeissued"] == 9
+    from opsloom.streaming.groups import KEYED, combine
+
+    cols = [c.split()[0] for c in KEYED.split(", ")]
+    rows_ = [{"kind": "alarm", "rule": "GEN1_ANY", "group": "g", "timeissued": 5, "state": 3, "seq": s, "severity": sev, "step": 1, "n": 1, "lead": s,
+              "settings": f"s{s}", "who": f"o{s % 2}"} for s, sev in ((3, 2), (1, 4), (2, 2))]
+    rows_ += [{"timeissued": t, "state": 0, "seq": 0, "severity": 0, "n": 1, "lead": 0} for t in (1, 9, 4)]
+    rows_ += [{"kind": "name", "rule": "GEN1_ANY", "group": "g", "timeissued": t, "slot": "o:x", "until": t + 10} for t in (4, 2, 3)]
+    rows_ += [{"kind": "clear", "timeissued": 7, "slot": "o:x", "mode": "o", "id1": "x"}]
+    out = pd.concat(list(combine(iter([pd.DataFrame(rows_, columns=cols)]))))
+    hit = out[out["kind"] == "alarm"].iloc[0]
+    assert (hit["seq"], hit["severity"], hit["n"], hit["step"], hit["settings"], hit["who"]) == (2, 2, 3, 3, "s1", "o0\x1eo1")
+    assert out[out["kind"].isna()]["timeissued"].tolist() == [9]
+    assert out[out["kind"] == "name"][["timeissued", "until"]].values.tolist() == [[2, 14]]
+    assert out[out["kind"] == "clear"]["mode"].tolist() == ["o"]
     plain = [(5, s, sev, 1, 3, 1, s, f"s{s}") for s, sev in ((3, 2), (1, 4), (2, 2))]
     assert by_second(plain) == [(5, 2, 2, 3, 3, 3, 1, "s1")] == by_second([*by_second(plain[:2]), plain[2]])
 
 
+def test_window_equals_sums_over_lists():
+    from opsloom.streaming.correlate import Window
+
+    rng = random.Random(9)
+    for _ in range(200):
+        w, plain, t = Window(), [], 0
+        for i in range(rng.randrange(1, 400)):
+            t += rng.randrange(0, 4)
+            row = [t - rng.randrange(20) * (rng.random() < 0.1), rng.choice([1, -1]), rng.randrange(1, 4), rng.randrange(1, 5), i]
+            w.add(row)
+            plain.append(row)
+            since = t - rng.choice([5, 30])
+            w.drop(since)
+            plain = [r for r in plain if r[0] >= since]
+            live = [r for r in plain if r[0] >= since + 2]
+            assert sorted(w.live()) == sorted(plain) and w.counter(since + 2) == sum(r[1] for r in live) and w.count(since + 2) == sum(r[2] for r in live)
+            if live:
+                sev, _, seq = min((r[3], -r[0], r[4]) for r in live)
+                assert w.best(since + 2) == (sev, seq)
+
+
+def test_a_hundred_thousand_seconds_are_linear():
+    import time
+
+    rule = CorrelationRule("r", "true", ("k",), window=129_600, immediate=10**9, defer_count=10**9, defer_time=60)
+    seconds = [(t, t, 1 + t % 5, 1, 3, 1) for t in range(100_000)]
+    start = time.perf_counter()
+    g = GroupMemory()
+    for at in range(0, 100_000, 20_000):
+        assert step_group(g, seconds[at : at + 20_000], rule, None) == []
+    assert len(g.recent) == 100_000 and time.perf_counter() - start < 20
+
+
+@pytest.mark.parametrize("order", [0, 1])
+def test_clears_reach_open_groups_in_any_arrival_order(spark, tmp_path, order):
+    """Every mode of clear, against the group step with all clears; a group may hold alarms of several objects."""
+    from opsloom.streaming import jobs
+    from opsloom.streaming.correlate import Clear
+    from opsloom.streaming.groups import ccid_of
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    rng = random.Random(20 + order)
+    rules = [
+        CorrelationRule("own", "type = 1", ("id1",), window=900, immediate=2, first_delay=300, refresh=400),
+        CorrelationRule("mixed", "type = 1", ("text",), window=700, immediate=3, refresh=500),
+    ]
+    alarms_ = [(i, 1, rng.choice("abc"), rng.choice("xy"), rng.choice("tu"), rng.randrange(0, 20_000), rng.randint(1, 4), "", 0) for i in range(150)]
+    clears_ = []
+    for i in range(60):
+        mode, t = rng.choice("oiac" if i else ["all"]), rng.randrange(0, 20_000)
+        if i % 20 == 0:
+            mode = "all"
+        near = min(alarms_, key=lambda r: (r[5] > t, abs(t - r[5])))
+        if rng.random() < 0.3:
+            t = near[5]  # a clear of the same second comes after the alarm
+        own = f'{{"id1":"{near[2]}"}}'
+        ccid = ccid_of("own", md5(own), near[5]) if mode == "c" else ""
+        obj = "__all_clear__" if mode == "all" else near[2]
+        clears_.append((1000 + i, 2, obj, near[3] if mode == "i" else "", "", t, 1, ccid, near[5] if mode == "a" else 0, mode, own))
+    schema = "seq long, type int, id1 string, alarmid string, text string, timeissued long, severity int, ccid string, timecleared long, state int"
+    arriving = sorted([*alarms_, *(c[:9] for c in clears_)], key=lambda r: r[5] + rng.randrange(1500) * bool(order))
+    arriving.append((9999, 0, "z", "", "", 1_000_000, 1, "", 0))
+    path, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for at in range(0, len(arriving), 75):
+        spark.createDataFrame([(*r, 3) for r in arriving[at : at + 75]], schema).coalesce(1).write.mode("append").parquet(path)
+        live = jobs.stream_tail(spark, path, spark.read.parquet(path).schema)
+        jobs.catch_up(jobs.correlate(live, rules, delay="2000 seconds", clears="type = 2"), out, cp)
+    got = sorted((r.rule, r.group, r.event, r["at"], r.seq, r.severity, r.n) for r in spark.read.parquet(out).collect())
+    want = []
+    for rule, place in zip(rules, (2, 4), strict=True):
+        for k in sorted({a[place] for a in alarms_}):
+            mine = [a for a in alarms_ if a[place] == k]
+            who = {}
+            for a in mine:
+                who.setdefault(a[5], set()).add((a[2], a[3]))
+            group = f'{{"{rule.keys[0]}":"{k}"}}'
+            asked = [
+                Clear(c[5], c[9], c[2], c[3], c[8], int(c[7].split(":")[-1]) if c[7] else 0) for c in clears_ if c[9] != "c" or (rule.id == "own" and c[10] == group)
+            ]
+            events = step_group(GroupMemory(), [(a[5], a[0], a[6], 1, 3, 1) for a in mine], rule, 1_000_000 - 2000, asked, who)
+            want += [(rule.id, group, *e) for e in events]
+    assert got == sorted(want)
+    assert sum(w[2] == "clear" for w in want) > 10
+
+
 def test_a_late_alarm_does_not_turn_the_clock_back():
     rule = CorrelationRule("l", "true", ("k",), window=100, immediate=3)
     g = GroupMemory()

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from ..functions import codes, net, text
 from ..model import struct
-from ..operators import aggs, joins, ordered, rows
+from ..operators import aggs, intervals, joins, ordered, rows
 from ..session import scratch_path
 from ..sources import readers, writers
 from . import views as V
@@ -613,6 +613,37 @@ def merge_first_wins(spark, sf):
     )
 
 
+# Ranges of customers: many start at one point, some erase; and aligned blocks in each other.
+_FLAT_SQL = """r AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 1000 ELSE c_custkey * 7919 % 400000 END AS lo, c_custkey * 104729 % 30011 AS len,
+  CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_nationkey END AS value, c_custkey AS o FROM customer)"""
+_NEST_SQL = """r AS (SELECT (c_custkey * 7919 % 500000) >> (4 + c_custkey % 12) << (4 + c_custkey % 12) AS lo, (1 << (4 + c_custkey % 12)) - 1 AS len, c_custkey AS value, c_custkey AS o FROM customer)"""
+
+
+@query("interval_flat", f"""WITH {_FLAT_SQL}, p AS (SELECT lo AS p FROM r UNION SELECT lo + len + 1 FROM r), e AS (SELECT p AS lo, lead(p) OVER (ORDER BY p) - 1 AS hi FROM p),
+  c AS (SELECT e.lo, e.hi, max(r.o) AS o FROM e JOIN r ON r.lo <= e.lo AND r.lo + r.len >= e.hi GROUP BY ALL), v AS (SELECT c.lo, c.hi, r.value FROM c JOIN r USING (o) WHERE r.value IS NOT NULL),
+  n AS (SELECT *, CASE WHEN lag(hi) OVER w + 1 = lo AND lag(value) OVER w = value THEN 0 ELSE 1 END AS brk FROM v WINDOW w AS (ORDER BY lo)),
+  g AS (SELECT *, sum(brk) OVER (ORDER BY lo) AS run FROM n) SELECT min(lo)::BIGINT AS lo, max(hi)::BIGINT AS hi, min(value) AS value FROM g GROUP BY run""")
+def interval_flat(spark, sf):
+    """Later ranges overwrite earlier ones; equal neighbours are one."""
+    r = table(spark, sf, "customer").selectExpr(
+        "if(c_custkey % 3 = 0, 1000, c_custkey * 7919 % 400000) as lo", "c_custkey * 104729 % 30011 as len", "if(c_custkey % 10 = 0, null, c_nationkey) as value", "c_custkey as o"
+    )
+    return intervals.flat_segments(r.withColumn("hi", F.expr("lo + len")), "lo", "hi", "value", "o", per_chunk=500)
+
+
+@query("interval_nested", f"""WITH {_NEST_SQL}, m AS (SELECT o_orderkey, r.value, row_number() OVER (PARTITION BY o_orderkey ORDER BY len, o DESC) AS k FROM orders JOIN r ON o_totalprice::BIGINT BETWEEN lo AND lo + len)
+  SELECT o_orderkey, value FROM m WHERE k = 1""")
+def interval_nested(spark, sf):
+    """The innermost range of every order's price."""
+    k = "(4 + c_custkey % 12)"
+    r = table(spark, sf, "customer").selectExpr(
+        f"shiftleft(shiftright(c_custkey * 7919 % 500000, int{k}), int{k}) as lo", f"shiftleft(1L, int{k}) - 1 as len", "c_custkey as value", "c_custkey as o"
+    )
+    seg = intervals.nested_segments(r.withColumn("hi", F.expr("lo + len")), "lo", "hi", "value", "o", per_chunk=500)
+    o = table(spark, sf, "orders").withColumn("p", F.expr("bigint(round(o_totalprice))"))
+    return intervals.innermost_join(o, "p", seg).select("o_orderkey", "value")
+
+
 @query("interval_join", """SELECT o_orderkey, s_suppkey FROM orders JOIN supplier ON o_totalprice::BIGINT BETWEEN s_suppkey * 4000 AND s_suppkey * 4000 + s_nationkey * 300""")
 def interval_join(spark, sf):
     o = table(spark, sf, "orders").selectExpr("o_orderkey", "bigint(round(o_totalprice)) as p")

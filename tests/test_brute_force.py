@@ -931,3 +931,37 @@ def test_equal_times_are_one_sample(spark):
     rows_ = [("o", "x", "m", t, sev, 1.0) for t, sev in ((5, 1), (5, 1), (5, -1), (9, -1), (9, 1))]
     got = stats.m_of_n_alarm(spark.createDataFrame(rows_, "level string, id string, key string, timeissued long, sev int, score double"), rule)
     assert sorted((r.timeissued, r.sev, r.r0) for r in got.collect()) == [(5, 1, False), (9, 1, True)]
+
+
+@pytest.mark.parametrize("per_chunk", [1, 6, 50_000])
+def test_flat_and_nested_segments(spark, per_chunk):
+    from opsloom.operators import intervals
+
+    rng = random.Random(per_chunk)
+    rows_ = [(None, 4, "a", -1), (9, 8, "a", -2), (5, None, "b", -3)]
+    for i in range(90):
+        lo = rng.choice([7, 7, rng.randrange(300)])  # a hot start
+        rows_.append((lo, lo + rng.choice([0, 1, 5, 200, rng.randrange(300)]), rng.choice([None, "a", "b"]), i))
+    rows_ += rows_[20:30]
+    df = spark.createDataFrame(rows_, "s long, e long, v string, o long").repartition(3)
+
+    def plainly(key):
+        at = {}
+        for s, e, v, _ in sorted((r for r in rows_ if None not in r[:2]), key=key):
+            at |= dict.fromkeys(range(s, e + 1), v)
+        out = []
+        for x in sorted(x for x, v in at.items() if v is not None):
+            if out and out[-1][1] == x - 1 and out[-1][2] == at[x]:
+                out[-1][1] = x
+            else:
+                out.append([x, x, at[x]])
+        return [tuple(r) for r in out]
+
+    key = lambda d: sorted((r.lo, r.hi, r.value) for r in d.collect())
+    assert key(intervals.flat_segments(df, "s", "e", "v", "o", per_chunk)) == plainly(lambda r: r[3])
+    nested = intervals.nested_segments(df, "s", "e", "v", "o", per_chunk)
+    assert key(nested) == plainly(lambda r: (r[0] - r[1], r[3]))
+    points = spark.createDataFrame([(x,) for x in range(0, 320, 7)], "p long")
+    want = {x: v for lo, hi, v in plainly(lambda r: (r[0] - r[1], r[3])) for x in range(lo, hi + 1)}
+    got = {r.p: r.value for r in intervals.innermost_join(points, "p", nested, how="left").collect()}
+    assert got == {x: want.get(x) for x in range(0, 320, 7)}

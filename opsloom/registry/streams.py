@@ -329,9 +329,37 @@ def _changes_sql() -> str:
     return f"WITH {', '.join(_impact(_down_at(c), f'i{k}') for k, c in enumerate(_CUTS))} {' UNION ALL '.join(parts)}"
 
 
+_KEEP = 400 * 86400 + 3600
+
+
+def _aging_sql() -> str:
+    """Severities with the events of each delivery, and without those that are too old by its newest time."""
+    t = "epoch_us(o_orderdate) // 1000000"
+    clocks = [f"(SELECT max(CASE WHEN {t} + 2592000 < {c} AND {_UPS} THEN {t} + 2592000 ELSE {t} END) FROM orders WHERE o_totalprice > 400000 AND {t} < {c})" for c in _CUTS]
+    names, parts = [], []
+    for k, cut in enumerate(_CUTS):
+        old = f" AND {t} + {_KEEP} > {clocks[k - 1]}" if k else ""
+        names += [_impact(_down_at(cut) + old, f"n{k}"), _impact(_down_at(cut) + f" AND {t} + {_KEEP} > {clocks[k]}", f"p{k}")]
+        before = f"p{k - 1}" if k else "(SELECT o_custkey, 0 AS sev FROM n0)"
+        for x, y, cause in ((before, f"n{k}", "event"), (f"n{k}", f"p{k}", "age")):
+            parts.append(f"SELECT 'svc' || a.o_custkey % 3 AS service, CAST(a.o_custkey AS VARCHAR) AS ccid, a.sev AS old, b.sev AS new, '{cause}' AS cause FROM {x} a JOIN {y} b USING (o_custkey) WHERE a.sev <> b.sev")
+    return f"WITH {', '.join(names)} {' UNION ALL '.join(parts)}"
+
+
+@query("st_service_impact_aged", _aging_sql())
+def st_service_impact_aged(spark, sf):
+    """Open events leave when they are too old, in a batch without data: a third evaluation. Such a batch is run twice."""
+    return _impacts(spark, sf, _KEEP, lambda epoch: epoch == 1).select("service", "ccid", "old", "new", "cause")
+
+
 @query("st_service_impact", _changes_sql())
 def st_service_impact(spark, sf):
     """Raises and clears in three deliveries; the second batch is run twice."""
+    return _impacts(spark, sf, None, lambda epoch: epoch == 1).select("service", "ccid", "old", "new")
+
+
+def _impacts(spark, sf, keep, again):
+    """Changes over three deliveries of events; the batches that ``again`` names are run twice."""
     o = table(spark, sf, "orders")
     edges = _order_edges(spark, sf)
     roles = G.service_roles(
@@ -350,17 +378,18 @@ def st_service_impact(spark, sf):
     out, cp = scratch_path(spark, "gce-out"), scratch_path(spark, "gce-cp")
     before = jobs.read_before(spark, opened, events.select("level", "id").schema)
     step = jobs.impact_batches(
-        edges, roles, spark.read.parquet(members), before, jobs.write_epoch(out), jobs.write_epoch(opened), "t"
+        edges, roles, spark.read.parquet(members), before, jobs.write_epoch(out), jobs.write_epoch(opened), "at" if keep else "t"
     )
 
     def twice(batch, epoch):
         step(batch, epoch)
-        if epoch == 1:
+        if again(epoch):
             step(batch, epoch)
 
     done = 0
     for cut in _CUTS:
         events.where((F.col("t") >= done) & (F.col("t") < cut)).coalesce(4).write.mode("append").parquet(arrive)
-        jobs.catch_up_batches(jobs.stream_tail(spark, arrive, events.schema), twice, cp)
+        live = jobs.stream_tail(spark, arrive, events.schema)
+        jobs.catch_up_batches(jobs.aging_events(live, keep, time="t") if keep else live, twice, cp)
         done = cut
-    return spark.read.parquet(out).select("service", "ccid", "old", "new")
+    return spark.read.parquet(out)

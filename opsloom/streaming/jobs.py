@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.alarms import clear_key
 from ..operators.graph import impact_changes, service_impact
@@ -240,6 +242,57 @@ def _settings(rule: CorrelationRule) -> Column:
 
 # --- service impact -----------------------------------------------------------------------
 
+RAISED, CLEARED, AGED = 1, 2, 3
+
+
+class Aging(StatefulProcessor):
+    """The open event of a node, and the timer by which it grows too old."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: Any) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "at bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        t, kind = max((r.at, -r.type) for r in rows)
+        if self.open.exists():
+            self.handle.deleteTimer(self._due())
+            self.open.clear()
+        if kind == -RAISED:
+            self.open.update((t,))
+            self.handle.registerTimer(self._due())
+        yield Row(level=key[0], id=key[1], type=-kind, at=t)
+
+    def _due(self) -> int:
+        return (self.open.get()[0] + self.keep) * 1000
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        if self.open.exists() and self._due() <= expiredTimerInfo.getExpiryTimeInMs():
+            t = self.open.get()[0]
+            self.open.clear()
+            yield Row(level=key[0], id=key[1], type=AGED, at=t)
+
+    def close(self) -> None:
+        pass
+
+
+def aging_events(events: DataFrame, keep: int, delay: str = "0 seconds", time: str = "timeissued") -> DataFrame:
+    """Raises (type 1) and clears (type 2) of nodes, and a row of type 3 when an open event grows older than ``keep`` seconds.
+
+    (level, id, type, at). An event ages by the event time less ``delay``, also in batches without data; a new raise of the
+    node starts its age anew, a clear ends it. Of several events of a node in a batch the latest counts, a clear before a
+    raise of the same time. Rows of other types only move the clock. One row per node is kept as state, and a
+    timer per open event is the queue.
+    """
+    typed_state(events.sparkSession)
+    timed = event_time(events.select("level", "id", F.col("type").cast("int").alias("type"), F.col(time).cast("bigint").alias("at")), delay, "at")
+    # the condition names the event time, so that Spark cannot move it below the clock
+    return timed.where("type in (1, 2) or ts is null").groupBy("level", "id").transformWithState(
+        Aging(keep), "level string, id string, type int, at bigint", "Append", "EventTime"
+    )
+
 
 def impact_batches(
     edges: DataFrame, roles: DataFrame, members: DataFrame, read_open: Callable[[int], DataFrame], emit: BatchSink,
@@ -248,29 +301,42 @@ def impact_batches(
     """A ``foreachBatch`` function: re-evaluate the touched components, emit changes.
 
     ``members`` is the stored ``connected_components`` of the inventory; only
-    components with a raised or cleared node in the batch are looked at. Of several events
+    components with a node whose event came, went or aged in the batch are looked at. Of several events
     of a node in a batch the latest by ``order`` counts, a clear before a raise of the same time.
+    Services are evaluated before the batch, with its raises and clears, and, if events aged (type 3, see
+    ``aging_events``), once more without those: ``cause`` says whether a change is by an "event" or by "age".
     ``read_open`` gives the (level, id) that were open before an epoch, ``save_open`` gets
     those that are open after it; both must give the same again when an epoch is repeated.
     """
     home = members.select(F.col("ndlevel").alias("level"), F.col("ndid").alias("id"), "cclevel", "ccid")
 
     def run(batch: DataFrame, epoch: int) -> None:
-        last = batch.groupBy("level", "id").agg(F.max_by("type", F.struct(F.col(order), -F.col("type"))).alias("type"))
         with scratch(batch.sparkSession):
-            last = stored(last, "impact-last")
-            touched = home.join(last, ["level", "id"], "left_semi").select("cclevel", "ccid").distinct()
+            given = stored(batch.select("level", "id", "type", F.col(order).alias("__t")), "impact-batch")
+            said = given.where(F.col("type") != AGED).groupBy("level", "id").agg(F.max_by("type", F.struct("__t", -F.col("type"))).alias("type"))
+            last = stored(said, "impact-last")
+            aged = stored(given.where(F.col("type") == AGED).select("level", "id").distinct().join(last, ["level", "id"], "left_anti"), "impact-aged")
+            moved = last.select("level", "id").unionByName(aged)
+            touched = home.join(moved, ["level", "id"], "left_semi").select("cclevel", "ccid").distinct()
             near = stored(home.join(touched, ["cclevel", "ccid"], "left_semi").select("level", "id"), "impact-near")
             local = edges.join(near.withColumnsRenamed({"level": "level1", "id": "id1"}), ["level1", "id1"], "left_semi")
             mine = roles.join(near, ["level", "id"], "left_semi")
             was_open = read_open(epoch).select("level", "id").distinct()
-            now_open = was_open.join(last, ["level", "id"], "left_anti").unionByName(last.where("type = 1").select("level", "id"))
+            now_open = was_open.join(last, ["level", "id"], "left_anti").unionByName(last.where(F.col("type") == RAISED).select("level", "id"))
             now_open = stored(now_open, "impact-open")
-            old, new = (
-                service_impact(local, mine, e.join(near, ["level", "id"], "left_semi"), members=members) for e in (was_open, now_open)
-            )
-            emit(impact_changes(old, new), epoch)
-            save_open(now_open, epoch)
+
+            def evaluated(open_: DataFrame) -> DataFrame:
+                return service_impact(local, mine, open_.join(near, ["level", "id"], "left_semi"), members=members)
+
+            with_events = evaluated(now_open)
+            changes = impact_changes(evaluated(was_open), with_events).withColumn("cause", F.lit("event"))
+            left_open = now_open
+            if not aged.isEmpty():
+                with_events = stored(with_events, "impact-events")
+                left_open = now_open.join(aged, ["level", "id"], "left_anti")
+                changes = changes.unionByName(impact_changes(with_events, evaluated(left_open)).withColumn("cause", F.lit("age")))
+            emit(changes, epoch)
+            save_open(left_open, epoch)
 
     return run
 

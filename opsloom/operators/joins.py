@@ -3,7 +3,8 @@
 No broadcast is forced on data: Catalyst broadcasts a side when its measured
 size is below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sorts and
 merges, with AQE splitting the partitions of hot keys. Rule tables are literal
-configuration and become CASE expressions, which need no join at all.
+configuration: small ones become CASE expressions, which need no join at all,
+large ones a table that is broadcast (``rule_index``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.net import range_blocks
 from .ordered import number_rows, spread_ties
 from .rows import Expr, truth
+from .rule_index import matching_rules
 
 
 def join_tables(
@@ -181,6 +183,8 @@ NAME_ATTR = "name"
 PRIVACY_ATTR = "custpriv"
 SIZE_PREFIXES = ("si_sz_", "scopeinv_size_")
 
+LADDER = 64  # rules that are one CASE; more are looked up in an index
+
 
 def longest_literal(pattern: str) -> str:
     """The longest run of plain characters every match must contain ('' if unsure).
@@ -213,14 +217,17 @@ def rule_match_first(
 
     A row with an id takes the first rule of that id, else the ``__ANY__`` rule; a
     row without one takes the first rule whose object and text patterns match the
-    whole value. The table is configuration: one CASE, no join, no shuffle, and
-    a cheap ``contains`` ahead of every regular expression.
+    whole value. The table is configuration: up to ``LADDER`` rules are one CASE, no join, no shuffle, and
+    a cheap ``contains`` ahead of every regular expression. Of more, a row looks at the rules that an index
+    of the texts they need gives, once for all rows with the same object and text.
     """
     aid = F.coalesce(F.col(alarmid), F.lit(""))
     by_id: dict[str, int] = {}
     for i, r in enumerate(rules):
         by_id.setdefault(r.id, i)
     any_rule = by_id.get(ANY_RULE)
+    if len(rules) > LADDER:
+        return _indexed_match(df, rules, by_id, any_rule, aid, text, obj)
     ids = F.create_map(*[F.lit(x) for kv in by_id.items() for x in kv])
     known = F.coalesce(F.try_element_at(ids, aid), F.lit(any_rule).cast("int"))
     ladder = None
@@ -232,6 +239,20 @@ def rule_match_first(
     return df.withColumn("rule", F.when(aid != "", known).otherwise(ladder))
 
 
+def _indexed_match(df: DataFrame, rules: Sequence[AlarmRule], by_id: Mapping[str, int], any_rule: int | None, aid: Column, text: str, obj: str) -> DataFrame:
+    subjects = df.where(aid == "").select(F.col(text).alias("__text"), F.col(obj).alias("__obj"))
+    patterns = [{"__text": r.text} | ({} if r.obj is None else {"__obj": r.obj}) for r in rules]
+    first = matching_rules(subjects, patterns).select(F.col("__text"), F.col("__obj"), F.col("__rules")[0].alias("__first"))
+    ids = F.broadcast(df.sparkSession.createDataFrame(list(by_id.items()), "__id string, __known int"))
+    out = df.withColumn("__aid", aid).join(ids, F.col("__aid") == F.col("__id"), "left")
+    same = (F.col("__aid") == "") & F.col(text).eqNullSafe(F.col("__text")) & F.col(obj).eqNullSafe(F.col("__obj"))
+    out = out.join(first, same, "left")
+    known = F.coalesce(F.col("__known"), F.lit(any_rule).cast("int"))
+    return out.withColumn("rule", F.when(F.col("__aid") != "", known).otherwise(F.col("__first"))).drop(
+        "__aid", "__id", "__known", "__text", "__obj", "__first"
+    )
+
+
 def _pick(rules: Sequence, of: str, values: Sequence, dtype: str) -> Column:
     """A rule attribute by ordinal: NULL where the rule does not set it."""
     arr = F.array(*[F.lit(v).cast(dtype) for v in values])
@@ -240,6 +261,11 @@ def _pick(rules: Sequence, of: str, values: Sequence, dtype: str) -> Column:
 
 def rule_captures(df: DataFrame, rules: Sequence[AlarmRule], text: str = "text") -> DataFrame:
     """``name=value`` variables from the capture groups of the matched rule."""
+    if len(rules) > LADDER:
+        values = {"names": ([list(r.names) for r in rules], "array<string>"), "pattern": ([f"^(?:{r.text})$" for r in rules], "string")}
+        out, pick = _picked(df, "rule", values)
+        got = F.transform(pick["names"], lambda n, i: F.concat(n, F.lit("="), F.call_function("regexp_extract", F.col(text), pick["pattern"], i + 1)))
+        return out.withColumn("captured", F.coalesce(F.array_join(got, "\t\t"), F.lit(""))).drop(*_helpers(values))
     out = None
     for i, r in enumerate(rules):
         if not r.names:
@@ -257,27 +283,28 @@ def rule_captures(df: DataFrame, rules: Sequence[AlarmRule], text: str = "text")
 def rule_apply_overrides(df: DataFrame, rules: Sequence[AlarmRule]) -> DataFrame:
     """What the matched rule overrides: state, modes, severity, comment, variables, id."""
     hit = F.col("rule").isNotNull()
-    rid = _pick(rules, "rule", [r.id for r in rules], "string")
-    tm = _pick(rules, "rule", [r.tmode if r.tmode != -1 else None for r in rules], "int")
-    sm = _pick(rules, "rule", [r.smode if r.smode != -1 else None for r in rules], "int")
-    sev = _pick(rules, "rule", [r.severity if r.severity > 0 else None for r in rules], "int")
-    com = _pick(rules, "rule", [r.comment for r in rules], "string")
-    var = _pick(rules, "rule", [r.variables or None for r in rules], "string")
+    values = {
+        "id": ([r.id for r in rules], "string"), "state": ([r.state for r in rules], "int"),
+        "tmode": ([r.tmode if r.tmode != -1 else None for r in rules], "int"), "smode": ([r.smode if r.smode != -1 else None for r in rules], "int"),
+        "severity": ([r.severity if r.severity > 0 else None for r in rules], "int"), "comment": ([r.comment for r in rules], "string"),
+        "variables": ([r.variables or None for r in rules], "string"),
+    }
+    out, pick = _picked(df, "rule", values)
     extra = F.nullif(
-        F.concat_ws("\t\t", var, F.nullif(F.col("captured"), F.lit("")) if "captured" in df.columns else F.lit(None)),
+        F.concat_ws("\t\t", pick["variables"], F.nullif(F.col("captured"), F.lit("")) if "captured" in df.columns else F.lit(None)),
         F.lit(""),
     )
-    return df.withColumns(
+    return out.withColumns(
         {
-            "alarmid": F.when(hit & (F.coalesce("alarmid", F.lit("")) == ""), rid).otherwise(F.col("alarmid")),
-            "state": F.when(hit, _pick(rules, "rule", [r.state for r in rules], "int")).otherwise(F.col("state")),
-            "tmode": F.coalesce(tm, "tmode"),
-            "smode": F.coalesce(sm, "smode"),
-            "severity": F.coalesce(sev, "severity"),
-            "comment": F.coalesce(com, "comment"),
+            "alarmid": F.when(hit & (F.coalesce("alarmid", F.lit("")) == ""), pick["id"]).otherwise(F.col("alarmid")),
+            "state": F.when(hit, pick["state"]).otherwise(F.col("state")),
+            "tmode": F.coalesce(pick["tmode"], "tmode"),
+            "smode": F.coalesce(pick["smode"], "smode"),
+            "severity": F.coalesce(pick["severity"], "severity"),
+            "comment": F.coalesce(pick["comment"], "comment"),
             "variables": F.concat_ws("\t\t", F.nullif(F.col("variables"), F.lit("")), extra),
         }
-    )
+    ).drop(*_helpers(values))
 
 
 @dataclass(frozen=True)
@@ -300,7 +327,13 @@ def filter_rule_match(
     df: DataFrame, rules: Sequence[FilterRule], obj: str = "id1", text: str = "text",
     alarmid: str = "alarmid", time: str = "timeissued",
 ) -> DataFrame:
-    """Overrides by the first filter that matches, after classification."""
+    """Overrides by the first filter that matches, after classification.
+
+    Up to ``LADDER`` filters are one CASE; more are looked up as in ``rule_match_first``, and of those that a row
+    meets the first one whose time window holds counts.
+    """
+    if len(rules) > LADDER:
+        return _filtered(_indexed_filter(df, rules, {"__obj": obj, "__text": text, "__aid": alarmid}, time), rules)
     ladder = None
     for i, r in enumerate(rules):
         p = F.col(time).between(r.start, r.end)
@@ -308,20 +341,50 @@ def filter_rule_match(
             if rx != ".*":
                 p = p & _matches(F.col(c), rx)
         ladder = F.when(truth(p), F.lit(i)) if ladder is None else ladder.when(truth(p), F.lit(i))
-    out = df.withColumn("filter", ladder)
-
-    def pick(values, dtype):
-        return _pick(rules, "filter", values, dtype)
-
-    return out.withColumns(
-        {
-            "tmode": F.coalesce(pick([r.tmode or None for r in rules], "int"), "tmode"),
-            "smode": F.coalesce(pick([r.smode or None for r in rules], "int"), "smode"),
-            "severity": F.coalesce(pick([r.severity or None for r in rules], "int"), "severity"),
-            "comment": F.coalesce(pick([r.comment for r in rules], "string"), "comment"),
-            "account": pick([r.account for r in rules], "string"),
-        }
-    )
+    return _filtered(df.withColumn("filter", ladder), rules)
+
+
+def _indexed_filter(df: DataFrame, rules: Sequence[FilterRule], columns: Mapping[str, str], time: str) -> DataFrame:
+    given = [{"__obj": r.obj, "__text": r.text, "__aid": r.alarmid} for r in rules]
+    patterns = [{c: p for c, p in one.items() if p != ".*"} for one in given]
+    subjects = df.select(*[F.col(c).alias(n) for n, c in columns.items()])
+    windows = F.broadcast(df.sparkSession.createDataFrame([(i, r.start, r.end) for i, r in enumerate(rules)], "o int, start bigint, end bigint"))
+    met = matching_rules(subjects, patterns).select(*columns, F.explode("__rules").alias("o")).join(windows, "o")
+    met = met.groupBy(*columns).agg(F.array_sort(F.collect_list(F.struct("o", "start", "end"))).alias("__met"))
+    same = F.lit(True)
+    for n, c in columns.items():
+        same = same & df[c].eqNullSafe(met[n])
+    open_ = F.filter("__met", lambda m: F.col(time).between(m["start"], m["end"]))
+    return df.join(met, same, "left").withColumn("filter", F.get(open_, F.lit(0))["o"]).drop("__met", *columns)
+
+
+def _filtered(out: DataFrame, rules: Sequence[FilterRule]) -> DataFrame:
+    """What the filter of each row overrides."""
+
+    values = {
+        "tmode": ([r.tmode or None for r in rules], "int"), "smode": ([r.smode or None for r in rules], "int"),
+        "severity": ([r.severity or None for r in rules], "int"), "comment": ([r.comment for r in rules], "string"),
+        "account": ([r.account for r in rules], "string"),
+    }
+    out, pick = _picked(out, "filter", values)
+    changed = {c: F.coalesce(pick[c], c) for c in ("tmode", "smode", "severity", "comment")}
+    return out.withColumns({**changed, "account": pick["account"]}).drop(*_helpers(values))
+
+
+def _picked(df: DataFrame, of: str, values: Mapping[str, tuple[Sequence, str]]) -> tuple[DataFrame, dict[str, Column]]:
+    """Attributes of the rule with ordinal ``of``: out of constants for a few rules, else by a join with the rule table."""
+    n = max(len(v) for v, _ in values.values())
+    if n <= LADDER:
+        return df, {c: _pick(v, of, v, t) for c, (v, t) in values.items()}
+    names = _helpers(values)
+    schema = "__o int, " + ", ".join(f"{h} {t}" for h, (_, t) in zip(names, values.values()))
+    rows = list(zip(range(n), *(v for v, _ in values.values())))
+    rule_table = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # configuration: as large as the plan's rules
+    return df.join(rule_table, F.col(of) == F.col("__o"), "left").drop("__o"), {c: F.col(h) for c, h in zip(values, names)}
+
+
+def _helpers(values: Mapping[str, object]) -> list[str]:
+    return [f"__of_{c}" for c in values]
 
 
 # --- attribute conditions ----------------------------------------------------------

@@ -689,6 +689,29 @@ FILTERS = (
 )
 
 
+# A table of 300 rules, looked up by its index.
+_MANY = tuple(
+    joins.AlarmRule(
+        "disk_used.sd1" if i == 7 else joins.ANY_RULE if i == 50 else f"rule{i}", f"disk_([0-{i % 10}]) usage at {i % 150}%",
+        obj=None if i % 3 else f".*{i % 7}.*", state=i % 5, severity=i % 4, names=("disk",),
+    )
+    for i in range(300)
+)
+
+
+@query("rule_match_indexed", f"""WITH {V.ALARMS}, x AS (SELECT seq, id1, text, severity, CASE WHEN seq % 2 = 0 THEN '' ELSE alarmid END AS aid FROM alarm),
+  r AS (SELECT i::INTEGER AS i, CASE WHEN i = 7 THEN 'disk_used.sd1' WHEN i = 50 THEN '__ANY__' ELSE 'rule' || i END AS id, 'disk_([0-' || i % 10 || ']) usage at ' || i % 150 || '%' AS p, CASE WHEN i % 3 = 0 THEN '.*' || i % 7 || '.*' END AS o FROM range(300) t(i)),
+  d AS (SELECT DISTINCT text, id1 FROM x WHERE aid = ''), m AS (SELECT text, id1, min(i) AS i FROM d JOIN r ON regexp_full_match(text, p) AND (o IS NULL OR regexp_full_match(id1, o)) GROUP BY ALL),
+  f AS (SELECT x.*, CASE WHEN aid = '' THEN m.i ELSE coalesce(k.i, 50) END AS rule FROM x LEFT JOIN m ON m.text = x.text AND m.id1 = x.id1 LEFT JOIN r k ON k.id = x.aid)
+  SELECT seq, rule::INTEGER AS rule, CASE WHEN rule IS NULL THEN '' ELSE 'disk=' || regexp_extract(text, '^(?:disk_([0-' || rule % 10 || ']) usage at ' || rule % 150 || '%)$', 1) END AS captured,
+    CASE WHEN rule % 4 > 0 THEN (rule % 4)::INTEGER ELSE severity END AS severity FROM f""")
+def rule_match_indexed(spark, sf):
+    """First match of every alarm in a large rule table, with captures and overrides."""
+    a = V.alarm(spark, sf).withColumn("alarmid", F.expr("if(seq % 2 = 0, '', alarmid)"))
+    a = joins.rule_captures(joins.rule_match_first(a, _MANY), _MANY)
+    return joins.rule_apply_overrides(a, _MANY).select("seq", "rule", "captured", "severity")
+
+
 @query("filter_rule_match", f"""WITH {V.ALARMS}, f AS (SELECT *, CASE WHEN timeissued BETWEEN 1704067200 AND 1705000000 AND regexp_full_match(id1, '[0-9]') THEN 0
   WHEN regexp_full_match(text, 'disk_[5-9] .*') THEN 1 END AS flt FROM alarm) SELECT seq, CASE WHEN flt = 0 THEN 3 ELSE tmode END AS tmode,
   CASE WHEN flt = 1 THEN 1 ELSE smode END AS smode, CASE WHEN flt = 1 THEN 5 ELSE severity END AS severity,

@@ -965,3 +965,40 @@ def test_flat_and_nested_segments(spark, per_chunk):
     want = {x: v for lo, hi, v in plainly(lambda r: (r[0] - r[1], r[3])) for x in range(lo, hi + 1)}
     got = {r.p: r.value for r in intervals.innermost_join(points, "p", nested, how="left").collect()}
     assert got == {x: want.get(x) for x in range(0, 320, 7)}
+
+
+def test_indexed_rules_equal_the_ladder(spark, monkeypatch):
+    """Random large tables: the first match, overrides and filters are those of one CASE."""
+    rng = random.Random(8)
+    pats = ["disk_[0-9] usage at {n}%", "host{n} .*down", "(a|b){n}x?", "link {n}-[0-9]+ (up|down)", ".*error {n}.*", "[a-z]+{n}", r"node\.{n}: ok+", r"\Qq{n}\E"]
+    k = 70
+    some = lambda: rng.choice(pats).replace("{n}", str(rng.randrange(25)))
+    rules = [
+        joins.AlarmRule("__ANY__" if i == 20 else f"r{rng.randrange(k)}", some(), rng.choice([None, None, "obj[0-3]", f"o{rng.randrange(5)}.*"]), state=i % 5, severity=i % 3)
+        for i in range(k)
+    ]
+    filters = [
+        joins.FilterRule(obj=rng.choice([".*", "obj[0-2]"]), text=rng.choice([".*", some()]), alarmid=rng.choice([".*", f"r{rng.randrange(9)}"]), account=f"a{i}", start=100, end=100 + rng.randrange(60), severity=i % 4)
+        for i in range(k)
+    ]
+    rows_ = []
+    for i in range(500):
+        m = rng.randrange(25)
+        t = rng.choice([f"disk_{m % 10} usage at {m}%", f"host{m} is down", f"a{m}x", f"link {m}-4 up", f"big error {m} here", f"zz{m}", f"node.{m}: okkk", f"q{m}", "nothing", None, ""])
+        rows_.append((i, rng.choice(["", "", None, f"r{rng.randrange(k)}", "unknown"]), t, rng.choice(["obj1", "o3xx", None, "zz"]), 100 + i % 50, 1, 1, 1, 3, "c", "v"))
+    df = spark.createDataFrame(rows_, "seq long, alarmid string, text string, id1 string, timeissued long, tmode int, smode int, severity int, state int, comment string, variables string")
+    got = []
+    for ladder in (10**6, 10):
+        monkeypatch.setattr(joins, "LADDER", ladder)
+        matched = joins.rule_apply_overrides(joins.rule_match_first(df, rules), rules)
+        got.append([sorted(map(str, d.collect())) for d in (matched, joins.filter_rule_match(df, filters))])
+    assert got[0] == got[1]
+    assert sum("rule=None" not in r for r in got[0][0]) > 50 and sum("account=None" not in r for r in got[0][1]) > 10
+
+
+def test_runs_that_patterns_need():
+    from opsloom.operators.rule_index import needed_runs
+
+    assert needed_runs("abc[0-9]+de?f") == ["abc", "d", "f"]
+    assert needed_runs("(?:xy)+z|q") == needed_runs("(a|b)") == needed_runs("(?i)abc") == needed_runs(r"\Qab\E") == []
+    assert needed_runs(r"a\.b(cd){2}") == ["a.b", "cd"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..operators import alarms as A
 from ..operators import graph as G
 from ..operators import stats
 from ..session import scratch_path
-from ..streaming import jobs
+from ..streaming import hours, jobs
 from ..streaming.correlate import GEN1, GEN2, IOT, CorrelationRule
 from ..streaming.groups import group_id
 from . import views as V
@@ -101,6 +103,45 @@ def st_profile_alarm(spark, sf):
     return spark.read.parquet(out).where("kind <> 'repeat'").select("level", "id", "key", "timeissued", "kind")
 
 
+# Three deliveries of points, a fifth of them late; days of the last three days are open, 25 days is too old.
+_DAYS = (dt.date(2024, 1, 11), dt.date(2024, 1, 21), dt.date(2024, 1, 31))
+_ARRIVES = "CASE WHEN seq % 5 = 0 OR timeissued >= 1705795200 THEN 2 WHEN timeissued >= 1704931200 THEN 1 ELSE 0 END"
+_ROUTED = f"""arrived AS (SELECT *, CAST(make_timestamp(timeissued * 1000000) AS DATE) AS event_date, CAST(timeissued % 86400 // 3600 AS INTEGER) AS event_hour, {_ARRIVES} AS epoch FROM framed),
+  routed AS (SELECT *, DATE '2024-01-11' + CAST(10 * epoch AS INTEGER) AS today FROM arrived),
+  taken AS (SELECT *, event_date < today - 3 AS reopened FROM routed WHERE event_date >= today - 3 OR today - event_date <= 25)"""
+
+
+def _hours(spark, sf):
+    """The store after three deliveries; the second batch is run twice."""
+    f = V.framed(spark, sf).select("seq", "level", "id", "key", "unit", "frame", "timeissued", "val")
+    store, arrive, cp = (scratch_path(spark, n) for n in ("hours", "points", "hours-cp"))
+    step = hours.ingest(store, lambda epoch: _DAYS[epoch], open_days=3, max_age_days=25)
+
+    def run(batch, epoch):
+        step(batch, epoch)
+        if epoch == 1:
+            step(batch, epoch)
+
+    for k in range(3):
+        f.where(F.expr(_ARRIVES.replace("CASE", "case")) == k).write.mode("append").parquet(arrive)
+        jobs.catch_up_batches(jobs.stream_tail(spark, arrive, f.schema), run, cp)
+    return store
+
+
+@query("hour_merge_job", f"""WITH {V.FRAMED}, {_ROUTED}, r AS (SELECT *, row_number() OVER (PARTITION BY level, id, key, unit, event_date, event_hour, frame ORDER BY epoch DESC, timeissued DESC, val DESC) AS r FROM taken)
+  SELECT event_date, event_hour, id, key, frame, timeissued, val FROM r WHERE r = 1""")
+def hour_merge_job(spark, sf):
+    """Points of all days after late days were reopened and merged."""
+    store = _hours(spark, sf)
+    return spark.read.parquet(f"{store}/hours").select("event_date", "event_hour", "id", "key", "frame", "timeissued", "val")
+
+
+@query("late_dates", f"WITH {V.FRAMED}, {_ROUTED} SELECT event_date, max(reopened) AS reopened FROM taken GROUP BY event_date")
+def late_dates(spark, sf):
+    """The dates that three deliveries touched, and which of them were closed before."""
+    return hours.touched_dates(spark, _hours(spark, sf))
+
+
 GEN = CorrelationRule("GEN", "type = 1", ("id1",), window=_GAP, immediate=2, first_delay=30000, refresh=36000)
 
 

@@ -1002,3 +1002,40 @@ def test_runs_that_patterns_need():
     assert needed_runs("abc[0-9]+de?f") == ["abc", "d", "f"]
     assert needed_runs("(?:xy)+z|q") == needed_runs("(a|b)") == needed_runs("(?i)abc") == needed_runs(r"\Qab\E") == []
     assert needed_runs(r"a\.b(cd){2}") == ["a.b", "cd"]
+
+
+def test_late_days_are_merged_and_others_left_alone(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    from opsloom.streaming import hours
+
+    store = str(tmp_path / "store")
+    schema = "level string, id string, key string, unit string, frame int, timeissued long, val double"
+    day = 86_400
+    point = lambda d, h, frame, val: ("o", "a", "k", "u", frame, d * day + h * 3600, val)
+    today = lambda epoch: dt.date(1970, 1, 1) + dt.timedelta(days=100 + epoch)
+    step = hours.ingest(store, today, open_days=2, max_age_days=10)
+
+    def batch(*rows):
+        return spark.createDataFrame(list(rows), schema)
+
+    def files():
+        return {os.path.join(r, f): os.stat(os.path.join(r, f)).st_mtime_ns for r, _, fs in os.walk(f"{store}/hours") for f in fs if f.endswith(".parquet")}
+
+    def stored_rows():
+        return sorted((r.event_date.toordinal() - dt.date(1970, 1, 1).toordinal(), r.event_hour, r.frame, r.val) for r in spark.read.parquet(f"{store}/hours").collect())
+
+    step(batch(point(100, 1, 0, 1.0), point(100, 1, 0, 2.0), point(100, 2, 0, 3.0), point(95, 5, 0, 4.0), point(80, 5, 0, 9.0)), 0)
+    assert stored_rows() == [(95, 5, 0, 4.0), (100, 1, 0, 2.0), (100, 2, 0, 3.0)]  # day 80 is too old
+    before = files()
+    late = batch(point(95, 5, 0, 7.0), point(95, 5, 1, 8.0), ("o", "a", "k", "u", 0, None, 1.0))
+    for _ in range(2):  # repeated, as after a crash
+        step(late, 1)
+        assert stored_rows() == [(95, 5, 0, 7.0), (95, 5, 1, 8.0), (100, 1, 0, 2.0), (100, 2, 0, 3.0)]
+    after = files()
+    assert {f: t for f, t in before.items() if "1970-04-11" in f} == {f: t for f, t in after.items() if "1970-04-11" in f}
+    assert {r.event_date.toordinal() - dt.date(1970, 1, 1).toordinal(): r.reopened for r in hours.touched_dates(spark, store, 1).collect()} == {95: True}
+    assert spark.read.parquet(f"{store}/rejected").count() == 2
+    step(batch(), 2)
+    assert files() == after

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..session import scratch, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
+PLAN = ("__mix_whole", "__mix_end", "__mix_part", "__mix_of")  # columns that meet the caller's
 DIGITS = 3  # hex digits that one descent resolves: at most 4096 sums per source
 
 
@@ -83,27 +84,27 @@ def mix(
     of result columns are replaced.
     """
     names = ("size", "source_size", "target", "taken", "epochs")
-    rows = docs.drop(*names).withColumn("size", word_count(F.col("text"))).withColumn("__key", _key(F.col("doc_id"), seed))
+    rows = docs.drop(*names).withColumn("size", word_count(F.col("text"))).withColumn("__mix_key", _key(F.col("doc_id"), seed))
     with scratch(docs.sparkSession):
         plan = _plan(rows, weights, share, max_epochs)
-    out = rows.join(plan, rows["source"].cast("string").eqNullSafe(plan["__source"]), "left")
+    out = rows.join(plan, rows["source"].cast("string").eqNullSafe(plan["__mix_source"]), "left")
     extra = (
-        F.when(F.col("__key") < F.col("end"), F.col("size"))
-        .when(F.col("__key") == F.col("end"), F.expr("size * part div of"))
+        F.when(F.col("__mix_key") < F.col("__mix_end"), F.col("size"))
+        .when(F.col("__mix_key") == F.col("__mix_end"), F.expr("size * __mix_part div __mix_of"))
         .otherwise(0)
     )
-    taken = (F.col("whole") * F.col("size") + extra).cast("long")
+    taken = (F.col("__mix_whole") * F.col("size") + extra).cast("long")
     return (
         out.withColumn("taken", taken)
         .withColumn("epochs", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0))
-        .drop("__source", "__key", "whole", "end", "part", "of")
+        .drop("__mix_source", "__mix_key", *PLAN)
         .to(_schema(docs, names))
     )
 
 
 def _plan(rows: DataFrame, weights: DataFrame | tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
     """Per source: size, target, whole repetitions, the hash at which the rest ends, and how much of it goes there."""
-    base = stored(rows.select(F.col("source").cast("string").alias("source"), "size", "__key"), "mix")
+    base = stored(rows.select(F.col("source").cast("string").alias("source"), "size", "__mix_key"), "mix")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     table = weights if isinstance(weights, DataFrame) else cycled_weights(sizes, weights)
     table = table.select(F.col("source").alias("__s"), F.col("weight").cast("double").alias("weight"))
@@ -119,15 +120,15 @@ def _plan(rows: DataFrame, weights: DataFrame | tuple[float, ...], share: float,
     open_ = state.select(F.col("source").alias("__s"), F.lit("").alias("at"), "rest")
     by_source = Window.partitionBy("__s").orderBy("bucket")
     for level in range(2):
-        bucket = F.substring("__key", 1, DIGITS * (level + 1))
-        inside = base.join(open_, F.col("source").eqNullSafe(F.col("__s")) & F.col("__key").startswith(F.col("at")))
+        bucket = F.substring("__mix_key", 1, DIGITS * (level + 1))
+        inside = base.join(open_, F.col("source").eqNullSafe(F.col("__s")) & F.col("__mix_key").startswith(F.col("at")))
         sums = inside.groupBy("__s", "rest", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
         open_ = stored(_ending(sums, by_source).select("__s", F.col("bucket").alias("at"), "rest"), "mix-open")
-    inside = base.join(open_, F.col("source").eqNullSafe(F.col("__s")) & F.col("__key").startswith(F.col("at")))
-    sums = inside.groupBy("__s", "rest", F.col("__key").alias("bucket")).agg(F.sum("size").alias("n"))
+    inside = base.join(open_, F.col("source").eqNullSafe(F.col("__s")) & F.col("__mix_key").startswith(F.col("at")))
+    sums = inside.groupBy("__s", "rest", F.col("__mix_key").alias("bucket")).agg(F.sum("size").alias("n"))
     ends = _ending(sums, by_source).select("__s", F.col("bucket").alias("end"), F.col("rest").alias("part"), F.col("n").alias("of"))
     plan = state.join(ends, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s", "rest")
-    return stored(plan.withColumnRenamed("source", "__source"), "mix-plan", keep=True)
+    return stored(plan.withColumnsRenamed({"source": "__mix_source", **{c.removeprefix("__mix_"): c for c in PLAN}}), "mix-plan", keep=True)
 
 
 def _ending(sums: DataFrame, by_source) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,15 +92,16 @@ def derive(records: DataFrame) -> DataFrame:
     repeated derivatives. Extra columns are kept, apart from the names above.
     """
     extra = [c for c in records.columns if c not in ("record_id", "type", "refers_to", "target_uri", "date", "headers", "block")]
+    held = [F.struct(*[F.col(f"`{c}`") for c in extra]).alias("__x")] if extra else []  # under one name, so that no working column meets them
     src = records.where("type = 'response'").select(
-        *extra, F.col("record_id").alias("source"), F.coalesce("target_uri", F.lit("")).alias("target_uri"), F.coalesce("date", F.lit("")).alias("date"),
-        F.col("headers").alias("given"), F.coalesce("block", F.lit("")).alias("raw"),
+        *held, F.col("record_id").alias("__source"), F.coalesce("target_uri", F.lit("")).alias("target_uri"), F.coalesce("date", F.lit("")).alias("date"),
+        F.col("headers").alias("__given"), F.coalesce("block", F.lit("")).alias("__raw"),
     )
-    src = src.withColumn("body", http_body(F.col("raw")))
-    src = src.withColumn("text", plain_text(F.col("body")))
-    src = src.withColumn("payload", F.coalesce(F.element_at("given", "WARC-Payload-Digest"), digest(F.col("body"))))
-    conversion, metadata = _uuid(F.lit("conversion"), F.col("source")), _uuid(F.lit("metadata"), F.col("source"))
-    lines = F.split(http_head(F.col("raw")), CRLF, -1)
+    src = src.withColumn("__body", http_body(F.col("__raw")))
+    src = src.withColumn("__text", plain_text(F.col("__body")))
+    src = src.withColumn("__payload", F.coalesce(F.element_at("__given", "WARC-Payload-Digest"), digest(F.col("__body"))))
+    conversion, metadata = _uuid(F.lit("conversion"), F.col("__source")), _uuid(F.lit("metadata"), F.col("__source"))
+    lines = F.split(http_head(F.col("__raw")), CRLF, -1)
     fields = F.transform(
         F.filter(lines, lambda x, i: i > 0),
         lambda x: F.concat(F.lit("http-"), F.lower(F.substring_index(x, ":", 1)), F.lit(":"), x.substr(F.instr(x, F.lit(":")) + 1, F.length(x))),
@@ -105,9 +110,9 @@ def derive(records: DataFrame) -> DataFrame:
         F.array(F.concat(F.lit("http-status: "), F.element_at(lines, 1))),
         fields,
         F.array(
-            F.concat(F.lit("source-payload-digest: "), F.col("payload")),
+            F.concat(F.lit("source-payload-digest: "), F.col("__payload")),
             F.concat(F.lit("conversion-id: "), conversion),
-            F.concat(F.lit("outlinks: "), F.regexp_count("body", F.lit(r"(?i)<a\s[^>]*href=")).cast("string")),
+            F.concat(F.lit("outlinks: "), F.regexp_count("__body", F.lit(r"(?i)<a\s[^>]*href=")).cast("string")),
         ),
     )
     about = F.concat(F.array_join(named, CRLF), F.lit(CRLF))
@@ -115,17 +120,18 @@ def derive(records: DataFrame) -> DataFrame:
     def record(kind: str, own: Column, mime: str, block: Column) -> Column:
         headers = F.create_map(
             F.lit("Content-Type"), F.lit(mime),
-            F.lit("WARC-Source-Payload-Digest"), F.col("payload"),
+            F.lit("WARC-Source-Payload-Digest"), F.col("__payload"),
             F.lit("WARC-Block-Digest"), digest(block),
         )
         if kind == "metadata":
-            headers = F.map_concat(headers, _source_fields(F.col("given")))
+            headers = F.map_concat(headers, _source_fields(F.col("__given")))
         return F.struct(own.alias("record_id"), F.lit(kind).alias("type"), headers.alias("headers"), block.alias("block"))
 
-    src = src.withColumn("about", about)
-    both = F.array(record("metadata", metadata, "application/warc-fields", F.col("about")), record("conversion", conversion, "text/plain; charset=utf-8", F.col("text")))
-    out = src.select(*extra, "source", "target_uri", "date", F.explode(both).alias("r"))
-    return out.select(*extra, "r.record_id", "r.type", F.col("source").alias("refers_to"), "target_uri", "date", "r.headers", "r.block")
+    src = src.withColumn("__about", about)
+    both = F.array(record("metadata", metadata, "application/warc-fields", F.col("__about")), record("conversion", conversion, "text/plain; charset=utf-8", F.col("__text")))
+    out = src.select(*(["__x"] if extra else []), "__source", "target_uri", "date", F.explode(both).alias("__r"))
+    given = [F.col("__x")[c].alias(c) for c in extra]
+    return out.select(*given, "__r.record_id", "__r.type", F.col("__source").alias("refers_to"), "target_uri", "date", "__r.headers", "__r.block")
 
 
 def serialise(records: DataFrame) -> Column:
@@ -144,46 +150,96 @@ def write(records: DataFrame, path: str) -> None:
     records.select(serialise(records).alias("value")).write.option("lineSep", CRLF * 2).text(path)
 
 
-def _parse(data: bytes) -> Iterator[dict]:
-    """Records of one file, by the lengths they declare; values of repeated fields are lines of one value."""
-    at = 0
-    while (head := data.find(b"\r\n\r\n", at)) >= 0:
-        got = {}
-        for line in data[at:head].split(b"\r\n")[1:]:
-            if b": " in line:
-                name, value = line.decode().split(": ", 1)
-                got[name] = f"{got[name]}{CRLF}{value}" if name in got else value
-        size = int(got.pop("Content-Length", "0").split(CRLF)[-1])
-        block = data[head + 4 : head + 4 + size]
-        own = {"WARC-Record-ID", "WARC-Type", "WARC-Target-URI", "WARC-Date", "WARC-Refers-To"}
+OWN = ("warc-record-id", "warc-type", "warc-refers-to", "warc-target-uri", "warc-date")
+
+
+def _parse(stream: BinaryIO) -> Iterator[dict]:
+    """Records of one file, by the lengths they declare; values of repeated fields are lines of one value.
+
+    Names of fields are told apart without case, and need no blank after the colon. What is no record is given as a
+    ``reject`` with its reason, and reading goes on at the next line that begins a record.
+    """
+    line = stream.readline()
+    while line:
+        if not line.startswith(b"WARC/"):
+            if line.strip():
+                yield {"reject": "no version line", "block": line.rstrip(b"\r\n")}
+                while line and not line.startswith(b"WARC/"):
+                    line = stream.readline()
+            else:
+                line = stream.readline()
+            continue
+        got: dict[str, tuple[str, str]] = {}
+        raw = []
+        while (line := stream.readline()) and line.strip(b"\r\n"):
+            raw.append(line)
+            name, colon, value = line.rstrip(b"\r\n").decode("utf-8", "replace").partition(":")
+            if colon:
+                name, value = name.strip(), value.strip()
+                low = name.lower()
+                got[low] = (got[low][0], f"{got[low][1]}{CRLF}{value}") if low in got else (name, value)
+        size = got.pop("content-length", ("", ""))[1].split(CRLF)[-1]
+        if not (size.isascii() and size.isdigit()):
+            yield {"reject": "no length" if not size else "bad length", "block": b"".join(raw)}
+            while (line := stream.readline()) and not line.startswith(b"WARC/"):
+                pass
+            continue
+        block = stream.read(int(size))
+        if len(block) < int(size):
+            yield {"reject": "cut short", "block": b"".join(raw)}
+            return
+        values = {k: v for k, (_, v) in got.items()}
         yield {
-            "record_id": got.get("WARC-Record-ID"), "type": got.get("WARC-Type"), "refers_to": got.get("WARC-Refers-To"),
-            "target_uri": got.get("WARC-Target-URI"), "date": got.get("WARC-Date"),
-            "headers": [(k, v) for k, v in got.items() if k not in own], "block": block,
+            "record_id": values.get(OWN[0]), "type": values.get(OWN[1]), "refers_to": values.get(OWN[2]), "target_uri": values.get(OWN[3]),
+            "date": values.get(OWN[4]), "headers": [v for k, v in got.items() if k not in OWN], "block": block, "reject": None,
         }
-        at = head + 4 + size + 4
+        line = stream.readline()
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files below ``path``; a file is read by one task, so keep files to about a gigabyte as crawls do.
+def _opened(content: bytes) -> BinaryIO:
+    """The bytes of a file; one that begins as gzip (a member per record, as crawls have it) is unpacked as it is read."""
+    return gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
 
-    Blocks keep their bytes, whether they are UTF-8 or not.
-    """
+
+def _records(spark: SparkSession, path: str, rejected: bool) -> DataFrame:
     kinds = [(c, pa.string()) for c in ("record_id", "type", "refers_to", "target_uri", "date")]
-    schema = pa.schema([*kinds, ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+    schema = pa.schema([("path", pa.string()), *kinds, ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary()), ("reject", pa.string())])
+
+    def parsed(content: bytes) -> Iterator[dict]:
+        try:
+            yield from _parse(_opened(content))
+        except (OSError, EOFError, zlib.error) as broken:  # of a file that is packed
+            yield {"reject": f"broken file: {broken}", "block": b""}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
+            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 held, size = [], 0
-                for record in _parse(content.as_py()):
-                    held.append(record)
+                for record in parsed(content.as_py()):
+                    if (record["reject"] is not None) != rejected:
+                        continue
+                    held.append({"path": name.as_py(), **record})
                     size += len(record["block"])
                     if size > 1 << 23:
                         yield pa.RecordBatch.from_pylist(held, schema)
                         held, size = [], 0
                 yield pa.RecordBatch.from_pylist(held, schema)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    got = files.mapInArrow(run, "record_id string, type string, refers_to string, target_uri string, date string, headers map<string,string>, block binary")
-    return got.withColumn("block", F.col("block").cast("string"))
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(
+        run, "path string, record_id string, type string, refers_to string, target_uri string, date string, headers map<string,string>, block binary, reject string"
+    )
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the WARC files below ``path``, packed (gzip) or not; what is no record is left to ``read_rejects``.
+
+    A file is read by one task, so keep files below 2 GB as crawls do; a packed one is unpacked record by record.
+    Blocks keep their bytes, whether they are UTF-8 or not; fields that are not are read with replacement characters.
+    """
+    return _records(spark, path, False).drop("path", "reject").withColumn("block", F.col("block").cast("string"))
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, reason, raw) of what is no record in the files below ``path``: its first line, or its fields."""
+    return _records(spark, path, True).select("path", F.col("reject").alias("reason"), F.col("block").alias("raw"))

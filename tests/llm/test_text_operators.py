@@ -91,6 +91,8 @@ def test_mix(spark, odd, odd_rows, empty, no_id):
     assert words == Counter({s: n for s, n in taken.items() if n})
     assert mixing.mix(empty, (1.0,)).count() == 0
     assert mixing.mix(no_id, (1.0,)).count() == 3
+    named = odd.withColumns({c: F.lit("x") for c in ("end", "part", "of", "whole", "rest", "at", "bucket", "n", "weight", "cap", "ratio", "left", "clamped", "total")})
+    assert sorted(rows_of(mixing.mix(named, (5.0, 2.0, 1.0)), "doc_id", "end", "taken"), key=str) == sorted(((r[0], "x", r[5]) for r in rows), key=str)
     weights = spark.createDataFrame([("b", 3.0), (None, 1.0)], "source string, weight double")
     assert {r.source for r in mixing.mix(odd, weights).where("taken > 0").collect()} == {"b", None}
 
@@ -124,6 +126,30 @@ def test_warc_derivatives_and_files(spark, tmp_path):
     assert {r.block for r in warc.derive(odd).where("type = 'conversion'").collect()} == {""}
 
 
+def test_warc_extra_columns_and_bad_records(spark, tmp_path):
+    import gzip
+
+    names = ["source", "r", "text", "body", "raw", "given", "payload", "about", "page_id", "__x"]
+    rows = spark.createDataFrame([("<a>", "response", "u", "d", None, "HTTP/1.1 200 OK\r\n\r\n<p>x</p>", *names)], warc.RECORD + "".join(f", `{c}` string" for c in names))
+    for r in warc.derive(rows).collect():
+        assert [r[c] for c in names] == names and r.refers_to == "<a>"
+    good = "WARC/1.1\r\nwarc-type:response\r\nWARC-record-ID:<g{i}>\r\nContent-length: 2\r\n\r\nab\r\n\r\n"
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nX: \xff\xfe\r\nContent-Length: -4x\r\n\r\njunk\r\n\r\n"
+    loose = b"no record at all\r\nsecond line\r\n"
+    data = good.format(i=1).encode() + bad + loose + good.format(i=2).replace("ab", "cd").encode() + b"WARC/1.0\r\nX: \xff\r\n\r\n" + b"WARC/1.0\r\nWARC-Type: x\r\nContent-Length: 99\r\n\r\nshort"
+    path = tmp_path / "w"
+    path.mkdir()
+    (path / "a.warc").write_bytes(data)
+    packed = b"".join(gzip.compress(good.format(i=i).encode()) for i in (3, 4))
+    (path / "b.warc.gz").write_bytes(packed)
+    (path / "c.warc.gz").write_bytes(packed[:-20])
+    (path / "d.warc").write_bytes(b"")
+    got = Counter((r.record_id, r.type, r.block) for r in warc.read(spark, str(path)).collect())
+    assert got == {("<g1>", "response", "ab"): 1, ("<g2>", "response", "cd"): 1, ("<g3>", "response", "ab"): 2, ("<g4>", "response", "ab"): got["<g4>", "response", "ab"]}
+    reasons = Counter(r.reason.split(":")[0] for r in warc.read_rejects(spark, str(path)).collect())
+    assert reasons["bad length"] == 1 and reasons["no length"] == 1 and reasons["cut short"] == 1 and reasons["broken file"] == 1
+
+
 def test_warc_keeps_named_fields_and_bytes(spark, tmp_path):
     body = bytes(range(256)) * 3 + b"\r\n\r\n\xf0\xff"
     block = b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n" + body

@@ -20,6 +20,7 @@ from .tokens import _ODD, PUNCT, U64, list_column, mix64, slices, words
 
 BITS = (26, 29)  # of the bitmap of test hashes, 8 to 64 MB: 32 times their number between these bounds
 MASKS = 128  # per window length, at most
+KEYS = 256  # choices of words that may differ, at most; beyond, windows are compared
 
 
 @dataclass(frozen=True)
@@ -152,40 +153,78 @@ def _has_seed(same: Column, seeds: Seeds) -> Column:
     )
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = WHOLE) -> DataFrame:
-    """(doc_id, item_id, first_word, last_word, n_hits): verified overlaps, one row per document and item.
+def _exact_keys(ctx: Column, w: int, spare: int) -> Column:
+    """A hash of the ``w`` words without each choice of ``spare`` ones: two windows differ in at most that many words if they share one."""
+    kept = [[i for i in range(w) if i not in out] for out in itertools.combinations(range(w), spare)]
+    table = F.array(*[F.array(*map(F.lit, k)) for k in kept])
+    return F.transform(table, lambda keep: F.xxhash64(keep, F.transform(keep, lambda i: F.get(ctx, i))))
 
-    Words are runs of letters and digits, A-Z folded; in scripts without spaces every character
-    is a word. An overlap is ``window`` neighbouring words, or a whole item if it has fewer, of which
-    ``share`` percent are equal (all for items of fewer than ``few`` words, down to one). All are found:
-    the words that may differ lie in a few groups of positions, and for every choice of that many groups a
-    mask leaves them out. The hashes of all windows of all texts under all masks are tested against a
-    bitmap of the test hashes; those that pass are joined with the test hashes, and the words
-    of both windows compared. ``n_hits`` counts the windows of the document.
-    Items without any word cannot be searched; ``unsearched`` lists them.
 
-    Null texts have no words. Rows without doc_id are left out. Repeated doc_ids count
-    as one document. Extra columns are not read. Empty tables give an empty table.
+def _matched(docs: DataFrame, benchmark: DataFrame, seeds: Seeds) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is found: (id, pos, w, own) windows of the documents, (w, own, key) those that overlap test windows, (w, key, item_id).
+
+    Windows that the hashes bring together are verified without pairs of them: two windows differ in no more words than
+    they may if they share a key that leaves out just those, so both are joined with their keys, however many documents and
+    items hold a passage with other words in places. Where that takes too many keys, or overlaps need a seed
+    as well, distinct windows are compared, and the key is the test window.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    tests = stored(test_hashes(benchmark, seeds), "test-hashes")
+    tests = test_hashes(benchmark, seeds).withColumn("window", F.xxhash64("item_ctx"))
+    tests = stored(tests, "test-hashes")
     bits = _bitmap(spark, tests)
     lengths = sorted(r.w for r in tests.select("w").distinct().collect())
     train = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    found = stored(train.mapInArrow(_hashes(seeds, lengths, bits), _SCHEMA), "training-hits")
+    found = train.mapInArrow(_hashes(seeds, lengths, bits), _SCHEMA).withColumn("own", F.xxhash64("ctx"))
+    found = stored(found, "training-hits")
+    mine = stored(found.dropDuplicates(["hash", "w", "own"]).select("hash", "w", "own", "ctx"), "training-windows")
+    hit = counted(stored(mine.select("hash", "w").distinct(), "hit-hashes"))
+    known = stored(tests.join(hit, ["hash", "w"], "left_semi").dropDuplicates(["hash", "w", "window"]).select("hash", "w", "window", "item_ctx"), "test-windows")
+    items = tests.select("w", "window", "item_id").distinct()
+    if not seeds.span and all(math.comb(w, seeds.spare(w)) <= KEYS for w in lengths):
+
+        def keys(ctx: str) -> Column:
+            made = [F.when(F.col("w") == w, _exact_keys(F.col(ctx), w, seeds.spare(w))) for w in lengths]
+            return F.explode(F.coalesce(*made) if made else F.array().cast("array<long>")).alias("key")
+
+        ours = stored(mine.dropDuplicates(["w", "own"]).select("w", "own", keys("ctx")), "training-keys")
+        theirs = stored(known.dropDuplicates(["w", "window"]).select("w", "window", keys("item_ctx")), "test-keys")
+        links = ours.join(theirs.select("w", "key").distinct(), ["w", "key"], "left_semi")
+        theirs = theirs.join(ours.select("w", "key").distinct(), ["w", "key"], "left_semi")
+        named = theirs.join(items, ["w", "window"]).select("w", "key", "item_id").distinct()
+        return found, links, named
     # as many windows as 50,000 rows of three masks
-    pairs = found.join(counted(tests, 250_000), ["hash", "w"])
+    pairs = mine.join(counted(known, 250_000), ["hash", "w"])
     same = F.zip_with("ctx", "item_ctx", lambda a, b: a == b)
-    pairs = pairs.select("id", "item_id", "pos", "w", same.alias("same"))
+    pairs = pairs.select("w", "own", "window", same.alias("same"))
     least = F.when(F.col("w") < min(seeds.few, seeds.window), 100).otherwise(seeds.share)
     checked = pairs.where(100 * F.size(F.filter("same", lambda x: x)) >= least * F.col("w"))
     if seeds.span:
         checked = checked.where(_has_seed(F.col("same"), seeds))
+    return found, checked.select("w", "own", F.col("window").alias("key")).distinct(), items.withColumnRenamed("window", "key")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = WHOLE) -> DataFrame:
+    """(doc_id, item_id, first_word, last_word, n_hits): verified overlaps, one row per document and item.
+
+    Words are runs of letters and digits, A-Z folded; in scripts without spaces every character
+    is a word. An overlap is ``window`` neighbouring words, or a whole item if it has fewer, of which
+    ``share`` percent are equal (all for items of fewer than ``few`` words, down to one). All are found:
+    the words that may differ lie in a few groups of positions, and for every choice of that many groups a
+    mask leaves them out. The hashes of all windows of all texts under all masks are tested against a
+    bitmap of the test hashes; those that pass are joined with the test hashes, and the words
+    of both windows compared, once for all copies of a window. ``n_hits`` counts the windows of the document.
+    Items without any word cannot be searched; ``unsearched`` lists them.
+
+    Null texts have no words. Rows without doc_id are left out. Repeated doc_ids count
+    as one document. Extra columns are not read. Empty tables give an empty table.
+    """
+    found, links, named = _matched(docs, benchmark, seeds)
+    own = links.join(named, ["w", "key"]).select("w", "own", "item_id").distinct()
     return (
-        checked.groupBy(F.col("id").alias("doc_id"), "item_id")
+        found.select("id", "pos", "w", "own").distinct().join(own, ["w", "own"]).groupBy(F.col("id").alias("doc_id"), "item_id")
         .agg(F.min("pos").alias("first_word"), F.max(F.col("pos") + F.col("w") - 1).alias("last_word"), F.count_distinct("pos").alias("n_hits"))
-    )
+    )
 
 
 def unsearched(benchmark: DataFrame) -> DataFrame:
@@ -202,10 +241,21 @@ def unsearched(benchmark: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = WHOLE) -> DataFrame:
-    """Per document: doc_id, contaminated, n_items, items (ids, ascending), first_word, last_word (null if clean)."""
+    """Per document: doc_id, contaminated, n_items, items (ids, ascending), first_word, last_word (null if clean).
+
+    Test windows that the same items share are one list of items, so a passage that many documents and items have in
+    common costs a document one list.
+    """
     with scratch(docs.sparkSession):
-        per = hits(docs, benchmark, seeds).groupBy("doc_id").agg(
-            F.array_sort(F.collect_set("item_id")).alias("items"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word")
+        found, links, named = _matched(docs, benchmark, seeds)
+        lists = named.groupBy("w", "key").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("list", F.xxhash64("items"))
+        lists = stored(lists, "item-lists")
+        own = stored(links.join(counted(lists.select("w", "key", "list")), ["w", "key"]).select("w", "own", "list").distinct(), "window-lists")
+        per_list = found.select("id", "pos", "w", "own").distinct().join(counted(own), ["w", "own"]).groupBy("id", "list")
+        per_list = per_list.agg(F.min("pos").alias("first"), F.max(F.col("pos") + F.col("w") - 1).alias("last"))
+        sets = counted(stored(lists.dropDuplicates(["list"]).select("list", "items"), "item-sets"), weight=1 + F.size("items"))
+        per = per_list.join(sets, "list").groupBy(F.col("id").alias("doc_id")).agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.min("first").alias("first_word"), F.max("last").alias("last_word")
         )
         per = stored(per.withColumnRenamed("doc_id", "__i"), "contaminated", keep=True)
     per = counted(per, weight=1 + F.size("items"))
@@ -221,7 +271,9 @@ def report(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = WHOLE) -> DataF
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = WHOLE) -> DataFrame:
-    """The documents without an overlap with the benchmark, with their columns."""
+    """The documents without an overlap with the benchmark, with their columns. Which items they overlap is not looked up."""
     with scratch(docs.sparkSession):
-        bad = stored(hits(docs, benchmark, seeds).select(F.col("doc_id").alias("__i")).distinct(), "contaminated", keep=True)
+        found, links, _ = _matched(docs, benchmark, seeds)
+        own = counted(stored(links.select("w", "own").distinct(), "equal-windows"))
+        bad = stored(found.join(own, ["w", "own"], "left_semi").select(F.col("id").alias("__i")).distinct(), "contaminated", keep=True)
     return docs.join(counted(bad), F.col("doc_id") == F.col("__i"), "left_anti")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -126,6 +127,34 @@ def test_warc_derivatives_and_files(spark, tmp_path):
     assert {r.block for r in warc.derive(odd).where("type = 'conversion'").collect()} == {""}
 
 
+def test_a_shared_passage_is_compared_once(spark):
+    """3000 documents and 3000 items that share one passage: nine million pairs, one comparison."""
+    rng = random.Random(4)
+    tail = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(6))
+    docs = spark.createDataFrame([(i, f"{tail()} {PASSAGE} {tail()}") for i in range(3000)], "doc_id long, text string").repartition(4)
+    items = spark.createDataFrame([(i, f"{PASSAGE} {tail()}") for i in range(3000)], "item_id long, text string").repartition(4)
+    start = time.perf_counter()
+    assert decontaminate.decontaminate(docs, items).count() == 0
+    assert time.perf_counter() - start < 60
+    assert decontaminate.report(docs.where("doc_id < 20"), items).agg(F.min("n_items"), F.max("n_items")).first()[:] == (3000, 3000)
+
+
+def test_stages_of_exact_dedup(spark):
+    """Each stage hashes only what the one before left."""
+    texts = ["a" * 300 + "x", "a" * 300 + "x", "a" * 300 + "y", "b" * 301, "c" * 10, "d" * 10, "e" * 7, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = exact_dedup._rows(docs)
+    lengths = exact_dedup.shared_lengths(rows)
+    assert {r.k_len for r in lengths.collect()} == {301, 10, 0}
+    keys = exact_dedup.shared_prefixes(rows, lengths)
+    assert sorted(r.p_len for r in keys.collect()) == [0, 301]
+    got = exact_dedup.resolve(docs).collect()
+    assert sorted(r.doc_id for r in got if r.digest is not None) == [0, 1, 2, 7, 8]
+    assert sorted(r.doc_id for r in got if not r.kept) == [1, 8]
+    least = spark.createDataFrame([(-(2**63), "t"), (2**63 - 1, "t"), (0, "t")], "doc_id long, text string")
+    assert {r.keep_id for r in exact_dedup.resolve(least).collect()} == {-(2**63)}
+
+
 def test_warc_extra_columns_and_bad_records(spark, tmp_path):
     import gzip
 

@@ -53,21 +53,24 @@ def _draw(count: int, seed: int):
 
 
 def fit(
-    train: DataFrame, per_lang: int = 1500, draws: int = 400, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 5
-) -> Model | None:
+    train: DataFrame, per_lang: int = 1500, draws: int = 400, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 5,
+    rows: int = 20_000, languages: int = 400,
+) -> Model | None:
     """A model from (doc_id, text, lang), fitted on a bounded sample.
 
-    The sample takes about ``per_lang`` documents of every language, by hash of doc_id, and
-    from each ``draws`` subwords from anywhere in its text, so what reaches the driver
-    is bounded by the number of languages. Four fifths train embeddings and softmax
+    The sample takes about ``per_lang`` documents of every language, by hash of doc_id, fewer if that were more than
+    ``rows`` in all, and from each ``draws`` subwords from anywhere in its text. So what reaches the driver is bounded
+    by ``rows`` x ``draws`` numbers. Of more than ``languages`` values of lang the most frequent (then the
+    smallest) are learned; a column of many is likely dirty. Four fifths train embeddings and softmax
     by stochastic gradient descent; the rest sets the temperature (least log loss) and
     the least score to accept (99 % of what is accepted is right).
     Without any labelled text there is no model.
     """
     text_batches(train.sparkSession)
     train = train.where("lang is not null and length(text) > 0").select("doc_id", "text", "lang")
-    sizes = stored(train.groupBy("lang").count(), "lang-counts")
-    shares = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("count"))
+    sizes = stored(train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages), "lang-counts")
+    each = min(per_lang, rows // max(1, sizes.count()))
+    shares = F.least(F.lit(1.0), F.lit(float(each)) / F.col("count"))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     # one row per language
     rates = F.broadcast(sizes.select(F.col("lang").alias("__l"), shares.alias("share")))

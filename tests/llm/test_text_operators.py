@@ -697,6 +697,13 @@ def test_queries_of_brute_forced_operators(spark):
     assert found == {d: ",".join(map(str, sorted(plain.overlaps(t, bench, 12, 3, 13, 80)))) for d, t in docs}
 
 
+def test_language_sample_is_bounded(spark):
+    """Of a dirty column of languages the most frequent are learned, and the sample keeps its bound."""
+    rows = [(i, f"alpha beta {'gamma' if i % 2 else 'delta'} " * 5, ("aa" if i % 2 else "bb") if i < 200 else f"x{i}") for i in range(300)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=100, languages=2)
+    assert model.langs == ("aa", "bb")
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

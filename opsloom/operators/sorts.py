@@ -13,6 +13,7 @@ from .rows import Expr, as_col
 
 # Copies of one value that a task writes out at a time.
 COPIES = 100_000
+HEAP = 10_000  # rows that the first rows of an input may be without a sort of all
 
 
 def sort_keys(
@@ -88,12 +89,15 @@ def shuffle(df: DataFrame, seed: int = 0) -> DataFrame:
 def head(df: DataFrame, n: int, order: Sequence[Expr], skip: int = 0, by: Sequence[str] = ()) -> DataFrame:
     """The first n rows per input after ``skip``, ties in the order of a row hash.
 
-    Every input partition keeps its own first rows (at most ``skip + n`` per input);
-    what is left of all is numbered, which sorts over many tasks.
+    Up to ``HEAP`` rows of one input are a bounded heap per partition. Else every input partition keeps its own first
+    rows (at most ``skip + n`` per input); what is left of all is numbered, which sorts over many tasks.
     """
     keys = [as_col(o) for o in order]
     plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     marked = df.withColumns({"__h": F.xxhash64(*[F.col(f"`{c}`") for c in plain]), "__p": F.spark_partition_id()})
+    if not by and skip + n <= HEAP:
+        out = marked.orderBy(*keys, "__h")
+        return (out.offset(skip) if skip else out).limit(n).drop("__h", "__p")
     first = F.row_number().over(Window.partitionBy(*by, "__p").orderBy(*keys, "__h"))
     some = marked.withColumn("__rn", first).where(F.col("__rn") <= skip + n).drop("__rn", "__p")
     out = number_rows(some, [*order, "__h"], "__rn", by).where(F.col("__rn").between(skip + 1, skip + n))

@@ -279,9 +279,9 @@ def sink_convert(spark, sf):
 
 @query("sink_query_export", f"""WITH {V.NODES} SELECT json_extract_string(value, '$.id') AS id, json_extract_string(value, '$.key') AS key,
   json_extract_string(value, '$.val') AS val FROM (SELECT to_json({{'id': id, 'key': key, 'val': val}}) AS value
-  FROM inv_node WHERE level = 'o' AND NOT regexp_full_match(key, 'scope_.*'))""")
+  FROM inv_node WHERE NOT regexp_full_match(key, 'scope_.*'))""")
 def sink_query_export(spark, sf):
-    out = writers.export_rows(V.inv_node(spark, sf).where("level = 'o'"), "json", "key", "scope_.*")
+    out = writers.export_rows(V.inv_node(spark, sf), "json", "key", "scope_.*")
     return out.select(*[F.get_json_object("value", f"$.{c}").alias(c) for c in ("id", "key", "val")])
 
 
@@ -749,16 +749,17 @@ def threshold_match(spark, sf):
     return out.select("level", "id", "cid", "stat", "account")
 
 
-@query("profile_expand", f"""WITH {V.NODES}, a AS (SELECT DISTINCT level, id FROM inv_node WHERE level = 'o')
+@query("profile_expand", f"""WITH {V.NODES}, a AS (SELECT DISTINCT level, id FROM inv_node)
   SELECT level, id, 'click' AS key, 'SIGMA:1' AS spec FROM a WHERE CAST(id AS BIGINT) % 3 = 0
   UNION ALL SELECT level, id, 'view.x', 'ACTUAL:%' FROM a
-  UNION ALL SELECT level, id, 'purchase0', 'ACTUAL:' || val FROM inv_node WHERE level = 'o' AND key = 'si_sz_purchase0'""")
+  UNION ALL SELECT level, id, 'purchase0', 'ACTUAL:' || val FROM inv_node WHERE key = 'si_sz_purchase0'""")
 def profile_expand(spark, sf):
     nodes = V.inv_node(spark, sf)
-    assets = nodes.where("level = 'o'").select("level", "id").distinct()
+    assets = nodes.select("level", "id").distinct()
     rules = assets.selectExpr("level", "id", "'click' as key", "'SIGMA:1' as spec", "if(bigint(id) % 3 = 0, 'keep', 'drop') as status")
-    lv = table(spark, sf, "region").where("r_regionkey < 2").selectExpr(
-        "'o' as level", "if(r_regionkey = 0, 'view.x', 'purchase') as key", "'ACTUAL:%' as spec"
+    levels = assets.select("level").distinct()
+    lv = levels.select("level", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("r_regionkey")).selectExpr(
+        "level", "if(r_regionkey = 0, 'view.x', 'purchase') as key", "'ACTUAL:%' as spec"
     )
     return joins.profile_expand(assets, nodes, rules, lv)
 

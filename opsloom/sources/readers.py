@@ -41,7 +41,8 @@ def _decode(c: Column, how: str | None, sep: str) -> Column:
 def parse_delimited(
     lines: DataFrame, schema: T.StructType, sep: str = "|", decode: str | None = None, line: str = LINE, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Fields of delimited lines, after the columns in ``keep``; a separator after a backslash does not separate.
+    """Fields of delimited lines, after the columns in ``keep``; a separator after a backslash that is not itself
+    escaped (500 pairs of backslashes are told apart) does not separate.
 
     A blank separator means any run of blanks. Missing fields are NULL, extra ones
     are dropped, and text that is no number is NULL.
@@ -49,7 +50,8 @@ def parse_delimited(
     if sep in " \t" and sep != "\t":
         parts = F.split(F.trim(F.col(line)), "[ \t]+")
     else:
-        parts = F.split(F.col(line), rf"(?<!\\){re.escape(sep)}")
+        # an even number of backslashes before a separator are escaped ones
+        parts = F.split(F.col(line), rf"(?<=(?<!\\)(?:\\\\){{0,500}}){re.escape(sep)}")
     fields = []
     for i, f in enumerate(schema.fields):
         raw = F.get(parts, F.lit(i))

@@ -1039,3 +1039,15 @@ def test_late_days_are_merged_and_others_left_alone(spark, tmp_path):
     assert spark.read.parquet(f"{store}/rejected").count() == 2
     step(batch(), 2)
     assert files() == after
+
+
+def test_escaped_backslashes_before_separators(spark):
+    from pyspark.sql import types as T
+
+    from opsloom.sources import readers
+
+    schema = T.StructType.fromDDL("a string, b string, c string")
+    lines = ["x|y|z", r"x\|y|z", r"x\\|y|z", r"x\\\|y|z", "||", "\\"]
+    df = spark.createDataFrame([(line,) for line in lines], f"`{readers.LINE}` string")
+    got = [tuple(r) for r in readers.parse_delimited(df, schema).collect()]
+    assert got == [("x", "y", "z"), (r"x\|y", "z", None), (r"x\\", "y", "z"), (r"x\\\|y", "z", None), ("", "", ""), ("\\", None, None)]

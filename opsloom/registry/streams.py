@@ -264,6 +264,18 @@ def st_clear_all(spark, sf):
     return _cleared(spark, sf, _asks(spark, sf, id1="'__all_clear__'").where("seq % 50 = 0"), "clear-all")
 
 
+_TAKES = (CorrelationRule("A", "type = 1 and severity < 3", ("id1",)), CorrelationRule("B", "alarmid <> '' and state in (3, 4)", ("id1",), closes_on_up=True))
+
+
+@query("st_defer_stream", f"""WITH {V.ALARMS} SELECT seq, CASE WHEN tmode = 1 AND ((type = 1 AND severity < 3) OR (alarmid <> '' AND state = 3)) THEN 2 ELSE tmode END AS tmode FROM alarm""")
+def st_defer_stream(spark, sf):
+    """Alarms leave once, deferred if a group takes them."""
+    a = V.alarm(spark, sf).select("seq", "type", "id1", "alarmid", "severity", "state", "tmode", "timeissued")
+    out, cp = scratch_path(spark, "defer"), scratch_path(spark, "defer-cp")
+    _in_two(a, "timeissued", lambda path: jobs.catch_up(jobs.defer_flags(jobs.stream_tail(spark, path, a.schema), _TAKES), out, cp))
+    return spark.read.parquet(out).select("seq", "tmode")
+
+
 # The three shipped rules as streams, over alarms with the attributes that they read.
 
 _CORR = V.ALARMS + """,

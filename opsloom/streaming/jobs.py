@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -17,9 +18,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from ..operators.alarms import clear_key
 from ..operators.graph import impact_changes, service_impact
 from ..operators.profile_alarms import CHANGE_COLUMNS, CHANGES, SeriesState, prune, step_series, worse
+from ..model import ALARM_MODE
 from ..operators.stats import SERIES, Catalogue, ProfileRule, mode_of
 from ..session import scratch, stored
-from .correlate import CorrelationRule
+from .correlate import UP, CorrelationRule
 from .groups import APART, KEYED, MESSAGE, SHARDS, Names, clear_rows, combine, group_id, step_groups, typed_state
 
 BatchSink = Callable[[DataFrame, int], None]
@@ -47,6 +49,33 @@ def catch_up(
     ).start().awaitTermination()
 
 
+def until_idle(query: StreamingQuery, idle: float, poll: float = 0.5) -> int:
+    """Let a running query go on until ``idle`` seconds pass without a row, then stop it; how many rows it read.
+
+    A batch that is at work, however long, is not idle. The checkpoint stays, so the next query goes on from there.
+    An error of the query is raised.
+    """
+    rows, last, since = 0, -1, time.monotonic()
+    while not query.awaitTermination(poll):
+        fresh = [p for p in query.recentProgress if p["batchId"] > last]
+        if fresh:
+            last = fresh[-1]["batchId"]
+            rows += sum(p["numInputRows"] for p in fresh)
+        status = query.status
+        if status["isTriggerActive"] or status["isDataAvailable"] or any(p["numInputRows"] for p in fresh):
+            since = time.monotonic()
+        elif time.monotonic() - since >= idle:
+            query.stop()
+            break
+    return rows
+
+
+def follow(df: DataFrame, path: str, checkpoint: str, idle: float, every: str = "1 second", fmt: str = "parquet") -> int:
+    """Write what comes until nothing came for ``idle`` seconds."""
+    query = df.writeStream.format(fmt).outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    return until_idle(query, idle)
+
+
 def catch_up_batches(df: DataFrame, sink: BatchSink, checkpoint: str, mode: str = "append") -> None:
     """The same with a function per micro-batch."""
     df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(
@@ -234,6 +263,20 @@ def correlate(
     return step_groups(direct, {r.id: r for r in rules}, heartbeat)
 
 
+def defer_flags(alarms: DataFrame, rules: Sequence[CorrelationRule]) -> DataFrame:
+    """Alarms with the ticket mode "defer" in place of "keep" if a group takes them; others are ticketed at once.
+
+    A group takes every alarm that meets its rule, opening one if need be, apart from an up that ends it. That is known from the
+    alarm and the rules alone, so it needs no state: every alarm leaves once, in the batch in which it came.
+    """
+    taken = F.lit(False)
+    for r in rules:
+        fits = F.coalesce(F.expr(r.match), F.lit(False))
+        taken = taken | (fits & (F.coalesce("state", F.lit(0)) != UP) if r.closes_on_up else fits)
+    keep, defer = F.lit(ALARM_MODE["keep"]), F.lit(ALARM_MODE["defer"])
+    return alarms.withColumn("tmode", F.when(taken & (F.col("tmode") == keep), defer).otherwise(F.col("tmode")))
+
+
 def _settings(rule: CorrelationRule) -> Column:
     """What an alarm would give a group that it opens, as JSON; missing values count as 0."""
     given = [F.coalesce(F.expr(e).cast("bigint"), F.lit(0)).alias(n) for n, e in rule.from_alarm.items()]

@@ -1051,3 +1051,25 @@ def test_escaped_backslashes_before_separators(spark):
     df = spark.createDataFrame([(line,) for line in lines], f"`{readers.LINE}` string")
     got = [tuple(r) for r in readers.parse_delimited(df, schema).collect()]
     assert got == [("x", "y", "z"), (r"x\|y", "z", None), (r"x\\", "y", "z"), (r"x\\\|y", "z", None), ("", "", ""), ("\\", None, None)]
+
+
+def test_following_stops_when_idle(spark, tmp_path):
+    """Files arrive twice, then it stops by itself; the next run goes on from there."""
+    import threading
+    import time
+
+    from opsloom.streaming import jobs
+
+    path, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    put = lambda a, b: spark.range(a, b).coalesce(1).write.mode("append").parquet(path)
+    put(0, 10)
+    live = jobs.stream_tail(spark, path, spark.read.parquet(path).schema)
+    later = threading.Timer(2, put, (10, 25))
+    later.start()
+    start = time.monotonic()
+    assert jobs.follow(live, out, cp, idle=5) == 25
+    later.join()
+    assert time.monotonic() - start >= 5 and not any(q.isActive for q in spark.streams.active)
+    put(25, 30)
+    assert jobs.follow(live, out, cp, idle=3) == 5
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(30))

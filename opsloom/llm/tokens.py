@@ -210,6 +210,52 @@ def byte_ngrams(texts: pa.Array, n: int, bits: int) -> Iterator[tuple[np.ndarray
             lo = hi
 
 
+def char_ngrams(texts: pa.Array, orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, row) of all n-grams of code points of every order, by row, some at a time; letters are folded, white space is one blank each."""
+    data, at = buffers(texts)
+    lo, end, reach = int(at[0]), int(at[-1]), 4 * (max(orders) - 1)
+    with np.errstate(over="ignore"):
+        while lo < end:
+            hi = _char_start(data, min(lo + SEGMENT, end), end)
+            # n-grams that begin before ``hi`` end beyond it
+            far = _char_start(data, min(hi + reach, end), end)
+            starts = np.flatnonzero((data[lo:far] & 0xC0) != 0x80) + lo
+            points = np.frombuffer(data[lo:far].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+            part = _folded(points) * np.uint32(0x9E3779B1)
+            part ^= part >> np.uint32(15)
+            first, own = np.searchsorted(starts, at), int(np.searchsorted(starts, hi))
+            v = part
+            for n in range(1, max(orders) + 1):
+                m = min(own, len(points) - n + 1)
+                if m <= 0:
+                    break
+                v = part[:m] if n == 1 else v[:m] * np.uint32(0x85EBCA6B) + part[n - 1 : n - 1 + m]
+                if n in orders:
+                    h = (v ^ (v >> np.uint32(15))) * np.uint32(0x2C1B3C6D + 2 * n)
+                    row = np.repeat(np.arange(len(at) - 1), np.diff(np.minimum(first, m)))
+                    inside = np.arange(m) + n <= first[row + 1]
+                    yield (h[inside] >> np.uint32(32 - bits)).astype(np.int64), row[inside]
+            lo = hi
+
+
+def _char_start(data: np.ndarray, at: int, end: int) -> int:
+    """The first byte from ``at`` that begins a character."""
+    while at < end and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def _folded(points: np.ndarray) -> np.ndarray:
+    """Code points in lower case where that is one code point, ASCII white space as a blank."""
+    if not len(_LOWER):
+        _LOWER.append(np.array([ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(1 << 16)], np.uint32))
+        _LOWER[0][:256][SPACE] = 32
+    return np.where(points < 1 << 16, _LOWER[0][np.minimum(points, (1 << 16) - 1)], points)
+
+
+_LOWER: list[np.ndarray] = []
+
+
 def _rows(at: np.ndarray, lo: int, m: int) -> np.ndarray:
     """The row of each of ``m`` bytes from ``lo``."""
     first = int(np.searchsorted(at, lo, "right")) - 1

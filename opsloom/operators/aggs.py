@@ -36,6 +36,15 @@ def key_frame_sum(
     ``split`` columns give one dataset per distinct value (use with
     ``sink_split_by_key``).
     """
+    return (
+        cell_rows(df, cells, split)
+        .groupBy(*split, F.col("c.key").alias("key"), F.col("c.frame").alias("frame"))
+        .agg(F.sum("c.val").alias("val"))
+    )
+
+
+def cell_rows(df: DataFrame, cells: Sequence[tuple[Expr, Expr, Expr]], split: Sequence[str] = ()) -> DataFrame:
+    """The ``split`` columns and ``c``, a struct (key, frame, val), for every cell that a row adds to; frames below 0 are none."""
     structs = [
         F.struct(
             as_col(k).cast("string").alias("key"), as_col(f).cast("int").alias("frame"), as_col(v).cast("double").alias("val")
@@ -46,11 +55,7 @@ def key_frame_sum(
         rows = df.select(*split, structs[0].alias("c"))
     else:
         rows = df.select(*split, F.explode(F.array(*structs)).alias("c"))
-    return (
-        rows.where("c.frame >= 0")
-        .groupBy(*split, F.col("c.key").alias("key"), F.col("c.frame").alias("frame"))
-        .agg(F.sum("c.val").alias("val"))
-    )
+    return rows.where("c.frame >= 0")
 
 
 def distinct_first(df: DataFrame, keys: Sequence[str], first_by: Sequence[Expr]) -> DataFrame:

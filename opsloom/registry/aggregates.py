@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggs, frames
+from ..operators import aggs, callbacks, frames
 from . import views as V
 from .core import query, table
 
@@ -45,6 +45,18 @@ def split_key_frame_sum(spark, sf):
     return out.select("l_linestatus", "key", F.col("frame").cast("bigint").alias("frame"), F.round("val", 2).alias("val"))
 
 
+@query("key_frame_callback", """WITH c AS (SELECT DISTINCT l_linestatus, l_returnflag AS key, month(l_shipdate) - 1 AS frame, l_extendedprice AS val FROM lineitem UNION
+  SELECT DISTINCT l_linestatus, 'tax', month(l_shipdate) - 1, l_tax FROM lineitem),
+  r AS (SELECT *, row_number() OVER (PARTITION BY l_linestatus, key, frame ORDER BY val DESC) AS n FROM c WHERE val IS NOT NULL)
+  SELECT l_linestatus, key, frame, CAST(max(CASE WHEN n = 1 THEN val END) AS DOUBLE) AS top, CAST(max(CASE WHEN n = 2 THEN val END) AS DOUBLE) AS val
+  FROM r GROUP BY ALL""")
+def key_frame_callback(spark, sf):
+    """A user's aggregate over keyed frames: the two largest distinct values of a cell."""
+    cells = [("l_returnflag", "month(l_shipdate) - 1", "l_extendedprice"), ("'tax'", "month(l_shipdate) - 1", "l_tax")]
+    out = callbacks.key_frame_aggregate(table(spark, sf, "lineitem"), cells, callbacks.second_largest(), split=["l_linestatus"])
+    return out.withColumn("frame", F.col("frame").cast("bigint"))
+
+
 @query("stats", " UNION ALL ".join(
     f"""SELECT '{c}' AS field, count({c}) AS count, round(sum({c}), 2) AS sum, round(avg({c}), 6) AS average,
   round(stddev_samp({c}), 6) AS deviation, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM lineitem"""

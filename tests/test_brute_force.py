@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsloom.functions import net, text
-from opsloom.operators import alarms, frames, graph, joins, ordered, prefixes, profile_alarms, rows, sorts, stats
+from opsloom.operators import alarms, callbacks, frames, graph, joins, ordered, prefixes, profile_alarms, rows, sorts, stats
 from opsloom.streaming.correlate import CorrelationRule, GroupMemory, step_group
 
 
@@ -1073,3 +1073,30 @@ def test_following_stops_when_idle(spark, tmp_path):
     put(25, 30)
     assert jobs.follow(live, out, cp, idle=3) == 5
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(30))
+
+
+def test_user_aggregate_reduces_a_hot_key_in_the_map_tasks(spark):
+    """Random keys, null ones too, and a key with most rows: results as in plain Python, at any number of keys that a task holds."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.choice([0, 1, None]), rng.choice([None, *map(float, range(60))])) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "key string, __k1 int, val double").repartition(6)
+    want = {}
+    for k, f, v in rows:
+        want.setdefault((k, f), set()).update([v] if v is not None else [])
+    want = {k: tuple([*sorted(v, reverse=True), None, None][:2]) for k, v in want.items()}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for held in (0, 2, 50_000):
+            got = callbacks.user_aggregate(df, ["key", "__k1"], callbacks.second_largest(), ["val"], held=held).collect()
+            assert len(got) == len(want) and {(r.key, r["__k1"]): (r.top, r.val) for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    total = callbacks.user_aggregate(df, [], callbacks.second_largest(), ["val"]).collect()
+    assert [(r.top, r.val) for r in total] == [(59.0, 58.0)]
+    assert callbacks.user_aggregate(df.limit(0), ["key"], callbacks.second_largest(), ["val"]).collect() == []
+    # a task sends one row per key on, whatever its rows
+    plan = callbacks.user_aggregate(df.where("key = 'hot'").select("key", "val"), ["key"], callbacks.second_largest(), ["val"])
+    text = plan._jdf.queryExecution().toString()
+    early, shuffle = text.rindex("MapInArrow early"), text.rindex("Exchange hashpartitioning(__k0")
+    assert shuffle < early  # plans print from the result down: states are started below the shuffle

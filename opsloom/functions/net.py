@@ -101,10 +101,15 @@ def ip6_parse(text: Column) -> Column:
     """Colon text to 16 bytes; an IPv4 text gives its mapped address, other text NULL.
 
     ``::`` stands for one group of zeros or more; the last two groups may be a dotted quad.
+    Every step is bound once: repeated, the text would be parsed again at each place.
     """
-    tail = F.regexp_extract(text, f"^(?:.*:)({_QUAD})$", 1)
-    two = F.concat(F.substring(_hex32(tail), 1, 4), F.lit(":"), F.substring(_hex32(tail), 5, 4))
-    plain = F.when(tail != "", F.concat(text.substr(F.lit(1), F.length(text) - F.length(tail)), two)).otherwise(text)
+
+    def plain(t: Column) -> Column:
+        def two(tail: Column) -> Column:
+            groups = let(_hex32(tail), lambda h: F.concat(F.substring(h, 1, 4), F.lit(":"), F.substring(h, 5, 4)))
+            return F.when(tail != "", F.concat(t.substr(F.lit(1), F.length(t) - F.length(tail)), groups)).otherwise(t)
+
+        return F.when(F.contains(t, F.lit(".")), let(F.regexp_extract(t, f"^(?:.*:)({_QUAD})$", 1), two)).otherwise(t)
 
     def groups(part: Column) -> Column:
         return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":", -1))
@@ -116,34 +121,49 @@ def ip6_parse(text: Column) -> Column:
         right = groups(F.when(short, t.substr(at + 2, F.length(t))).otherwise(F.lit("")))
         return F.struct(left.alias("left"), right.alias("right"), short.alias("short"))
 
-    def whole(s: Column) -> Column:
+    def every(s: Column) -> Column:
         gap = 8 - F.size(s["left"]) - F.size(s["right"])
         zeros = F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0)))
-        every = F.concat(s["left"], zeros, s["right"])
-        fits = F.when(s["short"], gap >= 1).otherwise(gap == 0) & F.forall(every, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
-        return F.when(fits, F.unhex(F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), "")))
+        fits = F.when(s["short"], gap >= 1).otherwise(gap == 0)
+        return F.struct(F.concat(s["left"], zeros, s["right"]).alias("groups"), fits.alias("fits"))
+
+    def whole(s: Column) -> Column:
+        fits = s["fits"] & F.forall(s["groups"], lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
+        return F.when(fits, F.unhex(F.array_join(F.transform(s["groups"], lambda g: F.lpad(g, 4, "0")), "")))
 
-    six = let(let(plain, sides), whole)
-    return F.when(text.rlike(f"^{_QUAD}$"), F.unhex(F.concat(F.lit(_MAPPED), _hex32(text)))).when(F.contains(text, F.lit(":")), six)
+    def address(t: Column) -> Column:
+        quad = F.unhex(F.concat(F.lit(_MAPPED), _hex32(t)))
+        return F.when(t.rlike(f"^{_QUAD}$"), quad).when(F.contains(t, F.lit(":")), let(let(let(plain(t), sides), every), whole))
+
+    return let(text, address)
 
 
 def ip6_format(addr: Column) -> Column:
     """16 bytes to the shortest text: the first longest run of zero groups is ``::``; mapped and compatible IPv4 addresses end in a dotted quad."""
 
+    def shortest(s: Column) -> Column:
+        group, zeros = s["group"], s["zeros"]
+        out = F.array_join(group, ":")
+        for n in range(2, 9):
+            at = F.instr(zeros, F.lit("0" * n))
+            before, after = F.slice(group, F.lit(1), at - 1), F.slice(group, at + n, F.lit(8))
+            out = F.when(at > 0, F.concat(F.array_join(before, ":"), F.lit("::"), F.array_join(after, ":"))).otherwise(out)
+        return out
+
+    def marked(group: Column) -> Column:
+        zeros = F.array_join(F.transform(group, lambda g: F.when(g == "0", F.lit("0")).otherwise(F.lit("x"))), "")
+        return F.struct(group.alias("group"), zeros.alias("zeros"))
+
     def text(h: Column) -> Column:
         group = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substring(h, i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
-        joined = F.array_join(group, ":")
-        out = joined
-        for n in range(2, 9):
-            rx = f"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?:$|:)(.*)$"
-            cut = F.concat(F.regexp_extract(joined, rx, 1), F.lit("::"), F.regexp_extract(joined, rx, 2))
-            out = F.when(joined.rlike(rx), cut).otherwise(out)
-        quad = ip_format(F.conv(F.substring(h, 25, 8), 16, 10).cast("bigint"))
+        quad = let(F.conv(F.substring(h, 25, 8), 16, 10).cast("bigint"), ip_format)
         mapped = F.startswith(h, F.lit(_MAPPED.lower()))
         compatible = F.startswith(h, F.lit("0" * 24)) & (F.substring(h, 25, 4) != "0000")
-        return F.when(mapped, F.concat(F.lit("::ffff:"), quad)).when(compatible, F.concat(F.lit("::"), quad)).otherwise(out)
+        out = let(let(group, marked), shortest)
+        four = F.when(mapped, F.concat(F.lit("::ffff:"), quad)).when(compatible, F.concat(F.lit("::"), quad))
+        return F.when(h.isNotNull(), F.coalesce(four, out))
 
-    return F.when(addr.isNotNull(), let(F.lower(F.hex(addr)), text))
+    return let(F.lower(F.hex(addr)), text)
 
 
 def ip6_next(addr: Column) -> Column:
@@ -187,26 +207,44 @@ def ip6_of_bits(bits: Column) -> Column:
     return F.unhex(F.concat(*halves))
 
 
+_DIGITS = "0123456789ABCDEF"
+
+
+def _filled6(addr: Column, length: Column, ones: bool) -> Column:
+    """An address with the bits behind the first ``length`` cleared, or set: on its hex digits, of which one at most is cut."""
+    n = F.when(length < 0, F.lit(0)).when(length > V6_BITS, F.lit(V6_BITS)).otherwise(length.cast("int"))
+    h, whole = F.hex(addr), F.shiftright(n, 2)
+    digit, part = h.substr(whole + 1, F.lit(1)), F.lit("")
+    for bits in (1, 2, 3):
+        low = 15 >> bits
+        cut = "".join(_DIGITS[v | low if ones else v & ~low] for v in range(16))
+        part = F.when(n.bitwiseAND(F.lit(3)) == bits, F.translate(digit, _DIGITS, cut)).otherwise(part)
+    filled = F.rpad(F.concat(h.substr(F.lit(1), whole), part), V6_BITS // 4, "F" if ones else "0")
+    return F.when(F.octet_length(addr) == V6_BITS // 8, F.unhex(filled))
+
+
 def network6(addr: Column, length: Column) -> Column:
     """The first address of the prefix that holds ``addr``."""
-    return let(ip6_bits(addr), lambda b: ip6_of_bits(F.rpad(b.substr(F.lit(1), length.cast("int")), V6_BITS, "0")))
+    return _filled6(addr, length, False)
 
 
 def broadcast_address6(addr: Column, length: Column) -> Column:
     """The last address of the prefix that holds ``addr``."""
-    return let(ip6_bits(addr), lambda b: ip6_of_bits(F.rpad(b.substr(F.lit(1), length.cast("int")), V6_BITS, "1")))
+    return _filled6(addr, length, True)
 
 
 def prefix6_parse(text: Column) -> Column:
     """``address/len`` (128 without a length) to struct(addr, len)."""
 
-    def prefix(body: Column) -> Column:
-        addr = ip6_parse(F.get(body, F.lit(0)))
+    def halves(body: Column) -> Column:
         length = F.when(F.size(body) == 1, F.lit(V6_BITS)).otherwise(F.get(body, F.lit(1)).try_cast("int"))
-        ok = addr.isNotNull() & length.between(0, V6_BITS) & (F.size(body) <= 2)
-        return F.when(ok, F.struct(network6(addr, length).alias("addr"), length.alias("len")))
+        return F.struct(F.when(F.size(body) <= 2, ip6_parse(F.get(body, F.lit(0)))).alias("addr"), length.alias("len"))
+
+    def prefix(p: Column) -> Column:
+        ok = p["addr"].isNotNull() & p["len"].between(0, V6_BITS)
+        return F.when(ok, F.struct(network6(p["addr"], p["len"]).alias("addr"), p["len"].alias("len")))
 
-    return F.when(F.contains(text, F.lit(":")), let(F.split(text, "/"), prefix))
+    return F.when(F.contains(text, F.lit(":")), let(let(F.split(text, "/"), halves), prefix))
 
 
 def in_prefix6(addr: Column, prefix: str) -> Column:

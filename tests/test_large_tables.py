@@ -1,10 +1,18 @@
 """What must hold so that work grows no faster than its tables: plans, and results on rows that take the other path."""
 
+import ipaddress
+import random
+
+from pyspark.sql import functions as F
+
+from opsloom.functions import net
 from opsloom.operators import joins
+from opsloom.sources import readers
 
 
 def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    """What Spark will run, without figures of earlier runs."""
+    return df.select("*")._jdf.queryExecution().executedPlan().toString()
 
 
 def test_salted_copies_are_not_broadcast(spark):
@@ -14,3 +22,54 @@ def test_salted_copies_are_not_broadcast(spark):
         got = joins.salted_join(a, b, ["k"], how)
         assert "Broadcast" not in plan(got)
         assert sorted(map(str, got.collect())) == sorted(map(str, a.join(b, ["k"], how).collect()))
+
+
+def test_lines_are_split_once_below_the_filter(spark):
+    broken = "1.1.1.1|2.2.2|x"
+    lines = spark.range(3).select(F.concat(F.lit("1.2.3.4|5.6.7.8|9.9.9."), "id").alias("value")).unionByName(spark.createDataFrame([(broken,), (None,)], "value string"))
+    good, rejects = readers.parse_flow(lines.repartition(1))
+    assert sorted(r.hop_num for r in good.collect()) == [151587072, 151587073, 151587074]
+    assert {r.value for r in rejects.collect()} == {broken, None}
+    for df in (good, rejects):
+        assert plan(df).count("split(value") == 1
+    routes, _ = readers.parse_routes(spark.range(4).selectExpr("'*> 10.0.0.0/' || (id + 8) || ' 1.1.1.1 7 i' as value").repartition(1))
+    assert plan(routes).count("regexp_extract(value") == 4
+    assert sorted(r.len for r in routes.collect()) == [8, 9, 10, 11]
+
+
+def test_separators_behind_many_backslashes(spark):
+    lines = ["a|b", "|", "||a|", "", "a\\|b|c", "a\\\\|b|c", "\\|a", "\\\\|a", "|\\\\|\\|", "x" + "\\" * 1000 + "|y", "x" + "\\" * 999 + "|y"]
+    fields = readers.struct("a string, b string, c string, d string")
+    df = readers.parse_delimited(spark.createDataFrame([(x,) for x in lines], "value string"), fields, keep=("value",))
+
+    def split(line):
+        out, behind = [""], 0
+        for ch in line:
+            if ch == "|" and behind % 2 == 0:
+                out.append("")
+            else:
+                out[-1] += ch
+            behind = behind + 1 if ch == "\\" else 0
+        return tuple((out + [None] * 4)[:4])
+
+    assert {tuple(r)[0]: tuple(r)[1:] for r in df.collect()} == {x: split(x) for x in lines}
+    # what is looked back for is tied to a separator
+    assert "split(value" in plan(df) and "{0,500}" not in plan(df)
+
+
+def test_ip6_reads_its_argument_once(spark):
+    rng = random.Random(5)
+    near = [rng.getrandbits(128) & rng.getrandbits(128) & (0xFFFF0000FFFF << rng.randrange(80)) for _ in range(60)]
+    nums = [*near, *(rng.getrandbits(128) for _ in range(20)), 0, 1, (1 << 128) - 1, 0xFFFF01020304, 0x01020304]
+    df = spark.createDataFrame([(str(ipaddress.IPv6Address(n)), bytearray(n.to_bytes(16, "big")), rng.randrange(129)) for n in nums], "t string, a binary, n int").repartition(1)
+    back = df.select("t", "a", net.ip6_parse(net.ip6_format(net.ip6_parse(F.col("t")))).alias("b"))
+    assert all(r.a == r.b for r in back.collect())
+    whole = plan(df.select(net.ip6_parse(net.ip6_format(net.ip6_parse(F.concat("t", F.lit("")))))))
+    assert whole.count("concat(t#") == 1
+    ends = df.select("a", "n", net.network6(F.col("a"), F.col("n")).alias("lo"), net.broadcast_address6(F.col("a"), F.col("n")).alias("hi"))
+    for r in ends.collect():
+        want = ipaddress.IPv6Network((bytes(r.a), r.n), strict=False)
+        assert (bytes(r.lo), bytes(r.hi)) == (want.network_address.packed, want.broadcast_address.packed)
+    assert "conv(" not in plan(ends)
+    odd = [(bytearray(16), None), (None, 3), (bytearray(4), 3)]
+    assert {r[0] for r in spark.createDataFrame(odd, "a binary, n int").select(net.network6(F.col("a"), F.col("n"))).collect()} == {None}

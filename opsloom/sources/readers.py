@@ -20,6 +20,7 @@ from ..model import ALARM, STAT, struct
 
 LINE = "value"
 RAW = "__raw"
+PARTS = "__parts"
 
 
 def _decode(c: Column, how: str | None, sep: str) -> Column:
@@ -50,8 +51,11 @@ def parse_delimited(
     if sep in " \t" and sep != "\t":
         parts = F.split(F.trim(F.col(line)), "[ \t]+")
     else:
-        # an even number of backslashes before a separator are escaped ones
-        parts = F.split(F.col(line), rf"(?<=(?<!\\)(?:\\\\){{0,500}}){re.escape(sep)}")
+        # an even number of backslashes before a separator are escaped ones; the pattern begins with the separator,
+        # so that nothing is looked back for elsewhere, and more than one place only behind a backslash
+        rx = re.escape(sep)
+        parts = F.split(F.col(line), rf"{rx}(?:(?<!\\{rx})|(?<=(?<!\\)(?:\\\\){{1,500}}{rx}))")
+    rows, parts = _once(lines.select(*dict.fromkeys([*keep, line])), parts)
     fields = []
     for i, f in enumerate(schema.fields):
         raw = F.get(parts, F.lit(i))
@@ -60,7 +64,15 @@ def parse_delimited(
             fields.append(text.alias(f.name))
         else:
             fields.append(F.trim(text).try_cast(f.dataType).alias(f.name))
-    return lines.select(*keep, *fields)
+    return rows.select(*keep, *fields)
+
+
+def _once(df: DataFrame, value: Column) -> tuple[DataFrame, Column]:
+    """The rows with a value that is computed once per row, and that value.
+
+    An alias would not do: a filter above would compute the value again, and once more wherever it is used.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(PARTS)), F.col(PARTS)
 
 
 def read_delimited(
@@ -226,9 +238,10 @@ def parse_routes(lines: DataFrame, line: str = LINE) -> tuple[DataFrame, DataFra
     16 bytes for IPv6, and NULL for the other family.
     """
     rx = r"^\s*[*>i ]*\s*([0-9A-Fa-f.:]+(?:/[0-9]+)?)\s+([0-9A-Fa-f.:]+)\s*(.*?)\s*([ie?])?\s*$"
-    part = [F.regexp_extract(line, rx, i) for i in range(1, 5)]
+    rows, parts = _once(lines.select(line), F.array(*[F.regexp_extract(line, rx, i) for i in range(1, 5)]))
+    part = [F.get(parts, F.lit(i)) for i in range(4)]
     path = aspath_parse(part[2])
-    out = lines.select(
+    out = rows.select(
         F.col(line).alias(RAW), prefix_parse(part[0]).alias("__p4"), prefix6_parse(part[0]).alias("__p6"),
         ip_parse(part[1]).alias("hop"), F.when(F.contains(part[1], F.lit(":")), ip6_parse(part[1])).alias("hop6"),
         path.alias("path"), F.try_element_at(path, F.lit(-1)).alias("origin_as"), part[3].alias("origin"),

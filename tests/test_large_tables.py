@@ -6,7 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from opsloom.functions import net
-from opsloom.operators import joins
+from opsloom.operators import graph, joins
+from opsloom.plans import dashboard
 from opsloom.sources import readers
 
 
@@ -73,3 +74,31 @@ def test_ip6_reads_its_argument_once(spark):
     assert "conv(" not in plan(ends)
     odd = [(bytearray(16), None), (None, 3), (bytearray(4), 3)]
     assert {r[0] for r in spark.createDataFrame(odd, "a binary, n int").select(net.network6(F.col("a"), F.col("n"))).collect()} == {None}
+
+
+def test_tables_with_a_row_per_asset_are_not_broadcast(spark, tmp_path):
+    def kept(rows, schema, name):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    ids = [str(i) for i in range(30)]
+    up = [("c", i, "n", "n1" if int(i) % 2 else "n2") for i in ids]
+    up += [("c", i, "c", i) for i in ids] + [("n", n, "n", n) for n in ("n1", "n2")]
+    closure = kept(up, "level1 string, id1 string, level2 string, id2 string", "closure")
+    names = [("c", i, "name", "big") for i in ids] + [("n", "n1", "name", "Big one"), ("n", "n2", "name", "small")]
+    nodes = kept([*names, ("c", "3", "segment", "S"), ("c", "4", "segment", "S")], "level string, id string, key string, val string", "nodes")
+    chosen = graph.select_nodes(nodes, closure, nodes, [graph.NodeCondition("n", "big.*", by_name=True)], "n", [("segment", "S")])
+    assert [tuple(r) for r in chosen.collect()] == [("n", "n1", "c", "3")]
+    assert plan(chosen).count("BroadcastHashJoin") == 1  # the names of the one level that is asked for by name
+
+    picked = kept([("n", "n1", "c", "3"), ("n", "n1", "c", "5")], "ilevel string, iid string, level string, id string", "picked")
+    stats = kept([("c", i, "k", 1.0) for i in ids], "level string, id string, key string, val double", "stats")
+    got = dashboard.query_stats(stats, closure, "n", selected=picked)
+    assert sorted((r.id, r.iid) for r in got.collect()) == [("3", "n1"), ("5", "n1")]
+    assert plan(got).count("BroadcastHashJoin") <= 1  # the entities of the level that is shown
+    a = [("c", i, "c" if int(i) % 3 else "", "3" if int(i) % 3 else "") for i in ids]
+    alarms = kept(a, "level1 string, id1 string, level2 string, id2 string", "alarms")
+    whole = dashboard.query_alarms(alarms, closure, "n")
+    assert len(whole.collect()) == 30 and "Broadcast" not in plan(whole)
+    some = dashboard.query_alarms_by_asset(picked.select("level", "id"), alarms, closure, "n")
+    assert sorted(r.id1 for r in some.collect()) == ["3", "5"] and "Broadcast" not in plan(some)

@@ -196,21 +196,24 @@ def lpm_join(
     """Longest-prefix match of an address against a prefix table (addr, len, ..).
 
     Distinct addresses are masked to every prefix length that occurs and
-    equi-joined; the longest hit is an aggregate. The answer per address is
-    joined back, so an address that fills a third of the rows is matched once.
+    equi-joined; the longest hit is an aggregate, and its values are looked up. The
+    answer per address is joined back, so an address that fills a third of the rows is matched once.
     """
+    key = ["__len", "__net"]
     table = prefixes.select(
         space.network(F.col("addr"), F.col("len")).alias("__net"), F.col("len").alias("__len"), *values
     )
-    best = F.max_by(F.struct(F.col("__len").alias("prefix_len"), *values), "__len").alias("__m")
+    one = table.groupBy(*key).agg(F.first(F.struct(F.col("__len").alias("prefix_len"), *values)).alias("__m"))
     distinct = df.select(F.col(addr).alias("__a")).where("__a is not null").distinct()
-    hits = (
+    # only lengths are compared, by a hash aggregate; a struct of values would be sorted
+    longest = (
         _candidates(distinct, "__a", prefixes.select("len"), ["__a"], space)
-        .join(table, ["__len", "__net"])
+        .join(table.select(*key).distinct(), key)
         .groupBy("__a")
-        .agg(best)
+        .agg(F.max("__len").alias("__len"))
     )
-    out = df.join(hits, df[addr] == F.col("__a"), how).drop("__a")
+    hits = longest.withColumn("__net", space.network(F.col("__a"), F.col("__len"))).join(one.hint("merge"), key).select("__a", "__m")
+    out = df.join(hits.hint("merge"), df[addr] == F.col("__a"), how).drop("__a")
     return out.withColumns({c: F.col(f"__m.{c}") for c in ["prefix_len", *values]}).drop("__m")
 
 

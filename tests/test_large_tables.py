@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from opsloom.functions import net
-from opsloom.operators import graph, joins
+from opsloom.operators import graph, joins, prefixes
 from opsloom.plans import dashboard
 from opsloom.sources import readers
 
@@ -102,3 +102,18 @@ def test_tables_with_a_row_per_asset_are_not_broadcast(spark, tmp_path):
     assert len(whole.collect()) == 30 and "Broadcast" not in plan(whole)
     some = dashboard.query_alarms_by_asset(picked.select("level", "id"), alarms, closure, "n")
     assert sorted(r.id1 for r in some.collect()) == ["3", "5"] and "Broadcast" not in plan(some)
+
+
+def test_longest_match_compares_lengths_only(spark, tmp_path):
+    rng = random.Random(9)
+    table = [(a - a % (1 << 32 - n), n, f"{a}/{n}") for a, n in ((rng.randrange(1 << 32), rng.randrange(0, 12)) for _ in range(40))]
+    spark.createDataFrame([(rng.randrange(1 << 32),) for _ in range(200)] + [(7,)] * 50 + [(None,)], "a long").write.parquet(f"{tmp_path}/a")
+    df, t = spark.read.parquet(f"{tmp_path}/a"), spark.createDataFrame(table, "addr long, len int, name string")
+    out = prefixes.lpm_join(df, "a", t, ["name"])
+    rows = out.collect()
+    assert len(rows) == 251
+    for r in rows:
+        fits = [] if r.a is None else [(n, name) for addr, n, name in table if r.a - r.a % (1 << 32 - n) == addr]
+        longest = max((n for n, _ in fits), default=None)
+        assert r.prefix_len == longest and (r.name is None if longest is None else (longest, r.name) in fits)
+    assert "max_by" not in plan(out)

@@ -247,18 +247,24 @@ def correlate(
             F.col("__mode").alias("mode"), "id1", "alarmid", F.col("timecleared").cast("bigint").alias("at"),
             F.when(F.col("__mode") == "c", F.regexp_extract("ccid", "^(.*):([0-9a-f]{32}):([0-9]+)$", 3)).try_cast("bigint").alias("opened"),
         )
-        out = out.unionByName(known, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
     kinds = dict(c.split(None, 1) for c in KEYED.split(", "))
-    out = out.select(*[(F.col(c) if c in out.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
-    keyed = event_time(out.mapInPandas(combine, KEYED), delay)
+
+    def combined(df: DataFrame) -> DataFrame:
+        df = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+        return event_time(df.mapInPandas(combine, KEYED), delay)
+
+    # the groups need no names, and the names no alarms; the clock meets every time in both
+    keyed = combined(out.unionByName(asked, allowMissingColumns=True) if clears else out)
     gid = F.when(F.col("kind") == "clear", F.col("group")).otherwise(group_id(F.col("group"))).alias("gid")
     columns = [c.split()[0] for c in MESSAGE.split(", ")]
     # conditions name the event time, so that Spark cannot move them below the clock, which every row must reach
     direct = keyed.where("kind = 'alarm' or (kind = 'clear' and mode = 'c') or ts is null").select("*", gid, F.col("timeissued").alias("t"))
     direct = direct.withColumn("group", F.when(F.col("kind") == "alarm", F.col("group"))).select(*columns)
     if clears:
-        asked = keyed.where("slot is not null or ts is null").select("*", gid).groupBy("slot")
-        passed = asked.transformWithState(Names(), MESSAGE, "Append", "EventTime", eventTimeColumnName="ts")
+        idle = out.where("kind is null").select("timeissued")
+        slots = combined(known.unionByName(asked, allowMissingColumns=True).unionByName(idle, allowMissingColumns=True))
+        slots = slots.where("slot is not null or ts is null").select("slot", "kind", "rule", gid, "timeissued", "until", "who", "mode", "id1", "alarmid", "at", "ts").groupBy("slot")
+        passed = slots.transformWithState(Names(), MESSAGE, "Append", "EventTime", eventTimeColumnName="ts")
         direct = direct.unionByName(passed)
     return step_groups(direct, {r.id: r for r in rules}, heartbeat)
 

@@ -3,12 +3,14 @@
 import ipaddress
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from opsloom.functions import net
 from opsloom.operators import graph, joins, prefixes
 from opsloom.plans import dashboard
 from opsloom.sources import readers
+from opsloom.streaming import groups
 
 
 def plan(df):
@@ -117,3 +119,103 @@ def test_longest_match_compares_lengths_only(spark, tmp_path):
         longest = max((n for n, _ in fits), default=None)
         assert r.prefix_len == longest and (r.name is None if longest is None else (longest, r.name) in fits)
     assert "max_by" not in plan(out)
+
+
+class _Store:
+    """State of one key in memory, which counts what it is asked."""
+
+    def __init__(self):
+        self.values, self.calls, self.timers = {}, 0, set()
+
+    def getMapState(self, name, *_):
+        return _Map(self)
+
+    def getValueState(self, name, *_):
+        return _Value(self, name)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class _Value:
+    def __init__(self, store, name):
+        self.store, self.name, self.value = store, name, None
+
+    def get(self):
+        self.store.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.store.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.store.calls += 1
+        self.value = None
+
+
+class _Map:
+    def __init__(self, store):
+        self.store, self.rows = store, {}
+
+    def getValue(self, k):
+        self.store.calls += 1
+        return self.rows.get(k)
+
+    def updateValue(self, k, v):
+        self.store.calls += 1
+        self.rows[k] = v
+
+    def removeKey(self, k):
+        self.store.calls += 1
+        self.rows.pop(k, None)
+
+    def iterator(self):
+        self.store.calls += 1
+        return iter([*self.rows.items()])
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def _names(batches, slot):
+    """(group, second) of the clears that are passed on for batches of (clock, seconds of groups, clears), and the state."""
+    store, p, out = _Store(), groups.Names(), []
+    p.init(store)
+    for clock, seconds, clears in batches:
+        rows = [Row(kind="name", rule="r", gid=g, timeissued=t, until=t + 1000, who=str(t), mode=None, id1=None, alarmid=None, at=None) for g, t in seconds]
+        rows += [Row(kind="clear", rule=None, gid=None, timeissued=t, until=None, who=None, mode="all", id1="", alarmid="", at=0) for t in clears]
+        out.append([(m.gid, m.t) for m in p.handleInputRows((slot,), iter(rows), _Clock(clock * 1000))])
+    return out, store, p
+
+
+def test_a_clear_of_everything_goes_to_groups_with_alarms_since_the_last_one():
+    (first, second, third), store, p = _names([(0, [("a", 10), ("a", 50), ("b", 90)], [20, 30, 40, 60]), (65, [], [70, 80]), (85, [("b", 95)], [96, 200])], "all:3")
+    assert sorted(first) == [("a", 20), ("a", 60)]
+    assert second == [] and third == [("b", 96)]
+    assert ("r", "a") not in p.names.rows
+    rng = random.Random(4)
+    for _ in range(200):
+        moving = [(40 * k, [(rng.choice("ab"), 40 * k + rng.randint(1, 60)) for _ in range(rng.randrange(4))], [40 * k + rng.randint(1, 60) for _ in range(rng.randrange(3))]) for k in range(6)]
+        out, _, _ = _names(moving, "all:0")
+        sent = {m for one in out for m in one}
+        clears = sorted({t for _, _, cs in moving for t in cs})
+        want = {(g, min(t for t in clears if t >= s)) for _, ss, _ in moving for g, s in ss if clears and s <= clears[-1]}
+        assert want <= sent and len([m for one in out for m in one]) <= 2 * sum(len(ss) for _, ss, _ in moving)
+
+
+def test_names_of_a_batch_cost_one_read_and_one_write():
+    many = [("a", t) for t in range(1, 400)]
+    (passed,), store, p = _names([(0, many, [])], "o:x")
+    assert passed == [] and p.names.rows == {("r", "a"): (1399, [])}
+    assert store.calls <= 6

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.alarms import clear_key
-from ..operators.graph import impact_changes, service_impact
+from ..operators.graph import ImpactGraph, graph_impacts, impact_changes, impact_graph
 from ..operators.profile_alarms import CHANGE_COLUMNS, CHANGES, SeriesState, prune, step_series, worse
 from ..model import ALARM_MODE
 from ..operators.stats import SERIES, Catalogue, ProfileRule, mode_of
@@ -357,33 +357,31 @@ def impact_batches(
     ``read_open`` gives the (level, id) that were open before an epoch, ``save_open`` gets
     those that are open after it; both must give the same again when an epoch is repeated.
     """
-    home = members.select(F.col("ndlevel").alias("level"), F.col("ndid").alias("id"), "cclevel", "ccid")
+    known: list[ImpactGraph] = []
 
     def run(batch: DataFrame, epoch: int) -> None:
+        if not known:
+            # numbered once per job, for all its batches
+            known.append(impact_graph(edges, roles, members, keep=True))
         with scratch(batch.sparkSession):
             given = stored(batch.select("level", "id", "type", F.col(order).alias("__t")), "impact-batch")
             said = given.where(F.col("type") != AGED).groupBy("level", "id").agg(F.max_by("type", F.struct("__t", -F.col("type"))).alias("type"))
             last = stored(said, "impact-last")
             aged = stored(given.where(F.col("type") == AGED).select("level", "id").distinct().join(last, ["level", "id"], "left_anti"), "impact-aged")
             moved = last.select("level", "id").unionByName(aged)
-            touched = home.join(moved, ["level", "id"], "left_semi").select("cclevel", "ccid").distinct()
-            near = stored(home.join(touched, ["cclevel", "ccid"], "left_semi").select("level", "id"), "impact-near")
-            local = edges.join(near.withColumnsRenamed({"level": "level1", "id": "id1"}), ["level1", "id1"], "left_semi")
-            mine = roles.join(near, ["level", "id"], "left_semi")
+            touched = stored(known[0].nodes.join(moved, ["level", "id"], "left_semi").select("root").distinct(), "impact-touched")
             was_open = read_open(epoch).select("level", "id").distinct()
             now_open = was_open.join(last, ["level", "id"], "left_anti").unionByName(last.where(F.col("type") == RAISED).select("level", "id"))
-            now_open = stored(now_open, "impact-open")
-
-            def evaluated(open_: DataFrame) -> DataFrame:
-                return service_impact(local, mine, open_.join(near, ["level", "id"], "left_semi"), members=members)
-
-            with_events = evaluated(now_open)
-            changes = impact_changes(evaluated(was_open), with_events).withColumn("cause", F.lit("event"))
-            left_open = now_open
+            left_open = now_open = stored(now_open, "impact-open")
+            states = [was_open, now_open]
             if not aged.isEmpty():
-                with_events = stored(with_events, "impact-events")
                 left_open = now_open.join(aged, ["level", "id"], "left_anti")
-                changes = changes.unionByName(impact_changes(with_events, evaluated(left_open)).withColumn("cause", F.lit("age")))
+                states.append(left_open)
+            found = stored(graph_impacts(known[0].within(touched), states), "impact-states")
+            before, after, *rest = [found.where(F.col("state") == i) for i in range(len(states))]
+            changes = impact_changes(before, after).withColumn("cause", F.lit("event"))
+            for later in rest:
+                changes = changes.unionByName(impact_changes(after, later).withColumn("cause", F.lit("age")))
             emit(changes, epoch)
             save_open(left_open, epoch)
 

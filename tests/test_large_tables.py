@@ -219,3 +219,15 @@ def test_names_of_a_batch_cost_one_read_and_one_write():
     (passed,), store, p = _names([(0, many, [])], "o:x")
     assert passed == [] and p.names.rows == {("r", "a"): (1399, [])}
     assert store.calls <= 6
+
+
+def test_states_of_a_service_are_evaluated_at_once_on_numbers(spark):
+    edges = spark.createDataFrame([("c", "1", "o", x) for x in ("p1", "p2", "k1", None)] + [("c", "2", "o", "p3"), ("c", "2", "o", "p3")], "level1 string, id1 string, level2 string, id2 string")
+    roles = spark.createDataFrame([("o", "p1", "s", "prod"), ("o", "p2", "s", "prod"), ("o", "k1", "s", "cons"), ("o", "p3", "s", "prod")], "level string, id string, service string, role string")
+    states = [spark.createDataFrame(rows, "level string, id string") for rows in ([], [("o", "p1"), ("o", "p1")], [("c", "1")], [("o", "zz")])]
+    numbered = graph.impact_graph(edges, roles, graph.connected_components(edges))
+    got = graph.graph_impacts(numbered, states)
+    assert sorted((r.state, r.cclevel, r.ccid, r.service, r.producers, r.lost_all, r.lost_some, r.severity) for r in got.collect()) == [
+        (1, "c", "1", "s", 2, 1, 0, 3), (2, "c", "1", "s", 2, 2, 0, 1),
+    ]
+    assert dict(numbered.links.dtypes) == {"u": "bigint", "v": "bigint", "root": "bigint"}

@@ -231,3 +231,67 @@ def test_states_of_a_service_are_evaluated_at_once_on_numbers(spark):
         (1, "c", "1", "s", 2, 1, 0, 3), (2, "c", "1", "s", 2, 2, 0, 1),
     ]
     assert dict(numbered.links.dtypes) == {"u": "bigint", "v": "bigint", "root": "bigint"}
+
+
+def _smallest(edges):
+    """Node to the smallest number it is connected with."""
+    up = {x: x for u, v in edges if u != v for x in (u, v)}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            p, q = sorted((root(u), root(v)))
+            up[q] = p
+    return {x: root(x) for x in up}
+
+
+def test_edges_are_written_once_and_contracted(spark, monkeypatch):
+    rng = random.Random(11)
+    pairs = [(f"s{rng.randrange(20)}", f"p{rng.randrange(150)}") for _ in range(1500)]
+    df = spark.createDataFrame([("s", a, "p", b) for a, b in pairs], "level1 string, id1 string, level2 string, id2 string")
+    rows = []
+
+    def counted(table, *args):
+        out = kept(table, *args)
+        rows.append(out.count())
+        return out
+
+    kept = graph.stored
+    monkeypatch.setattr(graph, "stored", counted)
+    got = graph.connected_components(df).collect()
+    n = len({a for a, _ in pairs}) + len({b for _, b in pairs})
+    assert len(got) == n and {(r.cclevel, r.ccid, r.ndn) for r in got} == {("p", min(b for _, b in pairs), n)}
+    assert len([k for k in rows if k > n]) == 1
+
+
+def test_components_of_odd_graphs(spark, monkeypatch):
+    rng = random.Random(12)
+    shuffled = rng.sample(range(80), 80)
+    graphs = [
+        [(3, 3)], [(i, i + 1) for i in range(60)], [*zip(shuffled, shuffled[1:])], [*zip(rng.sample(range(90), 60), rng.sample(range(90), 60))],
+        [(0, w) for w in range(50, 60)] + [(w, w - 40) for w in range(50, 60)] + [(9, 9), (70, 71), (71, 70), (70, 71)],
+    ]
+    edges = [(u + 1000 * k - 40, v + 1000 * k - 40) for k, one in enumerate(graphs) for u, v in one]
+    for few in (graph.FEW_NODES, -1):
+        monkeypatch.setattr(graph, "FEW_NODES", few)
+        got = graph.number_components(spark.createDataFrame([*edges, (None, 1), (2, None)], "u long, v long")).collect()
+        assert len(got) == len({r.node for r in got}) and {r.node: r.root for r in got} == _smallest(edges)
+    assert graph.number_components(spark.createDataFrame([(3, 3)], "u long, v long")).collect() == []
+
+
+def test_nodes_with_the_same_hash_are_told_apart(spark, monkeypatch):
+    tried = []
+
+    def weak(level, id_, seed):
+        tried.append(seed)
+        return F.length(id_).cast("long") if seed < 2 else F.xxhash64(F.lit(seed), level, id_)
+
+    monkeypatch.setattr(graph, "_hashed", weak)
+    edges = [("a", "1", "b", "1"), ("b", "1", "c", "2"), ("a", "4", "a", "5"), ("a", "4", "a", "4"), ("a", None, "b", "7"), (None, "8", "b", "9"), ("a", "5", "a", "4")]
+    got = graph.connected_components(spark.createDataFrame(edges, "level1 string, id1 string, level2 string, id2 string"))
+    assert sorted(map(tuple, got.collect())) == [("a", "1", "a", "1", 3), ("a", "4", "a", "4", 2), ("a", "5", "a", "4", 2), ("b", "1", "a", "1", 3), ("c", "2", "a", "1", 3)]
+    assert max(tried) == 2

@@ -146,6 +146,10 @@ def _worst(pdf: pd.DataFrame) -> pd.DataFrame:
     return ordered.drop_duplicates([*SERIES, "timeissued"]).drop(columns="__r")
 
 
+#: Parts that all series of a stream are dealt over; the series of a part are one state.
+SERIES_PARTS = 4096
+
+
 def profile_alarms(matched: DataFrame, rule: ProfileRule, delay: str = "0 seconds", keep: int = 14 * 86_400) -> DataFrame:
     """The deviation-alarm state machine over a stream.
 
@@ -154,17 +158,18 @@ def profile_alarms(matched: DataFrame, rule: ProfileRule, delay: str = "0 second
     a series looks at a time when the event time, less ``delay``, has reached it. State per
     series is the samples within the rule horizon, those that wait, the current alarm
     and where each range counts from. A series without samples for ``keep`` seconds is forgotten.
+
+    A call of Python costs more than the samples of a series do, so series are stepped by the
+    part they fall in: a batch takes one call, and one value of state, for each of ``SERIES_PARTS`` at most.
     """
 
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = SeriesState(**json.loads(state.get[0])) if state.exists else SeriesState()
-        clock = state.getCurrentWatermarkMs() // 1000
-        rows = [tuple(p) for p in memory.pending]
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                rows += zip(pdf["timeissued"].astype(int).tolist(), pdf["sev"].astype(int).tolist(), pdf["score"].tolist())
+    def due(memory: SeriesState) -> int:
+        """The time at which a series is looked at without new samples."""
+        return memory.pending[0][0] if memory.pending else _latest(memory) + keep
+
+    def step(memory: SeriesState, fresh: list[tuple], clock: int) -> list[tuple]:
         one: dict[int, tuple] = {}
-        for t, sev, score in rows:
+        for t, sev, score in [*map(tuple, memory.pending), *fresh]:
             if t not in one or worse((sev, score)) < worse(one[t][1:]):
                 one[t] = (t, sev, score)
         memory.samples = [tuple(s) for s in memory.samples]
@@ -172,19 +177,38 @@ def profile_alarms(matched: DataFrame, rule: ProfileRule, delay: str = "0 second
         ready = sorted(s for s in one.values() if s[0] <= clock)
         out = step_series(memory, ready, rule, max([s[0] for s in ready], default=0))
         prune(memory, rule)
-        last = max([s[0] for s in memory.samples + memory.pending], default=0)
-        if not memory.pending and last + keep <= clock:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((json.dumps(memory.to_dict()),))
-            due = memory.pending[0][0] if memory.pending else last + keep
+        return out
+
+    def run(_: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {tuple(name): SeriesState(**kept) for name, kept in json.loads(state.get[0])} if state.exists else {}
+        clock = state.getCurrentWatermarkMs() // 1000
+        fresh: dict[tuple, list[tuple]] = {}
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                samples = zip(pdf["timeissued"].astype(int).tolist(), pdf["sev"].astype(int).tolist(), pdf["score"].tolist())
+                for name, sample in zip(zip(*[pdf[c].tolist() for c in SERIES]), samples):
+                    fresh.setdefault(name, []).append(sample)
+        out = []
+        for name in [*fresh, *(n for n, m in known.items() if n not in fresh and due(m) <= clock)]:
+            memory = known.setdefault(name, SeriesState())
+            out += [(*name, *r) for r in step(memory, fresh.get(name, []), clock)]
+            if not memory.pending and due(memory) <= clock:
+                del known[name]
+        if known:
+            state.update((json.dumps([(name, vars(memory)) for name, memory in known.items()]),))
             # a timer fires once the watermark is past it
-            state.setTimeoutTimestamp(max(due, clock + 1) * 1000 - 1)
-        yield pd.DataFrame([(*key, *r) for r in out], columns=CHANGE_COLUMNS)
+            state.setTimeoutTimestamp(max(min(map(due, known.values())), clock + 1) * 1000 - 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=CHANGE_COLUMNS)
+
+    part = F.pmod(F.xxhash64(*SERIES), F.lit(SERIES_PARTS))
+    timed = event_time(worst_samples(matched), delay).withColumn("part", part)
+    return timed.groupBy("part").applyInPandasWithState(run, CHANGES, "memory string", "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    timed = event_time(worst_samples(matched), delay)
-    return timed.groupBy(*SERIES).applyInPandasWithState(run, CHANGES, "memory string", "append", GroupStateTimeout.EventTimeTimeout)
+def _latest(memory: SeriesState) -> int:
+    return max([s[0] for s in memory.samples + memory.pending], default=0)
 
 
 # --- correlation ------------------------------------------------------------------------

@@ -7,18 +7,24 @@ compares ranges pairwise.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.net import (
     V4_BITS, V4_MAX, V6_BITS, V6_MAX, V6_MIN, broadcast_address, broadcast_address6, ip6_next, ip6_prev, network, network6,
     range_cidrs, range_cidrs6,
 )
+from ..session import stored
 from .ordered import in_order
 
+
 @dataclass(frozen=True)
 class Space:
     """What the operators need to know about an address family."""
@@ -190,29 +196,147 @@ def _candidates(df: DataFrame, addr: str, lengths: DataFrame, keep: list[str], s
     return each.withColumn("__net", space.network(F.col("__addr"), F.col("__len"))).drop("__addr")
 
 
+#: Bits of the filter of a prefix table, as powers of two: up to 16 MB.
+FILTER_BITS = (16, 27)
+#: Words of the filter that come to the driver in one row.
+FILTER_WORDS = 1024
+
+U64 = np.uint64
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection that spreads every bit."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
+    return x ^ (x >> U64(31))
+
+
+def _halves(column: pa.Array, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that hold an address, and the high and low 64 bits of it."""
+    if not wide:
+        at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        low = column.take(pa.array(at)).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+        return at, np.zeros_like(low), low
+    column = column.cast(pa.binary())
+    whole = pc.fill_null(pc.equal(pc.binary_length(column), V6_BITS // 8), False)
+    at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+    if not len(at):
+        return at, np.zeros(0, U64), np.zeros(0, U64)
+    kept = column.take(pa.array(at))
+    begin = np.frombuffer(kept.buffers()[1], np.int32)[kept.offset]
+    flat = np.frombuffer(kept.buffers()[2], np.uint8)[begin : begin + len(at) * V6_BITS // 8]
+    high, low = flat.view(">u8").reshape(-1, 2).T.astype(U64)
+    return at, high, low
+
+
+def _masks(length: int, wide: bool) -> tuple[np.uint64, np.uint64]:
+    """What ``network`` keeps of an address, as its high and low 64 bits."""
+    if wide:
+        kept = (1 << V6_BITS) - (1 << V6_BITS - min(max(length, 0), V6_BITS))
+    else:
+        kept = ((1 << V4_BITS) - (1 << (V4_BITS - length) % 64)) % (1 << 64)
+    return U64(kept >> 64), U64(kept % (1 << 64))
+
+
+def _slots(high: np.ndarray, low: np.ndarray, nth: np.ndarray | int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a network of the ``nth`` length."""
+    with np.errstate(over="ignore"):
+        h = _mixed(_mixed(high + np.asarray(nth).astype(U64) * U64(0x9E3779B97F4A7C15)) + low)
+    return h >> U64(64 - bits), (h >> U64(64 - 2 * bits)) & U64((1 << bits) - 1)
+
+
+def _filter(nets: DataFrame, wide: bool):
+    """Two bits for every network of a stored table (__net, nth), and how many bits there are; broadcast to the tasks."""
+    spark = nets.sparkSession
+    bits = min(max(nets.count().bit_length() + 5, FILTER_BITS[0]), FILTER_BITS[1])
+    words = 1 << bits - 6
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, high, low = _halves(batch.column("__net"), wide)
+            slot = np.concatenate(_slots(high, low, batch.column("nth").to_numpy()[at], bits)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slot // (64 * FILTER_WORDS)), pa.array(slot)], ["part", "slot"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field, parts = np.zeros(words, U64), set()
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            np.bitwise_or.at(field, slot >> 6, U64(1) << (slot & 63).astype(U64))
+            parts.update(np.unique(batch.column("part").to_numpy()).tolist())
+        for part in parts:
+            some = field[part * FILTER_WORDS : (part + 1) * FILTER_WORDS].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([some], pa.binary())], ["part", "some"])
+
+    rows = nets.mapInArrow(slots, "part long, slot long").repartition("part").mapInArrow(gather, "part long, some binary")
+    field = np.zeros(words, U64)
+    for r in rows.collect():
+        some = np.frombuffer(bytes(r.some), U64)
+        field[r.part * FILTER_WORDS : r.part * FILTER_WORDS + len(some)] = some
+    return spark.sparkContext.broadcast(field), bits
+
+
+def _may_match(field, bits: int, lengths: list[int], wide: bool, rest: bool):
+    """(__a, __x) to (__a, nth): the first of the lengths at which the address may have a prefix; with ``rest``, all after ``nth``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, high, low = _halves(batch.column("__x"), wide)
+            after = batch.column("nth").to_numpy()[at] if rest else np.full(len(at), -1)
+            found, left = [], np.arange(len(at))
+            for nth, length in enumerate(lengths):
+                one, two = _masks(length, wide)
+                some = left[after[left] < nth]
+                hit = np.ones(len(some), bool)
+                for slot in _slots(high[some] & one, low[some] & two, nth, bits):
+                    hit &= (field.value[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) == 1
+                found.append((at[some[hit]], np.full(np.count_nonzero(hit), nth, np.int32)))
+                if not rest:
+                    left = some[~hit]
+            rows, nths = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("__a").take(pa.array(rows)), pa.array(nths, pa.int32())], ["__a", "nth"])
+
+    return run
+
+
 def lpm_join(
     df: DataFrame, addr: str, prefixes: DataFrame, values: list[str], how: str = "left", space: Space = V4
 ) -> DataFrame:
     """Longest-prefix match of an address against a prefix table (addr, len, ..).
 
-    Distinct addresses are masked to every prefix length that occurs and
-    equi-joined; the longest hit is an aggregate, and its values are looked up. The
+    Distinct addresses are masked to every prefix length that occurs, the longest first, and looked up in a filter
+    of the table; only the first that may be there goes on, as one row, to the table itself. The few that are
+    not there try their shorter ones. So no address is shuffled once per length. The
     answer per address is joined back, so an address that fills a third of the rows is matched once.
     """
-    key = ["__len", "__net"]
+    key, wide = ["__len", "__net"], space is V6
     table = prefixes.select(
         space.network(F.col("addr"), F.col("len")).alias("__net"), F.col("len").alias("__len"), *values
     )
     one = table.groupBy(*key).agg(F.first(F.struct(F.col("__len").alias("prefix_len"), *values)).alias("__m"))
+    lengths = sorted((r[0] for r in prefixes.select("len").where("len is not null").distinct().collect()), reverse=True)
+    kind = prefixes.schema["len"].dataType
+    every = F.array(*[F.lit(n).cast(kind) for n in lengths]) if lengths else F.lit(None).cast(T.ArrayType(kind))
+    nets = table.select("__net", (F.array_position(every, F.col("__len")) - 1).cast("int").alias("nth")).where("__net is not null and nth >= 0")
+    field, bits = _filter(stored(nets.distinct(), "prefixes"), wide)
+
     distinct = df.select(F.col(addr).alias("__a")).where("__a is not null").distinct()
+    schema = T.StructType([T.StructField("__a", df.schema[addr].dataType), T.StructField("nth", T.IntegerType())])
+    number = F.col("__a").cast(space.dtype).alias("__x")
+
+    def masked(found: DataFrame) -> DataFrame:
+        """With the network at the length that was found."""
+        long = found.withColumn("__len", F.get(every, F.col("nth")))
+        return long.withColumn("__net", space.network(F.col("__a"), F.col("__len")))
+
+    cut = [int(n) for n in lengths]
+    first = masked(distinct.select("__a", number).mapInArrow(_may_match(field, bits, cut, wide, False), schema))
+    first = stored(first.join(one.hint("merge"), key, "left").select("__a", "nth", "__m"), "longest")
+    missed = first.where("__m is null").select("__a", number, "nth")
+    again = masked(missed.mapInArrow(_may_match(field, bits, cut, wide, True), schema))
     # only lengths are compared, by a hash aggregate; a struct of values would be sorted
-    longest = (
-        _candidates(distinct, "__a", prefixes.select("len"), ["__a"], space)
-        .join(table.select(*key).distinct(), key)
-        .groupBy("__a")
-        .agg(F.max("__len").alias("__len"))
-    )
-    hits = longest.withColumn("__net", space.network(F.col("__a"), F.col("__len"))).join(one.hint("merge"), key).select("__a", "__m")
+    nth = again.join(one.select(*key).hint("merge"), key).groupBy("__a").agg(F.min("nth").alias("nth"))
+    hits = masked(nth).join(one.hint("merge"), key).select("__a", "__m").unionByName(first.where("__m is not null").select("__a", "__m"))
     out = df.join(hits.hint("merge"), df[addr] == F.col("__a"), how).drop("__a")
     return out.withColumns({c: F.col(f"__m.{c}") for c in ["prefix_len", *values]}).drop("__m")
 

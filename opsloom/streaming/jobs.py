@@ -146,8 +146,12 @@ def _worst(pdf: pd.DataFrame) -> pd.DataFrame:
     return ordered.drop_duplicates([*SERIES, "timeissued"]).drop(columns="__r")
 
 
-#: Parts that all series of a stream are dealt over; the series of a part are one state.
-SERIES_PARTS = 4096
+#: Parts that all keys of a stream are dealt over; the keys of a part are one state.
+STATE_PARTS = 4096
+
+
+def _part(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(STATE_PARTS))
 
 
 def profile_alarms(matched: DataFrame, rule: ProfileRule, delay: str = "0 seconds", keep: int = 14 * 86_400) -> DataFrame:
@@ -160,7 +164,7 @@ def profile_alarms(matched: DataFrame, rule: ProfileRule, delay: str = "0 second
     and where each range counts from. A series without samples for ``keep`` seconds is forgotten.
 
     A call of Python costs more than the samples of a series do, so series are stepped by the
-    part they fall in: a batch takes one call, and one value of state, for each of ``SERIES_PARTS`` at most.
+    part they fall in: a batch takes one call, and one value of state, for each of ``STATE_PARTS`` at most.
     """
 
     def due(memory: SeriesState) -> int:
@@ -202,8 +206,7 @@ def profile_alarms(matched: DataFrame, rule: ProfileRule, delay: str = "0 second
             state.remove()
         yield pd.DataFrame(out, columns=CHANGE_COLUMNS)
 
-    part = F.pmod(F.xxhash64(*SERIES), F.lit(SERIES_PARTS))
-    timed = event_time(worst_samples(matched), delay).withColumn("part", part)
+    timed = event_time(worst_samples(matched), delay).withColumn("part", _part(*SERIES))
     return timed.groupBy("part").applyInPandasWithState(run, CHANGES, "memory string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -319,33 +322,58 @@ RAISED, CLEARED, AGED = 1, 2, 3
 
 
 class Aging(StatefulProcessor):
-    """The open event of a node, and the timer by which it grows too old."""
+    """The open events of the nodes of a part, and a timer for the oldest of them."""
 
     def __init__(self, keep: int):
         self.keep = keep
 
     def init(self, handle: Any) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "at bigint")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        t, kind = max((r.at, -r.type) for r in rows)
-        if self.open.exists():
-            self.handle.deleteTimer(self._due())
+        self.open = handle.getValueState("open", "due bigint, nodes array<struct<level: string, id: string, at: bigint>>")
+
+    def _load(self) -> tuple[int | None, dict[tuple, int]]:
+        if not self.open.exists():
+            return None, {}
+        due, nodes = self.open.get()
+        return due, {(n[0], n[1]): n[2] for n in nodes}
+
+    def _save(self, was: int | None, nodes: dict[tuple, int]) -> None:
+        """``was``: the time of the timer that is set, if one is."""
+        due = (min(nodes.values()) + self.keep) * 1000 if nodes else None
+        if due != was:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if nodes:
+            self.open.update((due, [(*node, at) for node, at in nodes.items()]))
+        elif self.open.exists():
             self.open.clear()
-        if kind == -RAISED:
-            self.open.update((t,))
-            self.handle.registerTimer(self._due())
-        yield Row(level=key[0], id=key[1], type=-kind, at=t)
 
-    def _due(self) -> int:
-        return (self.open.get()[0] + self.keep) * 1000
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        latest: dict[tuple, tuple] = {}
+        for r in rows:
+            node, event = (r.level, r.id), (r.at, -r.type)
+            if node not in latest or event > latest[node]:
+                latest[node] = event
+        due, nodes = self._load()
+        for node, (t, kind) in latest.items():
+            nodes.pop(node, None)
+            if kind == -RAISED:
+                nodes[node] = t
+        self._save(due, nodes)
+        for (level, id_), (t, kind) in latest.items():
+            yield Row(level=level, id=id_, type=-kind, at=t)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        if self.open.exists() and self._due() <= expiredTimerInfo.getExpiryTimeInMs():
-            t = self.open.get()[0]
-            self.open.clear()
-            yield Row(level=key[0], id=key[1], type=AGED, at=t)
+        now = timerValues.getCurrentWatermarkInMs()
+        due, nodes = self._load()
+        old = {node: at for node, at in nodes.items() if (at + self.keep) * 1000 < now}
+        # the timer that brought this call goes by itself
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        self._save(None if due == fired else due, {node: at for node, at in nodes.items() if node not in old})
+        for (level, id_), t in old.items():
+            yield Row(level=level, id=id_, type=AGED, at=t)
 
     def close(self) -> None:
         pass
@@ -356,13 +384,14 @@ def aging_events(events: DataFrame, keep: int, delay: str = "0 seconds", time: s
 
     (level, id, type, at). An event ages by the event time less ``delay``, also in batches without data; a new raise of the
     node starts its age anew, a clear ends it. Of several events of a node in a batch the latest counts, a clear before a
-    raise of the same time. Rows of other types only move the clock. One row per node is kept as state, and a
-    timer per open event is the queue.
+    raise of the same time. Rows of other types only move the clock. Nodes are dealt over
+    ``STATE_PARTS`` parts: the open events of a part are one typed value of state, with one timer, so a batch makes as many calls
+    of Python at most, not one or more for each node.
     """
     typed_state(events.sparkSession)
     timed = event_time(events.select("level", "id", F.col("type").cast("int").alias("type"), F.col(time).cast("bigint").alias("at")), delay, "at")
     # the condition names the event time, so that Spark cannot move it below the clock
-    return timed.where("type in (1, 2) or ts is null").groupBy("level", "id").transformWithState(
+    return timed.where("type in (1, 2) or ts is null").withColumn("part", _part("level", "id")).groupBy("part").transformWithState(
         Aging(keep), "level string, id string, type int, at bigint", "Append", "EventTime"
     )
 

@@ -5,7 +5,8 @@ set. Two sets that are similar enough share one of the rarest shingles of both (
 filter), so sets are first grouped to blocks that share such shingles, and only blocks
 are joined: the sets of a block are stored in a prefix tree, and every set walks
 it, sharing the overlap of common prefixes, leaving subtrees that the remaining
-lengths rule out and subtrees that are linked to it already.
+lengths rule out and subtrees that are linked to it already. Where many sets walk, they do so
+together, and their overlaps with the sets below a node are one product of tables.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .tokens import bounds, gram_sets, list_column, mix64, shingles, slices, wor
 CHUNK_SETS, CHUNK_GRAMS = 4096, 2_000_000
 #: Sets of a subtree that are compared side by side.
 BUCKET = 64
+#: From so many sets on they walk the tree together, in tables of so many cells (sets times elements).
+FEW_PROBES, PROBE_CELLS = 12, 8_000_000
 
 
 @dataclass(frozen=True)
@@ -61,6 +64,7 @@ class PrefixTree:
         self.sets = [sets[i] for i in self.order]
         held = np.array([len(s) for s in self.sets], np.int64)
         self.size = held if sizes is None else sizes[self.order]
+        self.partial = sizes is not None
         lcp = np.array([_common(a, b) for a, b in zip(self.sets[:-1], self.sets[1:], strict=True)], np.int64)
         self.lo, self.hi, self.begin, self.end, self.least, self.most, self.below = [], [], [], [], [], [], []
         self.leaves: list[_Leaves | None] = []
@@ -113,8 +117,12 @@ class PrefixTree:
         # sets of the most frequent label do not look for others: the others look for them
         _, of, counts = np.unique(lab, return_inverse=True, return_counts=True)
         probes = (of != counts.argmax()) if counts.max() > 1 else np.ones(n, bool)
-        for x in np.flatnonzero(probes):
-            self._probe(int(x), lab, probes, measure)
+        if np.count_nonzero(probes) < FEW_PROBES:
+            for x in np.flatnonzero(probes):
+                self._probe(int(x), lab, probes, measure)
+        else:
+            for group in self._groups(np.flatnonzero(probes)):
+                self._probe_all(group, lab, probes, measure)
         out = np.empty_like(lab)
         out[self.order] = lab
         return out
@@ -157,6 +165,131 @@ class PrefixTree:
             todo += [(child, same, mine, theirs) for child in self.below[node]]
 
 
+    def _groups(self, probes: np.ndarray) -> Iterator[_Probes]:
+        """Sets that walk the tree together: as many as fit a table of them and their elements."""
+        held = np.array([len(s) for s in self.sets], np.int64)
+        cut = np.concatenate(([0], np.cumsum(held)))
+        every, flat, times = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+        column = np.full(len(every), -1, np.int64)
+        begin = 0
+        while begin < len(probes):
+            some = held[probes[begin:]]
+            cells = np.cumsum(some) * np.arange(1, len(some) + 1)
+            at = probes[begin : begin + max(1, int(np.searchsorted(cells, PROBE_CELLS, "right")))]
+            begin += len(at)
+            own, row = np.concatenate([flat[cut[x] : cut[x + 1]] for x in at]), np.repeat(np.arange(len(at)), held[at])
+            used, place = np.unique(own, return_inverse=True)
+            sums = np.zeros((len(at), len(used)), np.int32)
+            sums[row, place] = 1
+            # an element of one set is in no other
+            shared = times[used] > 1
+            table = sums[:, shared].astype(np.float32)
+            column[used[shared]] = np.arange(table.shape[1])
+            last = np.array([self.sets[x][-1] for x in at])
+            yield _Probes(at, self.size[at], held[at], last, table, np.cumsum(sums, axis=1, dtype=np.int32, out=sums), every[used], flat, cut, column)
+            column[used] = -1
+
+    def _probe_all(self, p: _Probes, lab: np.ndarray, probes: np.ndarray, measure: Measure) -> None:
+        """``_probe`` of several sets at once: each node is read once for all that reach it."""
+        num, den = measure.num, measure.den
+        zero = np.zeros(len(p.at), np.int64)
+        todo = [(0, np.arange(len(p.at)), zero, zero, zero)]
+        while todo:
+            # as in _probe; an entry for each set that got here
+            node, i, same, mine, theirs = todo.pop()
+            lo, hi, begin, end = self.lo[node], self.hi[node], self.begin[node], self.end[node]
+            least, most = self.least[node], self.most[node]
+            labels, nx = lab[lo:hi], p.size[i]
+            go = (most * den >= num * nx) & (least * num <= den * nx)
+            if (labels == labels[0]).all():
+                go &= lab[p.at[i]] != labels[0]
+            best = same + np.minimum(nx - mine, most - theirs)
+            go &= den * best >= num * (nx + least - best)
+            i, same, mine, theirs = i[go], same[go], mine[go], theirs[go]
+            part = self.sets[lo][begin:end]
+            if len(part) and len(i):
+                on = theirs == begin
+                at = p.columns(lo, begin, end)
+                same = same + np.where(on, p.table[np.ix_(i, at[at >= 0])].sum(axis=1).astype(np.int64), 0)
+                whole = part[-1] <= p.last[i]
+                mine = np.where(on, np.where(whole, p.upto(i, part[-1:])[:, 0], p.held[i]), mine)
+                theirs = np.where(on, np.where(whole, end, begin + np.searchsorted(part, p.last[i], "right")), theirs)
+            nx = p.size[i]
+            best = same + np.minimum(nx - mine, most - theirs)
+            go = den * best >= num * (nx + least - best)
+            i, same, mine, theirs = i[go], same[go], mine[go], theirs[go]
+            if not len(i):
+                continue
+            if self.leaves[node] is not None:
+                _join(lab, *self._near_all(p, self.leaves[node], i, end, same, mine, theirs, lab, probes, measure))
+            todo += [(child, i, same, mine, theirs) for child in self.below[node]]
+
+    def _near_all(self, p: _Probes, leaves: _Leaves, i, end: int, same, mine, theirs, lab, probes, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs that ``_Leaves.near`` finds for each of several sets."""
+        num, den = measure.num, measure.den
+        x, nx, y, ny = p.at[i][:, None], p.size[i][:, None], leaves.at[None, :], leaves.size[None, :]
+        use = ((y > x) | ~probes[y]) & (lab[y] != lab[x]) & (ny * den >= num * nx) & (ny * num <= den * nx)
+        best = same[:, None] + np.minimum(nx - mine[:, None], ny - theirs[:, None])
+        use &= den * best >= num * (nx + ny - best)
+        k, m = use.any(axis=1), use.any(axis=0)
+        if not k.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        i, use, nx, ny, at = i[k][:, None], use[np.ix_(k, m)], nx[k], ny[:, m], leaves.at[m]
+        same, mine, theirs = (np.repeat(v[k][:, None], len(at), axis=1) for v in (same, mine, theirs))
+        on = theirs == end
+        tails = [p.columns(y, end, None) for y in at]
+        rows = np.zeros((len(at), p.table.shape[1]), np.float32)
+        for row, tail in zip(rows, tails, strict=True):
+            row[tail[tail >= 0]] = 1
+        same = same + np.where(on, (p.table[i[:, 0]] @ rows.T).astype(np.int64), 0)
+        if self.partial:
+            whole = leaves.last[m][None, :] <= p.last[i]
+            inside = np.stack([np.searchsorted(self.sets[y][end:], p.last[i[:, 0]], "right") for y in at], axis=1)
+            theirs = np.where(on, np.where(whole, leaves.held[m][None, :], theirs + inside), theirs)
+            mine = np.where(on, np.where(whole, p.upto(i[:, 0], leaves.last[m]), p.held[i]), mine)
+        # of whole sets all elements are passed now
+        best = same + np.where(on & (not self.partial), 0, np.minimum(nx - mine, ny - theirs))
+        k, m = np.nonzero(use & (den * best >= num * (nx + ny - best)))
+        return p.at[i[k, 0]], at[m]
+
+
+def _join(lab: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Give linked sets the smaller label of both."""
+    while True:
+        apart = np.flatnonzero(lab[x] != lab[y])
+        if not len(apart):
+            return
+        a, b = sorted((lab[x[apart[0]]], lab[y[apart[0]]]))
+        lab[lab == b] = a
+        x, y = x[apart], y[apart]
+
+
+@dataclass(frozen=True)
+class _Probes:
+    """Sets that walk a tree together: places, sizes, elements known, the last of them; which shared elements they have (``table``), how many up to each of ``names`` (``sums``)."""
+
+    at: np.ndarray
+    size: np.ndarray
+    held: np.ndarray
+    last: np.ndarray
+    table: np.ndarray
+    sums: np.ndarray
+    names: np.ndarray
+    flat: np.ndarray
+    cut: np.ndarray
+    column: np.ndarray
+
+    def columns(self, y: int, begin: int, end: int | None) -> np.ndarray:
+        """Columns of the table for elements of a set; -1 for those that no other set here has."""
+        stop = self.cut[y + 1] if end is None else self.cut[y] + end
+        return self.column[self.flat[self.cut[y] + begin : stop]]
+
+    def upto(self, i: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """How many elements of each set are no larger than each value."""
+        at = np.searchsorted(self.names, values, "right") - 1
+        return np.where(at >= 0, self.sums[np.ix_(i, np.maximum(at, 0))], 0).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class _Leaves:
     """Sets below one node: place, what follows the common part, last element, elements known and in all."""
@@ -394,7 +527,7 @@ def components(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     of the signatures; the tree join of the sets in blocks. Blocks that are still large are
     cut into chunks that all hold the block's first and last set; sets that are
     apart after that and share a prefix shingle meet in another tree join, by
-    shingle. Every group that a task holds is bounded; larger ones go as
+    shingle, or by block where that takes fewer pairs. Every group that a task holds is bounded; larger ones go as
     pairs of chunks. Shingles are 64-bit hashes.
     """
     text_batches(docs.sparkSession)
@@ -446,6 +579,21 @@ def _ranked(keys: DataFrame, sets: DataFrame) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("set_id").orderBy("gram")))
 
 
+def _dealt(ranked: DataFrame, members: DataFrame) -> DataFrame:
+    """Keys in which the sets of a block meet once, by the block's number and with rank 0, where that takes fewer pairs than to meet in every shingle.
+
+    A family of near copies shares most of its shingles, and would be compared as often.
+    """
+    place = members.where("parts > 1").select("set_id", "block").distinct()
+    all_ = stored(ranked.join(place, "set_id"), "jaccard-meeting")
+    met = all_.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("c")).groupBy("block").agg(F.sum(F.col("c") * F.col("c")).alias("met"))
+    size = place.groupBy("block").agg(F.count(F.lit(1)).alias("c"))
+    once = counted(stored(met.join(size, "block").where(F.col("c") * F.col("c") <= F.col("met")).select("block"), "jaccard-once"))
+    some = all_.join(once, "block", "left_anti").select("set_id", "gram", "n", "rank")
+    rest = all_.join(once, "block", "left_semi").groupBy("set_id", "block").agg(F.first("n").alias("n"))
+    return some.unionByName(rest.select("set_id", F.col("block").alias("gram"), "n", F.lit(0).alias("rank")))
+
+
 def _apart(keys: DataFrame, state: DataFrame, take: int | None) -> tuple[DataFrame, DataFrame]:
     """The first ``take`` keys per set (all) with what ``state`` knows of it, and the size of each shingle whose sets have several labels."""
     at = stored((keys if take is None else keys.where(F.col("rank") <= take)).join(state, "set_id"), "jaccard-at")
@@ -509,10 +657,10 @@ def _block_links(text: DataFrame, sets: DataFrame, keys: DataFrame, blocks: Data
     cut = stored(members.where("parts > 1").select("set_id").distinct(), "jaccard-chunked")
     if cut.isEmpty():
         return links
-    # sets of cut blocks that are still apart, by the shingles that they share
-    own = stored(_ranked(keys, cut), "jaccard-ranked")
-    for take in (2, None):
-        at, sizes = _apart(own, _relabelled(cut, links), take)
+    # sets of cut blocks that are still apart, by the shingles that they share, or all of a block at once
+    own = stored(_dealt(_ranked(keys, cut), members), "jaccard-ranked")
+    for some, take in ((own, 2), (own.where("rank > 0"), None)):
+        at, sizes = _apart(some, _relabelled(cut, links), take)
         if sizes.isEmpty():
             continue
         again = stored(_pairs_of_chunks(at, sizes).drop("n", "rank").join(facts.drop("n"), "set_id"), "jaccard-again")
